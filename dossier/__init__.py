@@ -1,0 +1 @@
+"""Spark-native engine for policy-style document collections."""

@@ -1,0 +1 @@
+"""Training-data operators. Nothing else in the package imports this subpackage."""

@@ -1,0 +1,136 @@
+"""Token-id output: best-fit-decreasing packing into fixed rows, with what a trainer needs beside the ids.
+
+Documents are encoded and closed by the end id; one longer than a row is split into full rows and a rest, so
+nothing is lost. Within a block of about `block` ids the pieces are taken from long to short, and each goes into
+the open row with the least room that still holds it; a segment tree over room sizes (how many open rows have
+this much room) finds that row in log(window) steps. A row of the output has its ids padded to the window, the
+cumulative lengths of its segments and, by these, the places where positions start again from 0.
+
+Blocks lie within a partition of the input: memory is bounded by the block, nothing is shuffled. Null and empty
+texts give the end id alone.
+"""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+
+from .common import arrow_batches
+from .tokens import encoder
+
+WINDOW, END = 2048, 1
+
+
+class Rooms:
+    """A segment tree over room sizes 0..window: the stacks of open rows, and which sizes have any."""
+
+    def __init__(self, window: int):
+        self.size = 1 << window.bit_length()
+        self.any = bytearray(2 * self.size)
+        self.rows: list[list[int]] = [[] for _ in range(window + 1)]
+
+    def put(self, room: int, row: int) -> None:
+        self.rows[room].append(row)
+        i = self.size + room
+        while i and not self.any[i]:
+            self.any[i] = 1
+            i >>= 1
+
+    def take(self, least: int) -> tuple[int, int] | None:
+        """A row with the least room of at least `least`, and that room; it is no longer open."""
+        i = self.size + least
+        if not self.any[i]:
+            while i > 1 and (i & 1 or not self.any[i ^ 1]):
+                i >>= 1
+            if i <= 1:
+                return None
+            i ^= 1
+            while i < self.size:
+                i = 2 * i if self.any[2 * i] else 2 * i + 1
+        room = i - self.size
+        row = self.rows[room].pop()
+        while i and (not self.rows[room] if i >= self.size else not (self.any[2 * i] or self.any[2 * i + 1])):
+            self.any[i] = 0
+            i >>= 1
+        return row, room
+
+
+def best_fit(lengths: list[int], window: int) -> list[list[int]]:
+    """Rows as lists of places in lengths (each 1..window), by best fit on falling lengths."""
+    rooms, rows = Rooms(window), []
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        n = lengths[i]
+        found = rooms.take(n)
+        if found is None:
+            rows.append([i])
+            row, room = len(rows) - 1, window
+        else:
+            row, room = found
+            rows[row].append(i)
+        if room > n:
+            rooms.put(room - n, row)
+    return rows
+
+
+SCHEMA = "row_id long, ids binary, n_tokens int, cu_seqlens array<int>, doc_ids array<long>, starts array<long>, ids_crc32 long"
+
+
+def pack_rows(docs: DataFrame, tokenizer: str, window: int = WINDOW, block: int = 1_000_000, pad: int = 0) -> DataFrame:
+    """Rows of packed ids of docs (doc_id, text): ids holds `window` little-endian unsigned 32-bit ids, the last
+    window - n_tokens of them padding; segment k is ids[cu_seqlens[k]:cu_seqlens[k + 1]], the part of document
+    doc_ids[k] from its id starts[k] on."""
+    arrow_batches(docs.sparkSession)
+
+    def packed(batches):
+        tokens = encoder(tokenizer)
+        first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
+        held: list[tuple[int, int, np.ndarray]] = []
+        size = 0
+
+        def rows():
+            nonlocal first
+            groups = best_fit([len(p[2]) for p in held], window)
+            columns: list[list] = [[] for _ in range(7)]
+            for k, group in enumerate(groups):
+                ids = np.concatenate([held[i][2] for i in group])
+                whole = np.full(window, pad, "<u4")
+                whole[: len(ids)] = ids
+                raw = whole.tobytes()
+                ends = np.cumsum([0] + [len(held[i][2]) for i in group]).tolist()
+                for column, value in zip(columns, (first + k, raw, len(ids), ends, [held[i][0] for i in group], [held[i][1] for i in group], zlib.crc32(raw)), strict=True):
+                    column.append(value)
+            first += len(groups)
+            types = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
+            for at in range(0, len(groups), 512):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 512], t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                ids = np.append(tokens.ids(text.as_py() or ""), np.uint32(END))
+                held += [(doc_id, a, ids[a : a + window]) for a in range(0, len(ids), window)]
+                size += len(ids)
+                if size >= block:
+                    yield from rows()
+                    held, size = [], 0
+        if held:
+            yield from rows()
+
+    return docs.select("doc_id", "text").mapInArrow(packed, SCHEMA)
+
+
+def positions(cu_seqlens: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Positions of a row's ids: they start from 0 with each segment, and are 0 in the padding."""
+    out = np.zeros(window, np.int32)
+    ends = np.asarray(cu_seqlens)
+    lengths = np.diff(ends)
+    out[: ends[-1]] = np.arange(ends[-1]) - np.repeat(ends[:-1], lengths)
+    return out
+
+
+def write_rows(packed: DataFrame, path: str) -> None:
+    """packed as zstd Parquet: each file holds a matrix of ids (the binary column), segment lengths and resets."""
+    packed.write.mode("overwrite").option("compression", "zstd").parquet(path)

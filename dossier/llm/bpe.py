@@ -1,0 +1,359 @@
+"""Byte-level BPE encoding and decoding with contiguous rank arrays, equal to the tokenizers library's.
+
+A batch of texts is split into words by the rules of the files' pattern, over arrays of character classes. Words
+not met before are encoded together: each short word is a row of part ids and, beside it, a contiguous row of
+the ranks of adjacent pairs; the least rank of each row is found by a scan, its boundary is deleted, and the two
+ranks next to it are refreshed, until no pair of the row has a rank. Words longer than SHORT take the same steps
+through a heap of pairs. A bounded table keeps the ids of words met (keyed by 64-bit hashes of their bytes).
+Null texts count as empty and have no ids.
+"""
+
+from __future__ import annotations
+
+import functools
+import hashlib
+import heapq
+import json
+import unicodedata
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from .common import _BYTE, _POWER, arrow_batches, mix64, text_bytes
+
+SHORT, KEEP = 48, 1_000_000
+_NONE = np.int32(2**31 - 1)
+SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The characters by which byte-level files write bytes: printable ones stand for themselves, the others
+    follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """Class of each code point: white space, letter, number or other."""
+    out = np.full(0x110000, OTHER, np.uint8)
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        if kind == "L":
+            out[c] = LETTER
+        elif kind == "N":
+            out[c] = NUMBER
+    out[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
+    return out
+
+
+def _code_points(raw: np.ndarray, first: np.ndarray) -> np.ndarray:
+    lead = raw[first].astype(np.int32)
+    code = lead.copy()
+    for least, most, n in ((0xC0, 0xE0, 2), (0xE0, 0xF0, 3), (0xF0, 0x100, 4)):
+        i = np.flatnonzero((lead >= least) & (lead < most))
+        if len(i):
+            v = lead[i] & (0xFF >> (n + 1))
+            for k in range(1, n):
+                v = (v << 6) | (raw[first[i] + k].astype(np.int32) & 0x3F)
+            code[i] = v
+    return code
+
+
+def split_words(raw: np.ndarray, breaks: np.ndarray) -> np.ndarray:
+    """Where words begin in raw (UTF-8). breaks: rising places that no word crosses, 0 among them, the end not."""
+    first = np.flatnonzero((raw & 0xC0) != 0x80)
+    code = _code_points(raw, first)
+    c = _classes()[code]
+    n = len(c)
+    edge = np.zeros(n + 1, bool)
+    edge[np.searchsorted(first, breaks)] = True
+    edge[n] = True
+    start = edge[:n].copy()
+    start[1:] |= c[1:] != c[:-1]
+    # the last white space before other characters stands alone, or, if it is a blank, goes with them
+    last = np.flatnonzero((c[:-1] == SPACE) & (c[1:] != SPACE) & ~edge[1:n]) if n > 1 else np.zeros(0, np.int64)
+    start[last] = True
+    joined = last[code[last] == 32]
+    start[joined + 1] = False
+    # contractions: an apostrophe alone between what is before and letters
+    i = np.flatnonzero((code == 39) & start)
+    i = i[i + 1 < n]
+    i = i[(c[i + 1] == LETTER) & ~edge[i + 1]]
+    if len(i):
+        one = np.isin(code[i + 1], [ord(x) for x in "stmd"])
+        second = np.where((i + 2 < n) & ~edge[np.minimum(i + 2, n)], code[np.minimum(i + 2, n - 1)], 0)
+        two = ((code[i + 1] == ord("r")) | (code[i + 1] == ord("v"))) & (second == ord("e")) | (code[i + 1] == ord("l")) & (second == ord("l"))
+        for hit, size in ((i[one], 2), (i[two], 3)):
+            for k in range(1, size):
+                start[hit + k] = False
+            after = hit + size
+            after = after[after < n]
+            start[after[(c[after] == LETTER)]] = True
+            start[after[edge[after]]] = True
+    return first[start]
+
+
+class RankArrays:
+    """The encoder and decoder of one tokenizers JSON file (byte-level BPE)."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        alphabet = byte_alphabet()
+        self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
+        special_names = {t["content"] for t in spec["added_tokens"]}
+        ids = {t: i for t, i in spec["model"]["vocab"].items() if t not in special_names}
+        self.bytes = {i: bytes(alphabet[c] for c in t) for t, i in ids.items()} | {i: t for t, i in self.special.items()}
+        names = {b: ch for ch, b in alphabet.items()}
+        self.byte_id = np.array([ids[names[b]] for b in range(256)], np.int32)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        a = np.array([(ids[x], ids[y], ids[x + y]) for x, y in pairs], np.int64).reshape(-1, 3)
+        key = (a[:, 0] << 32) | a[:, 1]
+        order = np.argsort(key, kind="stable")
+        self.pair, self.rank, self.made = key[order], order.astype(np.int32), a[order, 2].astype(np.int32)
+        self._spread()
+        self._merges = {(x, y): (r, z) for r, (x, y, z) in enumerate(a.tolist())}
+        self._forget()
+
+    def _spread(self) -> None:
+        """An open table of pairs: place by hash, the next places after it on collision."""
+        bits = max(int(np.ceil(np.log2(max(len(self.pair), 1) * 4))), 4)
+        self.bits, size = np.uint64(64 - bits), 1 << bits
+        self.slots, self.slot_rank, self.slot_made = np.full(size, -1, np.int64), np.full(size, _NONE, np.int32), np.zeros(size, np.int32)
+        todo, shift = np.arange(len(self.pair)), 0
+        while len(todo):
+            at = (self._place(self.pair[todo]) + shift) & (size - 1)
+            free = self.slots[at] == -1
+            _, one = np.unique(np.where(free, at, -1), return_index=True)
+            one = one[free[one]]
+            put = todo[one]
+            self.slots[at[one]], self.slot_rank[at[one]], self.slot_made[at[one]] = self.pair[put], self.rank[put], self.made[put]
+            left = np.ones(len(todo), bool)
+            left[one] = False
+            todo, shift = todo[left], shift + 1
+        self.probes = shift
+
+    def _place(self, pair: np.ndarray) -> np.ndarray:
+        return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.bits).astype(np.int64)
+
+    def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (or _NONE) and result of each pair of ids."""
+        shape = left.shape
+        pair = ((left.astype(np.int64) << 32) | right).ravel()
+        at = self._place(pair)
+        mask = len(self.slots) - 1
+        hit = self.slots[at] == pair
+        rank = np.where(hit, self.slot_rank[at], _NONE)
+        made = self.slot_made[at]
+        open_ = np.flatnonzero(~hit & (self.slots[at] != -1))
+        for k in range(1, self.probes):
+            if not len(open_):
+                break
+            a = (at[open_] + k) & mask
+            same = self.slots[a] == pair[open_]
+            rank[open_[same]] = self.slot_rank[a[same]]
+            made[open_[same]] = self.slot_made[a[same]]
+            open_ = open_[~same & (self.slots[a] != -1)]
+        return rank.reshape(shape), made.reshape(shape)
+
+    def _forget(self) -> None:
+        special = sorted((int(_hash(np.frombuffer(t, np.uint8), np.zeros(1, np.int64))[0]), i) for t, i in self.special.items())
+        self.keys = np.array([k for k, _ in special], np.uint64)
+        self.begin = np.arange(len(special))
+        self.count = np.ones(len(special), np.int64)
+        self.pool = np.array([i for _, i in special], np.int32)
+
+    def _short(self, parts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """parts: a row of byte ids for each word, size of them. The same after all merges."""
+        parts, size = parts.copy(), size.copy()
+        if parts.shape[1] < 2:
+            return parts, size
+        rank, _ = self._look(parts[:, :-1], parts[:, 1:])
+        rank[np.arange(rank.shape[1])[None, :] >= (size - 1)[:, None]] = _NONE
+        live = np.flatnonzero(rank.min(axis=1) < _NONE)
+        p, r, n = parts[live], rank[live], size[live]
+        cols = np.arange(parts.shape[1] - 1)
+        while len(live):
+            row = np.arange(len(live))
+            j = r.argmin(axis=1)
+            _, made = self._look(p[row, j], p[row, j + 1])
+            # delete the boundary after j: what is right of it moves one place to the left
+            shift = cols[None, :] + (cols[None, :] > j[:, None])
+            p[:, :-1] = np.take_along_axis(p, shift, axis=1)
+            p[row, j] = made
+            n -= 1
+            if r.shape[1] > 1:
+                c = cols[:-1]
+                r[:, :-1] = np.take_along_axis(r, c[None, :] + (c[None, :] >= j[:, None]), axis=1)
+            r[row, n - 1] = _NONE
+            right = np.flatnonzero(j < n - 1)
+            if len(right):
+                r[right, j[right]] = self._look(p[right, j[right]], p[right, j[right] + 1])[0]
+            left = np.flatnonzero(j > 0)
+            if len(left):
+                r[left, j[left] - 1] = self._look(p[left, j[left] - 1], p[left, j[left]])[0]
+            done = r.min(axis=1) == _NONE
+            if done.any():
+                parts[live[done]], size[live[done]] = p[done], n[done]
+                keep = ~done
+                live, p, r, n = live[keep], p[keep], r[keep], n[keep]
+        return parts, size
+
+    def _long(self, word: bytes) -> list[int]:
+        ids = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
+        n = len(ids)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self._merges.get((ids[i], ids[i + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, x, y, z = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != x or j < 0 or ids[j] != y:
+                continue
+            ids[i], ids[j], after[i] = z, -1, after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b >= 0 and (m := self._merges.get((ids[a], ids[b]))):
+                    heapq.heappush(heap, (m[0], a, ids[a], ids[b], m[1]))
+        return [x for x in ids if x >= 0]
+
+    def _learn(self, raw: np.ndarray, begin: np.ndarray, length: np.ndarray, key: np.ndarray) -> None:
+        """Encodes new words (distinct keys, rising) and takes them into the table."""
+        if len(self.keys) + len(key) > KEEP and len(self.keys) > len(self.special):
+            self._forget()
+        ids, count = [np.zeros(0, np.int32)] * len(key), np.zeros(len(key), np.int64)
+        flat, where = [], np.zeros(len(key), np.int64)
+        used = len(self.pool)
+        low = 0
+        for high in (4, 8, 12, 16, 24, 32, SHORT):
+            pick = np.flatnonzero((length > low) & (length <= high))
+            low = high
+            if not len(pick):
+                continue
+            cols = np.arange(high)
+            inside = cols[None, :] < length[pick][:, None]
+            parts = self.byte_id[raw[np.where(inside, begin[pick][:, None] + cols[None, :], 0)]]
+            got, size = self._short(parts, length[pick])
+            flat.append(got[np.arange(got.shape[1])[None, :] < size[:, None]])
+            count[pick] = size
+            where[pick] = used + np.cumsum(size) - size
+            used += int(size.sum())
+        for i in np.flatnonzero(length > SHORT):
+            got = np.array(self._long(raw[begin[i] : begin[i] + length[i]].tobytes()), np.int32)
+            flat.append(got)
+            count[i], where[i] = len(got), used
+            used += len(got)
+        del ids
+        self.pool = np.concatenate([self.pool, *flat])
+        keys = np.concatenate([self.keys, key])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.begin = np.concatenate([self.begin, where])[order]
+        self.count = np.concatenate([self.count, count])[order]
+
+    def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows of a batch, and where each row's end. raw, at: as text_bytes gives them."""
+        n = len(at) - 1
+        if not len(raw):
+            return np.zeros(0, np.int32), np.zeros(n, np.int64)
+        breaks = at[:-1][np.diff(at) > 0]
+        whole = raw.tobytes() if self.special else b""
+        inner = []
+        for token in self.special:
+            i = whole.find(token)
+            while i >= 0:
+                if at[np.searchsorted(at, i, side="right")] >= i + len(token):
+                    inner.append((i, i + len(token)))
+                    i = whole.find(token, i + len(token))
+                else:
+                    i = whole.find(token, i + 1)
+        del whole
+        if inner:
+            edges = np.array(inner, np.int64)
+            breaks = np.union1d(breaks, edges.reshape(-1))
+            breaks = breaks[breaks < len(raw)]
+        first = split_words(raw, breaks)
+        if inner:
+            k = np.searchsorted(edges[:, 0], first, side="right") - 1
+            first = first[~((k >= 0) & (first > edges[k, 0]) & (first < edges[k, 1]))]
+        key = _hash(raw, first)
+        length = np.diff(np.append(first, len(raw)))
+        words, one, which = np.unique(key, return_index=True, return_inverse=True)
+        at_key = np.searchsorted(self.keys, words)
+        known = (at_key < len(self.keys)) & (self.keys[np.minimum(at_key, len(self.keys) - 1)] == words) if len(self.keys) else np.zeros(len(words), bool)
+        if not known.all():
+            if len(self.keys) + int((~known).sum()) > KEEP:
+                self._forget()
+                known = np.isin(words, self.keys)
+            new = one[~known]
+            self._learn(raw, first[new], length[new], words[~known])
+            at_key = np.searchsorted(self.keys, words)
+        begin, count = self.begin[at_key][which], self.count[at_key][which]
+        total = np.cumsum(count)
+        ids = self.pool[np.arange(int(total[-1])) + np.repeat(begin - (total - count), count)]
+        up_to = np.searchsorted(first, at[1:], side="left")
+        return ids, np.concatenate([[0], total])[up_to]
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
+    def sentence_ends(self) -> np.ndarray:
+        """By id: whether the token ends a sentence or a line."""
+        out = np.zeros(max(self.bytes) + 1, bool)
+        for i, b in self.bytes.items():
+            out[i] = b.rstrip(b"\"')").endswith((b".", b"!", b"?", b"\n"))
+        return out
+
+
+def _hash(raw: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words that begin at first and end where the next begins."""
+    length = np.diff(np.append(first, len(raw)))
+    power = np.full(int(length.max()), _POWER, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    place = np.arange(first[0], len(raw)) - np.repeat(first, length)
+    return mix64(np.add.reduceat(_BYTE[raw[first[0] :]] * power[place], first - first[0]) + length.astype(np.uint64))
+
+
+@functools.cache
+def coder(path: str) -> RankArrays:
+    return RankArrays(path)
+
+
+def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, ids (array of int) and decoded (string) of every row of docs (doc_id, text)."""
+    arrow_batches(docs.sparkSession)
+
+    def coded(batches):
+        rank_arrays = coder(tokenizer)
+        for batch in batches:
+            ids, ends = rank_arrays.encode(*text_bytes(batch.column("text")))
+            begins = np.concatenate([[0], ends[:-1]])
+            texts = [rank_arrays.decode(ids[a:b]) for a, b in zip(begins, ends, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+
+    return docs.select("doc_id", "text").mapInArrow(coded, "doc_id long, ids array<int>, decoded string")
+
+
+def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """What encode_decode gives, as doc_id, n_tokens, ids_sha256 and decoded_sha256, without moving ids and texts."""
+    arrow_batches(docs.sparkSession)
+
+    def coded(batches):
+        rank_arrays = coder(tokenizer)
+        for batch in batches:
+            ids, ends = rank_arrays.encode(*text_bytes(batch.column("text")))
+            begins = np.concatenate([[0], ends[:-1]]).tolist()
+            ends = ends.tolist()
+            wide = ids.astype("<u4")
+            sha = [hashlib.sha256(wide[a:b]).hexdigest() for a, b in zip(begins, ends, strict=True)]
+            text = [hashlib.sha256(rank_arrays.decode(ids[a:b]).encode()).hexdigest() for a, b in zip(begins, ends, strict=True)]
+            size = [b - a for a, b in zip(begins, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sha), pa.array(text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(coded, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,0 +1,168 @@
+"""Helpers shared by the training-data operators: batches, shared tables, word hashes, connected components."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def arrow_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Rows in an Arrow batch: texts can be long, so batches of text hold few rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where none is set (tests in one process)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there, so a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A text column's UTF-8 bytes, concatenated, and where each row begins; nulls are empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks)
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = column.fill_null(b"")
+    n = len(column)
+    if n == 0:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijective finaliser on unsigned 64-bit integers (public: SplitMix64)."""
+    x = x.astype(np.uint64, copy=True)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_POWER = np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words are runs of bytes other than space and tab to carriage return; A to Z count as a to z.
+
+    Returns each word's 64-bit hash, its row, and where it begins and ends in raw."""
+    none = np.zeros(0, np.int64)
+    if not len(raw):
+        return np.zeros(0, np.uint64), none, none, none
+    inside = ~_SPACE[raw]
+    before = np.empty(len(raw), bool)
+    before[0] = False
+    before[1:] = inside[:-1]
+    heads = at[:-1][at[:-1] < len(raw)]
+    before[heads] = False
+    first = np.flatnonzero(inside & ~before)
+    if not len(first):
+        return np.zeros(0, np.uint64), none, none, none
+    after = np.empty(len(raw), bool)
+    after[-1] = False
+    after[:-1] = inside[1:]
+    after[heads[heads > 0] - 1] = False
+    last = np.flatnonzero(inside & ~after) + 1
+    length = last - first
+    longest = int(length.max())
+    power = np.full(longest, _POWER, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    place = np.arange(len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw)))) if first[0] == 0 else np.concatenate(
+        [np.zeros(first[0], np.int64), np.arange(first[0], len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw))))]
+    )
+    value = _BYTE[_LOWER[raw]] * power[np.minimum(place, longest - 1)]
+    value[~inside] = 0
+    total = np.add.reduceat(value, first)
+    row = np.searchsorted(at, first, side="right") - 1
+    return mix64(total + length.astype(np.uint64)), row, first, last
+
+
+def shingle_hashes(word: np.ndarray, row: np.ndarray, n_rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and rows of runs of `size` words of a row; a row with fewer words gives all of them as one."""
+    count = np.bincount(row, minlength=n_rows)
+    start = np.concatenate([[0], np.cumsum(count)])
+    runs = np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))
+    out_row = np.repeat(np.arange(n_rows), runs)
+    first = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs) + start[out_row]
+    length = np.minimum(count, size)[out_row]
+    h = np.zeros(len(first), np.uint64)
+    for k in range(size):
+        use = length > k
+        at = np.where(use, first + k, 0)
+        nxt = mix64((h * np.uint64(0x9E3779B97F4A7C15)) ^ (word[at] if len(word) else np.zeros(len(first), np.uint64)))
+        h = np.where(use, nxt, h)
+    return mix64(h + length.astype(np.uint64)), out_row
+
+
+def binary_rows(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """values cut at ends (exclusive, per row) as a binary column, without a copy for each row."""
+    width = values.dtype.itemsize
+    offsets = np.concatenate([[0], ends]).astype(np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, component) for every node of an edge; component is the smallest node reachable.
+
+    edges: columns u and v, long. Alternating large-star and small-star rounds: every step is a join or
+    an aggregate on nodes, so no component meets in one task; each round is checkpointed.
+    Self-loops and repeated edges are harmless; without edges the result is empty."""
+    shared_dir(edges.sparkSession)
+    e = (
+        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        .filter("u <> v")
+        .distinct()
+        .checkpoint()
+    )
+    state = None
+    for _ in range(max_rounds):
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct().checkpoint()
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    else:
+        raise RuntimeError("components did not settle")
+    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

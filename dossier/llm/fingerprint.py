@@ -1,0 +1,154 @@
+"""Homomorphic multiset fingerprints of documents.
+
+A text is the multiset of its paragraphs (lines with words). Each paragraph is hashed to a wide vector: four
+64-bit numbers of its own, and, for its word shingles, +1 or -1 in one of 256 places each. A fingerprint is the
+sum of the paragraphs' vectors, modulo 2^64 and 2^16. So it doesn't depend on their order, and adding or taking
+away a paragraph adds or takes its vector: see `combine`. The wide part tells equal multisets from unequal ones;
+the signed part is a sketch whose inner products estimate those of the shingle counts, so
+likeness = 2 a.b / (a.a + b.b), cut to 0..1, tells how much two texts share.
+
+Null texts count as empty; texts without words have the zero fingerprint, alike (1) to each other.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import arrow_batches, mix64, shingle_hashes, shuffle_partitions, text_bytes, word_hashes
+
+WIDE, PLACES, SHINGLE = 4, 256, 3
+
+
+def vectors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The wide sums (rows by WIDE, modulo 2^64) and signed sums (rows by PLACES) of a batch of texts."""
+    n = len(at) - 1
+    word, row, first, _ = word_hashes(raw, at)
+    wide, signed = np.zeros((n, WIDE), np.uint64), np.zeros((n, PLACES), np.int64)
+    if not len(word):
+        return wide, signed
+    line = np.cumsum(raw == 10)
+    part = line[first] + row  # a new paragraph with each line and each text
+    _, begin, part = np.unique(part, return_index=True, return_inverse=True)
+    place = np.arange(len(word)) - begin[part]
+    each = np.add.reduceat(mix64(word + place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), begin)
+    owner = row[begin]
+    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    for k in range(WIDE):
+        wide[owner[heads], k] = np.add.reduceat(mix64(each + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)), heads)
+    h, of = shingle_hashes(word, part, len(begin), SHINGLE)
+    slot = owner[of] * PLACES + (h & np.uint64(PLACES - 1)).astype(np.int64)
+    sign = np.where((h >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
+    signed = np.bincount(slot, sign, n * PLACES).astype(np.int64).reshape(n, PLACES)
+    return wide, signed
+
+
+def written(wide: np.ndarray, signed: np.ndarray) -> list[str]:
+    """Fingerprints as hexadecimal text."""
+    a = np.ascontiguousarray(wide.astype("<u8")).view(np.uint8).reshape(len(wide), WIDE * 8)
+    b = np.ascontiguousarray((signed & 0xFFFF).astype("<u2")).view(np.uint8).reshape(len(wide), PLACES * 2)
+    return [x.tobytes().hex() for x in np.concatenate([a, b], axis=1)]
+
+
+def read(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+    raw = bytes.fromhex(fingerprint)
+    return np.frombuffer(raw[: WIDE * 8], "<u8"), np.frombuffer(raw[WIDE * 8 :], "<i2").astype(np.int64)
+
+
+def combine(a: str, b: str, sign: int = 1) -> str:
+    """The fingerprint of the union of two multisets of paragraphs (sign 1), or of a without b (sign -1)."""
+    (wa, sa), (wb, sb) = read(a), read(b)
+    wide = wa + wb if sign > 0 else wa - wb
+    return written(wide[None, :], (sa + sign * sb)[None, :])[0]
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows of signed sums, as fingerprints hold them (modulo 2^16)."""
+    a, b = (((x + 32768) & 0xFFFF) - 32768 for x in (a, b))
+    both = ((a * a).sum(1) + (b * b).sum(1)).astype(float)
+    return np.where(both == 0, 1.0, np.clip(2 * (a * b).sum(1) / np.maximum(both, 1), 0, 1))
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id and fingerprint of every row of docs (doc_id, text); one pass."""
+    arrow_batches(docs.sparkSession)
+
+    def made(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(written(*vectors(*text_bytes(batch.column("text")))), pa.string())], ["doc_id", "fingerprint"])
+
+    return docs.select("doc_id", "text").mapInArrow(made, "doc_id long, fingerprint string")
+
+
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def edited_next(docs: DataFrame) -> DataFrame:
+    """Each text against itself edited (its last third replaced by as much of the next text's front) and against
+    the next text, by falling doc_id, the first after the last. Repeated ids follow each other by their texts; rows without an id come last, and their
+    next text is the row after them, or empty.
+
+    Texts are dealt by ranges of doc_id; a range also gets the first text of the next one. The ranges' limits and
+    their first ids (one number for each) are all that the driver sees."""
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    parts = shuffle_partitions(spark) * 2
+    limits = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)))
+    edges = F.array(*[F.lit(int(x)) for x in limits]) if limits else F.array().cast("array<long>")
+    part = F.size(F.filter(edges, lambda x: x <= F.col("doc_id")))
+    heads = sorted((r["part"], r["head"]) for r in docs.select("doc_id", part.alias("part")).groupBy("part").agg(F.max("doc_id").alias("head")).filter("head is not null").collect())  # one row for each range
+    if not heads:
+        return spark.createDataFrame([], SCHEMA)
+    names = [p for p, _ in heads]
+    taker = {head: names[(k + 1) % len(names)] for k, (_, head) in enumerate(heads)}  # the range above needs it
+    guests = spark.createDataFrame([(h, t) for h, t in taker.items()], "doc_id long, part int")
+    first = docs.join(F.broadcast(guests), "doc_id").groupBy("doc_id", "part").agg(F.min("text").alias("text"))
+    own = docs.select("doc_id", "text", part.alias("part"), F.lit(0).alias("guest"))
+    dealt = own.unionByName(first.select("doc_id", "text", "part", F.lit(1).alias("guest")))
+    ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "guest", F.desc("doc_id"), "text")
+
+    def compared(batches):
+        waiting = None  # (part, doc_id, text), whose next text comes with the next batch
+
+        def rows(pairs):
+            texts = [t for _, t, _ in pairs]
+            nexts = [x for _, _, x in pairs]
+            edits = []
+            for t, x in zip(texts, nexts, strict=True):
+                k = len(t) // 3
+                edits.append(t[: len(t) - k] + x[:k])
+            w, s = vectors(*text_bytes(pa.array(texts, pa.large_string())))
+            we, se = vectors(*text_bytes(pa.array(edits, pa.large_string())))
+            # the next text is most often the next row's
+            other = [i for i in range(len(pairs)) if i + 1 == len(pairs) or nexts[i] is not texts[i + 1]]
+            _, so = vectors(*text_bytes(pa.array([nexts[i] for i in other], pa.large_string())))
+            sn = np.concatenate([s[1:], s[-1:]])
+            sn[other] = so
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([i for i, _, _ in pairs], pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edits]), pa.array(written(w, s)), pa.array(written(we, se)),
+                    pa.array(likeness(s, se)), pa.array(likeness(s, sn)),
+                ],
+                [x.split()[0] for x in SCHEMA.split(", ")],
+            )
+
+        for batch in batches:
+            pairs = []
+            for p, g, i, t in zip(*(batch.column(c).to_pylist() for c in ("part", "guest", "doc_id", "text")), strict=True):
+                if waiting is not None:
+                    pairs.append((waiting[1], waiting[2], t))
+                waiting = None if g else (p, i, t)
+            if pairs:
+                yield from rows(pairs)
+        if waiting is not None:  # only where a range has no ids at all
+            yield from rows([(waiting[1], waiting[2], "")])
+
+    return ordered.mapInArrow(compared, SCHEMA)
+
+

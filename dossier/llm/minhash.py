@@ -1,0 +1,221 @@
+"""Near-duplicate documents by HyperMinHash.
+
+Words are lower-cased (A to Z) runs of bytes other than space and tab to carriage return; a document's set holds
+its distinct runs of five words (all words as one run, if fewer). For each of 128 buckets a keyed hash gives a
+value to every shingle; of the least value the register stores the count of leading zeros (6 bits) and the ten
+bits after them: 16 bits a bucket. Bands of four registers are keys; documents that share a key are candidates.
+The likeness of two sketches is the share of equal registers, corrected for chance collisions of compressed
+registers, and is used to spare exact comparisons; links are confirmed on the full sets:
+100 * |intersection| >= 75 * |union|. A pair at the threshold shares no band with probability
+(1 - 0.75^4)^32 = 6e-6.
+
+Equal texts are one class from the start. Then no group is compared pair by pair:
+1. every member of a band's bucket is compared with the least one (a star), and the links give components;
+2. in buckets where members of different components are left, members of different components are compared,
+   in blocks, by their sketches; the pairs that may reach the threshold are confirmed on the sets.
+So every candidate pair is either known to be connected or compared: no candidate is dropped.
+
+Documents without words link with nothing. Null text counts as empty.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import arrow_batches, connected_components, mix64, shingle_hashes, stored, text_bytes, word_hashes
+
+SHINGLE, REGISTERS, ROWS, MANTISSA = 5, 128, 4, 10
+BANDS = REGISTERS // ROWS
+#: Members of a block when sketches of a large bucket are compared; and how far a sketch's likeness may fall short.
+BLOCK, SLACK = 1000, 0.2
+
+_KEYS = mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
+
+def registers(h: np.ndarray) -> np.ndarray:
+    """The 128 registers of a set of distinct 64-bit hashes (not empty)."""
+    low = np.full(REGISTERS, np.uint64(2**64 - 1))
+    for a in range(0, len(h), 4096):
+        part = h[a : a + 4096]
+        for k in range(0, REGISTERS, 16):
+            v = (part[None, :] ^ (part[None, :] >> np.uint64(29))) * _KEYS[k : k + 16, None]
+            low[k : k + 16] = np.minimum(low[k : k + 16], (v ^ (v >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)).min(axis=1))
+    return compressed(low)
+
+
+def compressed(low: np.ndarray) -> np.ndarray:
+    """Leading zeros and mantissa of 64-bit minima, as 16-bit registers."""
+    zeros = np.zeros(low.shape, np.uint64)
+    rest = low.copy()
+    for step in (32, 16, 8, 4, 2, 1):
+        small = rest < (np.uint64(1) << np.uint64(64 - step))
+        zeros[small] += np.uint64(step)
+        rest[small] <<= np.uint64(step)
+    mantissa = (rest << np.uint64(1)) >> np.uint64(64 - MANTISSA)
+    return ((np.minimum(zeros, 63) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
+
+
+def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The probability that registers of disjoint sets of n and m shingles are equal: both minima fall into the
+    same cell, summed over the cells that count (levels of leading zeros, each cut in 2^MANTISSA)."""
+    cells = 1 << MANTISSA
+    total = np.zeros(np.broadcast(n, m).shape)
+    for z in range(0, 34):
+        wide = 0.5 ** (z + 1)
+        # within a level the density of a minimum is nearly even: its mass is spread over the level's cells
+        mass = lambda k: np.exp(-k * wide) - np.exp(-k * 2 * wide)
+        total = total + mass(n) * mass(m) / cells
+    return total
+
+
+def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Jaccard likeness from the share of equal registers, corrected for collisions."""
+    c = chance(n, m)
+    return np.clip((equal - c) / (1 - c), 0, 1)
+
+
+def doc_shingles(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each row, rising, and where each row's end."""
+    n = len(at) - 1
+    word, row, _, _ = word_hashes(raw, at)
+    h, of = shingle_hashes(word, row, n, SHINGLE)
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    return h[new], np.cumsum(np.bincount(of[new], minlength=n))
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (of the text), n_shingles and sketch (binary, 256 bytes; null without shingles)."""
+    arrow_batches(docs.sparkSession)
+
+    def made(batches):
+        for batch in batches:
+            raw, at = text_bytes(batch.column("text"))
+            h, ends = doc_shingles(raw, at)
+            sketches: list[bytes | None] = []
+            digests, seen = [], {}
+            buffer = memoryview(np.ascontiguousarray(raw))
+            for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+                d = hashlib.blake2b(buffer[at[i] : at[i + 1]], digest_size=16).digest()
+                digests.append(d)
+                if d not in seen:
+                    seen[d] = registers(h[a:b]).tobytes() if b > a else None
+                sketches.append(seen[d])
+            size = np.diff(np.concatenate([[0], ends]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(size, pa.int64()), pa.array(sketches, pa.binary())],
+                ["doc_id", "digest", "n_shingles", "sketch"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(made, "doc_id long, digest binary, n_shingles long, sketch binary")
+
+
+def bands(classes: DataFrame) -> DataFrame:
+    """rep and band (a key of 64 bits) for each band of each class with a sketch."""
+    width = ROWS * 2
+    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", k * width + 1, width)) for k in range(BANDS)])
+    return classes.filter("sketch is not null").select("rep", F.explode(keys).alias("band"))
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v of classes) whose full sets reach the threshold. Texts of pairs only are read again."""
+    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
+
+    def shingled(batches):
+        for batch in batches:
+            h, ends = doc_shingles(*text_bytes(batch.column("text")))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "s"])
+
+    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(shingled, "doc_id long, s array<long>").dropDuplicates(["doc_id"])
+    left = sets.select(F.col("doc_id").alias("u"), F.col("s").alias("a"))
+    right = sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b"))
+    both = pairs.join(left, "u").join(right, "v").withColumn("c", F.size(F.array_intersect("a", "b")))
+    return both.filter(100 * F.col("c") >= 75 * (F.size("a") + F.size("b") - F.col("c"))).select("u", "v")
+
+
+def _may_link(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Sizes that allow a likeness of 0.75."""
+    return 100 * np.minimum(n, m) >= 75 * np.maximum(n, m)
+
+
+def _left_over(members: DataFrame) -> DataFrame:
+    """Pairs of members of a bucket (band, rep, label, n_shingles, sketch) with different labels whose sketches
+    may reach the threshold. Large buckets are cut in blocks, and each pair of blocks is a group of its own."""
+    size = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cut = members.join(size, "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = cut.withColumn("other", other).select(
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "n_shingles", "sketch"
+    )
+
+    def compared(batch: pa.Table) -> pa.Table:
+        i, j = batch.column("i")[0].as_py(), batch.column("j")[0].as_py()
+        own = batch.column("own").to_numpy()
+        rep, label, n = (batch.column(c).to_numpy() for c in ("rep", "label", "n_shingles"))
+        sketch = np.stack([np.frombuffer(x.as_py(), np.uint16) for x in batch.column("sketch")])
+        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in a.tolist():
+            y = b[(label[b] != label[x]) & _may_link(n[b], n[x])]
+            y = y[rep[y] > rep[x]] if i == j else y
+            if len(y):
+                equal = (sketch[y] == sketch[x]).mean(axis=1)
+                y = y[estimate(equal, n[y].astype(float), float(n[x])) >= 0.75 - SLACK]
+                u.append(np.minimum(rep[y], rep[x]))
+                v.append(np.maximum(rep[y], rep[x]))
+        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
+
+    return dealt.groupBy("band", "i", "j").applyInArrow(compared, "u long, v long").distinct()
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text): the least doc_id that
+    confirmed links reach, and whether it is the row's own. Rows of one id count as one document each, in one
+    component if they share texts."""
+    signed = stored(signatures(docs), "signatures")
+    classes = stored(
+        signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes"
+    )
+    keyed = bands(classes)
+    hubs = keyed.groupBy("band").agg(F.min("rep").alias("v"), F.count("*").alias("n")).filter("n > 1").select("band", "v")
+    sizes = classes.select("rep", "n_shingles")
+    stars = keyed.join(hubs, "band").filter("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
+    fit = (
+        stars.join(sizes.select(F.col("rep").alias("u"), F.col("n_shingles").alias("nu")), "u")
+        .join(sizes.select(F.col("rep").alias("v"), F.col("n_shingles").alias("nv")), "v")
+        .filter("100 * least(nu, nv) >= 75 * greatest(nu, nv)")
+        .select("u", "v")
+    )
+    first = stored(_confirmed(docs, stored(fit, "stars")), "links")
+    reached = connected_components(first)
+
+    label = F.coalesce("component", "rep")
+    named = classes.filter("sketch is not null").join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n_shingles", "sketch", label.alias("label"))
+    spread = bands(named).join(named.select("rep", "label"), "rep")
+    mixed = spread.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
+    members = spread.join(mixed, "band", "left_semi").join(named.drop("label"), "rep")
+    # members that share a bucket need it once only
+    rest = stored(_left_over(members), "rest")
+    links = first.unionByName(_confirmed(docs, rest))
+    whole = connected_components(links)
+    found = (
+        signed.join(classes.select("digest", "rep"), "digest")
+        .join(whole.withColumnRenamed("node", "rep"), "rep", "left")
+        .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")))
+    )
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group: the one with the least id."""
+    kept = near_duplicates(docs).filter("kept").select("doc_id")
+    ranked = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return docs.join(kept.distinct(), "doc_id", "left_semi").withColumn("__n", ranked).filter("__n = 1").drop("__n")

@@ -1,0 +1,157 @@
+"""Packing by order-preserving dynamic programming.
+
+The documents' token ids form one stream in stored order. Cuts between windows fall at document or sentence
+ends, or, at a higher price, inside a sentence that is longer than a step. With D(p) the least cost of the ids
+before p,
+
+    D(p) = price of a cut at p + one + min( min_{p-W <= q < p} (D(q) + q) + W - p,   min_{p-q a power of two} D(q) )
+
+a window of p - q ids being padded to W unless p - q is a power of two; `one` keeps windows few. The first inner
+minimum is taken by a monotone queue over D(q) + q, so each candidate enters and leaves once.
+
+Each task packs its own partition of the input, in order and in bounded memory: the programme is solved over a
+span of about `span` ids, and what lies in its last windows is carried into the next span. Nothing is shuffled.
+Every id lies in exactly one piece. A null text counts as an empty one, a document of the end id alone.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections import deque
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+
+from .common import arrow_batches
+from .tokens import encoder
+
+WINDOW, END = 2048, 1
+IN_DOCUMENT, IN_SENTENCE, ONE = 24.0, 160.0, 4.0
+
+
+def cuts(at: np.ndarray, price: np.ndarray, window: int = WINDOW, one: float = ONE) -> list[int]:
+    """Indexes into at (rising, from 0 on) of the window ends with the least total cost; no gap in at exceeds window."""
+    n = len(at)
+    pos, fee = at.tolist(), price.tolist()
+    powers = [1 << k for k in range(4, window.bit_length()) if 1 << k <= window]  # shorter windows don't pay
+    index = {p: i for i, p in enumerate(pos)}
+    best, back = [0.0] * n, [0] * n
+    queue: deque[int] = deque([0])
+    key = [0.0] * n
+    get = index.get
+    for i in range(1, n):
+        p = pos[i]
+        low = p - window
+        while pos[queue[0]] < low:
+            queue.popleft()
+        j = queue[0]
+        cost = key[j] + window - p
+        slack = cost - best[j] if j else cost
+        if slack > 0:  # padding could be saved
+            for length in powers:
+                q = get(p - length)
+                if q is not None and best[q] < cost:
+                    cost, j = best[q], q
+        best[i] = value = cost + fee[i] + one
+        back[i] = j
+        key[i] = value = value + p
+        while queue and key[queue[-1]] >= value:
+            queue.pop()
+        queue.append(i)
+    ends, i = [], n - 1
+    while i:
+        ends.append(i)
+        i = back[i]
+    return ends[::-1]
+
+
+def candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence: np.ndarray, step: int = WINDOW // 4, least: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """Where ids may be cut and at what price: document ends, sentence ends (ids marked in `sentence`; of those in
+    the same stretch of `least` ids the first), and inside a sentence longer than step, each step ids."""
+    inner = np.flatnonzero(sentence[ids]) + 1
+    inner = inner[np.concatenate([[True], np.diff(inner // least) > 0])] if len(inner) else inner
+    at = np.union1d(inner, doc_ends)
+    price = np.full(len(at), IN_DOCUMENT)
+    price[np.searchsorted(at, doc_ends)] = 0.0
+    gap = np.diff(np.concatenate([[0], at]))
+    wide = np.flatnonzero(gap > step)
+    if len(wide):
+        more = np.concatenate([np.arange(at[i] - gap[i] + step, at[i], step) for i in wide])
+        at, order = np.concatenate([at, more]), None
+        price = np.concatenate([price, np.full(len(more), IN_SENTENCE)])
+        order = np.argsort(at, kind="stable")
+        at, price = at[order], price[order]
+    return np.concatenate([[0], at]), np.concatenate([[0.0], price])
+
+
+class _Stream:
+    """Documents waiting to be packed; pack() gives the pieces of the windows that are settled."""
+
+    def __init__(self, sentence: np.ndarray, window: int, first: int):
+        self.docs: list[tuple[int, int, int, np.ndarray]] = []  # doc_id, ids before these, ids of the document, ids
+        self.sentence, self.window, self.sequence, self.size = sentence, window, first, 0
+
+    def add(self, doc_id: int, ids: np.ndarray) -> None:
+        self.docs.append((doc_id, 0, len(ids), ids))
+        self.size += len(ids)
+
+    def pack(self, last: bool) -> list[tuple]:
+        if not self.docs:
+            return []
+        ids = np.concatenate([d[3] for d in self.docs])
+        ends = np.cumsum([len(d[3]) for d in self.docs])
+        at, price = candidates(ids, ends, self.sentence, self.window // 4)
+        chosen = at[cuts(at, price, self.window)]
+        if not last:
+            chosen = chosen[: max(len(chosen) - 8, 0)]
+        starts = np.concatenate([[0], chosen[:-1]]) if len(chosen) else chosen
+        out, d, begin = [], 0, 0
+        for a, b in zip(starts.tolist(), chosen.tolist(), strict=True):
+            offset = 0
+            while a < b:
+                doc_id, before, total, own = self.docs[d]
+                stop = min(b, begin + len(own))
+                piece = own[a - begin : stop - begin]
+                out.append((doc_id, before + a - begin, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), total, self.sequence, offset))
+                offset += len(piece)
+                if stop == begin + len(own):
+                    begin += len(own)
+                    d += 1
+                a = stop
+            self.sequence += 1
+        settled = int(chosen[-1]) if len(chosen) else 0
+        rest = self.docs[d:]
+        if rest and settled > begin:
+            doc_id, before, total, own = rest[0]
+            rest[0] = (doc_id, before + settled - begin, total, own[settled - begin :])
+        self.docs, self.size = rest, self.size - settled
+        return out
+
+
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, span: int = 400_000) -> DataFrame:
+    """A row for each piece of docs (doc_id, text). tokenizer: path of a tokenizers JSON file."""
+    arrow_batches(docs.sparkSession)
+
+    def packed(batches):
+        tokens = encoder(tokenizer)
+        stream = _Stream(tokens.sentence_ends, window, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33)
+
+        def rows(last):
+            got = stream.pack(last)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], _NAMES)
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                stream.add(doc_id, np.append(tokens.ids(text.as_py() or ""), np.uint32(END)))
+                if stream.size >= span:
+                    yield from rows(False)
+        yield from rows(True)
+
+    return docs.select("doc_id", "text").mapInArrow(packed, SCHEMA)

@@ -1,0 +1,282 @@
+"""Format-preserving Feistel pseudonyms for personal data, in column expressions only.
+
+Validated numbers and dates are permuted within their format under a key: payment cards (Luhn; the check
+digit is made anew), bank accounts (IBAN, mod 97; check digits made anew), social security numbers (area,
+group and serial stay valid), phone numbers (country code and layout stay), IPv4 addresses (octets stay
+octets), dates (a valid date of the same century, in the same layout), and, by the same network over their
+characters, the local parts of e-mail addresses and the values of secrets. Equal values, however they are
+separated, get equal pseudonyms under one key, so they stay linked across documents. A permutation has an
+inverse: `reveal` takes the pseudonyms back.
+
+A number that fails its check (Luhn, mod 97, no such date) is left alone. Null text stays null, empty text
+stays empty; a text may be of any length; other columns pass through.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+ROUNDS = 8
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: A value begins where no word, number or address goes on: one cheap look rules out most places of a text.
+_START = r"(?<![A-Za-z0-9._%+-])"
+#: Kinds in the order in which they are tried at a place.
+PATTERNS = {
+    "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?![\d])(?!\.\d)",
+    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|\d{3}-\d{3}-\d{4}(?![\d-])",
+    "ssn": r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
+    "date": r"(?<!/)(?:\d{4}-\d{2}-\d{2}(?![\d-])|\d{1,2}/\d{1,2}/\d{4}(?![\d/])|\d{1,2}\.\d{1,2}\.\d{4}(?!\d)(?!\.\d))",
+    "card": r"\d(?:[ -]?\d){12,18}(?![A-Za-z0-9])",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "secret": r"(?:token|secret|password|passwd|api_key|apikey) ?[=:] ?\"?[A-Za-z0-9_/+-]{8,}+|AKIA[A-Z0-9]{16}(?![A-Z0-9])",
+    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+}
+ANY = _START + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _let(value: Column, body) -> Column:
+    """body of value, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _mix(state: Column, key: str, inverse: bool) -> Column:
+    """state.numbers, each below its radix, permuted together: halves take turns, each round adds a keyed hash
+    of the one to the other, modulo each number's radix. A single number can't be split and stays."""
+    n = F.size(state["numbers"])
+    cut = F.floor(n / 2).cast("int")
+
+    def keyed(part: Column, i: Column) -> Column:
+        seen = F.array_join(F.transform(part, lambda x: x.cast("string")), " ")
+        return F.sha2(F.concat_ws(",", F.lit(key), state["kind"], n.cast("string"), i.cast("string"), seen), 512)
+
+    def turn(acc: Column, i: Column) -> Column:
+        """The half in turn is always first; then the halves change places."""
+
+        def added(by: Column) -> Column:
+            def one(x: Column, j: Column) -> Column:
+                draw = F.conv(F.substring(by, j % 32 * 4 + 1, F.lit(4)), 16, 10).cast("int")
+                return F.pmod(x - draw if inverse else x + draw, F.element_at(acc["p"], j + 1))
+
+            return F.transform(acc["a"], one)
+
+        return F.struct(
+            acc["b"].alias("a"), acc["q"].alias("p"), _let(keyed(acc["b"], i), added).alias("b"), acc["p"].alias("q")
+        )
+
+    def half(name: str, first: bool) -> Column:
+        c = state[name]
+        return F.slice(c, F.lit(1), cut) if first else F.slice(c, cut + 1, n - cut)
+
+    # Forward, round 0 changes the first half. Backward, the last round (odd) is undone first, on the second half.
+    one, two = (False, True) if inverse else (True, False)
+    start = F.struct(half("numbers", one).alias("a"), half("radices", one).alias("p"), half("numbers", two).alias("b"), half("radices", two).alias("q"))
+    rounds = F.array(*[F.lit(i) for i in (reversed(range(ROUNDS)) if inverse else range(ROUNDS))])
+    # After an even number of turns the halves stand where they stood at the start.
+    done = F.aggregate(rounds, start, turn, lambda acc: F.concat(acc["b"], acc["a"]) if inverse else F.concat(acc["a"], acc["b"]))
+    return F.when(n < 2, state["numbers"]).otherwise(done)
+
+
+def _chars(s: Column) -> Column:
+    return F.filter(F.split(s, ""), lambda c: c != "")
+
+
+def _radix(c: Column, hexed: Column) -> Column:
+    return F.when(hexed, 16).when(c.between("0", "9"), 10).when(c.between("a", "z") | c.between("A", "Z"), 26)
+
+
+def _index(c: Column, hexed: Column) -> Column:
+    code = F.ascii(c)
+    return F.when(c.between("0", "9"), code - 48).when(hexed, code - 87).when(c.between("a", "z"), code - 97).otherwise(code - 65)
+
+
+def _char(c: Column, v: Column, hexed: Column) -> Column:
+    pick = lambda alphabet: F.substring(F.lit(alphabet), v + 1, F.lit(1))
+    return F.when(hexed, pick("0123456789abcdef")).when(c.between("0", "9"), pick(_DIGITS)).when(c.between("a", "z"), pick(_LOWER)).otherwise(pick(_UPPER))
+
+
+def _put(template: Column, is_symbol, symbol) -> Column:
+    """template with its k-th symbol replaced by symbol(character, k)."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("k"))
+
+    def put(acc: Column, c: Column) -> Column:
+        here = is_symbol(c)
+        return F.struct(
+            F.concat(acc["out"], F.when(here, symbol(c, acc["k"])).otherwise(c)).alias("out"),
+            (acc["k"] + F.when(here, 1).otherwise(0)).alias("k"),
+        )
+
+    return F.aggregate(_chars(template), start, put, lambda acc: acc["out"])
+
+
+def _luhn(digits: Column) -> Column:
+    """The sum modulo 10 of a card's digits, every second from the right doubled."""
+
+    def one(c: Column, i: Column) -> Column:
+        d = c.cast("int")
+        return F.when(i % 2 == 0, d).when(d > 4, d * 2 - 9).otherwise(d * 2)
+
+    return F.aggregate(F.transform(F.reverse(_chars(digits)), one), F.lit(0), lambda a, x: a + x) % 10
+
+
+def _mod97(s: Column) -> Column:
+    """An IBAN's remainder: four characters moved to the end, letters as 10 to 35."""
+    moved = F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))
+
+    def step(acc: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(_chars(moved), F.lit(0), step)
+
+
+def _date_parts(m: Column) -> Column:
+    """A day as its place in its century: 36525 days are 75 times 487, 36524 are 92 times 397."""
+    iso = m.contains("-")
+    p = F.split(m, r"[-/.]")
+    year, second, first = F.when(iso, p[0]).otherwise(p[2]), p[1], F.when(iso, p[2]).otherwise(p[0])
+
+    def parsed(month: Column, day: Column) -> Column:
+        return F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+
+    both = F.struct(parsed(second, first).alias("d"), F.when(~iso, parsed(first, second)).alias("s"))
+
+    def placed(x: Column) -> Column:
+        d = F.coalesce(x["d"], x["s"])
+        century = F.floor(F.year(d) / 100).cast("int") * 100
+        days = F.datediff(F.make_date(century + 100, F.lit(1), F.lit(1)), F.make_date(century, F.lit(1), F.lit(1)))
+        return F.when(
+            F.year(d) >= 1000,
+            F.struct(
+                iso.alias("iso"), x["d"].isNull().alias("swapped"), (F.length(first) == 2).alias("wide_first"), (F.length(second) == 2).alias("wide_second"),
+                F.when(m.contains("/"), "/").otherwise(".").alias("sep"), F.make_date(century, F.lit(1), F.lit(1)).alias("begin"),
+                F.when(days == 36525, 487).otherwise(397).alias("low"), F.when(days == 36525, 75).otherwise(92).alias("high"),
+                F.datediff(d, F.make_date(century, F.lit(1), F.lit(1))).alias("n"),
+            ),
+        )
+
+    return _let(both, placed)
+
+
+def _date_text(t: Column, v: Column) -> Column:
+    def written(out: Column) -> Column:
+        y, mo, da = F.date_format(out, "yyyy"), F.month(out).cast("string"), F.day(out).cast("string")
+        a, b = F.when(t["swapped"], mo).otherwise(da), F.when(t["swapped"], da).otherwise(mo)
+        wide = lambda x, yes: F.when(yes, F.lpad(x, 2, "0")).otherwise(x)
+        return F.when(t["iso"], F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(da, 2, "0"))).otherwise(
+            F.concat(wide(a, t["wide_first"]), t["sep"], wide(b, t["wide_second"]), t["sep"], y)
+        )
+
+    return _let(F.date_add(t["begin"], v[0] * t["low"] + v[1]), written)
+
+
+def _taken(m: Column) -> Column:
+    """A match as kind, fixed head, permuted body and fixed tail; kind is null if the value fails its check."""
+    kind = F.lit(None).cast("string")
+    for name in reversed(PATTERNS):
+        kind = F.when(m.rlike(rf"^(?:{PATTERNS[name]})$"), name).otherwise(kind)
+
+    def split(x: Column) -> Column:
+        k = x["kind"]
+        plain = F.regexp_replace(m, "[^A-Z0-9]", "")
+        valid = F.when(k == "card", _luhn(plain) == 0).when(k == "iban", (_mod97(plain) == 1) & F.length(plain).between(15, 34)).otherwise(True)
+        head = (
+            F.when(k == "phone", F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])|^\+\d?", 0))
+            .when(k == "secret", F.regexp_extract(m, r"^AKIA(?=[A-Z0-9]{16}$)|^[a-z_]+ ?[=:] ?\"?", 0))
+            .otherwise("")
+        )
+        body = (
+            F.when(k == "card", F.substring(plain, F.lit(1), F.length(plain) - 1))
+            .when(k == "iban", F.substring(plain, F.lit(5), F.length(plain)))
+            .when(k == "email", F.substring_index(m, "@", 1))
+            .otherwise(F.substring(m, F.length(head) + 1, F.length(m)))
+        )
+        return F.struct(
+            m.alias("m"), F.when(valid, k).alias("kind"), head.alias("head"), body.alias("body"),
+            F.when(k == "email", F.substring(m, F.instr(m, "@"), F.length(m))).otherwise("").alias("tail"),
+            (body.rlike("^[0-9a-f]{16,}$") & (k == "secret")).alias("hexed"), F.when(k == "date", _date_parts(m)).alias("date"),
+        )
+
+    return _let(F.struct(kind.alias("kind")), split)
+
+
+def _numbered(t: Column) -> Column:
+    """What _mix permutes."""
+    k, body = t["kind"], t["body"]
+    whole = F.transform(F.split(body, "[.-]"), lambda x: F.expr("0") + x.try_cast("int"))
+    symbols = F.filter(_chars(body), lambda c: _radix(c, t["hexed"]).isNotNull())
+    ssn = F.array(F.when(whole[0] > 666, whole[0] - 2).otherwise(whole[0] - 1), F.get(whole, F.lit(1)) - 1, F.get(whole, F.lit(2)) - 1)
+    date = t["date"]
+    numbers = (
+        F.when(k == "ip", whole).when(k == "ssn", ssn)
+        .when(k == "date", F.array(F.floor(date["n"] / date["low"]).cast("int"), (date["n"] % date["low"]).cast("int")))
+        .otherwise(F.transform(symbols, lambda c: _index(c, t["hexed"])))
+    )
+    radices = (
+        F.when(k == "ip", F.array(*[F.lit(256)] * 4)).when(k == "ssn", F.array(F.lit(898), F.lit(99), F.lit(9999)))
+        .when(k == "date", F.array(date["high"], date["low"])).otherwise(F.transform(symbols, lambda c: _radix(c, t["hexed"])))
+    )
+    return F.struct(t.alias("t"), k.alias("kind"), numbers.alias("numbers"), radices.alias("radices"))
+
+
+def _written(t: Column, v: Column) -> Column:
+    """The pseudonym of t from its permuted numbers."""
+    k = t["kind"]
+    moved = _put(t["body"], lambda c: _radix(c, t["hexed"]).isNotNull(), lambda c, i: _char(c, F.element_at(v, i + 1), t["hexed"]))
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    area = F.when(v[0] >= 665, v[0] + 2).otherwise(v[0] + 1)
+
+    def checked(body: Column) -> Column:
+        country = F.substring(t["m"], 1, 2)
+        iban = F.concat(country, pad(98 - _mod97(F.concat(country, F.lit("00"), body)), 2), body)
+        card = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
+        return F.when(k == "iban", iban).when(k == "card", card).otherwise(F.concat(t["head"], body, t["tail"]))
+
+    def laid_out(whole: Column) -> Column:
+        filled = _put(t["m"], lambda c: c.rlike("[A-Z0-9]"), lambda c, i: F.substring(whole, i + 1, F.lit(1)))
+        return F.when(k.isin("iban", "card"), filled).otherwise(whole)
+
+    return (
+        F.when(k == "ip", F.array_join(F.transform(v, lambda x: x.cast("string")), "."))
+        .when(k == "ssn", F.concat_ws("-", pad(area, 3), pad(F.get(v, F.lit(1)) + 1, 2), pad(F.get(v, F.lit(2)) + 1, 4)))
+        .when(k == "date", _date_text(t["date"], v))
+        .otherwise(_let(_let(moved, checked), laid_out))
+    )
+
+
+def pseudonym(m: Column, key: str, inverse: bool = False) -> Column:
+    """The pseudonym of one matched value; a value that fails its check stays."""
+
+    def body(t: Column) -> Column:
+        named = t["kind"].isNotNull() & ((t["kind"] != "date") | t["date"].isNotNull())
+        return F.when(named, _let(_numbered(t), lambda s: _let(_mix(s, key, inverse), lambda v: _written(t, v)))).otherwise(m)
+
+    return _let(_taken(m), body)
+
+
+def pseudonymize(docs: DataFrame, key: str, text: str = "text", count: str | None = None, inverse: bool = False) -> DataFrame:
+    """docs with every personal value of the text column replaced by its pseudonym; count names a column
+    that gets the number of values changed. One pass over the rows, no shuffle."""
+    body = F.col(f"`{text}`")
+    found = F.regexp_extract_all(body, F.lit(ANY), F.lit(0))
+    gaps = F.split(body, ANY, -1)
+
+    def changed(ms: Column) -> Column:
+        return F.transform(ms, lambda m: F.struct(m.alias("old"), pseudonym(m, key, inverse).alias("new")))
+
+    def joined(new: Column) -> Column:
+        return F.struct(
+            F.array_join(F.zip_with(gaps, new, lambda g, m: F.concat(g, F.coalesce(m["new"], F.lit("")))), "").alias("text"),
+            F.size(F.filter(new, lambda z: z["old"] != z["new"])).cast("long").alias("n"),
+        )
+
+    done = _let(found, lambda ms: F.when(F.size(ms) > 0, _let(changed(ms), joined)))
+    out = docs.withColumn("__pii", done)
+    if count:
+        out = out.withColumn(count, F.coalesce(F.col("__pii.n"), F.lit(0).cast("long")))
+    return out.withColumn(text, F.coalesce(F.col("__pii.text"), body)).drop("__pii")
+
+
+def reveal(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """pseudonymize undone under the same key."""
+    return pseudonymize(docs, key, text, inverse=True)

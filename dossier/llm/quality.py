@@ -1,0 +1,183 @@
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
+
+score(x) = sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]): every pair of
+features interacts through their low-rank factors, in time linear in the features present. Features of a text:
+its lower-cased words hashed to 2^16 places with log counts scaled to unit length, and statistics of its
+characters, words and lines, its length among them. No label, language, source or id is an input.
+
+Fitting takes a bounded sample of labelled rows (`max_rows`, the first in the order of a hash of the id); scoring
+is one pass over the documents in Arrow batches, the model (under 3 MB whatever the corpus) going along.
+Null and empty texts get the score of a text without words. Rows without a label don't count in fitting.
+Without both labels in the sample, every score is the share of label 1 (1/2 without labels).
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import arrow_batches, binary_rows, mix64, text_bytes, word_hashes
+
+BITS, STATS = 16, 17
+
+
+def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row: where its word features end, their places and values, and its statistics (rows by STATS)."""
+    n = len(at) - 1
+    word, row, first, last = word_hashes(raw, at)
+    key = (row.astype(np.uint64) << np.uint64(BITS)) | (word & np.uint64((1 << BITS) - 1))
+    pairs, count = np.unique(key, return_counts=True)
+    r, place = (pairs >> np.uint64(BITS)).astype(np.int64), (pairs & np.uint64((1 << BITS) - 1)).astype(np.int32)
+    x = 1 + np.log(count)
+    length = np.sqrt(np.bincount(r, x * x, n))
+    x = (x / np.maximum(length[r], 1e-9)).astype(np.float32)
+    ends = np.cumsum(np.bincount(r, minlength=n))
+
+    size = np.diff(at)
+    of = np.repeat(np.arange(n), size)
+    share = lambda mask: np.bincount(of[mask], minlength=n) / np.maximum(size, 1)
+    words = np.bincount(row, minlength=n)
+    mean = lambda v, w=words: np.bincount(row, v, n) / np.maximum(w, 1)
+    long = (last - first).astype(float)
+    upper = (raw >= 65) & (raw <= 90)
+    lower = (raw >= 97) & (raw <= 122)
+    digit = (raw >= 48) & (raw <= 57)
+    odd = (raw > 32) & (raw < 127) & ~upper & ~lower & ~digit & ~np.isin(raw, np.frombuffer(b".,;:'-", np.uint8))
+    again = np.zeros(len(raw), bool)
+    again[1:] = (raw[1:] == raw[:-1]) & (of[1:] == of[:-1]) & odd[1:]
+    tail = raw[last - 1] if len(last) else np.zeros(0, np.uint8)
+    echo = np.zeros(len(word))
+    echo[1:] = (word[1:] == word[:-1]) & (row[1:] == row[:-1])
+    lines = np.bincount(of[raw == 10], minlength=n) + 1
+    distinct = np.bincount(r, minlength=n) / np.maximum(words, 1)
+    # lines that occur before in their text
+    begin = np.flatnonzero(np.concatenate([[True], raw[:-1] == 10])) if len(raw) else np.zeros(0, np.int64)
+    begin = np.union1d(begin, at[:-1][size > 0])
+    if len(begin):
+        value = mix64(raw.astype(np.uint64) + (np.arange(len(raw)) - np.repeat(begin, np.diff(np.append(begin, len(raw))))).astype(np.uint64) * np.uint64(257))
+        line = np.add.reduceat(value, begin)
+        who = np.searchsorted(at, begin, side="right") - 1
+        pair = mix64(line ^ (who.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        _, one = np.unique(pair, return_index=True)
+        fresh = np.bincount(who[one], minlength=n)
+    else:
+        fresh = np.zeros(n)
+    stats = np.stack(
+        [
+            np.log1p(size), np.log1p(words), mean(long), share(upper), share(lower), share(digit), share(odd), share(again),
+            share(raw > 127), share(raw == 10), mean((tail == 46).astype(float)), np.log1p(size / lines), distinct,
+            1 - fresh / np.maximum(lines, 1), mean((long > 20).astype(float)), mean((long < 3).astype(float)), mean(echo),
+        ],
+        axis=1,
+    )
+    return ends, place, x, stats.astype(np.float32)
+
+
+@dataclass(frozen=True)
+class Machine:
+    """w0, the words' weights and factors, the statistics' weights and factors, and how statistics are scaled."""
+
+    bias: float
+    w: np.ndarray
+    v: np.ndarray
+    sw: np.ndarray
+    sv: np.ndarray
+    middle: np.ndarray
+    spread: np.ndarray
+
+    def scores(self, ends: np.ndarray, place: np.ndarray, x: np.ndarray, stats: np.ndarray) -> np.ndarray:
+        s = (stats - self.middle) / self.spread
+        s = np.clip(s, -5, 5)
+        linear, total, squares = _sums(ends, place, x, self.w, self.v)
+        z = self.bias + linear + s @ self.sw + 0.5 * ((total + s @ self.sv) ** 2 - squares - (s**2) @ (self.sv**2)).sum(1)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _sums(ends, place, x, w, v):
+    """Of each row: sum of w x, sums of v x and of (v x)^2."""
+    vx = v[place] * x[:, None]
+    stacked = np.concatenate([(w[place] * x)[:, None], vx, vx * vx], axis=1).astype(np.float64)
+    run = np.concatenate([np.zeros((1, stacked.shape[1])), np.cumsum(stacked, axis=0)])
+    begins = np.concatenate([[0], ends[:-1]]) if len(ends) else np.zeros(0, np.int64)
+    rows = run[ends] - run[begins]
+    k = v.shape[1]
+    return rows[:, 0], rows[:, 1 : k + 1], rows[:, k + 1 :]
+
+
+def _extract(batches):
+    for batch in batches:
+        raw, at = text_bytes(batch.column("text"))
+        ends, place, x, stats = features(raw, at)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("y"), binary_rows(place, ends), binary_rows(x, ends), binary_rows(stats.reshape(-1), (np.arange(len(stats)) + 1) * STATS)],
+            ["doc_id", "y", "place", "x", "stats"],
+        )
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, rank: int = 6, rounds: int = 60, rate: float = 0.05, ridge: float = 2e-5, seed: int = 7) -> Machine:
+    """docs: doc_id, text; labels: doc_id, y (0 or 1). Adam on the logistic loss, classes weighted equally in part."""
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    some = labels.filter("doc_id is not null and y in (0, 1)").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    taken = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id", F.col("y").cast("int").alias("y"))), "doc_id")  # at most max_rows
+    got = taken.mapInArrow(_extract, "doc_id long, y int, place binary, x binary, stats binary").toPandas().sort_values("doc_id", kind="stable")
+    y = got["y"].to_numpy(float)
+    k = 1 << BITS
+    rng = np.random.default_rng(seed)
+    w, v = np.zeros(k), rng.normal(0, 0.05, (k, rank))
+    sw, sv = np.zeros(STATS), rng.normal(0, 0.05, (STATS, rank))
+    share = y.mean() if len(y) else 0.5
+    if not 0 < share < 1:
+        share = min(max(share, 1e-3), 1 - 1e-3)
+        return Machine(float(np.log(share / (1 - share))), w.astype(np.float32), np.zeros((k, rank), np.float32), sw, np.zeros((STATS, rank)), np.zeros(STATS), np.ones(STATS))
+    place = np.concatenate([np.frombuffer(b, np.int32) for b in got["place"]])
+    x = np.concatenate([np.frombuffer(b, np.float32) for b in got["x"]]).astype(float)
+    stats = np.stack([np.frombuffer(b, np.float32) for b in got["stats"]]).astype(float)
+    ends = np.cumsum([len(b) // 4 for b in got["place"]])
+    middle, spread = stats.mean(0), stats.std(0) + 1e-6
+    s = np.clip((stats - middle) / spread, -5, 5)
+    row = np.repeat(np.arange(len(y)), np.diff(np.concatenate([[0], ends])))
+    order = np.argsort(place, kind="stable")
+    used, begins = np.unique(place[order], return_index=True)
+    bias = float(np.log(share / (1 - share)))
+    weight = np.where(y == 1, 0.5 + 0.25 / share, 0.5 + 0.25 / (1 - share))
+    weight /= weight.sum()
+    parts = [np.array([bias]), w[used], v[used], sw, sv]
+    slot = np.searchsorted(used, place)
+    m1, m2 = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
+    xs, rows = x[order], row[order]
+    for t in range(1, rounds + 1):
+        b, w_, v_, sw_, sv_ = parts
+        linear, total, squares = _sums(ends, slot, x, w_, v_)
+        total = total + s @ sv_
+        z = b[0] + linear + s @ sw_ + 0.5 * (total**2 - squares - (s**2) @ (sv_**2)).sum(1)
+        g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        gx = g[rows] * xs
+        gw = np.add.reduceat(gx, begins)
+        gv = np.add.reduceat(gx[:, None] * total[rows], begins) - v_ * np.add.reduceat(gx * xs, begins)[:, None]
+        gsw = s.T @ g
+        gsv = s.T @ (g[:, None] * total) - sv_ * ((s**2).T @ g)[:, None]
+        for i, grad in enumerate([np.array([g.sum()]), gw + ridge * w_, gv + ridge * v_, gsw, gsv + ridge * sv_]):
+            m1[i] = 0.9 * m1[i] + 0.1 * grad
+            m2[i] = 0.99 * m2[i] + 0.01 * grad**2
+            parts[i] = parts[i] - rate * (m1[i] / (1 - 0.9**t)) / (np.sqrt(m2[i] / (1 - 0.99**t)) + 1e-8)
+    w[used] = parts[1]
+    v[:] = 0  # words that the sample lacks take no part
+    v[used] = parts[2]
+    return Machine(float(parts[0][0]), w.astype(np.float32), v.astype(np.float32), parts[3], parts[4], middle, spread)
+
+
+def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
+    """doc_id, score and predicted (1 where score >= threshold) of every row of docs (doc_id, text)."""
+    arrow_batches(docs.sparkSession)
+
+    def scored(batches):
+        for batch in batches:
+            values = machine.scores(*features(*text_bytes(batch.column("text"))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.float64()), pa.array((values >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double, predicted int")

@@ -1,0 +1,101 @@
+"""Sharding by a hierarchical weighted hash tree, in column expressions only.
+
+A tree has regions, racks and shards; a shard's weight is its share, a rack's or region's the sum below it. A row
+descends the tree: at each level every child draws -ln(u) / weight, u being a hash of the row's key and the
+child's name, and the least draw wins, so children win in proportion to their weights. A change of weights
+changes draws only on the path to the root: rows move only into, out of or within subtrees whose weights change.
+
+A tree grows by single-shard regions: then its root has one more child and no other weight changes, so rows move
+only into the new shard. This is the law `key`: doc_id and the number of shards decide, nothing else.
+
+Null ids are hashed as the empty text. Equal ids go to one shard; their rows are numbered apart.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Regions of racks of (shard, weight).
+Tree = list[list[list[tuple[int, float]]]]
+
+
+def tree(n_shards: int, base: int = 24, racks: int = 2, per_rack: int = 4) -> Tree:
+    """Shards 0 to n_shards - 1 of weight 1: the first `base` in full regions, further ones in regions of their own."""
+    each = racks * per_rack
+    first = min(n_shards, base)
+    out: Tree = []
+    for r in range(0, first, each):
+        region = [[(s, 1.0) for s in range(k, min(k + per_rack, r + each, first))] for k in range(r, min(r + each, first), per_rack)]
+        out.append(region)
+    return out + [[[(s, 1.0)]] for s in range(first, n_shards)]
+
+
+def _draw(key: Column, name: str, weight: float) -> Column:
+    """The child's draw for the key: exponential with the child's weight as rate."""
+    u = (F.conv(F.substring(F.md5(F.concat(key, F.lit("|" + name))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    return -F.log(u) / F.lit(float(weight))
+
+
+def _least(draws: list[tuple[Column, Column]]) -> Column:
+    """The value whose draw is least; ties go to the first."""
+    if len(draws) == 1:
+        return draws[0][1]
+    return F.array_min(F.array(*[F.struct(d.alias("draw"), F.lit(i).alias("i"), v.alias("v")) for i, (d, v) in enumerate(draws)]))["v"]
+
+
+def shard_of(key: Column, shards: Tree, seed: str = "s") -> Column:
+    """The shard of a key. The children of a node are drawn only for rows that reach it."""
+    weight = lambda racks: sum(w for rack in racks for _, w in rack)
+    key = F.coalesce(key.cast("string"), F.lit(""))
+    regions = [(_draw(key, f"{seed}/{i}", weight(region)), F.lit(i)) for i, region in enumerate(shards) if weight(region) > 0]
+
+    def in_rack(name: str, rack: list[tuple[int, float]]) -> Column:
+        return _least([(_draw(key, f"{name}/{s}", w), F.lit(s)) for s, w in rack if w > 0])
+
+    def in_region(i: int, region: list) -> Column:
+        racks = [(j, rack) for j, rack in enumerate(region) if weight([rack]) > 0]
+        if len(racks) == 1:
+            return in_rack(f"{seed}/{i}/{racks[0][0]}", racks[0][1])
+        chosen = _least([(_draw(key, f"{seed}/{i}/{j}", weight([rack])), F.lit(j)) for j, rack in racks])
+        return F.transform(F.array(chosen), lambda c: _case(c, [(j, in_rack(f"{seed}/{i}/{j}", rack)) for j, rack in racks]))[0]
+
+    def _case(value: Column, options: list[tuple[int, Column]]) -> Column:
+        out = options[-1][1]
+        for k, body in reversed(options[:-1]):
+            out = F.when(value == k, body).otherwise(out)
+        return out
+
+    live = [(i, in_region(i, region)) for i, region in enumerate(shards) if weight(region) > 0]
+    if len(live) == 1:
+        return live[0][1]
+    return F.transform(F.array(_least(regions)), lambda c: _case(c, live))[0]
+
+
+def assign(docs: DataFrame, n_shards: int = 24, rows_per_chunk: int = 200_000) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of docs (doc_id, text).
+
+    Slots number a shard's rows from 0 without gaps: rows are numbered within chunks of a shard (a chunk is a
+    part of the ids' hashes, of about rows_per_chunk rows), and a chunk's first slot is the number of rows in the
+    shard's chunks before it, taken from the small table of chunk sizes. No shard meets in one task."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        shard_of(F.col("doc_id"), tree(n_shards)).cast("int").alias("shard"),
+        shard_of(F.col("doc_id"), tree(n_shards + 1)).cast("int").alias("grown_shard"),
+    )
+    chunks = docs.select("doc_id").count() // (n_shards * rows_per_chunk) + 8
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(chunks)).cast("int"))
+    counts = rows.groupBy("shard", "chunk").count()
+    begins = counts.select(
+        "shard", "chunk", (F.sum("count").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("count")).alias("begin")
+    )
+    own = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32")) - 1
+    return (
+        rows.withColumn("own", own)
+        .join(begins, ["shard", "chunk"])
+        .select("doc_id", "size", "text_crc32", "law", "shard", (F.col("begin") + F.col("own")).alias("slot"), "grown_shard")
+    )

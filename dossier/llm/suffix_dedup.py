@@ -1,0 +1,414 @@
+"""Removal of passages that occur in an earlier document, by suffix sorting with bucket-pointer refinement.
+
+A byte goes if a string of `width` (50) bytes covers it that also starts in a document with a smaller doc_id.
+Texts are UTF-8 bytes; matches lie within documents; strings are judged on the input.
+
+Sorting all suffixes of a corpus by one task is out of the question, and so is a row for each of them. So
+
+1. Of each string the 16-gram with the least hash is its anchor: equal strings have equal anchors, and about one
+   place in 18 is one. Anchors go to buckets by hash (packed, an array for each bucket and batch), where those
+   that occur in different texts are found. Anchors that are common within a batch are known to be shared on the
+   spot, and are dealt apart from the buckets: a passage that a third of all texts share fills none.
+2. Shared anchors only get their surroundings (all strings that hold the anchor lie in 84 bytes). Equal
+   surroundings are one class. The classes of an anchor are a group of suffixes, to be sorted to depth 50, by
+   bucket-pointer refinement: places are put in buckets by their first 8 bytes; then a place's bucket and the
+   bucket of the place 8, 16 and at last 18 bytes on give its new bucket, and each refinement uses the buckets
+   of the one before. Each bucket at depth 50 is one string; the least doc_id in it is where it occurs first.
+   Anchors with more classes than a task should hold have their strings counted by groupBy instead.
+3. Each occurrence learns which of its strings are to go, and the text is cut.
+
+Equal texts are one class from the start: all but the least doc_id's go whole (if long enough for a string).
+Null texts count as empty. Rows that repeat a doc_id count as that one document, and are cut alike if equal.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import arrow_batches, mix64, shuffle_partitions, stored, text_bytes
+
+WIDTH, GRAM = 50, 16
+SIDE = WIDTH - GRAM  # bytes before and after an anchor that its strings reach
+COMMON, BATCH_BYTES, MAX_CLASSES, SORT_ROWS = 32, 24_000_000, 32_768, 16_384
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _grams(raw: np.ndarray) -> np.ndarray:
+    """A hash of the 16 bytes from each place on."""
+    w = raw.astype(np.uint64)
+    w = (w[:-1] << np.uint64(8)) | w[1:]
+    w = (w[:-2] << np.uint64(16)) | w[2:]
+    w = (w[:-4] << np.uint64(32)) | w[4:]
+    h = w[:-8] * _A
+    h ^= h >> np.uint64(32)
+    h += w[8:] * _B
+    h ^= h >> np.uint64(29)
+    h *= _C
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, hashes and rows of the anchors of a batch of texts: places whose hash is least in a string."""
+    none = np.zeros(0, np.int64)
+    if len(raw) < WIDTH:
+        return none, np.zeros(0, np.uint64), none
+    h = _grams(raw)
+    m = h
+    for step in (1, 2, 4, 8, 16):
+        m = np.minimum(m[:-step], m[step:])
+    low = np.minimum(m[: len(m) - 3], m[3:])  # least of 35 places, for each string
+    ends = at[1:][np.diff(at) > 0]
+    for end in (ends[:-1, None] - np.arange(WIDTH - 1, 0, -1)[None, :]).ravel()[None, :]:
+        low[end[(end >= 0) & (end < len(low))]] = 0  # strings that would cross into the next text
+    # a place is an anchor if one of the strings that hold it has its hash as the least
+    g = np.concatenate([np.zeros(SIDE, np.uint64), low, np.zeros(len(h) - len(low), np.uint64)])
+    for step in (1, 2, 4, 8, 16):
+        g = np.maximum(g[:-step], g[step:])
+    top = np.maximum(g[: len(g) - 3], g[3:])[: len(h)]
+    place = np.flatnonzero((top == h) & (h != 0))
+    return place, h[place], np.searchsorted(at, place, side="right") - 1
+
+
+def _packed(n_buckets: int):
+    """Map side of step 1: rows (bucket, h, who, count): hashes by text, the texts' digests, hashes of each text."""
+
+    def run(batches):
+        held, size, turn = [], 0, 0
+
+        def rows():
+            h = np.concatenate([x for x, _ in held])
+            who = np.concatenate([x for _, x in held])
+            order = np.lexsort((who, h))
+            h, who = h[order], who[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
+            h, who = h[new], who[new]
+            begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            count = np.diff(np.append(begin, len(h)))
+            often = np.repeat(count >= COMMON, count)
+            bucket = ((h >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
+            # common anchors: known to be shared; their texts are answered apart, two marks tell the bucket
+            bucket[often] = n_buckets + (who[often] % np.uint64(n_buckets)).astype(np.int64)
+            marked = h[begin[count >= COMMON]]
+            h = np.concatenate([h, marked, marked])
+            who = np.concatenate([who, np.zeros(len(marked), np.uint64), np.full(len(marked), 2**64 - 1, np.uint64)])
+            bucket = np.concatenate([bucket, *[((marked >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)] * 2])
+            order = np.lexsort((who, bucket))
+            h, who, bucket = h[order], who[order], bucket[order]
+            cut = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (who[1:] != who[:-1])]))
+            runs = np.diff(np.append(cut, len(h)))
+            b = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            ends = np.append(b[1:], len(h))
+            c = np.searchsorted(cut, b)
+            c_ends = np.append(c[1:], len(cut))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(bucket[b], pa.int64()), pa.array([h[x:y].tobytes() for x, y in zip(b, ends, strict=True)], pa.binary()),
+                    pa.array([who[cut[x:y]].tobytes() for x, y in zip(c, c_ends, strict=True)], pa.binary()),
+                    pa.array([runs[x:y].astype(np.uint32).tobytes() for x, y in zip(c, c_ends, strict=True)], pa.binary()),
+                ],
+                ["bucket", "h", "who", "runs"],
+            )
+
+        for batch in batches:
+            raw, at = text_bytes(batch.column("text"))
+            _, h, row = anchors(raw, at)
+            held.append((h, batch.column("digest").to_numpy(zero_copy_only=False).view(np.uint64)[row]))
+            size += len(raw)
+            if size >= BATCH_BYTES:
+                if sum(len(x) for x, _ in held):
+                    yield from rows()
+                held, size, turn = [], 0, turn + 1
+        if sum(len(x) for x, _ in held):
+            yield from rows()
+
+    return run
+
+
+def _shared(n_buckets: int):
+    """Reduce side of step 1: (digest, h) of the anchors of a bucket that several texts have."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        h = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in rows.column("h")])
+        runs = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in rows.column("runs")])
+        who = np.repeat(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in rows.column("who")]), runs)
+        if rows.column("bucket")[0].as_py() < n_buckets:
+            order = np.argsort(h, kind="stable")
+            h, who = h[order], who[order]
+            begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            several = np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin)
+            keep = np.repeat(several, np.diff(np.append(begin, len(h)))) & (who != 0) & (who != np.uint64(2**64 - 1))
+            h, who = h[keep], who[keep]
+        order = np.argsort(who, kind="stable")
+        h, who = h[order], who[order]
+        begin = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, np.int64)
+        ends = np.append(begin[1:], len(h))
+        return pa.table({"digest": pa.array(who[begin].view(np.int64)), "h": pa.array([h[a:b].tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary())})
+
+    return run
+
+
+def _surroundings(raw: np.ndarray, at: np.ndarray, wanted: pa.ChunkedArray):
+    """Of the wanted anchors of a batch: hash, row, place in the text, bytes before it, surroundings (a row of
+    84 bytes with the anchor at SIDE, 0 where the text ends) and how many bytes from the anchor on there are."""
+    place, h, row = anchors(raw, at)
+    lists = [[np.frombuffer(x, np.uint64) for x in rows] for rows in wanted.to_pylist()]
+    key = np.concatenate([np.zeros(0, np.uint64), *[mix64(x ^ (np.uint64(i) * _A)) for i, rows in enumerate(lists) for x in rows]])
+    use = np.isin(mix64(h ^ (row.astype(np.uint64) * _A)), key)
+    place, h, row = place[use], h[use], row[use]
+    before = np.minimum(place - at[row], SIDE)
+    after = np.minimum(at[row + 1] - place, WIDTH)
+    cols = np.arange(SIDE + WIDTH)[None, :]
+    inside = (cols >= (SIDE - before)[:, None]) & (cols < (SIDE + after)[:, None])
+    around = raw[np.where(inside, place[:, None] - SIDE + cols, 0)]
+    around[~inside] = 0
+    return h, row, place - at[row], before, after, around
+
+
+def _class_key(around: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A 64-bit name of the surroundings."""
+    wide = np.zeros((len(around), 88), np.uint8)
+    wide[:, : SIDE + WIDTH] = around
+    words = np.ascontiguousarray(wide).view(np.uint64)
+    out = mix64(before.astype(np.uint64) * np.uint64(64) + after.astype(np.uint64) + np.uint64(1))
+    for k in range(words.shape[1]):
+        out = mix64(out * _A + words[:, k])
+    return out
+
+
+def _classes(batches):
+    """h, c, first (least doc_id), before, after, around: the classes of a batch."""
+    for batch in batches:
+        h, row, _, before, after, around = _surroundings(*text_bytes(batch.column("text")), batch.column("wanted"))
+        if not len(h):
+            continue
+        c = _class_key(around, before, after)
+        doc = batch.column("doc_id").to_numpy()[row]
+        order = np.lexsort((doc, c, h))
+        h_, c_ = h[order], c[order]
+        one = order[np.concatenate([[True], (h_[1:] != h_[:-1]) | (c_[1:] != c_[:-1])])]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(h[one].view(np.int64)), pa.array(c[one].view(np.int64)), pa.array(doc[one], pa.int64()), pa.array(before[one].astype(np.int32)),
+                pa.array(after[one].astype(np.int32)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIDE + WIDTH), len(one), [None, pa.py_buffer(np.ascontiguousarray(around[one]).tobytes())]).cast(pa.binary()),
+            ],
+            ["h", "c", "first", "before", "after", "around"],
+        )
+
+
+def _occurrences(batches):
+    """h, c, doc_id, place: the shared anchors of a batch."""
+    for batch in batches:
+        h, row, place, before, after, around = _surroundings(*text_bytes(batch.column("text")), batch.column("wanted"))
+        c = _class_key(around, before, after)
+        doc = batch.column("doc_id").to_numpy()[row]
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc, pa.int64()), pa.array(place.astype(np.int32))], ["h", "c", "doc_id", "place"])
+
+
+def depth_buckets(around: np.ndarray) -> np.ndarray:
+    """Buckets at depth 50 of the 35 strings of each row of surroundings, by bucket-pointer refinement."""
+    w = around.astype(np.uint64)
+    w = (w[:, :-1] << np.uint64(8)) | w[:, 1:]
+    w = (w[:, :-2] << np.uint64(16)) | w[:, 2:]
+    w = (w[:, :-4] << np.uint64(32)) | w[:, 4:]  # the first 8 bytes from each place: the buckets to begin with
+    bucket = np.unique(w, return_inverse=True)[1].reshape(w.shape)
+    depth = 8
+    while depth < WIDTH:
+        on = min(depth, WIDTH - depth)  # bucket of the place that many bytes on
+        pair = (bucket[:, :-on].astype(np.uint64) << np.uint64(32)) | bucket[:, on:].astype(np.uint64)
+        bucket = np.unique(pair, return_inverse=True)[1].reshape(pair.shape)
+        depth += on
+    return bucket
+
+
+def _masks(h, first, before, after, around):
+    """Of each class: which of its strings an earlier document has (bit o: the string from o bytes before the
+    anchor on), and which are strings at all."""
+    o = SIDE - np.arange(SIDE + 1)
+    is_string = (o[None, :] <= before[:, None]) & (o[None, :] >= (WIDTH - after)[:, None])
+    bits = (np.uint64(1) << o.astype(np.uint64))[None, :]
+    strings = (is_string * bits).sum(axis=1, dtype=np.uint64)
+    gone = np.zeros(len(h), np.uint64)
+    begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    many = np.flatnonzero(np.repeat(np.diff(np.append(begin, len(h))) > 1, np.diff(np.append(begin, len(h)))))
+    if len(many):
+        bucket = depth_buckets(around[many])
+        flat = np.flatnonzero(is_string[many])
+        b, who = bucket.ravel()[flat], np.repeat(first[many], SIDE + 1)[flat]
+        least = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, b, who)
+        early = np.zeros(bucket.size, bool)
+        early[flat] = least[b] < who
+        gone[many] = (early.reshape(bucket.shape) * bits).sum(axis=1, dtype=np.uint64)
+    return gone, strings
+
+
+def _runs(batches):
+    """Classes as sorted by h, c and first, one row for each (h, c), in chunks that end with an h; runs of one h
+    with more than MAX_CLASSES come as (None, the run's rows, as batches come)."""
+    names = ["h", "c", "first", "before", "after"]
+    held = None
+    large = None
+
+    def columns(batch):
+        got = {n: batch.column(n).to_numpy() for n in names}
+        data = batch.column("around")
+        got["around"] = np.frombuffer(data.buffers()[2], np.uint8)[: len(data) * (SIDE + WIDTH)].reshape(-1, SIDE + WIDTH) if data.offset == 0 else np.stack([np.frombuffer(x.as_py(), np.uint8) for x in data])
+        return got
+
+    def single(x):
+        new = np.ones(len(x["h"]), bool)
+        new[1:] = (x["h"][1:] != x["h"][:-1]) | (x["c"][1:] != x["c"][:-1])
+        return {k: v[new] for k, v in x.items()}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        got = columns(batch)
+        held = single({k: np.concatenate([held[k], got[k]]) for k in got} if held is not None else got)
+        if large is not None:
+            n = int((held["h"] == large).sum())  # the large run is at the front
+            if n == len(held["h"]):
+                if n > SORT_ROWS:
+                    yield True, {k: v[:-1] for k, v in held.items()}
+                    held = {k: v[-1:] for k, v in held.items()}
+                continue
+            yield True, {k: v[:n] for k, v in held.items()}
+            held, large = {k: v[n:] for k, v in held.items()}, None
+        if len(held["h"]) >= SORT_ROWS:
+            cut = int(np.searchsorted(held["h"], held["h"][-1]))
+            if cut:
+                yield False, {k: v[:cut] for k, v in held.items()}
+                held = {k: v[cut:] for k, v in held.items()}
+            if len(held["h"]) > MAX_CLASSES:
+                large = held["h"][0]
+    if held is not None and len(held["h"]):
+        yield large is not None, held
+
+
+def _sorted_masks(batches):
+    for large, x in _runs(batches):
+        if not large:
+            gone, strings = _masks(x["h"], x["first"], x["before"].astype(np.int64), x["after"].astype(np.int64), x["around"])
+            yield pa.RecordBatch.from_arrays([pa.array(x["h"]), pa.array(x["c"]), pa.array(x["first"]), pa.array(gone.view(np.int64)), pa.array(strings.view(np.int64))], ["h", "c", "first", "gone", "strings"])
+
+
+def _large_strings(batches):
+    """A row for each string of the anchors with very many classes."""
+    for large, x in _runs(batches):
+        if large:
+            for i in range(0, len(x["h"]), 2048):
+                y = {k: v[i : i + 2048] for k, v in x.items()}
+                o = SIDE - np.arange(SIDE + 1)
+                ok = (o[None, :] <= y["before"][:, None]) & (o[None, :] >= (WIDTH - y["after"])[:, None])
+                r, k = np.nonzero(ok)
+                flat = np.ascontiguousarray(y["around"])
+                words = [flat[a, b : b + WIDTH].tobytes() for a, b in zip(r.tolist(), k.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(y["h"][r]), pa.array(y["c"][r]), pa.array(y["first"][r]), pa.array(o[k].astype(np.int32)), pa.array(words, pa.binary())], ["h", "c", "first", "o", "string"]
+                )
+
+
+def _cut(batches, keep_text: bool):
+    """Texts with the strings of their marks taken out."""
+    for batch in batches:
+        raw, at = text_bytes(batch.column("text"))
+        marks = batch.column("marks")
+        flat = marks.flatten()
+        place, mask = flat.field("place").to_numpy().astype(np.int64), flat.field("mask").to_numpy(zero_copy_only=False).view(np.uint64)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(marks.offsets.to_numpy()))
+        change = np.zeros(len(raw) + 1, np.int64)
+        for o in range(SIDE + 1):
+            hit = (mask >> np.uint64(o)) & np.uint64(1) == 1
+            start = at[row[hit]] + place[hit] - o
+            np.add.at(change, start, 1)
+            np.add.at(change, start + WIDTH, -1)
+        gone = np.cumsum(change[:-1]) > 0
+        text, removed, spans, sha = [], [], [], []
+        for i in range(batch.num_rows):
+            g, r = gone[at[i] : at[i + 1]], raw[at[i] : at[i + 1]]
+            kept = r[~g].tobytes()
+            removed.append(int(g.sum()))
+            spans.append(int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if len(g) else 0)
+            text.append(kept.decode("utf-8", "ignore") if keep_text else None)
+            sha.append(None if keep_text else hashlib.sha256(kept).hexdigest())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())],
+            ["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"],
+        )
+
+
+def _marked(docs: DataFrame):
+    """(reps, texts, marks): doc_id of each class of equal texts by its md5; texts dealt by doc_id; and the strings
+    to be taken out of the classes' texts, as (doc_id, marks: array of (place of an anchor, bits of its strings))."""
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    n = shuffle_partitions(spark)
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = base.select("doc_id", F.md5("text").alias("key"), F.xxhash64("text").alias("digest"))
+    reps = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("digest").alias("digest"))
+    packed = base.select("text", F.xxhash64("text").alias("digest")).mapInArrow(_packed(n), "bucket long, h binary, who binary, runs binary")
+    shared = packed.groupBy("bucket").applyInArrow(_shared(n), "digest long, h binary")
+    wanted = shared.groupBy("digest").agg(F.collect_list("h").alias("wanted")).join(reps.select("rep", "digest"), "digest")
+    wanted = stored(wanted.select(F.col("rep").alias("doc_id"), "wanted"), "anchors")
+
+    texts = base.repartition(n, "doc_id")
+    around = texts.join(wanted, "doc_id")
+    dealt = around.mapInArrow(_classes, "h long, c long, first long, before int, after int, around binary").repartition(n, "h")
+    ordered = dealt.sortWithinPartitions("h", "c", "first")
+    masks = ordered.mapInArrow(_sorted_masks, "h long, c long, first long, gone long, strings long")
+    rows = ordered.mapInArrow(_large_strings, "h long, c long, first long, o int, string binary")
+    least = rows.groupBy("h", "string").agg(F.min("first").alias("least"))
+    bit = lambda c: F.bit_or(F.shiftleft(F.lit(1).cast("long"), "o") if c is None else F.when(c, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("o"))).otherwise(F.lit(0).cast("long")))
+    large = rows.join(least, ["h", "string"]).groupBy("h", "c").agg(F.min("first").alias("first"), bit(F.col("least") < F.col("first")).alias("gone"), bit(F.lit(True)).alias("strings"))
+    known = masks.unionByName(large)
+    found = around.mapInArrow(_occurrences, "h long, c long, doc_id long, place int").join(known, ["h", "c"])
+    mask = F.when(F.col("doc_id") > F.col("first"), F.col("strings")).otherwise(F.col("gone"))
+    marks = found.withColumn("mask", mask).filter("mask <> 0").groupBy("doc_id").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
+    return keyed, reps, texts, marks
+
+
+def cut_texts(docs: DataFrame, keep_text: bool) -> DataFrame:
+    """A row for each text that loses something in part: doc_id, n_removed, n_spans, kept_sha256 or kept."""
+    _, _, texts, marks = _marked(docs)
+    return _cut_rows(texts, marks, keep_text)
+
+
+def _cut_rows(texts: DataFrame, marks: DataFrame, keep_text: bool) -> DataFrame:
+    return texts.join(marks, "doc_id").mapInArrow(lambda b: _cut(b, keep_text), "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept string").dropDuplicates(["doc_id"])
+
+
+def removed_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (doc_id, text)."""
+    keyed, reps, texts, marks = _marked(docs)
+    cut = _cut_rows(texts, marks, False).drop("kept")
+    text = F.coalesce("text", F.lit(""))
+    whole = docs.select("doc_id", F.md5(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
+    copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_bytes") >= WIDTH)
+    return (
+        whole.join(reps.select("key", "rep"), "key")
+        .join(cut, "doc_id", "left")
+        .select(
+            "doc_id",
+            "n_bytes",
+            F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+            F.when(copy, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
+            F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        )
+    )
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the text column cut; a character that loses some of its bytes goes whole. Null texts stay null."""
+    keyed, reps, texts, marks = _marked(docs)
+    cut = _cut_rows(texts, marks, True).select("doc_id", "kept")
+    copies = keyed.join(reps.select("key", "rep"), "key").filter("doc_id > rep").select("doc_id", F.lit(True).alias("copy"))
+    copy = F.coalesce("copy", F.lit(False)) & (F.octet_length("text") >= WIDTH)
+    text = F.when(F.col("text").isNull(), F.col("text")).when(copy, F.lit("")).otherwise(F.coalesce("kept", "text"))
+    return docs.join(cut, "doc_id", "left").join(copies.distinct(), "doc_id", "left").withColumn("text", text).drop("kept", "copy")

@@ -1,0 +1,41 @@
+"""Token ids of texts for the packers, equal to those of the tokenizers library for a byte-level BPE file.
+
+The ids come from tiktoken over the file's vocabulary and merges, several times as fast as the library that the
+file is for; tests hold the two against each other. Special tokens written in a text count as such, as there.
+"""
+
+from __future__ import annotations
+
+import functools
+
+import numpy as np
+
+from .bpe import coder
+
+#: Fixed value: the split pattern of byte-level BPE files.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+class Encoder:
+    def __init__(self, path: str):
+        import tiktoken
+
+        files = coder(path)
+        # tiktoken takes a merge's rank from the id of its result, so these must rise together
+        made = files.made[np.argsort(files.rank)]
+        if (np.diff(made) <= 0).any():
+            raise ValueError("the ids of this file's merges don't rise with their ranks")
+        self.special = {t.decode(): i for t, i in files.special.items()}
+        ranks = {b: i for i, b in files.bytes.items() if b not in files.special}
+        self._encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+        self.sentence_ends = files.sentence_ends()
+
+    def ids(self, text: str) -> np.ndarray:
+        if any(t in text for t in self.special):
+            return self._encoding.encode_to_numpy(text, allowed_special="all")
+        return self._encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
