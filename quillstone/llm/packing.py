@@ -21,7 +21,8 @@ from quillstone.llm.bpe import chunks, default_path, encoder
 
 WINDOW = 2048
 END_ID = 1
-SENTENCE_CUT, FORCED_CUT = 2, 64
+#: penalties in ids of padding: a cut between sentences, and one inside a sentence, possible at every 16th id
+SENTENCE_CUT, FORCED_CUT, FORCED_EVERY = 2, 24, 16
 BLOCK_TOKENS = 1 << 20
 
 
@@ -61,17 +62,14 @@ def window_cuts(candidates: np.ndarray, penalties: np.ndarray, window: int = WIN
     return cuts[::-1]
 
 
-def candidates_of(ids: np.ndarray, doc_ends: np.ndarray, can_end: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+def candidates_of(ids: np.ndarray, doc_ends: np.ndarray, can_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions where the stream may be cut, and what each cut costs."""
-    kind = np.full(len(ids) + 1, FORCED_CUT)
+    kind = np.full(len(ids) + 1, -1)
+    kind[::FORCED_EVERY] = FORCED_CUT
     kind[1:][can_end[ids]] = SENTENCE_CUT
     kind[doc_ends] = 0
     kind[0] = kind[-1] = 0
-    at = np.flatnonzero(kind < FORCED_CUT)
-    wide = np.flatnonzero(np.diff(at) > window)
-    if len(wide):
-        more = [np.arange(at[k] + window, at[k + 1], window) for k in wide]
-        at = np.sort(np.concatenate([at, *more]))
+    at = np.flatnonzero(kind >= 0)
     return at, kind[at]
 
 

@@ -18,41 +18,45 @@ SHARDS, RACKS_PER_REGION, SHARDS_PER_RACK = 24, 4, 2
 SEED = "quill"
 NUMBERING_BLOCKS = 64
 
-#: name -> (weight, shard) of a leaf, or name -> subtree
-Tree = dict
+#: children of each node, in order, by the node's path ("" is the root); a leaf's path is in no key
+Tree = dict[str, list[tuple[str, float]]]
 
 
-def shard_tree(shards: int, base: int = SHARDS) -> Tree:
-    """Regions of racks of shards of weight 1; those beyond the base are regions with one shard."""
-    tree: Tree = {}
+def shard_tree(shards: int, base: int = SHARDS) -> tuple[Tree, dict[str, int]]:
+    """Regions of racks of shards of weight 1, those beyond the base as regions with one shard; and each leaf's shard."""
+    leaves = {}
     for s in range(shards):
         region = f"g{s // (RACKS_PER_REGION * SHARDS_PER_RACK)}" if s < base else f"x{s}"
-        tree.setdefault(region, {}).setdefault(f"{region}/r{s // SHARDS_PER_RACK if s < base else 0}", {})[f"s{s}"] = (1.0, s)
-    return tree
+        leaves[f"/{region}/r{s // SHARDS_PER_RACK if s < base else 0}/s{s}"] = s
+    weights: dict[str, dict[str, float]] = {}
+    for leaf in leaves:
+        parts = leaf.split("/")
+        for n in range(1, len(parts)):
+            children = weights.setdefault("/".join(parts[:n]), {})
+            children["/".join(parts[: n + 1])] = children.get("/".join(parts[: n + 1]), 0.0) + 1.0
+    return {node: list(children.items()) for node, children in weights.items()}, leaves
 
 
-def weight(node: Tree | tuple) -> float:
-    return node[0] if isinstance(node, tuple) else sum(map(weight, node.values()))
+def lookup(table: dict, key: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for item in table.items() for x in item)), key)
 
 
-def draw(key: Column, name: str, w: float) -> Column:
-    """An exponential draw: its rate is the weight. The hash's upper 52 bits, and a half, make a number inside (0, 1)."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(f"{SEED}/{name}")), 12).cast("double")
-    return -F.log((bits + F.lit(0.5)) / F.lit(float(2**52))) / F.lit(w)
+def descend(df: DataFrame, key: Column, tree: Tree, leaves: dict[str, int], out: str) -> DataFrame:
+    """df with the shard that each row reaches, level by level: one set of draws a level, over the node's children.
 
-
-def descend(key: Column, node: Tree | tuple) -> Column:
-    """The shard that the key reaches below node; only the branch taken is evaluated."""
-    if isinstance(node, tuple):
-        return F.lit(node[1])
-    if len(node) == 1:
-        return descend(key, *node.values())
-    draws = F.array(*(draw(key, name, weight(child)) for name, child in node.items()))
-    picked = F.array_position(draws, F.array_min(draws))
-    out = F.when(picked == 1, descend(key, next(iter(node.values()))))
-    for n, child in enumerate(list(node.values())[1:], 2):
-        out = out.when(picked == n, descend(key, child))
-    return out
+    A draw's uniform number is the upper 52 bits of a hash, and a half, so that it lies inside (0, 1).
+    """
+    df = df.withColumn(out, F.lit(""))
+    for level in range(3):
+        nodes = {node: children for node, children in tree.items() if node.count("/") == level}
+        draws = []
+        for k in range(max(map(len, nodes.values()))):
+            name = lookup({n: c[k][0] for n, c in nodes.items() if k < len(c)}, F.col(out))
+            weight = lookup({n: c[k][1] for n, c in nodes.items() if k < len(c)}, F.col(out))
+            bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(SEED), name), 12).cast("double")
+            draws.append(F.struct((-F.log((bits + 0.5) / float(2**52)) / weight).alias("draw"), name.alias("name")))
+        df = df.withColumn(out, F.array_min(F.filter(F.array(*draws), lambda d: d["draw"].isNotNull()))["name"])
+    return df.withColumn(out, lookup(leaves, F.col(out)).cast("int"))
 
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS, blocks: int = NUMBERING_BLOCKS) -> DataFrame:
@@ -62,15 +66,14 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, blocks: int = NUMBERING
     each block its first slot, and rows are numbered within blocks: no task holds a shard.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    # counts over these columns prune the text at the scan
     placed = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        descend(key, shard_tree(shards)).cast("int").alias("shard"),
-        descend(key, shard_tree(shards + 1)).cast("int").alias("grown_shard"),
         F.pmod(F.xxhash64(key, F.lit("block")), F.lit(blocks)).cast("int").alias("block"),
     )
+    placed = descend(placed, key, *shard_tree(shards), "shard")
+    placed = descend(placed, key, *shard_tree(shards + 1), "grown_shard")
     counts = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # at most shards x blocks rows, whatever the table's size
