@@ -9,6 +9,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.pii import pseudonymise
+
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), counts="n_replaced")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.quality import quality_scores
+
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.packing import pack_in_order
 
@@ -27,11 +39,17 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(documents(spark, sf_dir))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.fingerprint import fingerprint_edits
+
+    return fingerprint_edits(documents(spark, sf_dir))
+
+
 def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.sharding import assign_shards
 
     return assign_shards(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_ordered_packing, op4_best_fit_packing, op5_bpe, op10_hash_tree_sharding)}
+QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_ordered_packing, op4_best_fit_packing, op5_bpe, op8_fingerprints, op10_hash_tree_sharding)}
 ORACLE_SQL: dict[str, str] = {}
