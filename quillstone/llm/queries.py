@@ -45,11 +45,17 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(documents(spark, sf_dir))
 
 
+def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.neardup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.sharding import assign_shards
 
     return assign_shards(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_ordered_packing, op4_best_fit_packing, op5_bpe, op8_fingerprints, op10_hash_tree_sharding)}
+QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_ordered_packing, op4_best_fit_packing, op5_bpe, op8_fingerprints, op9_hyperminhash, op10_hash_tree_sharding)}
 ORACLE_SQL: dict[str, str] = {}
