@@ -144,14 +144,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     return Machine(stats, [np.array(w, np.int32) for w in got["words"]], got["quality"].to_numpy(float))
 
 
-def score(docs: DataFrame, machine: Machine, columns: list[str] | None = None) -> DataFrame:
-    """docs' columns (or some) and a double column ``score``."""
+def score(docs: DataFrame, machine: Machine, columns: list[str] | None = None, name: str = "score") -> DataFrame:
+    """docs' columns (or some) and a double column of that name."""
     kept = columns if columns is not None else docs.columns
-    schema = docs.select(*kept).schema.add("score", "double")
+    schema = docs.select(*kept).schema.add(name, "double")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame[kept].assign(score=[machine.score(t) for t in frame["text"]])
+            yield frame[kept].assign(**{name: [machine.score(t) for t in frame["text"]]})
 
     return docs.select(*dict.fromkeys([*kept, "text"])).mapInPandas(work, schema)
 
