@@ -40,6 +40,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(documents(spark, sf_dir))
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.embeddings import near_embeddings
+
+    return near_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.substrings import dedup_substrings
 
@@ -65,5 +71,5 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_ordered_packing, op4_best_fit_packing, op5_bpe, op7_bucket_pointer_dedup, op8_fingerprints, op9_hyperminhash, op10_hash_tree_sharding)}
+QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_ordered_packing, op4_best_fit_packing, op5_bpe, op6_multi_index, op7_bucket_pointer_dedup, op8_fingerprints, op9_hyperminhash, op10_hash_tree_sharding)}
 ORACLE_SQL: dict[str, str] = {}
