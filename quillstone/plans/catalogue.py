@@ -465,3 +465,235 @@ def amendment_injection(spark, folder):
     st = statuses(spark, folder)
     sel = st.where("id div 50 < 5").select((F.col("id") % 50).alias("qid"), "id", F.expr("id div 50").alias("pos"), "status", F.concat((F.col("id") % 9 + 1).cast("string"), F.lit(".1")).alias("clause"))
     return R.inject_amendments(sel, P.policy_relations(spark, folder), st.select("id"))
+
+
+# ------------------------------------------------------------------------------------- references, dates, functions
+REF_SQL = r"(?i)((?:surat\s+)?pekeliling\s+(?:perkhidmatan|perbendaharaan)|\b(?:spp|pp|se)\b|pekeliling\s+am\s+sarawak|\bpas\b)\s*(?:bilangan|bil\.?)\s*(\d{1,3})\s*(?:tahun|/)\s*((?:19|20)\d{2})"
+SERIES_SQL = "CASE WHEN starts_with(s, 'surat pekeliling perkhidmatan') THEN 'SPP' WHEN starts_with(s, 'pekeliling perkhidmatan') THEN 'PP' WHEN starts_with(s, 'pekeliling perbendaharaan') THEN 'PB' WHEN starts_with(s, 'pekeliling am sarawak') THEN 'PAS' ELSE upper(s) END"
+REFS = POL + f", rf AS (SELECT id, text, lower(regexp_extract(text, '{REF_SQL}', 1)) AS s, regexp_extract(text, '{REF_SQL}', 2) AS n, regexp_extract(text, '{REF_SQL}', 3) AS y FROM pc), rn AS (SELECT id, text, {SERIES_SQL} || ' ' || CAST(n AS INTEGER) || '/' || y AS ref FROM rf WHERE n <> '')"
+
+
+@query(REFS + " SELECT id, ref FROM rn")
+def extract_refs(spark, folder):
+    return P.policy_clauses(spark, folder).select("id", F.explode(X.references(F.col("text"))).alias("ref"))
+
+
+EFFECT_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(v)}') THEN '{k}'" for k, v in X.EFFECTS.items()) + " ELSE 'REFERENCES' END"
+TRIGGER_SQL = "|".join(p for v in X.EFFECTS.values() for p in v)
+
+
+@query(REFS + f" SELECT rn.id, ref, {EFFECT_SQL} AS relation FROM rn JOIN pd ON pd.id = rn.id WHERE ref <> circular_no AND regexp_matches(lower(rn.text), '{TRIGGER_SQL}')".replace("lower(text)", "lower(rn.text)"))
+def relation_candidates(spark, folder):
+    found = P.policy_clauses(spark, folder).where(X.has_trigger(F.col("text"))).select("id", "text", F.explode(F.array_distinct(X.references(F.col("text")))).alias("ref"))
+    own = P.policy_documents(spark, folder).select("id", "circular_no")
+    return found.join(own, "id").where("ref <> circular_no").select("id", "ref", X.relation_effect(F.col("text")).alias("relation"))
+
+
+@query(REFS + f" SELECT id, ref, COALESCE(CASE WHEN id % 4 = 1 THEN 'AMENDS' END, {EFFECT_SQL}) AS relation, COALESCE(CASE WHEN id % 4 = 1 THEN 0.9 END, 0.5) AS confidence FROM rn")
+def llm_fallback_merge(spark, folder):
+    found = P.policy_clauses(spark, folder).select("id", "text", F.explode(X.references(F.col("text"))).alias("ref"))
+    model = found.where("id % 4 = 1").select("id", F.lit("AMENDS").alias("m_relation"), F.lit(0.9).alias("m_confidence"))
+    return found.join(model, "id", "left").select("id", "ref", F.coalesce("m_relation", X.relation_effect(F.col("text"))).alias("relation"), F.coalesce("m_confidence", F.lit(0.5)).alias("confidence"))
+
+
+@query(POL + f"SELECT id, {P.malay_sql('effective_date')} AS shown, effective_date AS parsed, TRY_CAST('2024-02-' || (id % 32) AS DATE) AS lenient FROM pd".replace("'2024-02-' || (id % 32)", "'2024-02-' || lpad(CAST(id % 32 AS VARCHAR), 2, '0')"))
+def date_functions(spark, folder):
+    shown = X.malay_date(F.col("effective_date"))
+    rows = P.policy_documents(spark, folder).select("id", shown.alias("shown"))
+    return rows.select("id", "shown", X.parse_malay_date(F.concat(F.lit("mulai "), F.col("shown"), F.lit("."))).alias("parsed"), X.lenient_date(F.concat(F.lit("2024-02-"), F.lpad((F.col("id") % 32).cast("string"), 2, "0"), F.lit("T00:00"))).alias("lenient"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 5) AS norm, round(1 / (1 + exp(-list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))))), 5) AS squashed FROM embeddings")
+def vector_math(spark, folder):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    return table(spark, folder, "embeddings").select("vec_id", F.round(F.sqrt(R.dot(v, v)), 5).alias("norm"), F.round(1 / (1 + F.exp(-total)), 5).alias("squashed"))
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 7 = 0 THEN 0 ELSE 1 END AS parsed FROM events")
+def json_functions(spark, folder):
+    broken = F.when(F.col("event_id") % 7 == 0, F.lit("{broken")).otherwise(F.col("props"))
+    rows = table(spark, folder, "events").withColumn("m", F.from_json(broken, "map<string,bigint>"))
+    return rows.select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.when(F.size("m") > 0, 1).otherwise(0).alias("parsed"))
+
+
+@query("SELECT doc_id, CAST(ceil(n / 500.0) AS BIGINT) AS n_slices, n - (ceil(n / 500.0) - 1) * 500 AS last_words FROM (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents)")
+def fixed_word_slices(spark, folder):
+    slices = table(spark, folder, "documents").select("doc_id", X.word_slices(F.col("text")).alias("s"))
+    return slices.select("doc_id", F.size("s").cast("long").alias("n_slices"), F.size(F.split(F.element_at("s", -1), " ")).cast("double").alias("last_words"))
+
+
+@query("SELECT doc_id, len(f) AS n_fragments, len(list_filter(f, lambda x: length(x) >= 12)) AS n_long FROM (SELECT doc_id, list_transform(range(0, len(w), 7), lambda i: array_to_string(w[i + 1:i + 7], ' '))[1:80] AS f FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents))")
+def highlight_fragments(spark, folder):
+    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    f = F.slice(F.transform(F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: (i % 7 == 0) & (i < F.size("w"))), lambda i: F.array_join(F.slice("w", i + 1, F.lit(7)), " ")), 1, 80)
+    rows = table(spark, folder, "documents").select("doc_id", w.alias("w")).select("doc_id", f.alias("f"))
+    return rows.select("doc_id", F.size("f").cast("long").alias("n_fragments"), F.size(F.filter("f", lambda x: F.length(x) >= 12)).cast("long").alias("n_long"))
+
+
+@query(POL + "SELECT pc.id, CASE WHEN regexp_matches(text, '(?i)^surat') THEN 'letter' WHEN regexp_matches(text, '(?i)^se ') THEN 'notice' ELSE 'circular' END AS kind, CASE WHEN pc.id % 4 = 0 THEN 'override' ELSE regexp_extract(text, '^(.*?) (Bilangan|Bil\\.)', 1) END AS title, COALESCE(CASE WHEN pc.id % 4 = 0 THEN 2 END, 0) AS classification_level FROM pc")
+def header_metadata(spark, folder):
+    """Metadata by precedence: overrides, then what the header's pattern gives, then defaults."""
+    t = F.col("text")
+    found = P.policy_clauses(spark, folder).select("id", F.when(t.rlike("(?i)^surat"), "letter").when(t.rlike("(?i)^se "), "notice").otherwise("circular").alias("kind"), F.regexp_extract(t, r"^(.*?) (Bilangan|Bil\.)", 1).alias("title"))
+    override = found.where("id % 4 = 0").select("id", F.lit("override").alias("o_title"), F.lit(2).alias("o_level"))
+    return found.join(override, "id", "left").select("id", "kind", F.coalesce("o_title", "title").alias("title"), F.coalesce("o_level", F.lit(0)).alias("classification_level"))
+
+
+# ------------------------------------------------------------------------------------------------------- analytics
+@query(POL + "SELECT id, CAST(date_trunc('hour', created_at) AS TIMESTAMP) AS hour, query, topic, \"cluster\", answerable, confidence, doc_ref AS excluded FROM lg")
+def usage_export(spark, folder):
+    return A.usage_report(P.search_log(spark, folder))
+
+
+@query(POL + "SELECT \"cluster\", count(*) AS total, count(*) FILTER (NOT answerable) AS unanswered, round(count(*) FILTER (NOT answerable) / count(*), 3) AS rate FROM lg GROUP BY 1")
+def usage_dashboard_clusters(spark, folder):
+    return A.by_cluster(A.usage_report(P.search_log(spark, folder)))
+
+
+TOPS = " UNION ALL ".join(f"SELECT '{c}' AS kind, value, n FROM (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n, min(id) AS seen FROM lg WHERE {c} IS NOT NULL AND ({w}) GROUP BY 1 ORDER BY n DESC, seen LIMIT 10)" for c, w in (("query", "NOT answerable"), ("topic", "TRUE"), ("doc_ref", "TRUE")))
+
+
+@query(POL + TOPS)
+def usage_dashboard_top(spark, folder):
+    report = A.usage_report(P.search_log(spark, folder)).withColumnRenamed("excluded", "doc_ref")
+    parts = [A.most_common(report.where("not answerable") if c == "query" else report, c).select(F.lit(c).alias("kind"), "value", "n") for c in ("query", "topic", "doc_ref")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(POL + "SELECT id, query FROM lg WHERE answerable AND confidence = 'LOW' ORDER BY id LIMIT 10")
+def usage_dashboard_low(spark, folder):
+    return A.usage_report(P.search_log(spark, folder)).where("answerable and confidence = 'LOW'").orderBy("id").limit(10).select("id", "query")
+
+
+@query(POL + "SELECT user_id, max_by(confidence, (created_at, id)) AS rating, count(*) AS n FROM lg GROUP BY 1")
+def feedback_latest(spark, folder):
+    return P.search_log(spark, folder).groupBy("user_id").agg(F.max_by("confidence", F.struct("created_at", "id")).alias("rating"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n_rows, count(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS n_valid, sum(CAST(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS DOUBLE)) AS total FROM events")
+def usage_import(spark, folder):
+    k = F.from_json("props", "k long")["k"]
+    return table(spark, folder, "events").agg(F.count(F.lit(1)).alias("n_rows"), F.count(k).alias("n_valid"), F.sum(k.cast("double")).alias("total"))
+
+
+QS = (0.5, 0.95, 0.99)
+
+
+@query("WITH s AS (SELECT value, row_number() OVER (ORDER BY value) AS k, count(*) OVER () AS n FROM events) " + " UNION ALL ".join(f"SELECT CAST({q} AS DOUBLE) AS q, value FROM s WHERE k = round_even({q} * (n - 1), 0) + 1" for q in QS))
+def eval_latency_percentiles(spark, folder):
+    return A.nearest_rank(table(spark, folder, "events"), "value", QS)
+
+
+GOLD = KEYWORD + ", gold AS (SELECT b.item_id AS qid, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), rr AS (SELECT qid, min(raw_rank) AS rank FROM raw JOIN gold USING (qid, id) GROUP BY 1)"
+
+
+def expected_ranks(spark, folder):
+    """The best rank of a document that holds the question; candidates come from shared words, then the text decides."""
+    hits = R.top(bm25_scores(spark, folder), "qid", R.LIST_CUT, F.desc("score"), F.asc("id"), name="raw_rank")
+    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    held = hits.join(asked, "qid").join(texts, "id").where(F.contains("text", "question"))
+    return held.groupBy("qid").agg(F.min("raw_rank").alias("rank"))
+
+
+@query(GOLD + " SELECT item_id AS qid, rank, round(COALESCE(1 / rank, 0), 6) AS reciprocal, COALESCE(rank <= 5, FALSE) AS in_five FROM benchmark LEFT JOIN rr ON rr.qid = item_id")
+def eval_retrieval(spark, folder):
+    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"))
+    return asked.join(expected_ranks(spark, folder), "qid", "left").select("qid", "rank", F.round(F.coalesce(1 / F.col("rank"), F.lit(0.0)), 6).alias("reciprocal"), F.coalesce(F.col("rank") <= 5, F.lit(False)).alias("in_five"))
+
+
+@query(GOLD + " SELECT 'keyword' AS mode, count(*) AS n, round(avg(COALESCE(1 / rank, 0)), 6) AS mrr, round(avg(CAST(COALESCE(rank <= 5, FALSE) AS INTEGER)), 6) AS recall_5 FROM benchmark LEFT JOIN rr ON rr.qid = item_id")
+def eval_citations(spark, folder):
+    rows = eval_retrieval(spark, folder)
+    return rows.agg(F.lit("keyword").alias("mode"), F.count(F.lit(1)).alias("n"), F.round(F.avg("reciprocal"), 6).alias("mrr"), F.round(F.avg(F.col("in_five").cast("int")), 6).alias("recall_5"))
+
+
+RERANK_VECTORS = f"WITH {VEC}, pool AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vs) WHERE rank <= 20) SELECT pool.qid, pool.id, rank, COALESCE(CASE WHEN pool.id % 3 <> 0 THEN score END, 0.0) AS score, row_number() OVER (PARTITION BY pool.qid ORDER BY COALESCE(CASE WHEN pool.id % 3 <> 0 THEN score END, 0.0) DESC, rank) AS pos FROM pool"
+
+
+@query(RERANK_VECTORS)
+def rerank_vectors(spark, folder):
+    """Stored vectors rerank the pool; a passage without one scores 0."""
+    pool = vector_hits(spark, folder, R.POOL)
+    stored = pool.where("id % 3 <> 0").select("qid", "id", F.col("score").alias("own"))
+    rows = pool.select("qid", "id", "rank").join(stored, ["qid", "id"], "left").withColumn("score", F.coalesce("own", F.lit(0.0)))
+    return rows.select("qid", "id", "rank", "score", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "rank")).alias("pos"))
+
+
+# ---------------------------------------------------------------------------------------- answers, chunks, changes
+def turns(spark, folder):
+    """Conversation turns as answers over three sources; every second one gets citations, real and not."""
+    c = table(spark, folder, "conversations").where("text is not null")
+    n = F.col("conv_id") * 100 + F.col("turn")
+    tail = F.when(n % 2 == 0, F.lit(" [S1, S2] and [S7] .\n- do this [S2].\n- and that\n* last [S1][S9]")).otherwise("")
+    return c.select(n.alias("id"), F.lit(3).alias("n_sources"), F.concat("text", tail).alias("text"))
+
+
+@query()
+def citation_validate(spark, folder):
+    from quillstone.operators.answers import validated
+
+    rows = turns(spark, folder).select("id", validated(F.col("text"), F.col("n_sources")).alias("v"))
+    return rows.select("id", "v.text", "v.used", "v.removed", (F.size("v.used") > 0).alias("accepted"))
+
+
+@query()
+def actions_parse(spark, folder):
+    from quillstone.operators.answers import actions
+
+    return actions(turns(spark, folder))
+
+
+@query()
+def stream_fold(spark, folder):
+    from quillstone.operators.answers import fold_streams
+
+    whole = turns(spark, folder).select("id", F.concat(F.when(F.col("id") % 3 == 0, "ANSWERABLE: NO\n").otherwise("ANSWERABLE: YES\n"), F.col("text"), F.lit("\nACTIONS: - go [S1]")).alias("text"))
+    pieces = whole.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\s\S]{1,7}"), F.lit(0))).alias("seq", "piece"))
+    return fold_streams(pieces)
+
+
+def structured(spark, folder, version: int = 1):
+    """Documents as numbered rule texts: two headings, clauses and items cut from the text's lines."""
+    line = F.expr("transform(filter(split(text, '[.\\n]'), x -> trim(x) <> ''), x -> trim(x))")
+    docs = P.policy_documents(spark, folder).select("id", "circular_no", "issue_date", line.alias("l"))
+    numbered = F.transform("l", lambda x, i: F.when(i % 9 == 8, F.concat(F.lit("(a) "), x)).otherwise(F.concat((i / 6 + 1).cast("int").cast("string"), F.lit("."), (i % 6 + version).cast("string"), F.lit(" "), x)))
+    headed = F.flatten(F.transform(numbered, lambda x, i: F.when(i % 6 == 0, F.array(F.concat((i / 6 + 1).cast("int").cast("string"), F.lit(". TUJUAN DAN PEMAKAIAN")), x)).otherwise(F.array(x))))
+    return docs.select("id", F.lit(1).alias("page"), "circular_no", "issue_date", F.array_join(headed, "\n").alias("text"))
+
+
+@query()
+def chunk_rules(spark, folder):
+    from quillstone.operators.chunking import chunk_rules as run
+
+    rows = structured(spark, folder).where("id % 10 > 1")
+    return run(rows.select("id", "page", "text"), rows.select("id", "circular_no"))
+
+
+@query()
+def chunk_minutes(spark, folder):
+    from quillstone.operators.chunking import chunk_minutes as run
+
+    rows = P.policy_documents(spark, folder).where("id % 10 = 0")
+    text = F.concat(F.lit("KEHADIRAN: all\nPERKARA 1: Laporan\n"), F.col("text"), F.lit("\nKEPUTUSAN: setuju\nTINDAKAN: Unit A\nlaksana"))
+    return run(rows.select("id", F.lit(1).alias("page"), text.alias("text")), rows.select("id", "circular_no", "issue_date"))
+
+
+@query()
+def hash_embed(spark, folder):
+    from quillstone.operators.changes import hash_embed as run
+
+    return run(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query()
+def clause_diff(spark, folder):
+    from quillstone.operators.changes import clause_changes
+
+    rels = P.policy_relations(spark, folder).where("verified = 1 and relation_type in ('SUPERSEDES', 'AMENDS') and target_doc_id is not null").select(F.col("id").alias("pair"), "target_doc_id", "source_doc_id")
+    # a new version: the old one's clauses, renumbered, with the new document's first lines
+    texts = structured(spark, folder).select("id", "text")
+    old = rels.join(texts.withColumnRenamed("id", "target_doc_id"), "target_doc_id").select(F.col("pair").alias("id"), "text")
+    new = rels.join(structured(spark, folder, 2).select(F.col("id").alias("target_doc_id"), "text"), "target_doc_id").select(F.col("pair").alias("id"), F.concat("text", F.lit("\n99.1 ketentuan baharu")).alias("text"))
+    return clause_changes(old, new)
