@@ -17,7 +17,7 @@ def raw_files(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFram
 
 def text_pages(files: DataFrame) -> DataFrame:
     """Pages of text files, split at form feeds and numbered from 1; short pages keep a null text for recognition later."""
-    pages = files.select("path", F.posexplode(F.split(F.decode("content", F.lit("UTF-8")), "\f")).alias("i", "raw"))
+    pages = files.select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\f")).alias("i", "raw"))
     return pages.select("path", (F.col("i") + 1).alias("number"), F.when(F.length("raw") >= 30, F.col("raw")).alias("text"), F.lit(False).alias("ocr"))
 
 
