@@ -489,7 +489,7 @@ def relation_candidates(spark, folder):
     return found.join(own, "id").where("ref <> circular_no").select("id", "ref", X.relation_effect(F.col("text")).alias("relation"))
 
 
-@query(REFS + f" SELECT id, ref, COALESCE(CASE WHEN id % 4 = 1 THEN 'AMENDS' END, {EFFECT_SQL}) AS relation, COALESCE(CASE WHEN id % 4 = 1 THEN 0.9 END, 0.5) AS confidence FROM rn")
+@query(REFS + f" SELECT id, ref, COALESCE(CASE WHEN id % 4 = 1 THEN 'AMENDS' END, {EFFECT_SQL}) AS relation, CAST(COALESCE(CASE WHEN id % 4 = 1 THEN 0.9 END, 0.5) AS DOUBLE) AS confidence FROM rn")
 def llm_fallback_merge(spark, folder):
     found = P.policy_clauses(spark, folder).select("id", "text", F.explode(X.references(F.col("text"))).alias("ref"))
     model = found.where("id % 4 = 1").select("id", F.lit("AMENDS").alias("m_relation"), F.lit(0.9).alias("m_confidence"))
