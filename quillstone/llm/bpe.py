@@ -27,7 +27,7 @@ LETTER, NUMBER, OTHER, SPACE, END = 1, 2, 3, 4, 5
 NO_RANK = np.int64(2**62)
 LONG = 256
 CHUNK = 1 << 20
-MEMO = 400_000
+MEMO = 200_000
 CUT = "\ud800"
 
 

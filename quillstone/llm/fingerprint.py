@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.memory import small_batches
+
 WIDE, SIGNS, WORDS = 4, 256, 8
 
 
@@ -89,6 +91,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     stretch also gets the largest document below it.  The texts are shuffled once, and a task holds two of them.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull())
     low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

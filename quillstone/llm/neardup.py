@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.components import components, cut
+from quillstone.llm.memory import release, small_batches
 
 SHINGLE = 5
 REGISTERS, BAND, MANTISSA = 128, 4, 10
@@ -38,7 +39,7 @@ class WordHashes(dict):
     """64-bit hash of each word; emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = out = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
         return out
@@ -122,6 +123,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 again = mixed(h + np.uint64(0x632BE59BD9B4E019))
                 rows.append((doc, len(h), int(h.sum(dtype=np.uint64).view(np.int64)), int(again.sum(dtype=np.uint64).view(np.int64)), registers(h).astype("<u2").tobytes() if len(h) else None))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "k1", "k2", "regs"])
+        release()
 
     return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, n long, k1 long, k2 long, regs binary")
 
@@ -183,6 +185,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"rep": frame["doc_id"], "hashes": [shingles(t).tobytes() for t in frame["text"]]})
+        release()
 
     needed = docs.select("doc_id", "text").join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     return needed.mapInPandas(work, "rep long, hashes binary").dropDuplicates(["rep"])
@@ -200,6 +203,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield frame.loc[np.array(ok, bool), ["a", "b"]]
+        release()
 
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(work, "a long, b long")
 
@@ -238,6 +242,7 @@ def across(buckets: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, wide: int = WIDE) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     sig = cut(signatures(docs))
     classes = sig.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("regs", "doc_id").alias("regs"))
     classes = cut(classes)

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from quillstone.llm.bpe import chunks, default_path, encoder
+from quillstone.llm.memory import release, small_batches
 
 WINDOW = 2048
 END_ID = 1
@@ -148,6 +149,7 @@ def pack_in_order(docs: DataFrame, path: str | None = None) -> DataFrame:
     two, which take no padding.
     """
     path = path or default_path()
+    small_batches(docs.sparkSession)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stream = Stream(path)
@@ -155,6 +157,7 @@ def pack_in_order(docs: DataFrame, path: str | None = None) -> DataFrame:
             for part in chunks(frame):
                 yield from stream.add(part["doc_id"].to_numpy(np.int64), [t or "" for t in part["text"]])
         yield stream.close()
+        release()
 
     return docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInPandas(work, PIECE_SCHEMA)
 
@@ -220,6 +223,7 @@ def pack_best_fit(docs: DataFrame, path: str | None = None, block_tokens: int =
     into full segments and a rest, so nothing is lost.  Texts are packed where they are read, in blocks: no shuffle.
     """
     path = path or default_path()
+    small_batches(docs.sparkSession)
 
     def block(doc: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.ndarray, at: np.ndarray, first: int) -> pd.DataFrame:
         where, offset = best_fit_decreasing(length)
@@ -269,5 +273,6 @@ def pack_best_fit(docs: DataFrame, path: str | None = None, block_tokens: int =
                     yield flush()
         if held:
             yield flush()
+        release()
 
     return docs.select("doc_id", "text").mapInPandas(work, MATRIX_SCHEMA)

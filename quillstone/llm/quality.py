@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.memory import release, small_batches
+
 SAMPLE = 4000
 BUCKETS, FACTORS, BINS = 4096, 8, 12
 EPOCHS, RATE, DECAY = 12, 0.02, 1e-4
@@ -42,7 +44,7 @@ class Words(dict):
     """Bucket of each word; emptied when it grows large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = out = crc32(word.lower().encode()) % BUCKETS
         return out
@@ -77,7 +79,7 @@ class Machine:
 
     def __init__(self, stats: np.ndarray, words: list[np.ndarray], labels: np.ndarray, seed: int = 7):
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        self.fitted = 0 < self.prior < 1
+        self.fitted = len(labels) > 0 and 0 < self.prior < 1
         if not self.fitted:
             return
         self.edges = np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0)
@@ -148,10 +150,12 @@ def score(docs: DataFrame, machine: Machine, columns: list[str] | None = None, n
     """docs' columns (or some) and a double column of that name."""
     kept = columns if columns is not None else docs.columns
     schema = docs.select(*kept).schema.add(name, "double")
+    small_batches(docs.sparkSession)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield frame[kept].assign(**{name: [machine.score(t) for t in frame["text"]]})
+        release()
 
     return docs.select(*dict.fromkeys([*kept, "text"])).mapInPandas(work, schema)
 

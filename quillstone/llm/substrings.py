@@ -28,9 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.memory import release, small_batches
+
 LENGTH, Q = 50, 16
 SPAN = LENGTH - Q + 1
-DOCS_PER_BLOCK, BYTES = 2000, 4 << 20
+DOCS_PER_BLOCK, BYTES = 500, 1 << 20
 R = 0x9E3779B97F4A7C15 | 1
 R_INVERSE = pow(R, -1, 2**64)
 COVERED, OPEN, STRING = 0, 1, 2
@@ -184,6 +186,7 @@ def send_cells(frame: pd.DataFrame, parts: int) -> pd.DataFrame:
         ident.append(cells.ident)
         ids.append(doc[cells.text])
     bucket, ident, ids = map(np.concatenate, (bucket, ident, ids))
+    release()
     at = firsts([bucket, ident], ids)
     return pd.concat(messages(int(frame["block"].iloc[0]), parts, bucket[at], ident[at], ids[at]))
 
@@ -204,6 +207,7 @@ def decide_cells(frame: pd.DataFrame) -> pd.DataFrame:
     starts = np.flatnonzero(new_bucket[head])
     several = np.minimum.reduceat(ids[head], starts) < np.maximum.reduceat(ids[head], starts) if len(head) else np.empty(0, bool)
     undecided = head[several[of_bucket]] if len(head) else head
+    release()
     return replies([(COVERED, block[covered], full[covered]), (OPEN, block[undecided], full[undecided])])
 
 
@@ -280,6 +284,7 @@ def remove(texts: pd.DataFrame, answers: pd.DataFrame, carry: list[str], as_text
                 spans = int(o[:1].sum() + (o[1:] & ~o[:-1]).sum()) if removed else 0
                 kept = raw[a : a + n][~o].tobytes() if removed else cells.raw[a : a + n]
                 rows.append((n, removed, spans, kept.decode("utf-8", "ignore") if as_text else kept))
+    release()
     # the parts follow each other in the order of texts
     return pd.concat([texts[carry].reset_index(drop=True), pd.DataFrame(rows, columns=list(RESULT))], axis=1)
 
@@ -292,6 +297,7 @@ def dedup_substrings(docs: DataFrame, parts: int | None = None, carry: tuple[str
     The texts are shuffled once, by blocks, and read three times; entries are a fraction of the texts' size.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = list(carry)
     # own names, so that no column of docs can clash
@@ -305,9 +311,9 @@ def dedup_substrings(docs: DataFrame, parts: int | None = None, carry: tuple[str
     schema = rows.select(*carried).schema
     for c, kind in RESULT.items():
         schema = schema.add(c, "string" if as_text and c == "kept" else kind)
-    cells = texts.groupBy("block").applyInPandas(lambda f: send_cells(f, parts), MESSAGE)
+    cells = texts.groupBy("block").applyInPandas(lambda f: send_cells(f, 2 * parts), MESSAGE)
     first = cells.groupBy("part").applyInPandas(decide_cells, REPLY)
-    strings = texts.groupBy("block").cogroup(first.groupBy("block")).applyInPandas(lambda t, a: send_strings(t, a, parts), MESSAGE)
+    strings = texts.groupBy("block").cogroup(first.groupBy("block")).applyInPandas(lambda t, a: send_strings(t, a, 2 * parts), MESSAGE)
     second = strings.groupBy("part").applyInPandas(decide_strings, REPLY)
     answers = first.unionByName(second)
     out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda t, a: remove(t, a, carried, as_text), schema)
