@@ -8,12 +8,15 @@ buckets that are still undecided go on.
 1. A 50-byte string belongs to the bucket of the least of its 35 16-grams (by hash), so equal strings share a bucket.
    Neighbouring strings of a text with one bucket are a cell: some 18 strings, one entry.
 2. Buckets are sorted on the cells' identifiers, which are made of the 16-gram identifiers at all later offsets of the
-   cell.  A cell that a smaller document has too is decided.  A bucket with several cells of several documents is not.
+   cell.  A cell that a smaller document has too is decided.  What is left of a bucket is refined by the identifiers of
+   the 17 bytes before the 16-gram and of those after it: each string holds one of them, so only cells of several
+   documents with one of them equal stay undecided, on that side.  A bucket where the 16-gram repeats is not refined.
 3. Of undecided cells, the first holder's strings are sorted by the identifiers of their 35 offsets.
 
 Entries move as arrays: a block of documents sends one array to each range of buckets, holding each of its cells once
 with its smallest document, and gets back the cells and strings that smaller documents have.  So a passage that a third
-of all documents share costs one entry a block.  Identifiers have 64 bits, under 32 and more bits of their bucket.
+of all documents share costs one entry a block.  Identifiers have 56 bits, those of cells under 32 bits of their bucket, and a range of buckets
+adds its own.
 
 Defined results: a null text is empty and a text of under 50 bytes is kept; rows with the same doc_id don't remove each
 other's bytes; a row whose doc_id is null is kept as it is.
@@ -35,7 +38,8 @@ SPAN = LENGTH - Q + 1
 DOCS_PER_BLOCK, BYTES = 500, 1 << 20
 R = 0x9E3779B97F4A7C15 | 1
 R_INVERSE = pow(R, -1, 2**64)
-COVERED, OPEN, STRING = 0, 1, 2
+BITS_56 = np.uint64((1 << 56) - 1)
+ABSENT, REPEATED, SIDE = 0, 65535, Q + 1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -69,7 +73,8 @@ class Cells:
         n = len(self.raw)
         if n < LENGTH or (self.sizes >= LENGTH).sum() == 0:
             self.first = self.last = self.text = np.empty(0, np.int64)
-            self.bucket = self.ident = np.empty(0, np.uint64)
+            self.bucket = self.ident = self.least = self.grams = np.empty(0, np.uint64)
+            self.sums, self.back, self.minima = np.zeros(1, np.uint64), np.ones(1, np.uint64), np.empty(0, np.int64)
             return
         eight = np.ndarray((n - 7,), "<u8", self.raw, strides=(1,)).astype(np.uint64)
         grams = mixed(mixed(eight[:-8]) * np.uint64(R) + eight[8:])
@@ -89,19 +94,54 @@ class Cells:
         change[1:-1] = (least[1:] != least[:-1]) | ~(valid[1:] & valid[:-1])
         self.first = np.flatnonzero(valid & change[:-1])
         self.last = np.flatnonzero(valid & change[1:])
-        self.bucket = mixed(least[self.first])
+        self.grams, self.least = grams, least[self.first]
+        # a 16-gram is the least of a window that holds it if the greatest of those windows' minima is itself
+        most = np.concatenate([np.zeros(SPAN - 1, np.uint64), least, np.zeros(SPAN - 1, np.uint64)])
+        for step in (1, 2, 4, 8, 16):
+            most = np.maximum(most[:-step], most[step:])
+        most = np.maximum(most[: -(SPAN - 32)], most[SPAN - 32 :])
+        self.minima = np.flatnonzero(most == grams)
+        self.bucket = mixed(self.least)
         self.ident = self.identify(self.first, self.last + SPAN)
         self.text = np.searchsorted(self.starts, self.first, "right") - 1
 
     def identify(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Identifiers of the 16-grams from a to before b."""
-        return mixed((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(np.uint64))
-
-    def strings(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Position, identifier and text of each 50-byte string of cells."""
-        count = self.last[cells] - self.first[cells] + 1
+        return mixed((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(np.uint64)) & BITS_56
+
+    def anchors(self) -> np.ndarray:
+        """Where each cell's least 16-gram is; -1 where it repeats inside the cell."""
+        place, seen = np.full(len(self.first), -1), np.zeros(len(self.first), np.int64)
+        stop = self.last + SPAN
+        near = np.searchsorted(self.minima, self.first)
+        live = np.arange(len(self.first))
+        while len(live):
+            at = self.minima[np.minimum(near[live], len(self.minima) - 1)]
+            inside = (near[live] < len(self.minima)) & (at < stop[live])
+            live, at = live[inside], at[inside]
+            hit = self.grams[at] == self.least[live]
+            place[live[hit]] = at[hit]
+            seen[live] += hit
+            near[live] += 1
+        place[(seen > 1) | (self.last - self.first >= SPAN)] = -1
+        return place
+
+    def sides(self) -> tuple[np.ndarray, np.ndarray]:
+        """16-bit identifiers of the 17 bytes before and after the least 16-gram, where strings of the cell hold them."""
+        m = self.anchors()
+        has_left, has_right = self.first <= m - SIDE, self.last > m - SIDE
+        a = np.where((m >= 0) & has_left, m - SIDE, self.first)
+        left = self.identify(a, np.where((m >= 0) & has_left, m, self.first)) % np.uint64(REPEATED - 1) + np.uint64(1)
+        right = self.identify(np.where(m >= 0, m, self.first), np.where((m >= 0) & has_right, m + SIDE + 1, self.first)) % np.uint64(REPEATED - 1) + np.uint64(1)
+        pick = lambda has, x: np.where(m < 0, REPEATED, np.where(has, x.astype(np.int64), ABSENT)).astype(np.uint16)
+        return pick(has_left, left), pick(has_right, right)
+
+    def strings(self, cells: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position, identifier and text of each 50-byte string of cells, or of those from first to last."""
+        first, last = (self.first[cells] if first is None else first), (self.last[cells] if last is None else last)
+        count = np.maximum(0, last - first + 1)
         ends = np.cumsum(count)
-        at = np.repeat(self.first[cells] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+        at = np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
         return at, self.identify(at, at + SPAN), np.repeat(self.text[cells], count)
 
 
@@ -124,13 +164,24 @@ def firsts(keys: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-MESSAGE = "part int, block long, ids binary, doc binary, short binary, full binary"
+MESSAGE = "part int, block long, ids binary, doc binary, short binary, full binary, sides binary"
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Seven bytes of each identifier."""
+    return np.ascontiguousarray(np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(x, np.uint8).reshape(-1, 7)
+    return out.view("<u8").ravel().astype(np.uint64)
 
 
-def messages(block: int, parts: int, bucket: np.ndarray, full: np.ndarray, ids: np.ndarray) -> Iterator[pd.DataFrame]:
-    """A block's entries as one row for each range of buckets."""
+def messages(block: int, parts: int, bucket: np.ndarray, full: np.ndarray, ids: np.ndarray, sides: np.ndarray | None = None) -> pd.DataFrame:
+    """A block's entries as one row for each range of buckets; in the order of ids, whose column then packs well."""
     part = ((bucket >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
+    order = np.lexsort([ids, part])
     edges = np.searchsorted(part[order], np.arange(parts + 1))
     rows = []
     for p in range(parts):
@@ -138,39 +189,41 @@ def messages(block: int, parts: int, bucket: np.ndarray, full: np.ndarray, ids:
         if len(at):
             table, doc = np.unique(ids[at], return_inverse=True)
             wide = "<u2" if len(table) <= 1 << 16 else "<u4"
-            rows.append((p, block, table.astype("<i8").tobytes(), doc.astype(wide).tobytes(), bucket[at].astype("<u4").tobytes(), full[at].astype("<u8").tobytes()))
-    yield pd.DataFrame(rows, columns=["part", "block", "ids", "doc", "short", "full"])
+            short = b"" if sides is None else bucket[at].astype("<u4").tobytes()
+            rows.append((p, block, table.astype("<i8").tobytes(), doc.astype(wide).tobytes(), short, packed(full[at]), b"" if sides is None else sides[at].astype("<u2").tobytes()))
+    return pd.DataFrame(rows, columns=["part", "block", "ids", "doc", "short", "full", "sides"])
 
 
 def received(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """Entries of messages: block, id, short, full."""
-    blocks, ids, short, full = [], [], [], []
-    for block, table, doc, s, f in zip(frame["block"], frame["ids"], frame["doc"], frame["short"], frame["full"]):
+    """Entries of messages: block, id, full, short, sides."""
+    blocks, ids = [], []
+    for block, table, doc in zip(frame["block"], frame["ids"], frame["doc"]):
         table = np.frombuffer(table, "<i8")
         doc = np.frombuffer(doc, "<u2" if len(table) <= 1 << 16 else "<u4")
         blocks.append(np.full(len(doc), block))
         ids.append(table[doc])
-        short.append(np.frombuffer(s, "<u4"))
-        full.append(np.frombuffer(f, "<u8"))
-    return tuple(map(np.concatenate, (blocks, ids, short, full)))
+    one = lambda c: b"".join(frame[c])
+    return np.concatenate(blocks), np.concatenate(ids), unpacked(one("full")), np.frombuffer(one("short"), "<u4"), np.frombuffer(one("sides"), "<u2").reshape(-1, 2)
 
 
-REPLY = "block long, kind int, data binary"
+KINDS = ("covered", "left", "right", "string")
+REPLY = "block long, " + ", ".join(f"{k} binary" for k in KINDS)
 
 
-def replies(kinds: list[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    rows = []
-    for kind, block, full in kinds:
+def replies(found: dict[str, tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """One row for each block, with the identifiers of each kind: found has blocks and identifiers by kind."""
+    out: dict[int, dict] = {}
+    for kind, (block, full) in found.items():
         order = np.argsort(block, kind="stable")
         block, full = block[order], full[order]
         for part in np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1):
             if len(part):
-                rows.append((int(block[part[0]]), kind, full[part].astype("<u8").tobytes()))
-    return pd.DataFrame(rows, columns=["block", "kind", "data"])
+                out.setdefault(int(block[part[0]]), {})[kind] = packed(full[part])
+    return pd.DataFrame([(block, *(x.get(k, b"") for k in KINDS)) for block, x in out.items()], columns=["block", *KINDS])
 
 
-def data_of(frame: pd.DataFrame, kind: int) -> np.ndarray:
-    return np.sort(np.frombuffer(b"".join(frame["data"][frame["kind"] == kind]), "<u8"))
+def data_of(frame: pd.DataFrame, kind: str) -> np.ndarray:
+    return np.sort(unpacked(b"".join(frame[kind])))
 
 
 def among(x: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -180,35 +233,50 @@ def among(x: np.ndarray, found: np.ndarray) -> np.ndarray:
 
 
 def send_cells(frame: pd.DataFrame, parts: int) -> pd.DataFrame:
-    bucket, ident, ids = [], [], []
+    bucket, ident, ids, sides = [], [], [], []
     for doc, cells in grouped(frame):
         bucket.append(cells.bucket)
         ident.append(cells.ident)
         ids.append(doc[cells.text])
-    bucket, ident, ids = map(np.concatenate, (bucket, ident, ids))
+        sides.append(np.stack(cells.sides(), 1))
+    bucket, ident, ids, sides = map(np.concatenate, (bucket, ident, ids, sides))
     release()
     at = firsts([bucket, ident], ids)
-    return pd.concat(messages(int(frame["block"].iloc[0]), parts, bucket[at], ident[at], ids[at]))
+    return messages(int(frame["block"].iloc[0]), parts, bucket[at], ident[at], ids[at], sides[at])
+
+
+def several(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each key has several ids."""
+    _, place = np.unique(keys, return_inverse=True)
+    low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
+    np.minimum.at(low, place, ids)
+    np.maximum.at(high, place, ids)
+    return (low < high)[place]
 
 
 def decide_cells(frame: pd.DataFrame) -> pd.DataFrame:
     """For each block: cells that a smaller document of another block has, and undecided cells that are first there."""
-    block, ids, short, full = received(frame)
+    block, ids, full, short, sides = received(frame)
     order = np.lexsort([ids, full, short])
-    block, ids, short, full = block[order], ids[order], short[order], full[order]
+    block, ids, short, full, sides = block[order], ids[order], short[order], full[order], sides[order]
     new_bucket = np.ones(len(ids), bool)
     new_bucket[1:] = short[1:] != short[:-1]
     new_cell = new_bucket.copy()
     new_cell[1:] |= full[1:] != full[:-1]
     head = np.flatnonzero(new_cell)
-    which = np.cumsum(new_cell) - 1
-    covered = ids[head][which] < ids
-    of_bucket = np.cumsum(new_bucket[head]) - 1
-    starts = np.flatnonzero(new_bucket[head])
-    several = np.minimum.reduceat(ids[head], starts) < np.maximum.reduceat(ids[head], starts) if len(head) else np.empty(0, bool)
-    undecided = head[several[of_bucket]] if len(head) else head
+    covered = ids[head][np.cumsum(new_cell) - 1] < ids
+    bucket = (np.cumsum(new_bucket[head]) - 1).astype(np.int64)
+    repeats = np.zeros(len(head) + 1, bool)
+    repeats[bucket[sides[head, 0] == REPEATED]] = True
+    whole = repeats[bucket] & several(bucket, ids[head])
+    out = {"covered": (block[covered], full[covered])}
+    for kind, side in (("left", sides[head, 0]), ("right", sides[head, 1])):
+        some = np.flatnonzero((side != ABSENT) & ~repeats[bucket])
+        undecided = whole.copy()
+        undecided[some] = several(bucket[some] << 16 | side[some], ids[head][some])
+        out[kind] = block[head[undecided]], full[head[undecided]]
     release()
-    return replies([(COVERED, block[covered], full[covered]), (OPEN, block[undecided], full[undecided])])
+    return replies(out)
 
 
 class Block:
@@ -226,29 +294,38 @@ class Block:
 
 
 def send_strings(texts: pd.DataFrame, answers: pd.DataFrame, parts: int) -> pd.DataFrame:
-    undecided = data_of(answers, OPEN)
-    if not len(texts) or not len(undecided):
-        return pd.DataFrame([], columns=["part", "block", "ids", "doc", "short", "full"])
-    covered, here = data_of(answers, COVERED), Block(texts)
+    left, right = data_of(answers, "left"), data_of(answers, "right")
+    if not len(texts) or not len(left) + len(right):
+        return pd.DataFrame([], columns=["part", "block", "ids", "doc", "short", "full", "sides"])
+    covered, here = data_of(answers, "covered"), Block(texts)
     ident, ids = [], []
     for doc, cells in here.parts:
-        some = np.flatnonzero(among(cells.ident, undecided) & ~among(cells.ident, covered) & here.first_here(cells, doc))
-        _, s, t = cells.strings(some)
-        ident.append(s)
+        own = ~among(cells.ident, covered) & here.first_here(cells, doc)
+        on_left, on_right, m = own & among(cells.ident, left), own & among(cells.ident, right), cells.anchors()
+        some = np.flatnonzero(on_left | on_right)
+        # strings up to 17 bytes before the 16-gram hold its left side, the others its right side
+        first, last = cells.first[some], cells.last[some]
+        known = m[some] >= 0
+        first = np.where(known & ~on_left[some], np.maximum(first, m[some] - SIDE + 1), first)
+        last = np.where(known & ~on_right[some], np.minimum(last, m[some] - SIDE), last)
+        _, found, t = cells.strings(some, first, last)
+        ident.append(found)
         ids.append(doc[t])
     ident, ids = map(np.concatenate, (ident, ids))
+    release()
     at = firsts([ident], ids)
-    return pd.concat(messages(int(texts["block"].iloc[0]), parts, mixed(ident[at]), ident[at], ids[at]))
+    return messages(int(texts["block"].iloc[0]), parts, mixed(ident[at]), ident[at], ids[at])
 
 
 def decide_strings(frame: pd.DataFrame) -> pd.DataFrame:
-    block, ids, _, full = received(frame)
+    block, ids, full, _, _ = received(frame)
     order = np.lexsort([ids, full])
     block, ids, full = block[order], ids[order], full[order]
     new = np.ones(len(ids), bool)
     new[1:] = full[1:] != full[:-1]
     covered = ids[np.flatnonzero(new)][np.cumsum(new) - 1] < ids
-    return replies([(STRING, block[covered], full[covered])])
+    release()
+    return replies({"string": (block[covered], full[covered])})
 
 
 RESULT = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary"}
@@ -257,7 +334,8 @@ RESULT = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "bi
 def remove(texts: pd.DataFrame, answers: pd.DataFrame, carry: list[str], as_text: bool) -> pd.DataFrame:
     rows: list = []
     if len(texts):
-        covered, undecided, strings = (data_of(answers, k) for k in (COVERED, OPEN, STRING))
+        covered, strings = data_of(answers, "covered"), data_of(answers, "string")
+        undecided = np.union1d(data_of(answers, "left"), data_of(answers, "right"))
         here = Block(texts)
         held = []
         for doc, cells in here.parts:
@@ -311,9 +389,9 @@ def dedup_substrings(docs: DataFrame, parts: int | None = None, carry: tuple[str
     schema = rows.select(*carried).schema
     for c, kind in RESULT.items():
         schema = schema.add(c, "string" if as_text and c == "kept" else kind)
-    cells = texts.groupBy("block").applyInPandas(lambda f: send_cells(f, 2 * parts), MESSAGE)
+    cells = texts.groupBy("block").applyInPandas(lambda f: send_cells(f, parts), MESSAGE)
     first = cells.groupBy("part").applyInPandas(decide_cells, REPLY)
-    strings = texts.groupBy("block").cogroup(first.groupBy("block")).applyInPandas(lambda t, a: send_strings(t, a, 2 * parts), MESSAGE)
+    strings = texts.groupBy("block").cogroup(first.groupBy("block")).applyInPandas(lambda t, a: send_strings(t, a, parts), MESSAGE)
     second = strings.groupBy("part").applyInPandas(decide_strings, REPLY)
     answers = first.unionByName(second)
     out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda t, a: remove(t, a, carried, as_text), schema)
