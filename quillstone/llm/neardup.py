@@ -5,10 +5,11 @@ smallest hash as its number of leading zeros and ten bits of mantissa.  Empty re
 fixed for all texts.  Bands of four registers give candidates; the registers of a candidate pair estimate its Jaccard
 index, corrected for chance collisions; what may reach the threshold is confirmed on the full sets.
 
-Equal sets are one class, represented by the smallest doc_id.  Buckets never give all their pairs: each is a star round
-a member picked by a hash, another in each bucket.  Links confirmed so far give components; in buckets that still hold
-several components, registers are compared in the task, and only pairs of different components that may reach the
-threshold leave it.  Buckets of over ``WIDE`` members are first split by a second band, once for each other band.
+Equal sets are one class, represented by the smallest doc_id.  Buckets never give their pairs: each is a star round a
+member picked by a hash, another in each bucket.  Star links that may be as alike as ``LOOSE`` join documents into
+clusters, which hold all pairs over the threshold: such a pair shares about ten buckets, and one pivot near both is
+enough.  A cluster's documents meet in tasks, block by block; there registers are compared, sets confirm pairs that
+nothing has joined yet, and only the links that join something leave the task, at most one a document.
 
 Defined results: a null text, or one without words, has an empty set, is linked with nothing and is kept; a text with
 fewer than five words has one shingle, the whole sequence; repeated rows of one doc_id give a row each, in one class.
@@ -32,7 +33,7 @@ REGISTERS, BAND, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // BAND
 #: least share of the union, in hundredths, and the estimate (four standard errors below) that is confirmed on sets
 PERCENT, ESTIMATE = 75, 0.58
-WIDE, SMALL = 256, 6
+LOOSE, BLOCK = 0.5, 512
 
 
 class WordHashes(dict):
@@ -140,126 +141,102 @@ def bands(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "regs").mapInPandas(work, "key long, rep long")
 
 
-def split_wide(rows: DataFrame, wide: int) -> DataFrame:
-    """Buckets of two members or more; one of over ``wide`` is replaced by its meetings with the buckets of other bands.
+def stars(keyed: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of each member of a bucket with the bucket's pivot."""
+    pivots = keyed.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keyed.join(pivots, "key").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
 
-    A pair over the threshold shares about ten of the 32 bands, so what it shares in a wide bucket it shares again.
-    """
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(rows.join(counts, "key"))
-    hot = shared.where(F.col("n") > wide).select("key", "rep")
-    other = shared.select(F.col("key").alias("key2"), "rep")
-    finer = hot.join(other, "rep").where("key <> key2").select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "rep").distinct()
-    finer_counts = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return shared.where(F.col("n") <= wide).unionByName(finer.join(finer_counts, "key").select("key", "rep", "n"))
 
-
-def stars(buckets: DataFrame) -> DataFrame:
-    """Pairs (a < b): each member with its bucket's pivot, and neighbours by id in small buckets."""
-    pivots = buckets.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("pivot"))
-    star = buckets.join(pivots, "key").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-    few = buckets.where(F.col("n").between(3, SMALL)).groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("reps"))
-    i = few.select(F.posexplode("reps").alias("i", "a"), "reps")
-    pairs = i.select("a", F.explode(F.expr("slice(reps, i + 2, size(reps))")).alias("b"))
-    return star.unionByName(pairs).distinct()
-
-
-def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs whose registers, and set sizes, may reach the threshold, with the estimate."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+def loose(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs whose registers show a likeness of ``LOOSE`` or more."""
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("regs").alias(f"r_{x}"))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
                 a, b = (np.frombuffer(b"".join(frame[c]), "<u2").reshape(len(frame), REGISTERS) for c in ("r_a", "r_b"))
-                e = estimate(a, b)
-                yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "e": e})[e >= ESTIMATE]
-
-    return both.select("a", "b", "r_a", "r_b").mapInPandas(work, "a long, b long, e double")
-
-
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, hashes) for the documents in ids."""
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                yield frame.loc[estimate(a, b) >= LOOSE, ["a", "b"]]
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "r_a", "r_b").mapInPandas(work, "a long, b long")
+
+
+def confirm(rep: np.ndarray, regs: np.ndarray, sets: list[bytes], rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join rows and columns into components: the likeliest pairs first, those joined already not at all."""
+    size = np.array([len(x) // 8 for x in sets])
+    found = []
+    for k in range(0, len(rows), 16):
+        some = rows[k : k + 16]
+        e = estimate(regs[some][:, None, :], regs[columns][None, :, :])
+        may = (e >= ESTIMATE) & (100 * np.minimum.outer(size[some], size[columns]) >= PERCENT * np.maximum.outer(size[some], size[columns])) & (some[:, None] != columns[None, :])
+        x, y = np.nonzero(may)
+        found.append(np.stack([some[x].astype(float), columns[y], e[x, y]]))
+    pairs = np.concatenate(found, 1) if found else np.empty((3, 0))
+    parent, words, out = {}, {}, []
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    def words_of(x: int) -> frozenset:
+        if x not in words:
+            words[x] = frozenset(np.frombuffer(sets[x], np.uint64).tolist())
+        return words[x]
+
+    for k in np.argsort(-pairs[2], kind="stable").tolist():
+        x, y = int(pairs[0, k]), int(pairs[1, k])
+        a, b = root(x), root(y)
+        if a != b:
+            both = len(words_of(x) & words_of(y))
+            if 100 * both >= PERCENT * (size[x] + size[y] - both):
+                parent[a] = b
+                out.append((int(rep[x]), int(rep[y])))
+    return out
+
+
+def links_of(clusters: DataFrame, reps: DataFrame, docs: DataFrame, parts: int, block: int) -> DataFrame:
+    """Confirmed links (a, b) inside clusters. Small clusters share a bin; large ones meet in pairs of blocks."""
+    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    n_blocks = F.ceil(F.col("members") / block)
+    rows = clusters.join(sizes, "component").withColumn("blocks", n_blocks)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")))
+    small = F.col("blocks") == 1
+    bin_ = F.when(small, F.pmod(F.xxhash64("component"), F.lit(4 * parts))).otherwise(F.col("component"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    rows = rows.select(F.col("node").alias("rep"), "component", "own", small.alias("small"), bin_.alias("bin"), other)
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def to_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"rep": frame["doc_id"], "hashes": [shingles(t).tobytes() for t in frame["text"]]})
         release()
 
-    needed = docs.select("doc_id", "text").join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return needed.mapInPandas(work, "rep long, hashes binary").dropDuplicates(["rep"])
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
-    side = lambda x: sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"h_{x}"))
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ok = []
-            for x, y in zip(frame["h_a"], frame["h_b"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield frame.loc[np.array(ok, bool), ["a", "b"]]
-        release()
-
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInPandas(work, "a long, b long")
-
-
-def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components so far."""
-    side = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return joined.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select(*pairs.columns)
-
-
-def across(buckets: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and may reach the threshold."""
-    label = F.coalesce("component", "rep")
-    rows = buckets.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", label.alias("component"))
-    open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rows = rows.join(open_, "key").join(reps.select("rep", F.col("n").alias("size"), "regs"), "rep")
+    needed = docs.select("doc_id", "text").join(clusters.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    sets = needed.mapInPandas(to_sets, "rep long, hashes binary").dropDuplicates(["rep"])
+    full = rows.join(reps.select("rep", "regs").join(sets, "rep"), "rep")
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        regs = np.frombuffer(b"".join(frame["regs"]), "<u2").reshape(len(frame), REGISTERS)
-        rep, comp, size = (frame[c].to_numpy() for c in ("rep", "component", "size"))
         out = []
-        for k in range(0, len(frame), 64):
-            a = slice(k, k + 64)
-            # one component's own pairs, and sizes too far apart, need no estimate
-            may = (comp[a, None] < comp[None, :]) & (100 * np.minimum(size[a, None], size[None, :]) >= PERCENT * np.maximum(size[a, None], size[None, :]))
-            i, j = np.nonzero(may)
-            for s in range(0, len(i), 20_000):
-                x, y = i[s : s + 20_000] + k, j[s : s + 20_000]
-                good = estimate(regs[x], regs[y]) >= ESTIMATE
-                out.append(pd.DataFrame({"a": np.minimum(rep[x], rep[y])[good], "b": np.maximum(rep[x], rep[y])[good]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        for _, group in frame.groupby("component"):
+            regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(len(group), REGISTERS)
+            own, sets, at = group["own"].to_numpy(), group["hashes"].tolist(), np.arange(len(group))
+            i, j = group["i"].iloc[0], group["j"].iloc[0]
+            out += confirm(group["rep"].to_numpy(), regs, sets, at[own == i], at[own == j])
+        release()
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return rows.groupBy("key").applyInPandas(work, "a long, b long").distinct()
+    return full.groupBy("small", "bin", "i", "j").applyInPandas(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, wide: int = WIDE) -> DataFrame:
+def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     sig = cut(signatures(docs))
-    classes = sig.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("regs", "doc_id").alias("regs"))
-    classes = cut(classes)
-    reps = classes.select("rep", "n", "regs")
-    buckets = cut(split_wide(bands(reps), wide))
-    pairs = cut(estimated(stars(buckets), reps))
-    # first the best pair of each document, then what lies between components
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("e", F.negative("a"))).alias("a")).select("a", "b")
-    sets = cut(sets_of(docs, pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))))
-    links = cut(confirmed(best, sets))
-    found = components(links)
-    more = confirmed(apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), found), sets)
-    links = cut(links.unionByName(more))
-    found = cut(components(links))
-    rest = cut(across(buckets, reps, found))
-    late_sets = sets_of(docs, rest.select(F.col("a").alias("rep")).unionByName(rest.select(F.col("b").alias("rep"))))
-    found = components(links.unionByName(confirmed(rest, cut(late_sets))))
+    classes = cut(sig.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("regs", "doc_id").alias("regs")))
+    reps = classes.select("rep", "regs")
+    clusters = cut(components(loose(stars(bands(reps)), reps)))
+    found = components(links_of(clusters, reps, docs, int(spark.conf.get("spark.sql.shuffle.partitions")), block))
     of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sig.join(of_class, ["k1", "k2", "n"], "left")
     component = F.coalesce("component_id", "doc_id")

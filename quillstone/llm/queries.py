@@ -72,4 +72,16 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_ordered_packing, op4_best_fit_packing, op5_bpe, op6_multi_index, op7_bucket_pointer_dedup, op8_fingerprints, op9_hyperminhash, op10_hash_tree_sharding)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_hyperminhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b USING (s) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+ed AS (SELECT x AS a, y AS b FROM links UNION ALL SELECT y, x FROM links),
+re AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT ed.b, re.root FROM re JOIN ed ON ed.a = re.id),
+cp AS (SELECT id, min(root) AS component_id FROM re GROUP BY 1)
+SELECT doc_id, COALESCE(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN cp ON cp.id = doc_id
+""",
+}

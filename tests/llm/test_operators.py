@@ -160,8 +160,8 @@ def test_near_duplicates(docs, empty):
             if both and 100 * both >= 75 * len(sets[i] | sets[j]):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
-    for wide in (256, 2):
-        got = near_duplicates(docs, wide).collect()
+    for block in (512, 3):
+        got = near_duplicates(docs, block).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
     assert near_duplicates(empty).count() == 0
 
