@@ -22,7 +22,7 @@ DAY_RADICES, FIRST_DAY = (27, 5411), "1700-01-01"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 KINDS = {
-    "secret": r"(?i:\b(?:token|secret|password|api[_-]?key))\s{0,3}[=:]\s{0,3}\"[^\"\n]{8,256}\"",
+    "secret": r"(?=[TSPAtspa])(?i:\b(?:token|secret|password|api[_-]?key))\s{0,3}[=:]\s{0,3}\"[^\"\n]{8,256}\"",
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,256}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "address": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]\d|\d)",
@@ -30,7 +30,11 @@ KINDS = {
     "social": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?!-?\d)",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![ -]?\d)",
 }
-PATTERN = "|".join(KINDS.values())
+NUMBERS = ("address", "phone", "date", "social", "card")
+#: one pattern, the kinds in order; those of numbers are tried only where a number may start
+PATTERN = "|".join([KINDS["secret"], KINDS["mail"], "(?=[0-9+(])(?:" + "|".join(KINDS[k] for k in NUMBERS) + ")"])
+#: what every candidate holds; a text without any needs no search
+SIGN = '[0-9@"]'
 
 
 def digest(key: str, *parts: Column) -> Column:
@@ -141,7 +145,8 @@ def pseudonymise(docs: DataFrame, key: str = KEY, counts: str | None = None) ->
     """docs with pseudonyms in text; with ``counts``, a column of that name has the number of replacements."""
     taken = {c.lower() for c in docs.columns}
     found, new = (next(n for k in range(9**9) if (n := f"__{x}{k}") not in taken) for x in ("found", "new"))
-    out = docs.withColumn(found, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    none = F.array().cast("array<string>")
+    out = docs.withColumn(found, F.when(F.col("text").rlike(SIGN), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(none))
     out = out.withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda x: pseudonym(x, key))))
     pieces = F.split("text", PATTERN, -1)
     woven = F.array_join(F.zip_with(pieces, new, lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
