@@ -7,9 +7,13 @@ index, corrected for chance collisions; what may reach the threshold is confirme
 
 Equal sets are one class, represented by the smallest doc_id.  Buckets never give their pairs: each is a star round a
 member picked by a hash, another in each bucket.  Star links that may be as alike as ``LOOSE`` join documents into
-clusters, which hold all pairs over the threshold: such a pair shares about ten buckets, and one pivot near both is
-enough.  A cluster's documents meet in tasks, block by block; there registers are compared, sets confirm pairs that
-nothing has joined yet, and only the links that join something leave the task, at most one a document.
+clusters.  A bucket that still holds several clusters is open, as its pivot says nothing about two members that are both
+unlike it: there the members outside the largest cluster are compared with all others, and only links that join clusters
+leave the task.  An open bucket with over ``WIDE`` members outside its largest cluster is split by each later band first,
+``DEPTH`` bands at most, and then compared in blocks.  So two documents over the threshold get into one cluster unless
+they share no band, or a wide open bucket and no further band to split it by.  A cluster's documents meet in tasks, block
+by block; there registers are compared, sets confirm pairs that nothing has joined yet, and only the links that join
+something leave the task, at most one a document.
 
 Defined results: a null text, or one without words, has an empty set, is linked with nothing and is kept; a text with
 fewer than five words has one shingle, the whole sequence; repeated rows of one doc_id give a row each, in one class.
@@ -34,6 +38,8 @@ BANDS = REGISTERS // BAND
 #: least share of the union, in hundredths, and the estimate (four standard errors below) that is confirmed on sets
 PERCENT, ESTIMATE = 75, 0.58
 LOOSE, BLOCK = 0.5, 512
+#: members outside a bucket's largest cluster, members in a task, and bands in a key at most
+WIDE, SPOT, DEPTH = 512, 4096, 3
 
 
 class WordHashes(dict):
@@ -136,9 +142,14 @@ def bands(reps: DataFrame) -> DataFrame:
         for frame in frames:
             if len(frame):
                 keys = np.stack([band_keys(np.frombuffer(r, "<u2")) for r in frame["regs"]])
-                yield pd.DataFrame({"key": keys.ravel(), "rep": np.repeat(frame["rep"].to_numpy(), BANDS)})
+                yield pd.DataFrame({"key": keys.ravel(), "rep": np.repeat(frame["rep"].to_numpy(), BANDS), "band": np.tile(np.arange(BANDS), len(frame))})
 
-    return reps.select("rep", "regs").mapInPandas(work, "key long, rep long")
+    return reps.select("rep", "regs").mapInPandas(work, "key long, rep long, band int")
+
+
+def shared(keyed: DataFrame) -> DataFrame:
+    """Rows of the buckets of two members or more."""
+    return cut(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key"))
 
 
 def stars(keyed: DataFrame) -> DataFrame:
@@ -160,6 +171,97 @@ def loose(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "r_a", "r_b").mapInPandas(work, "a long, b long")
 
 
+def open_buckets(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the buckets of three members or more in several clusters, with the cluster, the largest one and counts."""
+    rows = cut(keyed.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "band", F.coalesce("component", "rep").alias("component")))
+    counts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
+    counts = counts.agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top")).where("n > 2 and n > top.c")
+    return cut(rows.join(counts.select("key", "n", F.col("top.c").alias("most"), F.col("top.component").alias("top")), "key"))
+
+
+def finer(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Buckets split by each later band; a pair that shares bands meets again under the next one that it shares."""
+    later = keyed.select("rep", F.col("key").alias("key2"), F.col("band").alias("band2"))
+    split = rows.select("key", "rep", "band").join(later, "rep").where("band2 > band")
+    return shared(split.select(F.xxhash64("key", "key2").alias("key"), "rep", F.col("band2").alias("band")))
+
+
+def joining(rep: np.ndarray, component: np.ndarray, regs: np.ndarray) -> list[tuple[int, int]]:
+    """Links between members of different clusters that may reach the threshold, those joined already left out."""
+    names, label, count = np.unique(component, return_inverse=True, return_counts=True)
+    order = np.argsort(count[label], kind="stable")
+    rep, label, regs = rep[order], label[order], regs[order]
+    parent, out = list(range(len(names))), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    # the largest cluster comes last, and its members need no rows of their own
+    for k in range(int((label != label[-1]).sum())):
+        others = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
+        for j in others[estimate(regs[k], regs[others]) >= ESTIMATE].tolist():
+            a, b = root(label[k]), root(label[j])
+            if a != b:
+                parent[a] = b
+                out.append((int(rep[k]), int(rep[j])))
+    return out
+
+
+def across(rows: DataFrame, reps: DataFrame, wide: int) -> DataFrame:
+    """Links (a, b) that join clusters inside open buckets: the largest cluster in parts, all others with each part."""
+    parts, blocks = F.ceil(F.col("most") / SPOT), F.ceil(F.col("n") / SPOT)
+    part, own = F.pmod(F.xxhash64("rep", F.lit(4)), parts), F.pmod(F.xxhash64("rep", F.lit(4)), blocks)
+    upto = lambda count: F.sequence(F.lit(0).cast("long"), count - 1)
+    light = F.col("n") - F.col("most") <= wide
+    pairs = F.transform(upto(blocks), lambda x: F.least(own, x) * blocks + F.greatest(own, x))
+    spots = F.when(light & (F.col("component") == F.col("top")), F.array(part)).when(light, upto(parts)).otherwise(pairs)
+    spread = rows.select("key", F.explode(spots).alias("spot"), "rep", "component").join(reps, "rep")
+    dealt = spread.repartition("key", "spot").sortWithinPartitions("key", "spot")
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+
+        def links(frame: pd.DataFrame) -> Iterator[tuple[int, int]]:
+            for _, group in frame.groupby(["key", "spot"], sort=False):
+                if len(group) > 1 and group["component"].nunique() > 1:
+                    regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(len(group), REGISTERS)
+                    yield from joining(group["rep"].to_numpy(), group["component"].to_numpy(), regs)
+
+        for frame in frames:
+            if len(frame):
+                held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+                # the last group may go on in the next batch
+                last = (held["key"] == held["key"].iloc[-1]) & (held["spot"] == held["spot"].iloc[-1])
+                yield pd.DataFrame(list(links(held[~last])), columns=["a", "b"], dtype=np.int64)
+                held = held[last]
+        if held is not None:
+            yield pd.DataFrame(list(links(held)), columns=["a", "b"], dtype=np.int64)
+
+    return dealt.select("key", "spot", "rep", "component", "regs").mapInPandas(work, "a long, b long")
+
+
+def clustered(reps: DataFrame, wide: int) -> DataFrame:
+    """(node, component) of documents that have others which may be over the threshold."""
+    keyed = shared(bands(reps))
+    links, level = cut(loose(stars(keyed), reps)), keyed
+    found = cut(components(links))
+    for depth in range(1, DEPTH + 1):
+        rows = open_buckets(level, found)
+        light = rows if depth == DEPTH else rows.where(F.col("n") - F.col("most") <= wide)
+        links = cut(links.unionByName(across(light, reps, wide)))
+        heavy = rows.where(F.col("n") - F.col("most") > wide)
+        last = depth == DEPTH or heavy.isEmpty()
+        if not last:
+            level = finer(heavy, keyed)
+            links = cut(links.unionByName(loose(stars(level), reps)))
+        found = cut(components(links))
+        if last:
+            break
+    return found
+
+
 def confirm(rep: np.ndarray, regs: np.ndarray, sets: list[bytes], rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
     """Links that join rows and columns into components: the likeliest pairs first, those joined already not at all."""
     size = np.array([len(x) // 8 for x in sets])
@@ -228,14 +330,14 @@ def links_of(clusters: DataFrame, reps: DataFrame, docs: DataFrame, parts: int,
     return full.groupBy("small", "bin", "i", "j").applyInPandas(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, block: int = BLOCK, wide: int = WIDE) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     small_batches(spark)
     sig = cut(signatures(docs))
     classes = cut(sig.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("regs", "doc_id").alias("regs")))
     reps = classes.select("rep", "regs")
-    clusters = cut(components(loose(stars(bands(reps)), reps)))
+    clusters = clustered(reps, wide)
     found = components(links_of(clusters, reps, docs, int(spark.conf.get("spark.sql.shuffle.partitions")), block))
     of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sig.join(of_class, ["k1", "k2", "n"], "left")

@@ -166,6 +166,37 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("more", [{}, {"wide": 8}])
+def test_near_duplicates_of_frequent_passages(spark, more):
+    from quillstone.llm.neardup import near_duplicates
+
+    # each of 300 places has one of two frequent passages; a text's copy has passages of its own at 38 places
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 2, (800, 300))
+    y = x.copy()
+    for k, row in enumerate(y):
+        row[rng.choice(300, 38, replace=False)] = k + 2
+    slots = np.stack([x, y], 1).reshape(1600, 300)
+    texts = [" ".join(f"s{s} a b c w{w}" for s, w in enumerate(row)) for row in slots.tolist()]
+    # every shingle holds one place's choice: five for a place, one for the last
+    weight = np.r_[np.full(299, 5.0), 1]
+    both = sum(((slots == c) * weight) @ (slots == c).T for c in (0, 1))
+    i, j = np.nonzero(np.triu(both / (2 * weight.sum() - both) >= 0.75, 1))
+    assert i.tolist() == list(range(0, 1600, 2)) and (j == i + 1).all()
+    got = near_duplicates(spark.createDataFrame(rows_of(texts), SCHEMA).repartition(4), **more).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k - k % 2 for k in range(1600)}
+
+
+def test_near_duplicate_joins_in_open_buckets():
+    from quillstone.llm.neardup import REGISTERS, joining
+
+    rng = np.random.default_rng(9)
+    pivot, x, z = (rng.integers(0, 2**16, REGISTERS).astype(np.uint16) for _ in range(3))
+    y = np.where(np.arange(REGISTERS) < 100, x, z)
+    assert joining(np.arange(4), np.array([0, 1, 2, 3]), np.stack([pivot, x, z, y])) == [(1, 3)]
+    assert joining(np.arange(4), np.array([0, 1, 2, 1]), np.stack([pivot, x, z, y])) == []
+
+
 def test_near_duplicate_estimate():
     from quillstone.llm.neardup import estimate, registers
 
