@@ -1,9 +1,10 @@
 """Document fingerprints: a homomorphic multiset hash (operator 8).
 
 A text's paragraphs (lines, and long lines cut every eight words) are a multiset.  Each is hashed to a wide vector: four
-64-bit words, summed modulo 2^64, and 256 signs, summed modulo 2^16.  Sums don't depend on order, and a paragraph is
+64-bit words, summed modulo 2^64, and 256 signs, summed modulo 2^32.  Sums don't depend on order, and a paragraph is
 added or taken out by adding or subtracting its vector.  Equal multisets have equal fingerprints; the signs' sums also
-estimate how alike two multisets are, since the dot product of two such sums estimates that of the multiplicities.
+estimate how alike two multisets are, since the dot product of two such sums estimates that of the multiplicities; this
+holds below 2^31 paragraphs, more than a text of 2 GB has.
 
 Defined results: a null text counts as empty; an empty text has no paragraphs, and two such texts are alike (1.0);
 repeated rows of one doc_id follow each other in the order of their texts.
@@ -37,7 +38,7 @@ class Fingerprint:
     __slots__ = ("wide", "signs")
 
     def __init__(self, parts: Iterable[str] = ()):
-        self.wide, self.signs = np.zeros(WIDE, np.uint64), np.zeros(SIGNS, np.uint16)
+        self.wide, self.signs = np.zeros(WIDE, np.uint64), np.zeros(SIGNS, np.uint32)
         self.add(parts)
 
     def _sums(self, parts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -55,7 +56,7 @@ class Fingerprint:
         raw = np.frombuffer(b"".join(held), np.uint8).reshape(len(held), 64)
         wide = np.ascontiguousarray(raw[:, 32:]).view("<u8").sum(0, dtype=np.uint64)
         ones = np.unpackbits(raw[:, :32], axis=1).sum(0, dtype=np.int64)
-        return wide, (2 * ones - len(held)).astype(np.uint16)
+        return wide, (2 * ones - len(held)).astype(np.uint32)
 
     def add(self, parts: Iterable[str]) -> None:
         for wide, signs in self._sums(parts):
@@ -71,13 +72,13 @@ class Fingerprint:
         return isinstance(other, Fingerprint) and bool((self.wide == other.wide).all() and (self.signs == other.signs).all())
 
     def text(self) -> str:
-        return self.wide.astype("<u8").tobytes().hex() + self.signs.astype("<u2").tobytes().hex()
+        return self.wide.astype("<u8").tobytes().hex() + self.signs.astype("<u4").tobytes().hex()
 
     def likeness(self, other: Fingerprint) -> float:
         """Twice the dot product over the sum of the squared lengths: 1 for equal multisets, about 0 for disjoint ones."""
         if self == other:
             return 1.0
-        a, b = self.signs.view(np.int16).astype(float), other.signs.view(np.int16).astype(float)
+        a, b = self.signs.view(np.int32).astype(float), other.signs.view(np.int32).astype(float)
         return float(np.clip(2 * (a @ b) / max(1.0, a @ a + b @ b), 0.0, 1.0))
 
 

@@ -274,6 +274,16 @@ def test_fingerprints(docs, empty, spark):
     assert whole == parts and whole.text() == parts.text() and whole != Fingerprint(["a", "b", "c"])
 
 
+def test_fingerprint_of_a_much_repeated_word(spark):
+    from quillstone.llm.fingerprint import Fingerprint, fingerprint_edits, paragraphs
+
+    word = Fingerprint(paragraphs("word " * 1_000_000))
+    n, m = 125_000, 83_333
+    assert abs(word.likeness(Fingerprint(paragraphs("word " * 666_664))) - 2 * n * m / (n * n + m * m)) < 1e-9
+    rows = fingerprint_edits(spark.createDataFrame([(2, "word " * 1_000_000), (1, "other text")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.near_edited for r in rows}[2] > 0.9
+
+
 def test_sharding(docs, empty, spark):
     from quillstone.llm.sharding import assign_shards, descend, shard_tree
 
