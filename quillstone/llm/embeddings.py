@@ -6,8 +6,9 @@ order, as far as a margin beyond its nearest cell; the margin is the least that
 a sample of queries, which are compared with all vectors.  In each cell, visitors are compared with members exactly, in
 double precision, block by block.
 
-The codebooks are fitted on at most ``FIT`` vectors and the margin on at most ``PROBES`` queries; every vector is
-indexed.  A pair that only one side's visit finds counts for both sides, once.
+The codebooks are fitted on at most ``FIT`` vectors.  The margin is fitted on blocks of ``PROBES`` queries, drawn until
+``LINKED`` of them have links or ``MOST`` are drawn; below so many linked ones it never falls below ``WIDEST`` / 8.  Every
+vector is indexed.  A pair that only one side's visit finds counts for both sides, once.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or whose length is not the table's
 most frequent one link with nothing and are kept; equal vectors are one class, counted with its size; a table without
@@ -30,6 +31,8 @@ LEAST_COSINE, RECALL = 0.95, 0.995
 FIT, PROBES, PER_CELL, BLOCK, BINS = 20_000, 512, 128, 1024, 200
 #: squared distance of unit vectors at the least cosine: no margin beyond about twice that is of use
 WIDEST = 8 * (1 - LEAST_COSINE)
+#: linked probes that support a margin below WIDEST / 8, and probes drawn at most to find them
+LINKED, MOST = 200, 4096
 
 
 def unit(rows: pd.Series) -> np.ndarray:
@@ -103,8 +106,8 @@ class Index:
         return d1[:, cells // self.k] + d2[:, cells % self.k] - (d1.min(1) + d2.min(1))[:, None]
 
 
-def calibrated(index: Index, reps: DataFrame, probes: pd.DataFrame) -> float:
-    """The least margin whose visits find the target share of the probes' links, over links and over probes."""
+def link_gaps(index: Index, reps: DataFrame, probes: pd.DataFrame) -> np.ndarray:
+    """For each probe with links, their number by how far beyond the probe's nearest cell they lie."""
     queries, names = unit(probes["embedding"]), probes["rep"].to_numpy()
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,14 +123,24 @@ def calibrated(index: Index, reps: DataFrame, probes: pd.DataFrame) -> float:
     counts = reps.select("rep", "embedding").mapInPandas(work, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((len(queries), BINS + 1))
     table[counts["q"], counts["bin"]] = counts["n"]
-    table = table[table.sum(1) > 0]
+    return table[table.sum(1) > 0]
+
+
+def calibrated(index: Index, reps: DataFrame, probes: pd.DataFrame) -> float:
+    """The least margin whose visits find the target share of the probes' links, over links and over probes."""
+    table = np.zeros((0, BINS + 1))
+    for k in range(0, len(probes), PROBES):
+        table = np.concatenate([table, link_gaps(index, reps, probes.iloc[k : k + PROBES])])
+        if len(table) >= LINKED:
+            break
     if not len(table):
         return WIDEST / 8
     share = table.cumsum(1) / table.sum(1, keepdims=True)
     links = table.sum(0).cumsum() / table.sum()
     good = (share.mean(0) >= RECALL) & (links >= RECALL)
     # half as much again: a sample's largest gaps fall short of the table's
-    return 1.5 * float(np.argmax(good)) / BINS * WIDEST
+    margin = 1.5 * float(np.argmax(good)) / BINS * WIDEST
+    return margin if len(table) >= LINKED else max(margin, WIDEST / 8)
 
 
 def linked(q: pd.DataFrame, m: pd.DataFrame, index: Index) -> pd.DataFrame:
@@ -171,7 +184,7 @@ def near_embeddings(vectors: DataFrame) -> DataFrame:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     sample = classes.orderBy(F.xxhash64("rep", F.lit(1))).select("rep", "embedding").limit(FIT).toPandas()
     index = Index(unit(sample["embedding"]), max(2, round((n / PER_CELL) ** 0.5)))
-    index.margin = calibrated(index, classes, classes.orderBy(F.xxhash64("rep", F.lit(2))).select("rep", "embedding").limit(PROBES).toPandas())
+    index.margin = calibrated(index, classes, classes.orderBy(F.xxhash64("rep", F.lit(2))).select("rep", "embedding").limit(MOST).toPandas())
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -383,6 +383,31 @@ def test_embeddings(spark):
     assert near_embeddings(source.where("vec_id > 1000")).count() == 5 and near_embeddings(source.where("vec_id < 0")).count() == 0
 
 
+def test_embeddings_with_few_links(spark):
+    import pandas as pd
+
+    from quillstone.llm.embeddings import WIDEST, Index, calibrated, near_embeddings, unit
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    # 1 % of the vectors have a link, at a cosine of 0.95 to 0.97
+    for k in range(20):
+        side = rng.normal(size=64)
+        side -= side @ x[2 * k] * x[2 * k]
+        cosine = rng.uniform(0.951, 0.97)
+        x[2 * k + 1] = cosine * x[2 * k] + (1 - cosine**2) ** 0.5 * side / np.linalg.norm(side)
+    source = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4).cache()
+    found = {r.vec_id: r.n_links for r in near_embeddings(source).collect()}
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
+    assert sum(found.values()) >= 0.9 * 2 * len(i) and all(found[k] == 0 for k in set(range(4000)) - {*i, *j})
+    # probes whose few links all lie in their own cells say nothing of the others
+    reps = source.withColumnRenamed("vec_id", "rep")
+    probes = pd.DataFrame({"rep": range(40, 52), "embedding": list(x[40:52])})
+    twins = reps.unionByName(spark.createDataFrame([(10_000 + i, x[i].tolist()) for i in range(40, 45)], "rep long, embedding array<double>"))
+    assert calibrated(Index(unit(pd.Series(list(x))), 6), twins, probes) >= WIDEST / 8
+
+
 def test_pipeline(spark, data, docs):
     import corpus_pipeline
     from quillstone.llm.neardup import near_duplicates
