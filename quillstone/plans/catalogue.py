@@ -657,17 +657,17 @@ def stream_fold(spark, folder):
 def structured(spark, folder, version: int = 1):
     """Documents as numbered rule texts: two headings, clauses and items cut from the text's lines."""
     line = F.expr("transform(filter(split(text, '[.\\n]'), x -> trim(x) <> ''), x -> trim(x))")
-    docs = P.policy_documents(spark, folder).select("id", "circular_no", "issue_date", line.alias("l"))
+    docs = P.policy_documents(spark, folder).select("id", "circular_no", "issue_date", "doc_type", line.alias("l"))
     numbered = F.transform("l", lambda x, i: F.when(i % 9 == 8, F.concat(F.lit("(a) "), x)).otherwise(F.concat((i / 6 + 1).cast("int").cast("string"), F.lit("."), (i % 6 + version).cast("string"), F.lit(" "), x)))
     headed = F.flatten(F.transform(numbered, lambda x, i: F.when(i % 6 == 0, F.array(F.concat((i / 6 + 1).cast("int").cast("string"), F.lit(". TUJUAN DAN PEMAKAIAN")), x)).otherwise(F.array(x))))
-    return docs.select("id", F.lit(1).alias("page"), "circular_no", "issue_date", F.array_join(headed, "\n").alias("text"))
+    return docs.select("id", F.lit(1).alias("page"), "circular_no", "issue_date", "doc_type", F.array_join(headed, "\n").alias("text"))
 
 
 @query()
 def chunk_rules(spark, folder):
     from quillstone.operators.chunking import chunk_rules as run
 
-    rows = structured(spark, folder).where("id % 10 > 1")
+    rows = structured(spark, folder).where(~F.col("doc_type").eqNullSafe("minutes"))
     return run(rows.select("id", "page", "text"), rows.select("id", "circular_no"))
 
 
@@ -675,7 +675,7 @@ def chunk_rules(spark, folder):
 def chunk_minutes(spark, folder):
     from quillstone.operators.chunking import chunk_minutes as run
 
-    rows = P.policy_documents(spark, folder).where("id % 10 = 0")
+    rows = P.policy_documents(spark, folder).where("doc_type = 'minutes'")
     text = F.concat(F.lit("KEHADIRAN: all\nPERKARA 1: Laporan\n"), F.col("text"), F.lit("\nKEPUTUSAN: setuju\nTINDAKAN: Unit A\nlaksana"))
     return run(rows.select("id", F.lit(1).alias("page"), text.alias("text")), rows.select("id", "circular_no", "issue_date"))
 

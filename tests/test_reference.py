@@ -165,3 +165,13 @@ def test_readers(spark, tmp_path):
     (tmp_path / "p.txt").write_text("page one with more than thirty letters\fshort")
     pages = tables.text_pages(tables.raw_files(spark, str(tmp_path), "*.txt")).orderBy("number").collect()
     assert [p.number for p in pages] == [1, 2] and pages[1].text is None
+
+
+def test_every_document_is_chunked_once(spark, data):
+    from quillstone.sources import policy
+
+    ids = lambda df: {r[0] for r in df.select("id").distinct().collect()}
+    docs = policy.policy_documents(spark, data).where("trim(translate(text, '.\n', '')) <> ''")
+    rules, minutes = ids(catalogue.chunk_rules(spark, data)), ids(catalogue.chunk_minutes(spark, data))
+    assert not rules & minutes and ids(docs) <= rules | minutes
+    assert ids(docs.where("doc_type = 'report'")) <= rules
