@@ -467,6 +467,19 @@ def amendment_injection(spark, folder):
     return R.inject_amendments(sel, P.policy_relations(spark, folder), st.select("id"))
 
 
+#: the same steps over the passages that retrieval gives each benchmark item, in their places
+INJECT_RETRIEVED = JUR + """, sel AS (SELECT qid, js.id, row_number() OVER (PARTITION BY qid ORDER BY other, pos) AS pos, status, ((js.id % 9) + 1) || '.1' AS clause FROM js JOIN st ON st.id = js.id),
+""" + INJECT[INJECT.index("ed AS (SELECT sel.qid") :]
+
+
+@query(INJECT_RETRIEVED)
+def amendment_injection_retrieved(spark, folder):
+    st = statuses(spark, folder).select("id", "status")
+    places = jurisdiction_places(spark, folder).join(st, "id")
+    sel = places.select("qid", "id", F.col("place").alias("pos"), "status", F.concat((F.col("id") % 9 + 1).cast("string"), F.lit(".1")).alias("clause"))
+    return R.inject_amendments(sel, P.policy_relations(spark, folder), st.select("id"))
+
+
 # ------------------------------------------------------------------------------------- references, dates, functions
 REF_SQL = r"(?i)((?:surat\s+)?pekeliling\s+(?:perkhidmatan|perbendaharaan)|\b(?:spp|pp|se)\b|pekeliling\s+am\s+sarawak|\bpas\b)\s*(?:bilangan|bil\.?)\s*(\d{1,3})\s*(?:tahun|/)\s*((?:19|20)\d{2})"
 SERIES_SQL = "CASE WHEN starts_with(s, 'surat pekeliling perkhidmatan') THEN 'SPP' WHEN starts_with(s, 'pekeliling perkhidmatan') THEN 'PP' WHEN starts_with(s, 'pekeliling perbendaharaan') THEN 'PB' WHEN starts_with(s, 'pekeliling am sarawak') THEN 'PAS' ELSE upper(s) END"

@@ -175,3 +175,11 @@ def test_every_document_is_chunked_once(spark, data):
     rules, minutes = ids(catalogue.chunk_rules(spark, data)), ids(catalogue.chunk_minutes(spark, data))
     assert not rules & minutes and ids(docs) <= rules | minutes
     assert ids(docs.where("doc_type = 'report'")) <= rules
+
+
+def test_amendments_follow_all_retrieved_passages(spark, data):
+    ids = lambda df: {tuple(r) for r in df.select("qid", "id").collect()}
+    got = catalogue.amendment_injection_retrieved(spark, data)
+    places = ids(catalogue.jurisdiction_policy(spark, data))
+    assert {q for q, _ in ids(got)} == {q for q, _ in places}
+    assert ids(got.where("origin = 'selected'")) <= places
