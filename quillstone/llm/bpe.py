@@ -6,7 +6,8 @@ found by a scan, its boundary is deleted, and the two neighbouring ranks are ref
 rows of one matrix.  Words of over ``LONG`` bytes take the same steps with a heap in place of the scan.
 
 Defined results: a null or empty text has no ids; ``<|endoftext|>`` inside a text is its special id; very long texts
-are cut only where a token must start, so the ids are those of the whole text.
+are cut only where a token must start, so the ids are those of the whole text; a null doc_id stays null, and repeated
+rows give a row each.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from quillstone.llm.memory import in_frames
+
 LETTER, NUMBER, OTHER, SPACE, END = 1, 2, 3, 4, 5
 NO_RANK = np.int64(2**62)
 LONG = 256
@@ -346,26 +349,24 @@ def chunks(frame: pd.DataFrame, column: str = "text", most: int = 4 << 20) -> It
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: doc_id, n_tokens, ids (little-endian unsigned 32-bit, binary) and decoded text (binary)."""
-    path = path or default_path()
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = encoder(path)
+        coder = encoder(path or default_path())
         for frame in frames:
             for part in chunks(frame):
                 ids, ends = coder.encode([t or "" for t in part["text"]])
                 ids = ids.astype("<u4")
                 each = [ids[a:b] for a, b in zip(ends, ends[1:])]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": np.diff(ends), "ids": [x.tobytes() for x in each], "decoded": [coder.decode(x) for x in each]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_tokens": np.diff(ends), "ids": [x.tobytes() for x in each], "decoded": [coder.decode(x) for x in each]})
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return in_frames(docs.select("doc_id", "text"), work, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Digests of :func:`encode_documents`, taken where the ids are made so that they need not leave the worker."""
-    path = path or default_path()
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = encoder(path)
+        coder = encoder(path or default_path())
         for frame in frames:
             for part in chunks(frame):
                 ids, ends = coder.encode([t or "" for t in part["text"]])
@@ -373,11 +374,11 @@ def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                 spans = list(zip(ends, ends[1:]))
                 yield pd.DataFrame(
                     {
-                        "doc_id": part["doc_id"].to_numpy(),
+                        "doc_id": part["doc_id"].array,
                         "n_tokens": np.diff(ends),
                         "ids_sha256": [hashlib.sha256(wide[a:b].tobytes()).hexdigest() for a, b in spans],
                         "decoded_sha256": [hashlib.sha256(coder.decode(ids[a:b])).hexdigest() for a, b in spans],
                     }
                 )
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_frames(docs.select("doc_id", "text"), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

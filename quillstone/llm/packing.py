@@ -1,8 +1,9 @@
 """Packing documents into training sequences, order kept (operator 3) or best fit decreasing (operator 4).
 
 Both encode each text once, in the task that packs it.  Defined results: a null or empty text is one end id; documents
-of the same id are packed as separate documents; a document longer than a sequence is cut, and each id lies in exactly
-one piece; an empty table gives no rows.
+of the same id are packed as separate documents, in the order of their texts where order is kept; a null doc_id stays
+null in its pieces, and such documents come first; a document longer than a sequence is cut, and each id lies in exactly
+one piece; an empty table gives no rows.  Sequence numbers depend on how the table is dealt to tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from quillstone.llm.bpe import chunks, default_path, encoder
-from quillstone.llm.memory import release, small_batches
+from quillstone.llm.memory import in_frames, release, small_batches
 
 WINDOW = 2048
 END_ID = 1
@@ -79,24 +80,29 @@ def power_cuts(length: int, window: int = WINDOW) -> list[int]:
     return [length] if length == window else [1 << k for k in range(length.bit_length() - 1, -1, -1) if length >> k & 1]
 
 
+def numbers(ids: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, 0 in place of nulls, and which are not null."""
+    return ids.fillna(0).to_numpy(np.int64), ids.notna().to_numpy(bool)
+
+
 class Stream:
     """Packs one partition's documents in order; what the last window of a block holds moves on to the next block."""
 
     def __init__(self, path: str):
-        self.path, self.coder, self.can_end = path, encoder(path), sentence_ends(path)
+        self.coder, self.can_end = encoder(path), sentence_ends(path)
         self.ids = np.empty(0, np.uint32)
-        # of each document that has ids here: its id, where it starts (maybe before), its number of ids
-        self.docs = np.empty((0, 3), np.int64)
+        # of each document that has ids here: its id, where it starts (maybe before), its number of ids, whether it has an id
+        self.docs = np.empty((0, 4), np.int64)
         self.sequence = TaskContext.get().partitionId() << 40 if TaskContext.get() else 0
 
-    def add(self, doc_ids: np.ndarray, texts: list[str]) -> Iterator[pd.DataFrame]:
+    def add(self, doc_ids: np.ndarray, named: np.ndarray, texts: list[str]) -> Iterator[pd.DataFrame]:
         ids, ends = self.coder.encode(texts)
         n = np.diff(ends)
         full = np.full(len(ids) + len(texts), END_ID, np.uint32)
         full[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), n)] = ids
         starts = np.concatenate([[0], np.cumsum(n + 1)[:-1]]) + len(self.ids)
         self.ids = np.concatenate([self.ids, full])
-        self.docs = np.concatenate([self.docs, np.stack([doc_ids, starts, n + 1], 1)])
+        self.docs = np.concatenate([self.docs, np.stack([doc_ids, starts, n + 1, named], 1)])
         if len(self.ids) >= BLOCK_TOKENS:
             yield self.close(False)
 
@@ -120,7 +126,7 @@ class Stream:
         window = np.searchsorted(cuts, a, "right") - 1
         out = pd.DataFrame(
             {
-                "doc_id": docs[doc, 0],
+                "doc_id": pd.arrays.IntegerArray(docs[doc, 0], docs[doc, 3] == 0),
                 "start": a - docs[doc, 1],
                 "length": b - a,
                 "ids_crc32": [zlib.crc32(ids[x:y].tobytes()) for x, y in zip(a, b)],
@@ -148,18 +154,17 @@ def pack_in_order(docs: DataFrame, path: str | None = None) -> DataFrame:
     and within it a block of about a million ids is held at a time.  The last window of a stream is cut into powers of
     two, which take no padding.
     """
-    path = path or default_path()
     small_batches(docs.sparkSession)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream = Stream(path)
+        stream = Stream(path or default_path())
         for frame in frames:
             for part in chunks(frame):
-                yield from stream.add(part["doc_id"].to_numpy(np.int64), [t or "" for t in part["text"]])
+                yield from stream.add(*numbers(part["doc_id"]), [t or "" for t in part["text"]])
         yield stream.close()
         release()
 
-    return docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInPandas(work, PIECE_SCHEMA)
+    return in_frames(docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"), work, PIECE_SCHEMA)
 
 
 class CapacityTree:
@@ -222,10 +227,9 @@ def pack_best_fit(docs: DataFrame, path: str | None = None, block_tokens: int =
     from 0; doc_ids and starts name each segment's document and its place there.  Documents of over 2048 ids are split
     into full segments and a rest, so nothing is lost.  Texts are packed where they are read, in blocks: no shuffle.
     """
-    path = path or default_path()
     small_batches(docs.sparkSession)
 
-    def block(doc: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.ndarray, at: np.ndarray, first: int) -> pd.DataFrame:
+    def block(doc: np.ndarray, named: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.ndarray, at: np.ndarray, first: int) -> pd.DataFrame:
         where, offset = best_fit_decreasing(length)
         order = np.lexsort((offset, where))
         bins = int(where.max()) + 1
@@ -239,12 +243,12 @@ def pack_best_fit(docs: DataFrame, path: str | None = None, block_tokens: int =
                 matrix[row, offset[k] : offset[k] + n] = ids[at[k] : at[k] + n]
                 positions[row, offset[k] : offset[k] + n] = np.arange(n)
             edges.append(np.concatenate([[0], np.cumsum(length[group])]).astype(np.int32))
-            names.append(doc[group])
+            names.append(doc[group] if named[group].all() else [d if there else None for d, there in zip(doc[group].tolist(), named[group].tolist())])
             starts.append(start[group])
         return pd.DataFrame(rows | {"ids": [r.tobytes() for r in matrix], "position_ids": [r.tobytes() for r in positions], "cu_seqlens": edges, "doc_ids": names, "starts": starts})
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = encoder(path)
+        coder = encoder(path or default_path())
         first = TaskContext.get().partitionId() << 40
         held: list = []
         size = 0
@@ -252,7 +256,7 @@ def pack_best_fit(docs: DataFrame, path: str | None = None, block_tokens: int =
         def flush() -> pd.DataFrame:
             nonlocal first, held, size
             columns = [np.concatenate(x) for x in zip(*held)]
-            out = block(*columns[:5], first)
+            out = block(*columns, first)
             first, held, size = first + len(out), [], 0
             return out
 
@@ -267,7 +271,8 @@ def pack_best_fit(docs: DataFrame, path: str | None = None, block_tokens: int =
                 start = (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * WINDOW
                 length = np.minimum(n[which] - start, WINDOW)
                 at = (np.cumsum(n) - n)[which] + start + size
-                held.append((part["doc_id"].to_numpy(np.int64)[which], start, length, full, at))
+                doc, named = numbers(part["doc_id"])
+                held.append((doc[which], named[which], start, length, full, at))
                 size += len(full)
                 if size >= block_tokens:
                     yield flush()
@@ -275,4 +280,4 @@ def pack_best_fit(docs: DataFrame, path: str | None = None, block_tokens: int =
             yield flush()
         release()
 
-    return docs.select("doc_id", "text").mapInPandas(work, MATRIX_SCHEMA)
+    return in_frames(docs.select("doc_id", "text"), work, MATRIX_SCHEMA)

@@ -8,7 +8,9 @@ The machine is fitted on at most ``SAMPLE`` labelled rows, those with the smalle
 crc32(doc_id) is no multiple of 5; every text is scored whole.  Labels, lang, source and doc_id are no features.
 
 Defined results: a null or empty text is scored as a text with no words; without labelled rows of both classes, the
-score is the share of label 1 (one half if there are none); repeated rows are scored alike.
+score is the share of label 1 (one half if there are none); repeated rows are scored alike; of several labels or texts
+of one id the smallest is learned; a row whose doc_id is null is scored like any other, is never learned from, and its
+held_out is false.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.memory import release, small_batches
+from quillstone.llm.memory import hash_sample, in_frames, release, small_batches
 
 SAMPLE = 4000
 BUCKETS, FACTORS, BINS = 4096, 8, 12
@@ -37,7 +40,7 @@ BYTE_CLASS[[9, 10, 11, 12, 13, 32]], BYTE_CLASS[[44, 46, 39, 45, 59, 58]], BYTE_
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
 class Words(dict):
@@ -129,19 +132,19 @@ class Machine:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """A machine fitted on at most ``sample`` labelled rows outside the held-out fold."""
-    known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__quality"))
-    known = known.where(F.col("__quality").isin(0, 1) & F.col("__id").isNotNull() & ~held_out(F.col("__id")))
-    known = known.orderBy(F.xxhash64("__id"), "__id", "__quality").limit(sample)
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality"))
+    known = known.where(F.col("quality").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    known = hash_sample(known.groupBy("id").agg(F.min("quality").alias("quality")), F.xxhash64("id"), sample)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             stats, words = zip(*map(features, frame["text"])) if len(frame) else ((), ())
-            yield pd.DataFrame({"id": frame["__id"], "quality": frame["__quality"], "stats": [s.tolist() for s in stats], "words": [np.sort(w).tolist() for w in words]})
+            yield pd.DataFrame({"id": frame["id"], "quality": frame["quality"], "stats": [s.tolist() for s in stats], "words": [np.sort(w).tolist() for w in words]})
 
     # at most ``sample`` ids: a bounded broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("__id", "__quality", "text")
-    got = rows.mapInPandas(work, "id long, quality int, stats array<double>, words array<int>").toPandas().sort_values("id")
-    got = got.drop_duplicates("id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text")).join(F.broadcast(known), "id")
+    rows = rows.groupBy("id", "quality").agg(F.min("text").alias("text"))
+    got = in_frames(rows, work, "id long, quality int, stats array<double>, words array<int>").toPandas().sort_values("id")
     stats = np.array(got["stats"].tolist()) if len(got) else np.empty((0, 1))
     return Machine(stats, [np.array(w, np.int32) for w in got["words"]], got["quality"].to_numpy(float))
 
@@ -152,12 +155,14 @@ def score(docs: DataFrame, machine: Machine, columns: list[str] | None = None, n
     schema = docs.select(*kept).schema.add(name, "double")
     small_batches(docs.sparkSession)
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame[kept].assign(**{name: [machine.score(t) for t in frame["text"]]})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = pa.array([machine.score(t.as_py()) for t in batch.column("text")], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), scores], [*kept, name])
         release()
 
-    return docs.select(*dict.fromkeys([*kept, "text"])).mapInPandas(work, schema)
+    # the columns go through as they are
+    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(work, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
