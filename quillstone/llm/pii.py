@@ -3,8 +3,12 @@
 Candidates are found by one pattern and validated: card numbers by the Luhn sum, dates by the calendar, addresses by
 their octets, social security numbers by their ranges.  A valid number or date is permuted within its format by a keyed
 Feistel network over mixed radices, so equal values get equal pseudonyms in every document, and different values
-different ones.  A card number's last digit is computed anew, so the pseudonym is valid too.  Mail addresses and quoted
-secrets are no numbers: they are replaced by keyed digests of the same kind.
+different ones.  A card number's last digit is computed anew, so the pseudonym is valid too.  A date with slashes that
+can be read day first is, and stays among those; others (month first, a day above 12) are permuted among themselves, by
+walking on until the result is one.  Mail addresses and quoted secrets of any length are no numbers: they are replaced by
+keyed digests of the same kind (64 bits for each part of an address).
+
+The key is the caller's; :func:`session_key` reads it from the session.  Who knows the key can undo the permutations.
 
 Defined results: a null text stays null, an empty one empty; a text without valid candidates is unchanged; candidates
 that are not valid stay; columns other than text are kept, whatever their names.
@@ -12,18 +16,21 @@ that are not valid stay; columns other than text are kept, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "set-your-own-key"
+from quillstone.llm.memory import free_name
+
+#: the setting that holds the key, and the key of sessions without one: fit for tests only, as it is public
+KEY_SETTING, PUBLIC_KEY = "spark.quillstone.pseudonym.key", "public-test-key"
 ROUNDS = 10
 #: days from 1700-01-01 to 2099-12-31 are 27 x 5411
 DAY_RADICES, FIRST_DAY = (27, 5411), "1700-01-01"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 KINDS = {
-    "secret": r"(?=[TSPAtspa])(?i:\b(?:token|secret|password|api[_-]?key))\s{0,3}[=:]\s{0,3}\"[^\"\n]{8,256}\"",
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,256}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "secret": r"(?=[TSPAtspa])(?i:\b(?:token|secret|password|api[_-]?key))\s{0,3}[=:]\s{0,3}(?:\"[^\"\n]++\"|'[^'\n]++')",
+    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "address": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]\d|\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![./-]?\d)",
@@ -34,7 +41,15 @@ NUMBERS = ("address", "phone", "date", "social", "card")
 #: one pattern, the kinds in order; those of numbers are tried only where a number may start
 PATTERN = "|".join([KINDS["secret"], KINDS["mail"], "(?=[0-9+(])(?:" + "|".join(KINDS[k] for k in NUMBERS) + ")"])
 #: what every candidate holds; a text without any needs no search
-SIGN = '[0-9@"]'
+SIGN = '[0-9@"\']'
+
+
+#: a secret's lead with its opening quote, and its value
+SECRET = r"^([^=:]*[=:]\s*[\"'])(.*)[\"']$"
+
+
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, PUBLIC_KEY)
 
 
 def digest(key: str, *parts: Column) -> Column:
@@ -104,12 +119,12 @@ def pseudonym(found: Column, key: str) -> Column:
     quad = lambda p: F.struct(((p[0] / 256).cast("long")).alias("a"), (p[0] % 256).alias("b"), (p[1] / 256).cast("long").alias("c"), (p[1] % 256).alias("d"))
     address = F.concat_ws(".", *(quad((left, right))[x].cast("string") for x in "abcd"))
     social = in_format(found, permuted_social(digits, key))
-    mail = F.concat(F.lit("u"), F.substring(digest(key, F.lit("mail"), F.lower(F.substring_index(found, "@", 1))), 1, 10), F.lit("@d"), F.substring(digest(key, F.lit("host"), F.lower(F.substring_index(found, "@", -1))), 1, 8), F.lit(".example"))
-    value = F.regexp_extract(found, "\"([^\"]*)\"", 1)
-    hexes = F.substring(F.repeat(digest(key, F.lit("secret"), value), 5), F.lit(1), F.length(value))
-    secret = F.concat(F.regexp_extract(found, "^[^\"]*\"", 0), F.when(value == F.upper(value), F.upper(hexes)).otherwise(hexes), F.lit('"'))
+    mail = F.concat(F.lit("u"), F.substring(digest(key, F.lit("mail"), F.lower(F.substring_index(found, "@", 1))), 1, 16), F.lit("@d"), F.substring(digest(key, F.lit("host"), F.lower(F.substring_index(found, "@", -1))), 1, 16), F.lit(".example"))
+    value = F.regexp_extract(found, SECRET, 2)
+    hexes = F.substring(F.repeat(digest(key, F.lit("secret"), value), F.ceil(F.length(value) / 64).cast("int")), F.lit(1), F.length(value))
+    secret = F.concat(F.regexp_extract(found, SECRET, 1), F.when(value == F.upper(value), F.upper(hexes)).otherwise(hexes), F.right(found, F.lit(1)))
     return (
-        F.when(found.contains('"'), secret)
+        F.when(F.right(found, F.lit(1)).isin('"', "'"), secret)
         .when(found.contains("@"), mail)
         .when(found.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), address)
         .when(found.rlike(r"^\d{4}-\d{2}-\d{2}$|^\d{2}/\d{2}/\d{4}$|^\d{2}\.\d{2}\.\d{4}$"), permuted_date(found, key))
@@ -131,20 +146,27 @@ def permuted_social(digits: Column, key: str) -> Column:
 
 def permuted_date(found: Column, key: str) -> Column:
     """A date of the years 1700 to 2099 becomes another of them in the same notation; others, and no dates, stay."""
-    out = found
-    for pattern, like in (("MM/dd/yyyy", r"^\d{2}/"), ("dd.MM.yyyy", r"^\d{2}\."), ("dd/MM/yyyy", r"^\d{2}/"), ("yyyy-MM-dd", r"^\d{4}-")):
-        day = F.try_to_date(found, pattern)
-        k = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
+    first = F.lit(FIRST_DAY).cast("date")
+
+    def permuted(k: Column) -> Column:
         left, right = feistel((k / DAY_RADICES[1]).cast("long"), k % DAY_RADICES[1], F.lit(DAY_RADICES[0]), F.lit(DAY_RADICES[1]), key, F.lit("date"))
-        moved = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (left * DAY_RADICES[1] + right).cast("int")), pattern)
-        out = F.when(found.rlike(like) & k.between(0, DAY_RADICES[0] * DAY_RADICES[1] - 1), moved).otherwise(out)
+        return (left * DAY_RADICES[1] + right).cast("int")
+
+    def walked(k: Column) -> Column:
+        # of all dates, 39 % have a day up to 12: 64 steps miss the others with a chance of 1e-26
+        out = F.aggregate(F.sequence(F.lit(1), F.lit(64)), k, lambda a, i: F.when((i == 1) | (F.day(F.date_add(first, a)) <= 12), permuted(a)).otherwise(a))
+        return F.when(F.day(F.date_add(first, k)) > 12, out)
+
+    out = found
+    for pattern, like, move in (("MM/dd/yyyy", r"^\d{2}/", walked), ("dd.MM.yyyy", r"^\d{2}\.", permuted), ("dd/MM/yyyy", r"^\d{2}/", permuted), ("yyyy-MM-dd", r"^\d{4}-", permuted)):
+        k = F.datediff(F.try_to_date(found, pattern), first)
+        out = F.when(found.rlike(like) & k.between(0, DAY_RADICES[0] * DAY_RADICES[1] - 1), F.coalesce(F.date_format(F.date_add(first, move(k)), pattern), found)).otherwise(out)
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, counts: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, counts: str | None = None) -> DataFrame:
     """docs with pseudonyms in text; with ``counts``, a column of that name has the number of replacements."""
-    taken = {c.lower() for c in docs.columns}
-    found, new = (next(n for k in range(9**9) if (n := f"__{x}{k}") not in taken) for x in ("found", "new"))
+    found, new = (free_name(docs.columns, x) for x in ("found", "new"))
     none = F.array().cast("array<string>")
     out = docs.withColumn(found, F.when(F.col("text").rlike(SIGN), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(none))
     out = out.withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda x: pseudonym(x, key))))

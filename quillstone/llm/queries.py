@@ -11,9 +11,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillstone.llm.pii import pseudonymise
+    from quillstone.llm.pii import pseudonymise, session_key
 
-    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), counts="n_replaced")
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), session_key(spark), counts="n_replaced")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
