@@ -6,13 +6,15 @@ order, as far as a margin beyond its nearest cell; the margin is the least that
 a sample of queries, which are compared with all vectors.  In each cell, visitors are compared with members exactly, in
 double precision, block by block.
 
-The codebooks are fitted on at most ``FIT`` vectors.  The margin is fitted on blocks of ``PROBES`` queries, drawn until
-``LINKED`` of them have links or ``MOST`` are drawn; below so many linked ones it never falls below ``WIDEST`` / 8.  Every
-vector is indexed.  A pair that only one side's visit finds counts for both sides, once.
-
-Defined results: vectors that are null, zero, hold null or non-finite components, or whose length is not the table's
-most frequent one link with nothing and are kept; equal vectors are one class, counted with its size; a table without
-valid vectors gives its rows without links.
+The codebooks are fitted on at most ``FIT`` vectors, or ``FIT_CODE`` for each codeword if that is more, up to ``FIT_MOST``.
+The margin is fitted on blocks of ``PROBES`` queries, drawn until ``LINKED`` of them have links or ``MOST`` are drawn; below
+so many linked ones it never falls below ``WIDEST`` / 8.  Every vector is indexed.  A pair that only one side's visit
+finds counts for both sides, once.  Vectors of different lengths are never alike: each length with over ``FEW`` vectors
+has an index of its own, and those of rarer lengths are all compared with each other.
+
+Defined results: vectors that are null, zero, hold null or non-finite components, or have a null vec_id link with nothing
+and are kept; equal vectors are one class, counted with its size; a table without valid vectors gives its rows without
+links; repeated rows of one vec_id count as vectors of their own.
 """
 
 from __future__ import annotations
@@ -26,9 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.components import components, cut
+from quillstone.llm.memory import hash_sample
 
 LEAST_COSINE, RECALL = 0.95, 0.995
-FIT, PROBES, PER_CELL, BLOCK, BINS = 20_000, 512, 128, 1024, 200
+FIT, FIT_CODE, FIT_MOST, PROBES, PER_CELL, BLOCK, BINS, FEW = 20_000, 20, 200_000, 512, 128, 1024, 200, 4096
+#: a cell's rows meet its counts in so many parts
+SALTS = 8
 #: squared distance of unit vectors at the least cosine: no margin beyond about twice that is of use
 WIDEST = 8 * (1 - LEAST_COSINE)
 #: linked probes that support a margin below WIDEST / 8, and probes drawn at most to find them
@@ -143,7 +148,17 @@ def calibrated(index: Index, reps: DataFrame, probes: pd.DataFrame) -> float:
     return margin if len(table) >= LINKED else max(margin, WIDEST / 8)
 
 
-def linked(q: pd.DataFrame, m: pd.DataFrame, index: Index) -> pd.DataFrame:
+def fitted(classes: DataFrame, n: int) -> Index:
+    """An index for the n vectors of one length."""
+    k = max(2, round((n / PER_CELL) ** 0.5))
+    rows = classes.select("rep", "embedding")
+    sample = hash_sample(rows, F.xxhash64("rep", F.lit(1)), min(FIT_MOST, max(FIT, FIT_CODE * k))).toPandas()
+    index = Index(unit(sample["embedding"]), k)
+    index.margin = calibrated(index, rows, hash_sample(rows, F.xxhash64("rep", F.lit(2)), MOST).toPandas())
+    return index
+
+
+def linked(q: pd.DataFrame, m: pd.DataFrame, indexes: dict[int, Index]) -> pd.DataFrame:
     """Links of a block of visitors with a block of members: what each counts, and the least id of its part here."""
     none = pd.DataFrame({"rep": [], "links": [], "label": []}, dtype=np.int64)
     if not len(q) or not len(m):
@@ -158,7 +173,8 @@ def linked(q: pd.DataFrame, m: pd.DataFrame, index: Index) -> pd.DataFrame:
     na, nb = q["size"].to_numpy(np.int64)[rows], m["size"].to_numpy(np.int64)[columns]
     forward = hit @ nb
     # the member counts the pair itself unless its own visit finds the visitor's cell
-    own = index.beyond(b[columns], index.cells(a[rows])[0]) <= index.margin
+    index = indexes.get(int(q["dim"].iloc[0]))
+    own = index.beyond(b[columns], index.cells(a[rows])[0]) <= index.margin if index else np.ones_like(hit.T)
     backward = na @ (hit & ~own.T)
     la, lb, big = ra.copy(), rb.copy(), np.int64(2**63 - 1)
     while True:
@@ -172,38 +188,41 @@ def linked(q: pd.DataFrame, m: pd.DataFrame, index: Index) -> pd.DataFrame:
 
 def near_embeddings(vectors: DataFrame) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept."""
-    base = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    # with one component only its sign counts
+    base = base.withColumn("embedding", F.when(F.size("embedding") == 1, F.transform("embedding", F.signum)).otherwise(F.col("embedding")))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     nonzero = F.exists("embedding", lambda x: x != 0)
     rows = base.withColumn("dim", F.when(F.col("embedding").isNotNull() & ~bad & nonzero & F.col("vec_id").isNotNull(), F.size("embedding")))
-    common = rows.where("dim > 1").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    keyed = rows.select("vec_id", "embedding", F.when(F.col("dim") == (common[0] if common else -1), F.xxhash64("embedding")).alias("h"))
-    classes = cut(keyed.where("h is not null").groupBy("h", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size")))
-    n = classes.count()
-    if not n:
-        return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = classes.orderBy(F.xxhash64("rep", F.lit(1))).select("rep", "embedding").limit(FIT).toPandas()
-    index = Index(unit(sample["embedding"]), max(2, round((n / PER_CELL) ** 0.5)))
-    index.margin = calibrated(index, classes, classes.orderBy(F.xxhash64("rep", F.lit(2))).select("rep", "embedding").limit(MOST).toPandas())
+    keyed = rows.select("vec_id", "embedding", "dim", F.when(F.col("dim").isNotNull(), F.xxhash64("embedding")).alias("h"))
+    classes = cut(keyed.where("h is not null").groupBy("h", "embedding", "dim").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size")))
+    # one row a length that occurs often; the others need no index
+    often = classes.groupBy("dim").count().where(F.col("count") > FEW).collect()
+    indexes = {dim: fitted(classes.where(F.col("dim") == dim), n) for dim, n in often}
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if len(frame):
-                x = unit(frame["embedding"])
-                yield frame.assign(cell=index.cells(x)[0], visits=index.visits(x))
-
-    placed = cut(classes.select("rep", "size", "embedding").mapInPandas(place, "rep long, size long, embedding array<double>, cell long, visits array<long>"))
-    # columns of their own, as both sides of the cogroup come from one table
-    members = placed.select(*(F.col(c).alias(c) for c in ("rep", "size", "embedding", "cell")))
-    visitors = placed.select("rep", "size", "embedding", F.explode("visits").alias("cell"))
-    # cells in blocks: a row for each cell, whatever the number of vectors
-    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
-    sizes = blocks(members, "mb").join(blocks(visitors, "qb"), "cell")
-    part = lambda count: F.pmod(F.xxhash64("rep"), F.col(count))
-    m = members.join(sizes, "cell").select("rep", "size", "embedding", "cell", part("mb").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1)).alias("j"))
-    q = visitors.join(sizes, "cell").select("rep", "size", "embedding", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1)).alias("i"), part("qb").alias("j"))
-    key = ["cell", "i", "j"]
-    got = cut(q.groupBy(*key).cogroup(m.groupBy(*key)).applyInPandas(lambda a, b: linked(a, b, index), "rep long, links long, label long"))
+            for dim, group in frame.groupby("dim"):
+                if dim in indexes:
+                    x = unit(group["embedding"])
+                    yield group.assign(cell=indexes[dim].cells(x)[0], visits=indexes[dim].visits(x))
+                else:
+                    yield group.assign(cell=0, visits=[[0]] * len(group))
+
+    placed = cut(classes.select("rep", "size", "embedding", "dim").mapInPandas(place, "rep long, size long, embedding array<double>, dim int, cell long, visits array<long>"))
+    # columns of their own, as both sides of the cogroup come from one table; a cell's rows are counted and dealt in salts
+    salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt")
+    members = placed.select(*(F.col(c).alias(c) for c in ("rep", "size", "embedding", "dim", "cell")), salt)
+    visitors = placed.select("rep", "size", "embedding", "dim", F.explode("visits").alias("cell"), salt)
+    # cells in blocks: a row for each cell and salt, whatever the number of vectors
+    blocks = lambda df, name: df.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
+    sizes = blocks(members, "mb").join(blocks(visitors, "qb"), ["dim", "cell"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    part = lambda count: F.pmod(F.xxhash64("rep", F.lit(6)), F.col(count))
+    upto = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    m = members.join(sizes, ["dim", "cell", "salt"]).select("rep", "size", "embedding", "dim", "cell", part("mb").alias("i"), upto("qb").alias("j"))
+    q = visitors.join(sizes, ["dim", "cell", "salt"]).select("rep", "size", "embedding", "dim", "cell", upto("mb").alias("i"), part("qb").alias("j"))
+    key = ["dim", "cell", "i", "j"]
+    got = cut(q.groupBy(*key).cogroup(m.groupBy(*key)).applyInPandas(lambda a, b: linked(a, b, indexes), "rep long, links long, label long"))
     found = components(got.select(F.col("rep").alias("a"), F.col("label").alias("b")))
     links = got.groupBy("rep").agg(F.sum("links").alias("links"))
     of_class = classes.join(links, "rep", "left").join(found, F.col("rep") == F.col("node"), "left")
