@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the folder that the session names."""
+    """df with its lineage cut by a reliable checkpoint in the folder that spark.checkpoint.dir names."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        # no folder named: a local run, as in tests
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.getCheckpointDir() is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return df.checkpoint()
 
 

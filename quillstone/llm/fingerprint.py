@@ -7,7 +7,8 @@ estimate how alike two multisets are, since the dot product of two such sums est
 holds below 2^31 paragraphs, more than a text of 2 GB has.
 
 Defined results: a null text counts as empty; an empty text has no paragraphs, and two such texts are alike (1.0);
-repeated rows of one doc_id follow each other in the order of their texts.
+repeated rows of one doc_id follow each other in the order of their texts; a row whose doc_id is null has no place in the
+order: it has its own fingerprint, and no edited text or likeness (nulls).
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.memory import small_batches
+from quillstone.llm.memory import in_frames, small_batches
 
 WIDE, SIGNS, WORDS = 4, 256, 8
 
@@ -83,30 +85,32 @@ class Fingerprint:
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
+#: stretches of doc_id for each shuffle partition
+STRETCHES = 2
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last third is the next document's beginning.
 
-    Documents are dealt by equal stretches of doc_id and read in descending order, so the next one is at hand; each
-    stretch also gets the largest document below it.  The texts are shuffled once, and a task holds two of them.
+    Documents are dealt by stretches of doc_id that hold about as many rows each (cut at quantiles), and read in
+    descending order, so the next one is at hand; each stretch also gets the largest document below it.  The texts are
+    shuffled once, and a task holds two of them.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull())
-    low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    named = base.where(F.col("doc_id").isNotNull())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = 4 * parts
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(1, -(-(high - low + 1) // blocks))
-    # integer division keeps ids above 2^53 apart
-    block = F.expr(f"(cast(doc_id as decimal(20,0)) - {low}) div {width}").cast("long")
-    # one row a stretch: their number is bounded by the number of partitions
-    tops = sorted(tuple(r) for r in ids.groupBy(block.alias("b")).agg(F.max("doc_id")).collect())
+    blocks = STRETCHES * parts
+    # both lists at the driver have one entry a stretch: their number is bounded by the number of partitions
+    edges = sorted({float(x) for x in named.agg(F.percentile_approx("doc_id", [k / blocks for k in range(1, blocks)], 20 * blocks)).first()[0] or ()})
+    place = Bucketizer(splits=[-float("inf"), *(edges or [0.0]), float("inf")], inputCol="as_double", outputCol="b").transform
+    dealt = place(named.withColumn("as_double", F.col("doc_id").cast("double"))).withColumn("b", F.col("b").cast("long")).drop("as_double")
+    tops = sorted(tuple(r) for r in dealt.groupBy("b").agg(F.max("doc_id")).collect())
     follow = [(top, tops[k + 1][0]) for k, (_, top) in enumerate(tops[:-1])] + [(tops[-1][1], tops[0][0])] if tops else []
-    base = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    extra = base.join(F.broadcast(spark.createDataFrame(follow, "doc_id long, b long")), "doc_id").select("doc_id", "text", "b", F.lit(1).alias("extra"))
-    rows = base.select("doc_id", "text", block.alias("b"), F.lit(0).alias("extra")).unionByName(extra)
+    extra = named.join(F.broadcast(spark.createDataFrame(follow, "doc_id long, b long")), "doc_id").select("doc_id", "text", "b", F.lit(1).alias("extra"))
+    rows = dealt.select("doc_id", "text", "b", F.lit(0).alias("extra")).unionByName(extra)
     rows = rows.repartition(parts, "b").sortWithinPartitions("b", "extra", F.desc("doc_id"), "text")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,8 +133,13 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
                     done.append((doc0, n, hashlib.sha256(edited.encode()).hexdigest(), own0.text(), new.text(), own0.likeness(new), own0.likeness(own)))
                 held = None if is_extra else (doc, text, own, b)
                 if len(done) >= 1000:
-                    yield pd.DataFrame(done, columns=[c.split()[0] for c in RESULT.split(", ")])
+                    yield pd.DataFrame(done, columns=COLUMNS)
                     done = []
-        yield pd.DataFrame(done, columns=[c.split()[0] for c in RESULT.split(", ")])
+        yield pd.DataFrame(done, columns=COLUMNS)
 
-    return rows.mapInPandas(work, RESULT)
+    def alone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            done = [(None, len(t or ""), None, Fingerprint(paragraphs(t or "")).text(), None, None, None) for t in frame["text"]]
+            yield pd.DataFrame(done, columns=COLUMNS)
+
+    return in_frames(rows, work, RESULT).unionByName(in_frames(base.where(F.col("doc_id").isNull()), alone, RESULT))

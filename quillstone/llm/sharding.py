@@ -5,8 +5,8 @@ id and the child's name, and the smallest draw wins.  A child's draw depends on
 child's weight, so a change of weights moves rows only into or out of the subtrees whose weights change.  A shard beyond
 the base tree is a region of its own: it takes rows only into itself.
 
-Defined results: a null text has no bytes and checksum 0; rows of the same doc_id fall into the same shard; a null
-doc_id is placed as the text "null"; an empty table gives no rows.
+Defined results: a null text has no bytes and checksum 0; rows of the same doc_id fall into the same shard; a row whose
+doc_id is null is placed by the text "null"; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 SHARDS, RACKS_PER_REGION, SHARDS_PER_RACK = 24, 4, 2
 SEED = "quill"
-NUMBERING_BLOCKS = 64
+#: numbering blocks of a shard: at least so many, and one for each so many rows of the table
+NUMBERING_BLOCKS, BLOCK_ROWS = 64, 4_000_000
 
 #: children of each node, in order, by the node's path ("" is the root); a leaf's path is in no key
 Tree = dict[str, list[tuple[str, float]]]
@@ -59,12 +60,13 @@ def descend(df: DataFrame, key: Column, tree: Tree, leaves: dict[str, int], out:
     return df.withColumn(out, lookup(leaves, F.col(out)).cast("int"))
 
 
-def assign_shards(docs: DataFrame, shards: int = SHARDS, blocks: int = NUMBERING_BLOCKS) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = SHARDS, blocks: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Slots number a shard's rows without gaps.  Rows are counted by (shard, block of ids), the counts' running sums give
-    each block its first slot, and rows are numbered within blocks: no task holds a shard.
+    each block its first slot, and rows are numbered within blocks, whose number grows with the table: no task holds a shard.
     """
+    blocks = blocks or max(NUMBERING_BLOCKS, docs.count() // BLOCK_ROWS)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     placed = docs.select(
         "doc_id",
