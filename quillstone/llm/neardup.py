@@ -11,12 +11,16 @@ clusters.  A bucket that still holds several clusters is open, as its pivot says
 unlike it: there the members outside the largest cluster are compared with all others, and only links that join clusters
 leave the task.  An open bucket with over ``WIDE`` members outside its largest cluster is split by each later band first,
 ``DEPTH`` bands at most, and then compared in blocks.  So two documents over the threshold get into one cluster unless
-they share no band, or a wide open bucket and no further band to split it by.  A cluster's documents meet in tasks, block
-by block; there registers are compared, sets confirm pairs that nothing has joined yet, and only the links that join
-something leave the task, at most one a document.
+they share no band, or a wide open bucket and no further band to split it by.
+
+Inside a cluster each document's likeliest star link is confirmed on full sets; where that leaves several components,
+members of different ones meet, block by block: registers are compared, sets confirm pairs that nothing has joined yet,
+and only the links that join something leave the task.  So a large group of near copies costs a pass over its sets, and members that no
+star link joins are compared with all others.
 
 Defined results: a null text, or one without words, has an empty set, is linked with nothing and is kept; a text with
-fewer than five words has one shingle, the whole sequence; repeated rows of one doc_id give a row each, in one class.
+fewer than five words has one shingle, the whole sequence; repeated rows of one doc_id give a row each, in the class of
+its own text; an id that represents several classes joins them.  A row whose doc_id is null has its set's size, is linked with nothing, has no component (null) and is kept.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.components import components, cut
-from quillstone.llm.memory import release, small_batches
+from quillstone.llm.memory import in_frames, release, small_batches
 
 SHINGLE = 5
 REGISTERS, BAND, MANTISSA = 128, 4, 10
@@ -125,14 +129,16 @@ def signatures(docs: DataFrame) -> DataFrame:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"]):
+            for text in frame["text"]:
                 h = shingles(text)
                 again = mixed(h + np.uint64(0x632BE59BD9B4E019))
-                rows.append((doc, len(h), int(h.sum(dtype=np.uint64).view(np.int64)), int(again.sum(dtype=np.uint64).view(np.int64)), registers(h).astype("<u2").tobytes() if len(h) else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "k1", "k2", "regs"])
+                rows.append((len(h), int(h.sum(dtype=np.uint64).view(np.int64)), int(again.sum(dtype=np.uint64).view(np.int64)), registers(h).astype("<u2").tobytes() if len(h) else None))
+            out = pd.DataFrame(rows, columns=["n", "k1", "k2", "regs"])
+            out.insert(0, "doc_id", frame["doc_id"].array)
+            yield out
         release()
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, n long, k1 long, k2 long, regs binary")
+    return in_frames(docs.select("doc_id", "text"), work, "doc_id long, n long, k1 long, k2 long, regs binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -159,26 +165,62 @@ def stars(keyed: DataFrame) -> DataFrame:
 
 
 def loose(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs whose registers show a likeness of ``LOOSE`` or more."""
+    """Pairs whose registers show a likeness of ``LOOSE`` or more, with it."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("regs").alias(f"r_{x}"))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
                 a, b = (np.frombuffer(b"".join(frame[c]), "<u2").reshape(len(frame), REGISTERS) for c in ("r_a", "r_b"))
-                yield frame.loc[estimate(a, b) >= LOOSE, ["a", "b"]]
+                alike = estimate(a, b)
+                yield frame[["a", "b"]].assign(e=alike)[alike >= LOOSE]
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "r_a", "r_b").mapInPandas(work, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "r_a", "r_b").mapInPandas(work, "a long, b long, e double")
 
 
-def open_buckets(keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of the buckets of three members or more in several clusters, with the cluster, the largest one and counts."""
-    rows = cut(keyed.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "band", F.coalesce("component", "rep").alias("component")))
+def open_groups(rows: DataFrame) -> DataFrame:
+    """Rows (key, rep, component, ...) of the keys whose members are in several components.
+
+    With the number of members, the largest component and its number.
+    """
     counts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
-    counts = counts.agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top")).where("n > 2 and n > top.c")
+    counts = counts.agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top")).where("n > top.c")
     return cut(rows.join(counts.select("key", "n", F.col("top.c").alias("most"), F.col("top.component").alias("top")), "key"))
 
 
+def open_buckets(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the open buckets, with their clusters."""
+    return open_groups(cut(keyed.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "band", F.coalesce("component", "rep").alias("component"))))
+
+
+def spots(rows: DataFrame, wide: int, size: int) -> DataFrame:
+    """(key, spot, rep, component) of open groups: the largest component in parts, all others with each part.
+
+    With over ``wide`` others, all members are cut into blocks, and each pair of blocks is a spot.
+    """
+    parts, blocks = F.ceil(F.col("most") / size), F.ceil(F.col("n") / size)
+    part, own = F.pmod(F.xxhash64("rep", F.lit(4)), parts), F.pmod(F.xxhash64("rep", F.lit(4)), blocks)
+    upto = lambda count: F.sequence(F.lit(0).cast("long"), count - 1)
+    light = F.col("n") - F.col("most") <= wide
+    pairs = F.transform(upto(blocks), lambda x: F.least(own, x) * blocks + F.greatest(own, x))
+    where = F.when(light & (F.col("component") == F.col("top")), F.array(part)).when(light, upto(parts)).otherwise(pairs)
+    return rows.select("key", F.explode(where).alias("spot"), "rep", "component")
+
+
+def whole_groups(frames: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """Groups of rows that follow each other, across batches; only one group is held."""
+    held = None
+    for frame in frames:
+        if len(frame):
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            last = np.logical_and.reduce([held[k] == held[k].iloc[-1] for k in key])
+            for _, group in held[~last].groupby(key, sort=False):
+                yield group
+            held = held[last]
+    if held is not None:
+        yield held
+
+
 def finer(rows: DataFrame, keyed: DataFrame) -> DataFrame:
     """Buckets split by each later band; a pair that shares bands meets again under the next one that it shares."""
     later = keyed.select("rep", F.col("key").alias("key2"), F.col("band").alias("band2"))
@@ -210,42 +252,23 @@ def joining(rep: np.ndarray, component: np.ndarray, regs: np.ndarray) -> list[tu
 
 
 def across(rows: DataFrame, reps: DataFrame, wide: int) -> DataFrame:
-    """Links (a, b) that join clusters inside open buckets: the largest cluster in parts, all others with each part."""
-    parts, blocks = F.ceil(F.col("most") / SPOT), F.ceil(F.col("n") / SPOT)
-    part, own = F.pmod(F.xxhash64("rep", F.lit(4)), parts), F.pmod(F.xxhash64("rep", F.lit(4)), blocks)
-    upto = lambda count: F.sequence(F.lit(0).cast("long"), count - 1)
-    light = F.col("n") - F.col("most") <= wide
-    pairs = F.transform(upto(blocks), lambda x: F.least(own, x) * blocks + F.greatest(own, x))
-    spots = F.when(light & (F.col("component") == F.col("top")), F.array(part)).when(light, upto(parts)).otherwise(pairs)
-    spread = rows.select("key", F.explode(spots).alias("spot"), "rep", "component").join(reps, "rep")
-    dealt = spread.repartition("key", "spot").sortWithinPartitions("key", "spot")
+    """Links (a, b) that join clusters inside open buckets."""
+    dealt = spots(rows, wide, SPOT).join(reps, "rep").repartition("key", "spot").sortWithinPartitions("key", "spot")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-
-        def links(frame: pd.DataFrame) -> Iterator[tuple[int, int]]:
-            for _, group in frame.groupby(["key", "spot"], sort=False):
-                if len(group) > 1 and group["component"].nunique() > 1:
-                    regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(len(group), REGISTERS)
-                    yield from joining(group["rep"].to_numpy(), group["component"].to_numpy(), regs)
-
-        for frame in frames:
-            if len(frame):
-                held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-                # the last group may go on in the next batch
-                last = (held["key"] == held["key"].iloc[-1]) & (held["spot"] == held["spot"].iloc[-1])
-                yield pd.DataFrame(list(links(held[~last])), columns=["a", "b"], dtype=np.int64)
-                held = held[last]
-        if held is not None:
-            yield pd.DataFrame(list(links(held)), columns=["a", "b"], dtype=np.int64)
+        for group in whole_groups(frames, ["key", "spot"]):
+            if group["component"].nunique() > 1:
+                regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(len(group), REGISTERS)
+                yield pd.DataFrame(joining(group["rep"].to_numpy(), group["component"].to_numpy(), regs), columns=["a", "b"], dtype=np.int64)
 
     return dealt.select("key", "spot", "rep", "component", "regs").mapInPandas(work, "a long, b long")
 
 
-def clustered(reps: DataFrame, wide: int) -> DataFrame:
-    """(node, component) of documents that have others which may be over the threshold."""
+def clustered(reps: DataFrame, wide: int) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of documents that have others which may be over the threshold, and star links (a, b, e)."""
     keyed = shared(bands(reps))
-    links, level = cut(loose(stars(keyed), reps)), keyed
+    starred = cut(loose(stars(keyed), reps))
+    links, level = starred.select("a", "b"), keyed
     found = cut(components(links))
     for depth in range(1, DEPTH + 1):
         rows = open_buckets(level, found)
@@ -255,91 +278,131 @@ def clustered(reps: DataFrame, wide: int) -> DataFrame:
         last = depth == DEPTH or heavy.isEmpty()
         if not last:
             level = finer(heavy, keyed)
-            links = cut(links.unionByName(loose(stars(level), reps)))
+            links = cut(links.unionByName(loose(stars(level), reps).select("a", "b")))
         found = cut(components(links))
         if last:
             break
-    return found
+    return found, starred
+
+
+def alike(x: frozenset, y: frozenset) -> bool:
+    both = len(x & y)
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def words_of(raw: bytes) -> frozenset:
+    return frozenset(np.frombuffer(raw, np.uint64).tolist())
 
 
-def confirm(rep: np.ndarray, regs: np.ndarray, sets: list[bytes], rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join rows and columns into components: the likeliest pairs first, those joined already not at all."""
+def full_sets(docs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(rep, hashes) of the documents of clusters."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"rep": frame["doc_id"].array, "hashes": [shingles(t).tobytes() for t in frame["text"]]})
+        release()
+
+    needed = docs.select("doc_id", "text").join(clusters.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    # an id that stands for several classes keeps all their sets
+    return in_frames(needed, work, "rep long, hashes binary").dropDuplicates(["rep", "hashes"])
+
+
+def confirmed_stars(starred: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each document's likeliest star link (a, b) that the full sets confirm.
+
+    A pivot's members come to it in parts of ``BLOCK``, each with a copy of its set.
+    """
+    likely = starred.where(F.col("e") >= ESTIMATE)
+    ends = likely.select("a", "b", "e").unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "e"))
+    best = ends.groupBy("a").agg(F.max(F.struct("e", "b"))["b"].alias("b"))
+    parts = best.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    member = best.join(parts, "b").select("b", F.pmod(F.xxhash64("a", F.lit(5)), F.col("parts")).alias("part"), F.col("a").alias("rep"), F.lit(1).alias("member"))
+    pivot = parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("b").alias("rep"), F.lit(0).alias("member"))
+    dealt = member.unionByName(pivot).join(sets, "rep").repartition("b", "part").sortWithinPartitions("b", "part", "member")
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, own = None, frozenset()
+        for frame in frames:
+            out = []
+            for b, part, rep, member, raw in zip(frame["b"], frame["part"], frame["rep"], frame["member"], frame["hashes"]):
+                if not member:
+                    held, own = (b, part), words_of(raw)
+                elif held == (b, part) and alike(own, words_of(raw)):
+                    out.append((rep, b))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        release()
+
+    return dealt.select("b", "part", "rep", "member", "hashes").mapInPandas(work, "a long, b long")
+
+
+def confirm(rep: np.ndarray, component: np.ndarray, regs: np.ndarray, sets: list[bytes]) -> list[tuple[int, int]]:
+    """Links between different components that the full sets confirm: the likeliest pairs first, those joined not at all."""
+    names, label, count = np.unique(component, return_inverse=True, return_counts=True)
+    order = np.argsort(count[label], kind="stable")
+    rep, label, regs, sets = rep[order], label[order], regs[order], [sets[k] for k in order]
     size = np.array([len(x) // 8 for x in sets])
     found = []
-    for k in range(0, len(rows), 16):
-        some = rows[k : k + 16]
-        e = estimate(regs[some][:, None, :], regs[columns][None, :, :])
-        may = (e >= ESTIMATE) & (100 * np.minimum.outer(size[some], size[columns]) >= PERCENT * np.maximum.outer(size[some], size[columns])) & (some[:, None] != columns[None, :])
-        x, y = np.nonzero(may)
-        found.append(np.stack([some[x].astype(float), columns[y], e[x, y]]))
+    # the largest component comes last, and its members need no rows of their own
+    for k in range(int((label != label[-1]).sum())):
+        e = estimate(regs[k], regs[k + 1 :])
+        may = (e >= ESTIMATE) & (label[k + 1 :] != label[k]) & (100 * np.minimum(size[k], size[k + 1 :]) >= PERCENT * np.maximum(size[k], size[k + 1 :]))
+        y = np.flatnonzero(may)
+        found.append(np.stack([np.full(len(y), float(k)), y + k + 1, e[y]]))
     pairs = np.concatenate(found, 1) if found else np.empty((3, 0))
-    parent, words, out = {}, {}, []
+    parent, words, out = list(range(len(names))), {}, []
 
     def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = x = parent.get(parent[x], parent[x])
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
         return x
 
-    def words_of(x: int) -> frozenset:
-        if x not in words:
-            words[x] = frozenset(np.frombuffer(sets[x], np.uint64).tolist())
-        return words[x]
-
     for k in np.argsort(-pairs[2], kind="stable").tolist():
         x, y = int(pairs[0, k]), int(pairs[1, k])
-        a, b = root(x), root(y)
+        a, b = root(label[x]), root(label[y])
         if a != b:
-            both = len(words_of(x) & words_of(y))
-            if 100 * both >= PERCENT * (size[x] + size[y] - both):
+            for z in (x, y):
+                if z not in words:
+                    words[z] = words_of(sets[z])
+            if alike(words[x], words[y]):
                 parent[a] = b
                 out.append((int(rep[x]), int(rep[y])))
     return out
 
 
-def links_of(clusters: DataFrame, reps: DataFrame, docs: DataFrame, parts: int, block: int) -> DataFrame:
-    """Confirmed links (a, b) inside clusters. Small clusters share a bin; large ones meet in pairs of blocks."""
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    n_blocks = F.ceil(F.col("members") / block)
-    rows = clusters.join(sizes, "component").withColumn("blocks", n_blocks)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")))
-    small = F.col("blocks") == 1
-    bin_ = F.when(small, F.pmod(F.xxhash64("component"), F.lit(4 * parts))).otherwise(F.col("component"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    rows = rows.select(F.col("node").alias("rep"), "component", "own", small.alias("small"), bin_.alias("bin"), other)
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+def links_of(clusters: DataFrame, starred: DataFrame, reps: DataFrame, docs: DataFrame, wide: int, block: int) -> DataFrame:
+    """Links (a, b) inside clusters that full sets confirm and that join all that is linked.
 
-    def to_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"rep": frame["doc_id"], "hashes": [shingles(t).tobytes() for t in frame["text"]]})
-        release()
+    Star links come first.  Clusters that they leave in several components are open, and only there members of
+    different components meet, in spots of about ``block`` members of the largest component and the others.
+    """
+    sets = cut(full_sets(docs, clusters))
+    links = cut(confirmed_stars(starred, sets))
+    label = components(links).select(F.col("node").alias("rep"), "component")
+    rows = clusters.select(F.col("component").alias("key"), F.col("node").alias("rep")).join(label, "rep", "left")
+    rows = open_groups(rows.select("key", "rep", F.coalesce("component", "rep").alias("component")))
+    full = spots(rows, wide, block).join(reps, "rep").join(sets, "rep")
+    dealt = full.repartition("key", "spot").sortWithinPartitions("key", "spot")
 
-    needed = docs.select("doc_id", "text").join(clusters.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    sets = needed.mapInPandas(to_sets, "rep long, hashes binary").dropDuplicates(["rep"])
-    full = rows.join(reps.select("rep", "regs").join(sets, "rep"), "rep")
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, group in frame.groupby("component"):
-            regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(len(group), REGISTERS)
-            own, sets, at = group["own"].to_numpy(), group["hashes"].tolist(), np.arange(len(group))
-            i, j = group["i"].iloc[0], group["j"].iloc[0]
-            out += confirm(group["rep"].to_numpy(), regs, sets, at[own == i], at[own == j])
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in whole_groups(frames, ["key", "spot"]):
+            if group["component"].nunique() > 1:
+                regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(len(group), REGISTERS)
+                yield pd.DataFrame(confirm(group["rep"].to_numpy(), group["component"].to_numpy(), regs, group["hashes"].tolist()), columns=["a", "b"], dtype=np.int64)
         release()
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return full.groupBy("small", "bin", "i", "j").applyInPandas(work, "a long, b long")
+    return links.unionByName(dealt.select("key", "spot", "rep", "component", "regs", "hashes").mapInPandas(work, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK, wide: int = WIDE) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     sig = cut(signatures(docs))
-    classes = cut(sig.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("regs", "doc_id").alias("regs")))
+    classes = cut(sig.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("regs", "doc_id").alias("regs")))
     reps = classes.select("rep", "regs")
-    clusters = clustered(reps, wide)
-    found = components(links_of(clusters, reps, docs, int(spark.conf.get("spark.sql.shuffle.partitions")), block))
+    clusters, starred = clustered(reps, wide)
+    found = components(links_of(clusters, starred, reps, docs, wide, block))
     of_class = classes.join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sig.join(of_class, ["k1", "k2", "n"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
