@@ -1,25 +1,30 @@
 """Substring dedup by bucket-pointer refinement (operator 7).
 
 Each byte covered by a 50-byte string that also starts in a document with a smaller id is removed.  As in suffix sorting
-by bucket-pointer refinement, positions are first put in buckets by a short q-gram, and buckets are refined by sorting on
-the bucket identifiers of later offsets; identifiers that a level has made are used again by the next one, and only
+by bucket-pointer refinement, positions are put in buckets by their q-gram (17 bytes), buckets are refined by sorting on
+the bucket identifiers of later offsets, the refined identifiers are written back and are keys of the next sort, and only
 buckets that are still undecided go on.
 
-1. A 50-byte string belongs to the bucket of the least of its 35 16-grams (by hash), so equal strings share a bucket.
-   Neighbouring strings of a text with one bucket are a cell: some 18 strings, one entry.
-2. Buckets are sorted on the cells' identifiers, which are made of the 16-gram identifiers at all later offsets of the
-   cell.  A cell that a smaller document has too is decided.  What is left of a bucket is refined by the identifiers of
-   the 17 bytes before the 16-gram and of those after it: each string holds one of them, so only cells of several
-   documents with one of them equal stay undecided, on that side.  A bucket where the 16-gram repeats is not refined.
-3. Of undecided cells, the first holder's strings are sorted by the identifiers of their 35 offsets.
+1. A 50-byte string is sorted by its anchor, the leftmost of its 34 q-grams with the least hash: equal strings have it at
+   the same offset.  Neighbouring strings with one anchor are a cell: some 17 strings, one entry.  Cells with one q-gram at
+   their anchors are an initial bucket.
+2. A bucket is sorted on the q-grams at offsets q after the anchor and, apart, q before it; ranks in these orders are the
+   refined identifiers.  Each string holds one of the two q-grams whole.  The refined identifiers and what else the cells'
+   strings hold are the keys of one more sort: a cell that a smaller document has too is decided.  Of the others, only
+   cells of several documents in one refined bucket stay undecided, on that side, and get its identifier back.
+3. A string of an undecided cell is sorted on that identifier, which stands for 34 of its bytes, and on the q-grams at its
+   own offsets 0 and 33, which hold the other 16.
 
-Entries move as arrays: a block of documents sends one array to each range of buckets, holding each of its cells once
-with its smallest document, and gets back the cells and strings that smaller documents have.  So a passage that a third
-of all documents share costs one entry a block.  Identifiers have 56 bits, those of cells under 32 bits of their bucket, and a range of buckets
-adds its own.
+Entries move as arrays: a block of documents sends one array to each part of the buckets, holding each of its cells once
+with its smallest document, and gets back one state for each entry, in the order sent.  So a passage that a third of all
+documents share costs one entry a block.  Blocks and parts are so many that each covers a stated number of bytes of text;
+long texts are cut into overlapping pieces inside their block.
+
+Equality rests on hashes: 56 bits of the anchor's q-gram, 16 for each q-gram beside it and 40 of the whole cell, 120 bits
+for strings.  At 10^14 entries the chance of one false match is about 10^-8; no hash is decided by fewer bits alone.
 
 Defined results: a null text is empty and a text of under 50 bytes is kept; rows with the same doc_id don't remove each
-other's bytes; a row whose doc_id is null is kept as it is.
+other's bytes; a row whose doc_id is null is kept as it is; columns to carry go through unchanged.
 """
 
 from __future__ import annotations
@@ -28,18 +33,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.memory import release, small_batches
 
-LENGTH, Q = 50, 16
+LENGTH, Q = 50, 17
 SPAN = LENGTH - Q + 1
-DOCS_PER_BLOCK, BYTES = 500, 1 << 20
+#: bytes of text that are analysed at a time, in a block, for each part of the buckets, and for each task
+SEGMENT, BLOCK_BYTES, PART_BYTES, TASK_BYTES = 1 << 20, 4 << 20, 24 << 20, 128 << 20
 R = 0x9E3779B97F4A7C15 | 1
 R_INVERSE = pow(R, -1, 2**64)
-BITS_56 = np.uint64((1 << 56) - 1)
-ABSENT, REPEATED, SIDE = 0, 65535, Q + 1
+POSITION = np.uint64((1 << 24) - 1)
+#: states of entries
+COVERED, LEFT, RIGHT = 1, 2, 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -51,6 +59,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """One hash of two."""
+    return mixed(mixed(x) * np.uint64(R) + y)
+
+
 POWERS: dict[int, np.ndarray] = {}
 
 
@@ -64,27 +77,26 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Cells:
-    """Cells of some texts: start and end of their strings, bucket value, identifier and text number."""
+    """Cells of some pieces of texts: first and last string, anchor, bucket, q-grams beside it, identifier, piece."""
 
-    def __init__(self, texts: list[bytes]):
-        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    def __init__(self, pieces: list[bytes]):
+        self.sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.raw = b"".join(texts)
-        n = len(self.raw)
-        if n < LENGTH or (self.sizes >= LENGTH).sum() == 0:
-            self.first = self.last = self.text = np.empty(0, np.int64)
-            self.bucket = self.ident = self.least = self.grams = np.empty(0, np.uint64)
-            self.sums, self.back, self.minima = np.zeros(1, np.uint64), np.ones(1, np.uint64), np.empty(0, np.int64)
+        raw = b"".join(pieces)
+        n = len(raw)
+        if not (self.sizes >= LENGTH).any():
+            self.first = self.last = self.anchor = self.piece = np.empty(0, np.int64)
+            self.bucket = self.full = self.grams = np.empty(0, np.uint64)
+            self.left = self.right = np.empty(0, np.uint16)
             return
-        eight = np.ndarray((n - 7,), "<u8", self.raw, strides=(1,)).astype(np.uint64)
-        grams = mixed(mixed(eight[:-8]) * np.uint64(R) + eight[8:])
-        least = grams
-        for step in (1, 2, 4, 8, 16):
+        eight = np.ndarray((n - 7,), "<u8", raw, strides=(1,)).astype(np.uint64)
+        m = n - Q + 1
+        self.grams = grams = joined(joined(eight[:m], eight[8 : 8 + m]), np.frombuffer(raw, np.uint8)[Q - 1 :].astype(np.uint64))
+        # a hash above its position: the least is the leftmost of the least
+        least = (grams & ~POSITION) | np.arange(m, dtype=np.uint64)
+        for step in (1, 2, 4, 8, 16, SPAN - 32):
             least = np.minimum(least[:-step], least[step:])
-        least = np.minimum(least[: -(SPAN - 32)], least[SPAN - 32 :])
-        # identifiers of any run of 16-grams come from these sums
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams * powers(R, len(grams)), dtype=np.uint64)])
-        self.back = powers(R_INVERSE, len(grams) + 1)
+        least = (least & POSITION).astype(np.int64)
         mark = np.zeros(len(least) + 2, np.int8)
         ok = self.sizes >= LENGTH
         np.add.at(mark, self.starts[ok], 1)
@@ -92,307 +104,290 @@ class Cells:
         valid = np.cumsum(mark)[: len(least)].astype(bool)
         change = np.ones(len(least) + 1, bool)
         change[1:-1] = (least[1:] != least[:-1]) | ~(valid[1:] & valid[:-1])
-        self.first = np.flatnonzero(valid & change[:-1])
-        self.last = np.flatnonzero(valid & change[1:])
-        self.grams, self.least = grams, least[self.first]
-        # a 16-gram is the least of a window that holds it if the greatest of those windows' minima is itself
-        most = np.concatenate([np.zeros(SPAN - 1, np.uint64), least, np.zeros(SPAN - 1, np.uint64)])
-        for step in (1, 2, 4, 8, 16):
-            most = np.maximum(most[:-step], most[step:])
-        most = np.maximum(most[: -(SPAN - 32)], most[SPAN - 32 :])
-        self.minima = np.flatnonzero(most == grams)
-        self.bucket = mixed(self.least)
-        self.ident = self.identify(self.first, self.last + SPAN)
-        self.text = np.searchsorted(self.starts, self.first, "right") - 1
-
-    def identify(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Identifiers of the 16-grams from a to before b."""
-        return mixed((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(np.uint64)) & BITS_56
-
-    def anchors(self) -> np.ndarray:
-        """Where each cell's least 16-gram is; -1 where it repeats inside the cell."""
-        place, seen = np.full(len(self.first), -1), np.zeros(len(self.first), np.int64)
-        stop = self.last + SPAN
-        near = np.searchsorted(self.minima, self.first)
-        live = np.arange(len(self.first))
-        while len(live):
-            at = self.minima[np.minimum(near[live], len(self.minima) - 1)]
-            inside = (near[live] < len(self.minima)) & (at < stop[live])
-            live, at = live[inside], at[inside]
-            hit = self.grams[at] == self.least[live]
-            place[live[hit]] = at[hit]
-            seen[live] += hit
-            near[live] += 1
-        place[(seen > 1) | (self.last - self.first >= SPAN)] = -1
-        return place
-
-    def sides(self) -> tuple[np.ndarray, np.ndarray]:
-        """16-bit identifiers of the 17 bytes before and after the least 16-gram, where strings of the cell hold them."""
-        m = self.anchors()
-        has_left, has_right = self.first <= m - SIDE, self.last > m - SIDE
-        a = np.where((m >= 0) & has_left, m - SIDE, self.first)
-        left = self.identify(a, np.where((m >= 0) & has_left, m, self.first)) % np.uint64(REPEATED - 1) + np.uint64(1)
-        right = self.identify(np.where(m >= 0, m, self.first), np.where((m >= 0) & has_right, m + SIDE + 1, self.first)) % np.uint64(REPEATED - 1) + np.uint64(1)
-        pick = lambda has, x: np.where(m < 0, REPEATED, np.where(has, x.astype(np.int64), ABSENT)).astype(np.uint16)
-        return pick(has_left, left), pick(has_right, right)
-
-    def strings(self, cells: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Position, identifier and text of each 50-byte string of cells, or of those from first to last."""
-        first, last = (self.first[cells] if first is None else first), (self.last[cells] if last is None else last)
-        count = np.maximum(0, last - first + 1)
-        ends = np.cumsum(count)
-        at = np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
-        return at, self.identify(at, at + SPAN), np.repeat(self.text[cells], count)
-
-
-def grouped(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, Cells]]:
-    """A block's documents in parts of some megabytes: their ids and cells."""
-    texts = [(t or "").encode() for t in frame["text"]]
-    ids = frame["doc_id"].to_numpy(np.int64)
-    part = np.cumsum([len(t) for t in texts]) // BYTES
-    for k in np.unique(part):
-        rows = np.flatnonzero(part == k)
-        yield ids[rows], Cells([texts[i] for i in rows])
-
-
-def firsts(keys: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
-    """Of each combination of keys, the place of its smallest id, in the order of the keys."""
-    order = np.lexsort([ids, *keys[::-1]])
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
-    return order[new]
-
-
-MESSAGE = "part int, block long, ids binary, doc binary, short binary, full binary, sides binary"
+        self.first = first = np.flatnonzero(valid & change[:-1])
+        self.last = last = np.flatnonzero(valid & change[1:])
+        self.anchor = anchor = least[first]
+        self.bucket = mixed(grams[anchor])
+        # strings from Q bytes before the anchor on hold the q-gram before it, the others the one after it; 0 is none
+        beside = lambda there, at: np.where(there, grams[np.clip(at, 0, m - 1)] % np.uint64(65535) + np.uint64(1), 0).astype(np.uint16)
+        self.left, self.right = beside(first <= anchor - Q, anchor - Q), beside(last > anchor - Q, anchor + Q)
+        # identifiers of any run of q-grams come from sums of their hashes times powers
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams * powers(R, m), dtype=np.uint64)])
+        self.full = mixed((sums[last + SPAN] - sums[first]) * powers(R_INVERSE, m + 1)[first] + (last - first).astype(np.uint64))
+        self.piece = np.searchsorted(self.starts, first, "right") - 1
+
+
+def portions(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Rows, places and pieces of texts, some ``SEGMENT`` bytes at a time; pieces of a long text share 49 bytes."""
+    rows, places, pieces, size = [], [], [], 0
+    for k, text in enumerate(texts):
+        for a in range(0, max(1, len(text) - LENGTH + 1), SEGMENT):
+            piece = text[a : a + SEGMENT + LENGTH - 1]
+            rows.append(k)
+            places.append(a)
+            pieces.append(piece)
+            size += len(piece)
+            if size >= SEGMENT:
+                yield rows, places, pieces
+                rows, places, pieces, size = [], [], [], 0
+    if rows:
+        yield rows, places, pieces
+
+
+class Sorted:
+    """Distinct entries of two keys with the smallest document of each, in the order in which they are sent."""
+
+    def __init__(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray, parts: int):
+        order = np.lexsort([ids, two, one])
+        new = np.ones(len(order), bool)
+        new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+        self.head = order[new]
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.least = ids[self.head]
+        self.part = ((one[self.head] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        # by part, then by document, whose numbers then pack well; content alone decides the order
+        self.sent = np.lexsort([two[self.head], one[self.head], self.least, self.part])
+        self.edges = np.searchsorted(self.part[self.sent], np.arange(parts + 1))
+
+    def messages(self, block: int, columns: dict[str, np.ndarray]) -> pd.DataFrame:
+        """One row for each part that has entries; columns have a row of bytes for each item (not entry)."""
+        rows = []
+        for p in np.flatnonzero(np.diff(self.edges)).tolist():
+            at = self.sent[self.edges[p] : self.edges[p + 1]]
+            table, doc = np.unique(self.least[at], return_inverse=True)
+            wide = "<u2" if len(table) <= 1 << 16 else "<u4"
+            rows.append((p, block, table.astype("<i8").tobytes(), doc.astype(wide).tobytes(), *(np.ascontiguousarray(c[self.head[at]]).tobytes() for c in columns.values())))
+        return pd.DataFrame(rows, columns=["part", "block", "ids", "doc", *columns])
+
+    def states(self, answers: pd.DataFrame) -> np.ndarray:
+        """The state of each entry: answers have one row a part, in the order sent."""
+        out = np.zeros(len(self.head), np.uint8)
+        if len(answers):
+            out[self.sent] = np.frombuffer(b"".join(answers["state"]), np.uint8)
+        return out
+
+    def pointers(self, state: np.ndarray, side: int, answers: pd.DataFrame) -> np.ndarray:
+        """Identifiers of refined buckets that came back for entries undecided on a side: part, side and rank."""
+        out = np.zeros(len(self.head), np.uint64)
+        at = self.sent[state[self.sent] & side > 0]
+        if len(at):
+            rank = np.frombuffer(b"".join(answers["left" if side == LEFT else "right"]), "<u4").astype(np.uint64)
+            out[at] = (self.part[at].astype(np.uint64) << np.uint64(33)) | (np.uint64(side == RIGHT) << np.uint64(32)) | rank
+        return out
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Seven bytes of each identifier."""
-    return np.ascontiguousarray(np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+def low_bytes(x: np.ndarray, n: int) -> np.ndarray:
+    """The n lower bytes of each number, as rows."""
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :n]
 
 
-def unpacked(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(x, np.uint8).reshape(-1, 7)
+def numbers(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(raw) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(raw, np.uint8).reshape(-1, n)
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def messages(block: int, parts: int, bucket: np.ndarray, full: np.ndarray, ids: np.ndarray, sides: np.ndarray | None = None) -> pd.DataFrame:
-    """A block's entries as one row for each range of buckets; in the order of ids, whose column then packs well."""
-    part = ((bucket >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort([ids, part])
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    rows = []
-    for p in range(parts):
-        at = order[edges[p] : edges[p + 1]]
-        if len(at):
-            table, doc = np.unique(ids[at], return_inverse=True)
-            wide = "<u2" if len(table) <= 1 << 16 else "<u4"
-            short = b"" if sides is None else bucket[at].astype("<u4").tobytes()
-            rows.append((p, block, table.astype("<i8").tobytes(), doc.astype(wide).tobytes(), short, packed(full[at]), b"" if sides is None else sides[at].astype("<u2").tobytes()))
-    return pd.DataFrame(rows, columns=["part", "block", "ids", "doc", "short", "full", "sides"])
+CELLS = "part int, block long, ids binary, doc binary, bucket binary, beside binary, full binary"
+STRINGS = "part int, block long, ids binary, doc binary, one binary, two binary"
+REPLY = "block long, part int, level int, state binary, left binary, right binary"
 
 
-def received(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """Entries of messages: block, id, full, short, sides."""
-    blocks, ids = [], []
-    for block, table, doc in zip(frame["block"], frame["ids"], frame["doc"]):
+class Block:
+    """The cells of a block's texts, and what other blocks have said of them."""
+
+    def __init__(self, ids: np.ndarray, texts: list[bytes], parts: int):
+        self.parts = parts
+        self.portions = [(np.array(rows), places, Cells(pieces)) for rows, places, pieces in portions(texts)]
+        every = lambda name: np.concatenate([getattr(c, name) for _, _, c in self.portions])
+        self.first, self.last, self.anchor, self.left, self.right = map(every, ("first", "last", "anchor", "left", "right"))
+        self.bucket, self.full = every("bucket"), every("full")
+        self.ids = np.concatenate([ids[rows[c.piece]] for rows, _, c in self.portions])
+        self.ends = np.cumsum([len(c.first) for _, _, c in self.portions])
+        self.cells = Sorted(self.bucket, self.full, self.ids, parts)
+
+    def send_cells(self, block: int) -> pd.DataFrame:
+        beside = np.stack([self.left, self.right], 1).astype("<u2")
+        return self.cells.messages(block, {"bucket": low_bytes(self.bucket, 7), "beside": beside, "full": low_bytes(self.full, 5)})
+
+    def hear(self, answers: pd.DataFrame) -> None:
+        """Sorts the strings of undecided cells; of a cell only those of its smallest document here."""
+        answers = answers[answers["level"] == 1].sort_values("part")
+        state = self.cells.states(answers)
+        pointer = {side: self.cells.pointers(state, side, answers) for side in (LEFT, RIGHT)}
+        own = self.ids == self.cells.least[self.cells.of]
+        state = np.where(own, state[self.cells.of], COVERED)
+        self.gone = state & COVERED > 0
+        cell, at, name = [], [], []
+        for side, low, high in ((LEFT, self.first, np.minimum(self.last, self.anchor - Q)), (RIGHT, np.maximum(self.first, self.anchor - Q + 1), self.last)):
+            some = np.flatnonzero(~self.gone & (state & side > 0))
+            count = np.maximum(0, high[some] - low[some] + 1)
+            ends = np.cumsum(count)
+            at.append(np.repeat(low[some] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0))
+            cell.append(np.repeat(some, count))
+            name.append(np.repeat(pointer[side][self.cells.of[some]], count))
+        self.at, self.cell, name = map(np.concatenate, (at, cell, name))
+        head, tail = np.empty(len(self.at), np.uint64), np.empty(len(self.at), np.uint64)
+        portion = np.searchsorted(self.ends, self.cell, "right")
+        for k in np.unique(portion):
+            here, grams = portion == k, self.portions[k][2].grams
+            head[here], tail[here] = grams[self.at[here]], grams[self.at[here] + SPAN - 1]
+        self.one, self.two = joined(joined(name, head), tail), joined(head ^ np.uint64(R), tail)
+        self.strings = Sorted(self.one, self.two, self.ids[self.cell], self.parts)
+
+    def send_strings(self, block: int) -> pd.DataFrame:
+        return self.strings.messages(block, {"one": low_bytes(self.one, 8), "two": low_bytes(self.two, 7)})
+
+    def removed(self, answers: pd.DataFrame, texts: list[bytes]) -> list[np.ndarray]:
+        """Which bytes of each text go."""
+        state = self.strings.states(answers[answers["level"] == 2].sort_values("part"))
+        hit = (state[self.strings.of] == COVERED) | (self.strings.least[self.strings.of] < self.ids[self.cell])
+        first = np.concatenate([self.first[self.gone], self.at[hit]])
+        stop = np.concatenate([self.last[self.gone], self.at[hit]]) + LENGTH
+        portion = np.searchsorted(self.ends, np.concatenate([np.flatnonzero(self.gone), self.cell[hit]]), "right")
+        out = [np.zeros(len(t), bool) for t in texts]
+        for k, (rows, places, cells) in enumerate(self.portions):
+            here = portion == k
+            if here.any():
+                mark = np.zeros(int(cells.sizes.sum()) + 1, np.int32)
+                np.add.at(mark, first[here], 1)
+                np.add.at(mark, stop[here], -1)
+                gone = np.cumsum(mark) > 0
+                for row, place, a, n in zip(rows.tolist(), places, cells.starts.tolist(), cells.sizes.tolist()):
+                    out[row][place : place + n] |= gone[a : a + n]
+        return out
+
+
+def received(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Message number and document of each entry of a part's messages."""
+    number, ids = [], []
+    for k, (table, doc) in enumerate(zip(frame["ids"], frame["doc"])):
         table = np.frombuffer(table, "<i8")
         doc = np.frombuffer(doc, "<u2" if len(table) <= 1 << 16 else "<u4")
-        blocks.append(np.full(len(doc), block))
+        number.append(np.full(len(doc), k))
         ids.append(table[doc])
-    one = lambda c: b"".join(frame[c])
-    return np.concatenate(blocks), np.concatenate(ids), unpacked(one("full")), np.frombuffer(one("short"), "<u4"), np.frombuffer(one("sides"), "<u2").reshape(-1, 2)
-
-
-KINDS = ("covered", "left", "right", "string")
-REPLY = "block long, " + ", ".join(f"{k} binary" for k in KINDS)
-
-
-def replies(found: dict[str, tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    """One row for each block, with the identifiers of each kind: found has blocks and identifiers by kind."""
-    out: dict[int, dict] = {}
-    for kind, (block, full) in found.items():
-        order = np.argsort(block, kind="stable")
-        block, full = block[order], full[order]
-        for part in np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1):
-            if len(part):
-                out.setdefault(int(block[part[0]]), {})[kind] = packed(full[part])
-    return pd.DataFrame([(block, *(x.get(k, b"") for k in KINDS)) for block, x in out.items()], columns=["block", *KINDS])
-
-
-def data_of(frame: pd.DataFrame, kind: str) -> np.ndarray:
-    return np.sort(unpacked(b"".join(frame[kind])))
-
-
-def among(x: np.ndarray, found: np.ndarray) -> np.ndarray:
-    if not len(found):
-        return np.zeros(len(x), bool)
-    return found[np.minimum(np.searchsorted(found, x), len(found) - 1)] == x
-
-
-def send_cells(frame: pd.DataFrame, parts: int) -> pd.DataFrame:
-    bucket, ident, ids, sides = [], [], [], []
-    for doc, cells in grouped(frame):
-        bucket.append(cells.bucket)
-        ident.append(cells.ident)
-        ids.append(doc[cells.text])
-        sides.append(np.stack(cells.sides(), 1))
-    bucket, ident, ids, sides = map(np.concatenate, (bucket, ident, ids, sides))
-    release()
-    at = firsts([bucket, ident], ids)
-    return messages(int(frame["block"].iloc[0]), parts, bucket[at], ident[at], ids[at], sides[at])
+    return np.concatenate(number), np.concatenate(ids)
 
 
 def several(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether each key has several ids."""
-    _, place = np.unique(keys, return_inverse=True)
-    low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
-    np.minimum.at(low, place, ids)
-    np.maximum.at(high, place, ids)
-    return (low < high)[place]
+    """Whether each key (a rank) has several ids."""
+    n = int(keys.max()) + 1 if len(keys) else 0
+    low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(low, keys, ids)
+    np.maximum.at(high, keys, ids)
+    return (low < high)[keys]
 
 
-def decide_cells(frame: pd.DataFrame) -> pd.DataFrame:
-    """For each block: cells that a smaller document of another block has, and undecided cells that are first there."""
-    block, ids, full, short, sides = received(frame)
-    order = np.lexsort([ids, full, short])
-    block, ids, short, full, sides = block[order], ids[order], short[order], full[order], sides[order]
-    new_bucket = np.ones(len(ids), bool)
-    new_bucket[1:] = short[1:] != short[:-1]
-    new_cell = new_bucket.copy()
-    new_cell[1:] |= full[1:] != full[:-1]
-    head = np.flatnonzero(new_cell)
-    covered = ids[head][np.cumsum(new_cell) - 1] < ids
-    bucket = (np.cumsum(new_bucket[head]) - 1).astype(np.int64)
-    repeats = np.zeros(len(head) + 1, bool)
-    repeats[bucket[sides[head, 0] == REPEATED]] = True
-    whole = repeats[bucket] & several(bucket, ids[head])
-    out = {"covered": (block[covered], full[covered])}
-    for kind, side in (("left", sides[head, 0]), ("right", sides[head, 1])):
-        some = np.flatnonzero((side != ABSENT) & ~repeats[bucket])
-        undecided = whole.copy()
-        undecided[some] = several(bucket[some] << 16 | side[some], ids[head][some])
-        out[kind] = block[head[undecided]], full[head[undecided]]
-    release()
-    return replies(out)
+def replies(frame: pd.DataFrame, level: int, number: np.ndarray, state: np.ndarray, ranks: dict[int, np.ndarray]) -> pd.DataFrame:
+    """For each message, the states of its entries in its order, and the ranks of those that are undecided on a side."""
+    edges = np.searchsorted(number, np.arange(len(frame) + 1))
+    rows = []
+    for k, block in enumerate(frame["block"].tolist()):
+        here = slice(edges[k], edges[k + 1])
+        back = [r[here][state[here] & side > 0].astype("<u4").tobytes() for side, r in ranks.items()] or [b"", b""]
+        rows.append((block, int(frame["part"].iloc[0]), level, state[here].tobytes(), *back))
+    return pd.DataFrame(rows, columns=["block", "part", "level", "state", "left", "right"])
 
 
-class Block:
-    """A block's own knowledge of cells: the smallest document here of each."""
-
-    def __init__(self, frame: pd.DataFrame):
-        self.parts = list(grouped(frame))
-        ident = np.concatenate([c.ident for _, c in self.parts]) if self.parts else np.empty(0, np.uint64)
-        ids = np.concatenate([d[c.text] for d, c in self.parts]) if self.parts else np.empty(0, np.int64)
-        at = firsts([ident], ids)
-        self.ident, self.least = ident[at], ids[at]
-
-    def first_here(self, cells: Cells, doc: np.ndarray) -> np.ndarray:
-        return self.least[np.searchsorted(self.ident, cells.ident)] == doc[cells.text]
-
-
-def send_strings(texts: pd.DataFrame, answers: pd.DataFrame, parts: int) -> pd.DataFrame:
-    left, right = data_of(answers, "left"), data_of(answers, "right")
-    if not len(texts) or not len(left) + len(right):
-        return pd.DataFrame([], columns=["part", "block", "ids", "doc", "short", "full", "sides"])
-    covered, here = data_of(answers, "covered"), Block(texts)
-    ident, ids = [], []
-    for doc, cells in here.parts:
-        own = ~among(cells.ident, covered) & here.first_here(cells, doc)
-        on_left, on_right, m = own & among(cells.ident, left), own & among(cells.ident, right), cells.anchors()
-        some = np.flatnonzero(on_left | on_right)
-        # strings up to 17 bytes before the 16-gram hold its left side, the others its right side
-        first, last = cells.first[some], cells.last[some]
-        known = m[some] >= 0
-        first = np.where(known & ~on_left[some], np.maximum(first, m[some] - SIDE + 1), first)
-        last = np.where(known & ~on_right[some], np.minimum(last, m[some] - SIDE), last)
-        _, found, t = cells.strings(some, first, last)
-        ident.append(found)
-        ids.append(doc[t])
-    ident, ids = map(np.concatenate, (ident, ids))
+def decide_cells(frame: pd.DataFrame) -> pd.DataFrame:
+    """Refines the buckets of a part once on either side of the anchor, and then by all that cells hold."""
+    number, ids = received(frame)
+    beside = np.frombuffer(b"".join(frame["beside"]), "<u2").reshape(-1, 2).astype(np.int64)
+    _, bucket = np.unique(numbers(b"".join(frame["bucket"]), 7), return_inverse=True)
+    ranks = {side: np.unique(bucket << 16 | beside[:, k], return_inverse=True)[1] for k, side in enumerate((LEFT, RIGHT))}
+    whole, full = ranks[LEFT] << 32 | ranks[RIGHT], numbers(b"".join(frame["full"]), 5)
+    order = np.lexsort([ids, full, whole])
+    new = np.ones(len(order), bool)
+    new[1:] = (whole[order[1:]] != whole[order[:-1]]) | (full[order[1:]] != full[order[:-1]])
+    head = order[new]
+    state = np.zeros(len(order), np.uint8)
+    state[order[ids[head][np.cumsum(new) - 1] < ids[order]]] = COVERED
+    for k, side in enumerate((LEFT, RIGHT)):
+        some = head[beside[head, k] > 0]
+        state[some[several(ranks[side][some], ids[some])]] |= side
+    out = replies(frame, 1, number, state, ranks)
     release()
-    at = firsts([ident], ids)
-    return messages(int(texts["block"].iloc[0]), parts, mixed(ident[at]), ident[at], ids[at])
+    return out
 
 
 def decide_strings(frame: pd.DataFrame) -> pd.DataFrame:
-    block, ids, full, _, _ = received(frame)
-    order = np.lexsort([ids, full])
-    block, ids, full = block[order], ids[order], full[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = full[1:] != full[:-1]
-    covered = ids[np.flatnonzero(new)][np.cumsum(new) - 1] < ids
+    number, ids = received(frame)
+    one, two = numbers(b"".join(frame["one"]), 8), numbers(b"".join(frame["two"]), 7)
+    order = np.lexsort([ids, two, one])
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+    state = np.zeros(len(order), np.uint8)
+    state[order[ids[order[new]][np.cumsum(new) - 1] < ids[order]]] = COVERED
+    out = replies(frame, 2, number, state, {})
     release()
-    return replies({"string": (block[covered], full[covered])})
+    return out
 
 
 RESULT = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary"}
 
 
-def remove(texts: pd.DataFrame, answers: pd.DataFrame, carry: list[str], as_text: bool) -> pd.DataFrame:
-    rows: list = []
-    if len(texts):
-        covered, strings = data_of(answers, "covered"), data_of(answers, "string")
-        undecided = np.union1d(data_of(answers, "left"), data_of(answers, "right"))
-        here = Block(texts)
-        held = []
-        for doc, cells in here.parts:
-            gone = among(cells.ident, covered) | ~here.first_here(cells, doc)
-            some = np.flatnonzero(~gone & among(cells.ident, undecided))
-            held.append((gone, *cells.strings(some)))
-        ident = np.concatenate([h[2] for h in held])
-        ids = np.concatenate([doc[h[3]] for (doc, _), h in zip(here.parts, held)])
-        at = firsts([ident], ids)
-        least_ident, least = ident[at], ids[at]
-        for (doc, cells), (gone, at, ident, text) in zip(here.parts, held):
-            mark = np.zeros(len(cells.raw) + LENGTH + 1, np.int64)
-            np.add.at(mark, cells.first[gone], 1)
-            np.add.at(mark, cells.last[gone] + LENGTH, -1)
-            if len(at):
-                hit = among(ident, strings) | (least[np.searchsorted(least_ident, ident)] < doc[text])
-                np.add.at(mark, at[hit], 1)
-                np.add.at(mark, at[hit] + LENGTH, -1)
-            out = np.cumsum(mark)[: len(cells.raw)] > 0
-            raw = np.frombuffer(cells.raw, np.uint8)
-            for a, n in zip(cells.starts, cells.sizes):
-                o = out[a : a + n]
-                removed = int(o.sum())
-                spans = int(o[:1].sum() + (o[1:] & ~o[:-1]).sum()) if removed else 0
-                kept = raw[a : a + n][~o].tobytes() if removed else cells.raw[a : a + n]
-                rows.append((n, removed, spans, kept.decode("utf-8", "ignore") if as_text else kept))
-    release()
-    # the parts follow each other in the order of texts
-    return pd.concat([texts[carry].reset_index(drop=True), pd.DataFrame(rows, columns=list(RESULT))], axis=1)
-
-
-def dedup_substrings(docs: DataFrame, parts: int | None = None, carry: tuple[str, ...] = ("doc_id",), prefix: str = "", as_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, parts: int | None = None, carry: tuple[str, ...] = ("doc_id",), prefix: str = "", as_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: the columns to carry, n_bytes, n_removed, n_spans and the kept bytes, these under a prefix.
 
     With ``as_text`` the kept bytes are a string, without what is left of characters that are cut.
 
-    The texts are shuffled once, by blocks, and read three times; entries are a fraction of the texts' size.
+    The texts are shuffled once, by blocks, and read three times; entries are a fraction of the texts' size, and their
+    messages are at most blocks times parts rows, and never more than entries.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = list(carry)
-    # own names, so that no column of docs can clash
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
     carried = [f"c{k}" for k in range(len(names))]
-    blocks = max(2 * parts, docs.count() // DOCS_PER_BLOCK)
+    # own names, so that no column of docs can clash
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in zip(names, carried)))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(least, -(-total // PART_BYTES))
+    blocks, tasks = max(2 * least, -(-total // block_bytes)), max(least, -(-total // TASK_BYTES))
     whole = F.coalesce(F.col("text"), F.lit(""))
     zero = F.lit(0).cast("long")
     unnamed = rows.where(F.col("doc_id").isNull()).select(*carried, F.octet_length(whole).cast("long"), zero, zero, whole if as_text else whole.cast("binary"))
-    texts = rows.where(F.col("doc_id").isNotNull()).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(parts, "block")
+    texts = rows.where(F.col("doc_id").isNotNull()).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(tasks, "block")
     schema = rows.select(*carried).schema
     for c, kind in RESULT.items():
         schema = schema.add(c, "string" if as_text and c == "kept" else kind)
-    cells = texts.groupBy("block").applyInPandas(lambda f: send_cells(f, parts), MESSAGE)
-    first = cells.groupBy("part").applyInPandas(decide_cells, REPLY)
-    strings = texts.groupBy("block").cogroup(first.groupBy("block")).applyInPandas(lambda t, a: send_strings(t, a, parts), MESSAGE)
-    second = strings.groupBy("part").applyInPandas(decide_strings, REPLY)
+
+    def encoded(texts: pd.Series) -> list[bytes]:
+        return [(t or "").encode() for t in texts]
+
+    def send_cells(frame: pd.DataFrame) -> pd.DataFrame:
+        out = Block(frame["doc_id"].to_numpy(np.int64), encoded(frame["text"]), parts).send_cells(int(frame["block"].iloc[0]))
+        release()
+        return out
+
+    def send_strings(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame) or not len(answers) or not any(map(len, [*answers["left"], *answers["right"]])):
+            return pd.DataFrame([], columns=["part", "block", "ids", "doc", "one", "two"])
+        here = Block(frame["doc_id"].to_numpy(np.int64), encoded(frame["text"]), parts)
+        here.hear(answers)
+        out = here.send_strings(int(frame["block"].iloc[0]))
+        release()
+        return out
+
+    def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
+        raw = [(t.as_py() or "").encode() for t in table.column("text")]
+        done = []
+        if raw:
+            here, heard = Block(table.column("doc_id").to_numpy(), raw, parts), answers.to_pandas()
+            here.hear(heard)
+            for text, gone in zip(raw, here.removed(heard, raw)):
+                n = int(gone.sum())
+                spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()) if n else 0
+                kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if n else text
+                done.append((len(text), n, spans, kept.decode("utf-8", "ignore") if as_text else kept))
+        columns = [pa.array(c, k) for c, k in zip(zip(*done) if done else ((),) * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()))]
+        release()
+        return pa.table([*(table.column(c) for c in carried), *columns], names=[*carried, *RESULT])
+
+    cells = texts.groupBy("block").applyInPandas(send_cells, CELLS)
+    first = cells.repartition(tasks, "part").groupBy("part").applyInPandas(decide_cells, REPLY)
+    strings = texts.groupBy("block").cogroup(first.groupBy("block")).applyInPandas(send_strings, STRINGS)
+    second = strings.repartition(tasks, "part").groupBy("part").applyInPandas(decide_strings, REPLY)
     answers = first.unionByName(second)
-    out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda t, a: remove(t, a, carried, as_text), schema)
+    out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, schema)
     return out.union(unnamed).toDF(*names, *(prefix + c for c in RESULT))

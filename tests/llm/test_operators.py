@@ -242,6 +242,53 @@ def test_substrings(docs, empty, spark):
     assert got == {None: 0, 1: 0, 2: 80}
 
 
+@pytest.mark.parametrize("segment", [1 << 20, 150])
+def test_substrings_of_hard_texts(monkeypatch, segment):
+    import pandas as pd
+
+    from quillstone.llm import substrings
+
+    monkeypatch.setattr(substrings, "SEGMENT", segment)
+    rng = random.Random(segment)
+    some = lambda n, letters="ab": "".join(rng.choice(letters) for _ in range(n))
+    shared = [some(rng.randint(50, 400), "abcdefgh ") for _ in range(6)] + ["a" * 300, "ab" * 200, "abc" * 90, some(37) * 9, some(17) * 20]
+    texts = ["", "x" * 49, "x" * 50, "x" * 120]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            t = rng.choice(shared)
+            i = rng.randrange(len(t))
+            parts += [some(rng.randint(0, 60), "abcdefgh "), t[i : i + rng.randint(40, 300)]]
+        texts.append("".join(parts))
+    # small alphabets give strings that agree in part only
+    base = some(90)
+    for _ in range(40):
+        k = rng.randrange(90)
+        texts.append(base[:k] + rng.choice("cd") + base[k + 1 :])
+    raw, parts, blocks = [t.encode() for t in texts], 3, 4
+    dealt = {b: [i for i in range(len(raw)) if i % blocks == b] for b in range(blocks)}
+
+    def held():
+        return {b: substrings.Block(np.array(i), [raw[k] for k in i], parts) for b, i in dealt.items()}
+
+    def decided(sent, decide):
+        sent = pd.concat(sent)
+        return pd.concat([decide(group) for _, group in sent.groupby("part")])
+
+    first = decided([x.send_cells(b) for b, x in held().items()], substrings.decide_cells)
+    second = []
+    for b, x in held().items():
+        x.hear(first[first["block"] == b])
+        second.append(x.send_strings(b))
+    answers = pd.concat([first, decided(second, substrings.decide_strings)])
+    want = brute_substrings(enumerate(texts))
+    for b, x in held().items():
+        mine = answers[answers["block"] == b]
+        x.hear(mine)
+        for i, gone in zip(dealt[b], x.removed(mine, [raw[k] for k in dealt[b]])):
+            assert np.frombuffer(raw[i], np.uint8)[~gone].tobytes() == want[i][3], i
+
+
 def test_substrings_carry_columns(docs):
     from quillstone.llm.substrings import dedup_substrings
 
