@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import query_terms, scope_touches, terms, tokens
@@ -14,26 +16,70 @@ PREFERRED = {"FEDERAL": ("FEDERAL", "FEDERAL_SARAWAK"), "SARAWAK": ("SARAWAK", "
 HIGH, MEDIUM, FLOOR = 0.30, 0.12, 0.06
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf, dl): one row per document and term; the index that searches read."""
-    found = docs.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("terms"))
-    return found.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+#: rows that may be broadcast; beyond it a join shuffles
+BROADCAST_ROWS = 200_000
 
 
-def bm25(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, score) of every document with a query's term. queries: qid, text.
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
-    Corpus counts come from the whole index. Term counts are aggregated before the join with the queries' terms.
+
+def postings(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, dl) of documents (id, text): one row per document and term, or per wanted term (term).
+
+    Terms that aren't wanted are dropped before anything is shuffled.
     """
-    asked = queries.select("qid", F.explode(query_terms(F.col("text"))).alias("term"))
-    totals = index.select("id", "dl").distinct().agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
+    found = docs.select("id", terms(F.col("text")).alias("terms"))
+    found = found.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    if wanted is not None:
+        found = found.join(bounded(wanted), "term", "left_semi")
+    return found.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def corpus_totals(docs: DataFrame) -> DataFrame:
+    """One row: the number of documents (id, text), those without terms too, and their average length in terms."""
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.greatest(F.size(terms(F.col("text"))), F.lit(0))).alias("avgdl"))
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("qid", F.explode(query_terms(F.col("text"))).alias("term"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, id, score) of every document (id, text) with a query's term. queries: qid, text.
+
+    The texts are read once for the corpus totals, which need no shuffle, and once for the wanted terms.
+    """
+    return scored(postings(docs, asked_terms(queries).select("term").distinct()), corpus_totals(docs), queries)
+
+
+def scored(index: DataFrame, totals: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, id, score) from postings that hold the queries' terms at least, and the corpus totals."""
+    asked = asked_terms(queries)
+    wanted = index.join(bounded(asked.select("term").distinct()), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    # totals is a single row
+    # totals is a single row, and there are no more weights than asked terms
     weights = df.crossJoin(F.broadcast(totals)).select("term", idf.alias("idf"), "avgdl")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return wanted.join(weights, "term").join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return wanted.join(weights, "term").join(bounded(asked), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def write_postings(docs: DataFrame, folder: str, buckets: int = 64) -> None:
+    """The index of documents (id, text) as files: postings by a hash of the term, so that searches read few, and totals."""
+    index = postings(docs).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
+    index.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16))).write.partitionBy("bucket").mode("errorifexists").parquet(f"{folder}/postings")
+    corpus_totals(docs).withColumn("buckets", F.lit(buckets)).write.mode("errorifexists").parquet(f"{folder}/totals")
+
+
+def bm25_stored(spark: SparkSession, folder: str, queries: DataFrame) -> DataFrame:
+    """:func:`bm25` over a written index; only the buckets of the queries' terms are read."""
+    totals = spark.read.parquet(f"{folder}/totals")
+    bucket = F.pmod(F.xxhash64("term"), F.lit(totals.first()["buckets"]))
+    # a bounded list: no more than the index has buckets
+    read = [r[0] for r in asked_terms(queries).select(bucket.alias("bucket")).distinct().collect()]
+    return scored(spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin(read)), totals, queries)
 
 
 def top(df: DataFrame, key: str, k: int, *order: Column, name: str = "rank") -> DataFrame:
@@ -41,25 +87,69 @@ def top(df: DataFrame, key: str, k: int, *order: Column, name: str = "rank") ->
     return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(name) <= k)
 
 
+def shown_list(hits: DataFrame, docs: DataFrame, statuses: tuple[str, ...], clearance: int, keep: int = LIST_KEEP) -> DataFrame:
+    """Of each query's hits (qid, id, raw_rank), those that may be shown: the best ``keep``, with new ranks.
+
+    Every list passes here, so that no document above the clearance, or with another status, reaches a fusion.
+    """
+    allowed = docs.where(F.col("status").isin(*statuses) & (F.col("classification_level") <= clearance))
+    return top(hits.join(allowed.select("id", "status", "classification_level"), "id"), "qid", keep, F.asc("raw_rank"))
+
+
 def keyword_list(scores: DataFrame, docs: DataFrame, statuses: tuple[str, ...], clearance: int, cut: int = LIST_CUT, keep: int = LIST_KEEP) -> DataFrame:
     """The best ``cut`` documents of each query, and of these, after the filters, the best ``keep`` with new ranks."""
-    best = top(scores, "qid", cut, F.desc("score"), F.asc("id"), name="raw_rank")
-    shown = best.join(docs.where(F.col("status").isin(*statuses) & (F.col("classification_level") <= clearance)).select("id", "status", "classification_level"), "id")
-    return top(shown, "qid", keep, F.asc("raw_rank"))
+    return shown_list(top(scores, "qid", cut, F.desc("score"), F.asc("id"), name="raw_rank"), docs, statuses, clearance, keep)
+
+
+def containing(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, id) of documents (id, circular_no) whose number contains an asked one (qid, ref), whatever the case.
+
+    A reference holds its series and a blank, so what contains it ends in a number that starts with the asked one: an
+    equal join on the beginnings of numbers finds the candidates.
+    """
+    number = F.substring_index("circular_no", " ", -1)
+    longer = docs.select("id", "circular_no", F.explode(F.transform(F.sequence(F.lit(1), F.length(number)), lambda i: F.lower(F.substring(number, F.lit(1), i)))).alias("number"))
+    wanted = asked.select("qid", "ref", F.lower(F.substring_index("ref", " ", -1)).alias("number"))
+    return longer.join(wanted, "number").where(F.contains(F.lower("circular_no"), F.lower("ref"))).select("qid", "id").distinct()
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, score) of all pairs. queries is a stated, bounded set (qid, qvec)."""
-    return vectors.crossJoin(F.broadcast(queries)).select("qid", "id", F.round(dot(F.col("vec"), F.col("qvec")), 6).alias("score"))
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, rows: int = 4096, asked: int = 512) -> DataFrame:
+    """(qid, id, score, rank): the k vectors (id, vec) with the largest dot products with each query (qid, qvec).
+
+    Blocks of vectors meet blocks of queries, each pair in one matrix product that keeps its k best; these are merged.
+    Nothing grows with both tables but the number of pairs of blocks. Null vectors and those of another length score
+    nothing.
+    """
+    blocks = lambda df, size: max(1, -(-df.count() // size))
+    vectors, queries = vectors.where("vec is not null"), queries.where("qvec is not null")
+    n, m = blocks(vectors, rows), blocks(queries, asked)
+    upto = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = queries.select("qid", F.col("qvec").cast("array<double>").alias("x"), F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int").alias("j"), upto(n).alias("i"))
+    right = vectors.select("id", F.col("vec").cast("array<double>").alias("x"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("i"), upto(m).alias("j"))
+
+    def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"qid": [], "id": [], "score": []})]
+        for size, some in q.groupby(q["x"].str.len()):
+            same = v[v["x"].str.len() == size]
+            if len(same):
+                scores = np.stack(some["x"].to_numpy()) @ np.stack(same["x"].to_numpy()).T
+                ids = same["id"].to_numpy()
+                order = np.lexsort([np.broadcast_to(ids, scores.shape), -np.round(scores, 6)], axis=1)[:, :k]
+                out.append(pd.DataFrame({"qid": np.repeat(some["qid"].to_numpy(), order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()}))
+        return pd.concat(out).astype({"qid": "int64", "id": "int64", "score": "float64"})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "qid long, id long, score double")
+    return top(found.withColumn("score", F.round("score", 6)), "qid", k, F.desc("score"), F.asc("id"))
 
 
 def fuse(lists: DataFrame) -> DataFrame:
-    """Reciprocal rank fusion of (qid, id, list, rank)."""
-    return lists.groupBy("qid", "id").agg(F.round(F.sum(1 / (RRF_K + F.col("rank"))), 9).alias("rrf"), F.count(F.lit(1)).alias("n_lists"))
+    """Reciprocal rank fusion of (qid, id, list, rank), with the rank in each list as text."""
+    ranks = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("list", "rank"))), lambda x: F.concat_ws(" ", x["list"], x["rank"].cast("string"))), ", ")
+    return lists.groupBy("qid", "id").agg(F.round(F.sum(1 / (RRF_K + F.col("rank"))), 9).alias("rrf"), F.count(F.lit(1)).alias("n_lists"), ranks.alias("ranks"))
 
 
 def overlap(question: Column, passage: Column) -> Column:

@@ -19,6 +19,8 @@ from quillstone.sources.tables import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 ST = POL + status_sql("st", AS_OF)
+#: statuses that are shown, and with history
+NOW, ALL = ("(" + ",".join(f"'{x}'" for x in V.allowed_statuses(h)) + ")" for h in (False, True))
 
 
 def query(sql: str | None = None) -> Callable:
@@ -61,7 +63,7 @@ def tokens_sql(column: str) -> str:
 BM = f"""
 dt AS (SELECT doc_id AS id, {terms_sql('text')} AS terms FROM documents),
 ix AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(terms) AS dl, unnest(terms) AS term FROM dt) GROUP BY ALL),
-tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT id, dl FROM ix)),
+tot AS (SELECT count(*) AS n, avg(COALESCE(len(terms), 0)) AS avgdl FROM dt),
 qt AS (SELECT item_id AS qid, unnest({query_terms_sql('text')}) AS term FROM benchmark),
 dfs AS (SELECT term, count(*) AS df FROM ix WHERE term IN (SELECT term FROM qt) GROUP BY 1),
 bm AS (SELECT qid, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
@@ -70,8 +72,8 @@ bm AS (SELECT qid, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6)
 
 
 def bm25_scores(spark: SparkSession, folder: str) -> DataFrame:
-    index = R.postings(table(spark, folder, "documents"), "doc_id", "text")
-    return R.bm25(index, table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), "text"))
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    return R.bm25(docs, table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), "text"))
 
 
 # ------------------------------------------------------------------------------------------------- scans and lists
@@ -316,7 +318,7 @@ def bm25_topk(spark, folder):
 
 
 KEYWORD = f"""{ST}, {BM}, raw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS raw_rank FROM bm) WHERE raw_rank <= 100),
-kw AS (SELECT * FROM (SELECT qid, raw.id, score, row_number() OVER (PARTITION BY qid ORDER BY raw_rank) AS rank FROM raw JOIN st ON st.id = raw.id WHERE status IN ('IN_FORCE','AMENDED','UNKNOWN','RECORD') AND classification_level <= 1) WHERE rank <= 30)
+kw AS (SELECT * FROM (SELECT qid, raw.id, score, row_number() OVER (PARTITION BY qid ORDER BY raw_rank) AS rank FROM raw JOIN st ON st.id = raw.id WHERE status IN {NOW} AND classification_level <= 1) WHERE rank <= 30)
 """
 
 
@@ -338,12 +340,10 @@ def bm25_passages(spark, folder):
 
 @query(POL + "SELECT q.id AS qid, d.id, d.circular_no FROM pd q JOIN pd d ON contains(lower(d.circular_no), lower(q.circular_no)) WHERE q.id % 20 = 0")
 def substring_ref_search(spark, folder):
-    """Numbers that contain an asked number: equal number part after the space, then the series as a suffix."""
-    docs = P.policy_documents(spark, folder).select("id", "circular_no", F.substring_index("circular_no", " ", -1).alias("number"))
-    asked = docs.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("circular_no").alias("asked"), "number")
-    # an asked number holds its series and a blank, so what contains it ends in a number that starts with the asked one
-    longer = docs.select("id", "circular_no", F.explode(F.expr("transform(sequence(1, length(number)), i -> substring(number, 1, i))")).alias("number"))
-    return longer.join(asked, "number").where(F.contains(F.lower("circular_no"), F.lower("asked"))).select("qid", "id", "circular_no").distinct()
+    """Documents whose number contains the number of every twentieth one."""
+    docs = P.policy_documents(spark, folder).select("id", "circular_no")
+    asked = docs.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("circular_no").alias("ref"))
+    return R.containing(docs, asked).join(docs, "id").select("qid", "id", "circular_no")
 
 
 VEC = "qv AS (SELECT vec_id AS qid, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0), vs AS (SELECT qid, vec_id AS id, round(list_sum(list_transform(list_zip(qe, embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score FROM qv, embeddings)"
@@ -352,7 +352,7 @@ VEC = "qv AS (SELECT vec_id AS qid, embedding AS qe FROM embeddings WHERE vec_id
 def vector_hits(spark, folder, k: int = R.LIST_CUT):
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     queries = vectors.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    return R.top(R.vector_scores(vectors, queries), "qid", k, F.desc("score"), F.asc("id"))
+    return R.nearest(vectors, queries, k)
 
 
 @query(f"WITH {VEC} SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vs) WHERE rank <= 100")
@@ -360,21 +360,56 @@ def vector_topk(spark, folder):
     return vector_hits(spark, folder)
 
 
-FUSED = KEYWORD + f""", {VEC}, vk AS (SELECT qid, id, rank FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vs) WHERE rank <= 30),
-fu AS (SELECT qid, id, round(sum(1 / (60 + rank)), 9) AS rrf, count(*) AS n_lists FROM (SELECT qid, id, rank FROM kw UNION ALL SELECT qid, id, rank FROM vk) GROUP BY 1, 2)
+#: vector lists after the filters; the vector with id 20 q belongs to question q
+SHOWN_VECTORS = f"""{VEC}, vk AS (SELECT qid // 20 AS qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY raw_rank) AS rank
+ FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS raw_rank FROM vs) v JOIN st USING (id) WHERE raw_rank <= 100 AND status IN {NOW} AND classification_level <= 1 QUALIFY rank <= 30)"""
+
+
+def shown_vectors(spark, folder, history: bool = False):
+    hits = vector_hits(spark, folder).withColumnRenamed("rank", "raw_rank").withColumn("qid", F.expr("qid div 20"))
+    return R.shown_list(hits, statuses(spark, folder), V.allowed_statuses(history), 1)
+
+
+@query(ST + f", {SHOWN_VECTORS} SELECT qid, id, score, rank FROM vk")
+def vector_postfilter(spark, folder):
+    return shown_vectors(spark, folder).select("qid", "id", "score", "rank")
+
+
+#: documents that a question names, the last ones first
+NAMED = f"""{P.QUESTIONS}, rq AS (SELECT DISTINCT qid, upper(s) || ' ' || CAST(n AS INTEGER) || '/' || y AS ref FROM (SELECT qid, regexp_extract(text, '{X.QUERY_REFERENCE}', 1) AS s, regexp_extract(text, '{X.QUERY_REFERENCE}', 2) AS n, regexp_extract(text, '{X.QUERY_REFERENCE}', 3) AS y FROM qs) WHERE n <> ''),
+sb AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id DESC) AS rank FROM (SELECT DISTINCT qid, id FROM rq JOIN st ON contains(lower(circular_no), lower(ref)) WHERE status IN {NOW} AND classification_level <= 1) QUALIFY rank <= 30)"""
+
+
+def named_documents(spark, folder, history: bool = False):
+    asked = P.questions(spark, folder).select("qid", F.explode(F.array_distinct(X.references(F.col("text"), X.QUERY_REFERENCE))).alias("ref"))
+    docs = statuses(spark, folder)
+    found = R.containing(docs.select("id", "circular_no"), asked).withColumn("raw_rank", -F.col("id"))
+    return R.shown_list(found, docs, V.allowed_statuses(history), 1)
+
+
+@query(ST + f", {NAMED} SELECT qid, id, rank FROM sb")
+def named_reference_list(spark, folder):
+    return named_documents(spark, folder).select("qid", "id", "rank")
+
+
+FUSED = KEYWORD + f""", {SHOWN_VECTORS}, {NAMED},
+fu AS (SELECT qid, id, round(sum(1 / (60 + rank)), 9) AS rrf, count(*) AS n_lists, string_agg(list || ' ' || rank, ', ' ORDER BY list) AS ranks
+ FROM (SELECT qid, id, rank, 'keyword' AS list FROM kw UNION ALL SELECT qid, id, rank, 'vector' FROM vk UNION ALL SELECT qid, id, rank, 'substring' FROM sb) GROUP BY 1, 2)
 """
 
 
 def fused(spark, folder, history: bool = False):
-    return R.fuse(keyword_hits(spark, folder, history).select("qid", "id", "rank").unionByName(vector_hits(spark, folder, R.LIST_KEEP).select("qid", "id", "rank")))
+    lists = {"keyword": keyword_hits(spark, folder, history), "vector": shown_vectors(spark, folder, history), "substring": named_documents(spark, folder, history)}
+    parts = [df.select("qid", "id", F.lit(name).alias("list"), "rank") for name, df in lists.items()]
+    return R.fuse(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
-@query(FUSED + "SELECT qid, id, rrf, n_lists FROM fu")
+@query(FUSED + "SELECT qid, id, rrf, n_lists, ranks FROM fu")
 def rrf_fusion(spark, folder):
     return fused(spark, folder)
 
 
-@query(FUSED.replace("('IN_FORCE','AMENDED','UNKNOWN','RECORD') AND", "('IN_FORCE','AMENDED','UNKNOWN','RECORD','CANCELLED','ONE_OFF') AND") + "SELECT qid, fu.id, circular_no, status, status_reason, rrf FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS k FROM fu) fu JOIN st ON st.id = fu.id WHERE k <= 10 AND status = 'CANCELLED'")
+@query(FUSED.replace(NOW, ALL) + "SELECT qid, fu.id, circular_no, status, status_reason, rrf FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS k FROM fu) fu JOIN st ON st.id = fu.id WHERE k <= 10 AND status = 'CANCELLED'")
 def excluded_documents(spark, folder):
     first = R.top(fused(spark, folder, True), "qid", 10, F.desc("rrf"), F.asc("id"), name="k")
     return first.join(statuses(spark, folder).where("status = 'CANCELLED'").select("id", "circular_no", "status", "status_reason"), "id").select("qid", "id", "circular_no", "status", "status_reason", "rrf")

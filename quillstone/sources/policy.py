@@ -83,6 +83,15 @@ def users(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def questions(spark: SparkSession, folder: str) -> DataFrame:
+    """(qid, text): the benchmark's texts, every fourth one with the number of a document."""
+    n = F.col("item_id") * 5
+    named = F.concat(F.lit(" PP "), n.cast("string"), F.lit("/"), (2015 + n % 11).cast("string"))
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.concat("text", F.when(F.col("item_id") % 4 == 0, named).otherwise("")).alias("text"))
+
+
+QUESTIONS = "qs AS (SELECT item_id AS qid, text || CASE WHEN item_id % 4 = 0 THEN ' PP ' || (item_id * 5) || '/' || (2015 + item_id * 5 % 11) ELSE '' END AS text FROM benchmark)"
+
 POL = """
 WITH pd AS (
   SELECT doc_id AS id, ['PP','SPP','SE','PB','PAS'][doc_id % 5 + 1] AS series,

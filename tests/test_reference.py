@@ -136,9 +136,9 @@ def test_clause_changes(spark):
 
 
 def test_fusion_ignores_partitions(spark, data):
-    lists = spark.createDataFrame([(1, i, r) for i, r in ((1, 1), (2, 2), (1, 3), (3, 1))], "qid long, id long, rank int")
+    lists = spark.createDataFrame([(1, i, n, r) for i, n, r in ((1, "a", 1), (2, "a", 2), (1, "b", 3), (3, "b", 1))], "qid long, id long, list string, rank int")
     one, many = (sorted(map(tuple, retrieval.fuse(lists.repartition(n)).collect())) for n in (1, 9))
-    assert one == many and one[0] == (1, 1, round(1 / 61 + 1 / 63, 9), 2)
+    assert one == many and one[0] == (1, 1, round(1 / 61 + 1 / 63, 9), 2, "a 1, b 3")
 
 
 def test_stream_equals_batch(spark, data, tmp_path):
@@ -183,3 +183,30 @@ def test_amendments_follow_all_retrieved_passages(spark, data):
     places = ids(catalogue.jurisdiction_policy(spark, data))
     assert {q for q, _ in ids(got)} == {q for q, _ in places}
     assert ids(got.where("origin = 'selected'")) <= places
+
+
+def test_no_list_shows_more_than_the_clearance(spark, data):
+    allowed = {r.id for r in catalogue.secure_documents(spark, data).collect()}
+    for name in ("bm25_postfilter", "vector_postfilter", "named_reference_list", "rrf_fusion", "jurisdiction_policy"):
+        shown = {r.id for r in catalogue.QUERIES[name](spark, data).select("id").distinct().collect()}
+        assert shown and shown <= allowed, name
+    levels = {r.id: r.classification_level for r in catalogue.P.policy_documents(spark, data).collect()}
+    assert all(levels[r.id] <= 1 for r in catalogue.excluded_documents(spark, data).collect())
+
+
+def test_stored_postings_give_the_same_scores(spark, data, tmp_path):
+    docs = catalogue.table(spark, data, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = catalogue.P.questions(spark, data)
+    retrieval.write_postings(docs, str(tmp_path), 8)
+    stored = {tuple(r) for r in retrieval.bm25_stored(spark, str(tmp_path), asked.where("qid < 3")).collect()}
+    assert stored and stored == {tuple(r) for r in retrieval.bm25(docs, asked.where("qid < 3")).collect()}
+
+
+def test_nearest_in_blocks(spark):
+    import numpy as np
+
+    x = np.random.default_rng(2).normal(size=(90, 5)).round(1)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(100, None), (101, [1.0])], "id long, vec array<double>")
+    got = retrieval.nearest(frame, frame.where("id % 20 = 0").selectExpr("id as qid", "vec as qvec"), 7, 16, 2).collect()
+    scores = (x @ x.T).round(6)
+    assert {(r.qid, r.rank): r.id for r in got} == {(q, k + 1): int(i) for q in range(0, 90, 20) for k, i in enumerate(np.lexsort([np.arange(90), -scores[q]])[:7])} | {}
