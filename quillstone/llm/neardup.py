@@ -43,7 +43,7 @@ BANDS = REGISTERS // BAND
 PERCENT, ESTIMATE = 75, 0.58
 LOOSE, BLOCK = 0.5, 512
 #: members outside a bucket's largest cluster, members in a task, and bands in a key at most
-WIDE, SPOT, DEPTH = 512, 4096, 3
+WIDE, SPOT, DEPTH = 512, 1024, 3
 
 
 class WordHashes(dict):

@@ -211,8 +211,10 @@ def test_components(spark):
     from quillstone.llm.components import components
 
     chain = [(i, i + 1) for i in range(100, 140)] + [(7, 3), (9, 7), (5, 5)] + [(1000, 1000 + i) for i in range(1, 60)]
-    got = dict(components(spark.createDataFrame(chain, "a long, b long")).collect())
-    assert got == {**{i: 100 for i in range(100, 141)}, 3: 3, 7: 3, 9: 3, **{1000 + i: 1000 for i in range(60)}}
+    for part_links in (500_000, 20, 3):
+        got = dict(components(spark.createDataFrame(chain, "a long, b long").repartition(9), part_links).collect())
+        assert got == {**{i: 100 for i in range(100, 141)}, 3: 3, 7: 3, 9: 3, **{1000 + i: 1000 for i in range(60)}}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def brute_substrings(texts):
