@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
 from quillstone.operators import analytics as A
+from quillstone.operators import answers as ANS
 from quillstone.operators import retrieval as R
 from quillstone.operators import snapshots as S
 from quillstone.operators import validity as V
@@ -674,32 +675,45 @@ def turns(spark, folder):
     """Conversation turns as answers over three sources; every second one gets citations, real and not."""
     c = table(spark, folder, "conversations").where("text is not null")
     n = F.col("conv_id") * 100 + F.col("turn")
-    tail = F.when(n % 2 == 0, F.lit(" [S1, S2] and [S7] .\n- do this [S2].\n- and that\n* last [S1][S9]")).otherwise("")
+    tail = F.when(n % 2 == 0, F.lit(" [S1, S2] and [S7; s2,  3] .\n- do this [ S2 ].\n- and that\n* last [S1][S9]")).otherwise("")
     return c.select(n.alias("id"), F.lit(3).alias("n_sources"), F.concat("text", tail).alias("text"))
 
 
-@query()
+TURNS = """tn AS (SELECT conv_id * 100 + turn AS id, 3 AS n_sources, text || CASE WHEN (conv_id * 100 + turn) % 2 = 0 THEN ' [S1, S2] and [S7; s2,  3] .\n- do this [ S2 ].\n- and that\n* last [S1][S9]' ELSE '' END AS text FROM conversations WHERE text IS NOT NULL)"""
+
+
+def checked_sql(source: str, name: str) -> str:
+    """Tables with the validated text, used and removed sources of a table with id, n_sources and text."""
+    return f"""{name}_g AS (SELECT *, list_transform(regexp_extract_all(text, '{ANS.GROUP}'), lambda g: list_transform(regexp_extract_all(g, '[0-9]+'), lambda x: TRY_CAST(x AS BIGINT))) AS gs, string_split_regex(text, '{ANS.GROUP}') AS ps FROM {source}),
+{name} AS (SELECT * EXCLUDE (gs, ps, text), regexp_replace(regexp_replace(regexp_replace(array_to_string(list_transform(range(1, len(ps) + 1), lambda i: ps[i] || COALESCE(array_to_string(list_transform(list_filter(gs[i], lambda x: x BETWEEN 1 AND n_sources), lambda x: '[S' || x || ']'), ''), '')), ''), '[ \\t]+([.,;:])', '\\1', 'g'), '[ \\t]{{2,}}', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS text,
+ list_filter(flatten(gs), lambda x: x BETWEEN 1 AND n_sources) AS valid, list_filter(flatten(gs), lambda x: NOT COALESCE(x BETWEEN 1 AND n_sources, FALSE)) AS removed FROM {name}_g)"""
+
+
+CHECKED = f"WITH {TURNS}, {checked_sql('tn', 'ck')}"
+
+
+@query(CHECKED + " SELECT id, text, array_to_string(list_filter(valid, lambda x, i: list_position(valid, x) = i), ',') AS used, array_to_string(removed, ',') AS removed, len(valid) > 0 AS accepted FROM ck")
 def citation_validate(spark, folder):
-    from quillstone.operators.answers import validated
+    rows = turns(spark, folder).select("id", ANS.validated(F.col("text"), F.col("n_sources")).alias("v"))
+    return rows.select("id", "v.text", F.array_join("v.used", ",").alias("used"), F.array_join("v.removed", ",").alias("removed"), (F.size("v.used") > 0).alias("accepted"))
 
-    rows = turns(spark, folder).select("id", validated(F.col("text"), F.col("n_sources")).alias("v"))
-    return rows.select("id", "v.text", "v.used", "v.removed", (F.size("v.used") > 0).alias("accepted"))
 
+ACTIONS = f"""WITH {TURNS}, ln AS (SELECT id, n_sources, unnest(list_transform(l, lambda x, i: {{'pos': i, 'line': regexp_replace(x, '^\\s+|\\s+$', '', 'g')}}), recursive := true) FROM (SELECT *, string_split_regex(text, '{ANS.LINE_END}') AS l FROM tn)),
+bl AS (SELECT id, n_sources, pos, regexp_replace(line, '{ANS.BULLET}', '') AS text FROM ln WHERE regexp_matches(line, '{ANS.BULLET}')), {checked_sql('bl', 'ck')},
+ac AS (SELECT id, pos, regexp_extract(text, '{ANS.ENDING}', 1) AS ending, regexp_replace(regexp_replace(regexp_replace(text, '{ANS.ENDING}', ''), '^\\s+|\\s+$', '', 'g'), '[.;,]+$', '') AS action FROM ck)
+SELECT id, place, action, array_to_string(regexp_extract_all(ending, '[0-9]+'), ',') AS citations FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS place FROM ac WHERE ending <> '' AND action <> '') WHERE place <= 5"""
 
-@query()
-def actions_parse(spark, folder):
-    from quillstone.operators.answers import actions
 
-    return actions(turns(spark, folder))
+@query(ACTIONS)
+def actions_parse(spark, folder):
+    return ANS.actions(turns(spark, folder)).withColumn("citations", F.array_join("citations", ","))
 
 
-@query()
+@query(f"WITH {TURNS} SELECT id, id % 3 <> 0 AS answerable, CASE WHEN id % 3 <> 0 THEN regexp_replace(regexp_replace(text || chr(10), '^\\s+', ''), '\\**\\s*$', '') ELSE '' END AS answer, CASE WHEN id % 3 <> 0 THEN '- go [S1]' ELSE '' END AS actions FROM tn")
 def stream_fold(spark, folder):
-    from quillstone.operators.answers import fold_streams
-
     whole = turns(spark, folder).select("id", F.concat(F.when(F.col("id") % 3 == 0, "ANSWERABLE: NO\n").otherwise("ANSWERABLE: YES\n"), F.col("text"), F.lit("\nACTIONS: - go [S1]")).alias("text"))
     pieces = whole.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\s\S]{1,7}"), F.lit(0))).alias("seq", "piece"))
-    return fold_streams(pieces)
+    return ANS.fold_streams(pieces)
 
 
 def structured(spark, folder, version: int = 1):

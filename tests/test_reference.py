@@ -124,7 +124,18 @@ def test_citations_actions_and_stream(spark):
     pieces = [(k, s, whole[s : s + k + 1]) for k in range(1, 9) for s in range(0, len(whole), k + 1)]
     rows = answers.fold_streams(spark.createDataFrame(pieces, "id long, seq int, piece string")).collect()
     assert len(rows) == 8 and {(r.answerable, r.answer, r.actions) for r in rows} == {(True, "Boleh [S1].\n", "\n- Mohon [S1]")}
-    assert answers.fold("ANSWERABLE: no\nx") == (False, "", "") and answers.fold("")[0] is False
+    fold = lambda x: tuple(spark.createDataFrame([(x,)], "x string").select(answers.sections(F.col("x")).alias("s")).first().s)
+    assert fold("ANSWERABLE: no\nx") == (False, "", "") and fold("") == (False, "", "") and fold(" short") == (True, " short", "")
+
+
+def test_groups_of_citations(spark):
+    def check(text, n=3):
+        v = spark.createDataFrame([(text, n)], "text string, n int").select(answers.validated(F.col("text"), F.col("n")).alias("v")).first().v
+        return v.text, v.used, v.removed
+
+    assert check("a [S1, S2, S3] b") == ("a [S1][S2][S3] b", [1, 2, 3], [])
+    assert check("[S1; S2; S9]") == ("[S1][S2]", [1, 2], [9]) and check("x [ S1 ] and [s1, s2].") == ("x [S1] and [S1][S2].", [1, 2], [])
+    assert check("[S03,1] [S4] , [S99999999999999999999]") == ("[S3][S1],", [3, 1], [4, None]) and check("plain [X1]") == ("plain [X1]", [], [])
 
 
 def test_clause_changes(spark):
