@@ -1,19 +1,20 @@
-"""Clause changes between two versions of a document, and the hashed embedding that aligns renumbered clauses."""
+"""Clause changes between two versions of a document, their summaries, and the hashed embedding that aligns clauses."""
 
 from __future__ import annotations
 
-import difflib
-import hashlib
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillstone.functions.text import tokens
+from quillstone.functions.text import clause_key, tokens
 
+#: size of embeddings, least share of equal characters under one number, least cosine of renumbered clauses; fixed values
 DIM, SAME_NUMBER, SAME_MEANING = 1024, 0.4, 0.80
+#: a numbered clause's line; fixed format
 CLAUSE = r"^(\d{1,2}(?:\.\d{1,2})*)\.?\s+(.+)$"
 
 
@@ -31,71 +32,123 @@ def clauses(texts: DataFrame) -> DataFrame:
     return parts.select("id", "ref", F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("text"))
 
 
-def bucket(feature: str) -> tuple[int, float]:
-    h = hashlib.blake2b(feature.encode(), digest_size=8).digest()
-    return int.from_bytes(h[:4], "little") % DIM, 1.0 if h[4] & 1 else -1.0
+def hash_vectors(texts: DataFrame, key: list[str]) -> DataFrame:
+    """(key, bucket, value): the entries that are not 0 of the unit vectors of texts (key, text).
 
-
-def hashed(words: list[str]) -> np.ndarray:
-    """Unit vector of signed hashed words, weight 2, and of their character trigrams, weight a half."""
-    out = np.zeros(DIM)
-    for w in words:
-        marked = f"#{w}#"
-        for feature, weight in [("w:" + w, 2.0), *(("c:" + marked[k : k + 3], 0.5) for k in range(len(marked) - 2))]:
-            at, sign = bucket(feature)
-            out[at] += weight * sign
-    if not len(words):
-        out[0] = 1.0
-    return out / (np.linalg.norm(out) or 1.0)
+    A word weighs 2 and each of its letter triples, with its ends marked, a half; a feature's digest gives its bucket
+    and its sign.  A text without words is the first unit vector.
+    """
+    words = texts.select(*key, F.explode_outer(tokens(F.col("text"))).alias("word")).groupBy(*key, "word").agg(F.count(F.lit(1)).alias("n"))
+    word = F.col("word")
+    triples = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.struct(F.concat(F.lit("c:"), F.substring(F.concat(F.lit("#"), word, F.lit("#")), i, F.lit(3))).alias("name"), F.lit(0.5).alias("weight")))
+    named = F.concat(F.array(F.struct(F.concat(F.lit("w:"), word).alias("name"), F.lit(2.0).alias("weight"))), triples)
+    rows = words.where("word is not null").select(*key, "n", F.inline(named))
+    digest = F.md5(F.col("name").cast("binary"))
+    number = lambda start, size: F.conv(F.substring(digest, start, size), 16, 10).cast("long")
+    signed = F.when(number(9, 1) % 2 == 0, F.col("weight")).otherwise(-F.col("weight")) * F.col("n")
+    sums = rows.groupBy(*key, (number(1, 8) % DIM).cast("int").alias("bucket")).agg(F.sum(signed).alias("value")).where("value <> 0")
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(*key)))
+    empty = words.groupBy(*key).agg(F.count("word").alias("some")).where("some = 0").select(*key, F.lit(0).alias("bucket"), F.lit(1.0).alias("value"))
+    return sums.withColumn("value", F.col("value") / norm).unionByName(empty)
 
 
 def hash_embed(texts: DataFrame) -> DataFrame:
-    """(id, embedding) of (id, text); words are split and stemmed by column functions, hashing runs on batches."""
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "embedding": [hashed(list(w)).astype(np.float32) for w in frame["words"]]})
-
-    return texts.select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words")).mapInPandas(work, "id long, embedding array<float>")
-
-
-def inline(old: str, new: str) -> list[str]:
-    """Word-level changes: "= kept", "- gone", "+ new"."""
-    a, b = old.split(), new.split()
-    out = []
-    for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b).get_opcodes():
-        if tag == "equal":
-            out.append("= " + " ".join(a[i:j]))
-        else:
-            out += (["- " + " ".join(a[i:j])] if j > i else []) + (["+ " + " ".join(b[k:m])] if m > k else [])
+    """(id, embedding) of (id, text): :func:`hash_vectors` with the zeros between their entries."""
+    entries = F.array_sort(F.collect_list(F.struct("bucket", "value")))
+    rows = hash_vectors(texts, ["id"]).groupBy("id").agg(entries.alias("e"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    before = lambda i: F.when(i > 0, F.get(F.col("e"), i - 1)["bucket"]).otherwise(-1)
+    filled = F.transform("e", lambda x, i: F.concat(zeros(x["bucket"] - before(i) - 1), F.array(x["value"])))
+    dense = F.flatten(F.concat(filled, F.array(zeros(DIM - 1 - F.element_at("e", -1)["bucket"]))))
+    return rows.select("id", dense.cast("array<float>").alias("embedding"))
+
+
+def word_changes(old: str, new: str) -> list[str]:
+    """Runs of words: "= kept", "- gone", "+ new", from the longest common runs."""
+    a, b, out, i, j = old.split(), new.split(), [], 0, 0
+    for x, y, n in SequenceMatcher(None, a, b).get_matching_blocks():
+        for mark, words in (("-", a[i:x]), ("+", b[j:y]), ("=", a[x : x + n])):
+            if words:
+                out.append(f"{mark} {' '.join(words)}")
+        i, j = x + n, y + n
     return out
 
 
-def align(frame: pd.DataFrame) -> pd.DataFrame:
-    """Changes of one pair's clauses: same number and alike, then nearest in meaning, one to one, then the rest."""
-    old = {r.ref: r for r in frame[frame["side"] == "old"].itertuples()}
-    new = {r.ref: r for r in frame[frame["side"] == "new"].itertuples()}
-    pairs = [(r, r) for r in new if r in old and difflib.SequenceMatcher(None, old[r].text, new[r].text).ratio() >= SAME_NUMBER]
-    left, right = [r for r in old if (r, r) not in pairs], [r for r in new if (r, r) not in pairs]
-    vectors = {(s, r): hashed(list(x.words)) for s, side, refs in (("o", old, left), ("n", new, right)) for r, x in side.items() if r in refs}
-    scored = sorted(((float(vectors["o", a] @ vectors["n", b]), i, j) for i, a in enumerate(left) for j, b in enumerate(right)), reverse=True)
-    used: set = set()
-    for score, i, j in scored:
-        if score >= SAME_MEANING and ("o", i) not in used and ("n", j) not in used:
-            used |= {("o", i), ("n", j)}
-            pairs.append((left[i], right[j]))
-    pairs += [(a, None) for i, a in enumerate(left) if ("o", i) not in used] + [(None, b) for j, b in enumerate(right) if ("n", j) not in used]
-    rows = []
-    for a, b in pairs:
-        x, y = old[a].text if a else "", new[b].text if b else ""
-        if a and b and x == y:
-            continue
-        rows.append((int(frame["pair"].iloc[0]), a, b, "CHANGED" if a and b else "REMOVED" if a else "ADDED", x, y, inline(x, y) if a and b else []))
-    return pd.DataFrame(rows, columns=["pair", "clause_old", "clause_new", "kind", "old_text", "new_text", "inline"])
-
-
-def clause_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Changes between texts of (id, text) with equal ids; a group is one pair of documents."""
-    side = lambda df, name: clauses(df).select(F.col("id").alias("pair"), F.lit(name).alias("side"), "ref", "text", tokens(F.col("text")).alias("words"))
-    both = side(old, "old").unionByName(side(new, "new"))
-    return both.groupBy("pair").applyInPandas(align, "pair long, clause_old string, clause_new string, kind string, old_text string, new_text string, inline array<string>")
+@F.pandas_udf(T.DoubleType())
+def share_of_characters(old: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(old, new)], dtype="float64")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def inline_changes(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for old, new in pairs:
+        yield pd.Series([word_changes(a, b) for a, b in zip(old, new)], dtype=object)
+
+
+def one_to_one(scored: Column) -> Column:
+    """Of an array of (score, old_ref, new_ref), those that the likeliest first leave free on both sides."""
+    start = F.struct(F.array().cast("array<string>").alias("old"), F.array().cast("array<string>").alias("new"), F.array().cast("array<struct<score:double,old_ref:string,new_ref:string>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        free = ~F.array_contains(a["old"], x["old_ref"]) & ~F.array_contains(a["new"], x["new_ref"])
+        grown = lambda name, item: F.when(free, F.array_append(a[name], item)).otherwise(a[name]).alias(name)
+        return F.struct(grown("old", x["old_ref"]), grown("new", x["new_ref"]), grown("out", x))
+
+    return F.aggregate(F.reverse(F.array_sort(scored)), start, step)["out"]
+
+
+def clause_changes(old: DataFrame, new: DataFrame, scope_pairs: DataFrame | None = None) -> DataFrame:
+    """Changes between texts of (id, text) with equal ids: pair, clause_old, clause_new, kind, old_text, new_text, inline.
+
+    Stated pairs (pair, old_ref, new_ref) come first, then equal numbers whose texts share enough characters, then the
+    nearest in meaning, one to one; what is left was removed or added.  Clauses meet by equal joins on the pair of
+    documents and the number or an entry of their vectors.
+    """
+    a = clauses(old).select(F.col("id").alias("pair"), F.col("ref").alias("old_ref"), F.col("text").alias("old_text"))
+    b = clauses(new).select(F.col("id").alias("pair"), F.col("ref").alias("new_ref"), F.col("text").alias("new_text"))
+    found = None
+    free_a, free_b = a, b
+    if scope_pairs is not None:
+        found = scope_pairs.join(a.select("pair", "old_ref"), ["pair", "old_ref"], "left_semi").join(b.select("pair", "new_ref"), ["pair", "new_ref"], "left_semi").select("pair", "old_ref", "new_ref")
+        free_a, free_b = a.join(found, ["pair", "old_ref"], "left_anti"), b.join(found, ["pair", "new_ref"], "left_anti")
+    same = free_a.join(free_b.withColumn("old_ref", F.col("new_ref")), ["pair", "old_ref"])
+    same = same.where(share_of_characters("old_text", "new_text") >= SAME_NUMBER).select("pair", "old_ref", "new_ref")
+    found = same if found is None else found.unionByName(same)
+    free_a, free_b = a.join(found, ["pair", "old_ref"], "left_anti"), b.join(found, ["pair", "new_ref"], "left_anti")
+    va = hash_vectors(free_a.withColumnRenamed("old_text", "text"), ["pair", "old_ref"]).withColumnRenamed("value", "x")
+    vb = hash_vectors(free_b.withColumnRenamed("new_text", "text"), ["pair", "new_ref"]).withColumnRenamed("value", "y")
+    scores = va.join(vb, ["pair", "bucket"]).groupBy("pair", "old_ref", "new_ref").agg(F.sum(F.col("x") * F.col("y")).alias("score")).where(F.col("score") >= SAME_MEANING)
+    near = scores.groupBy("pair").agg(one_to_one(F.collect_list(F.struct("score", "old_ref", "new_ref"))).alias("m")).select("pair", F.inline("m")).drop("score")
+    found = found.unionByName(near)
+    both = found.join(a, ["pair", "old_ref"]).join(b, ["pair", "new_ref"]).where("old_text <> new_text")
+    blank, none = F.lit(""), F.array().cast("array<string>")
+    changed = both.select("pair", F.col("old_ref").alias("clause_old"), F.col("new_ref").alias("clause_new"), F.lit("CHANGED").alias("kind"), "old_text", "new_text", inline_changes("old_text", "new_text").alias("inline"))
+    gone = a.join(found, ["pair", "old_ref"], "left_anti").select("pair", F.col("old_ref").alias("clause_old"), F.lit(None).cast("string").alias("clause_new"), F.lit("REMOVED").alias("kind"), "old_text", blank.alias("new_text"), none.alias("inline"))
+    more = b.join(found, ["pair", "new_ref"], "left_anti").select("pair", F.lit(None).cast("string").alias("clause_old"), F.col("new_ref").alias("clause_new"), F.lit("ADDED").alias("kind"), blank.alias("old_text"), "new_text", none.alias("inline"))
+    return changed.unionByName(gone).unionByName(more)
+
+
+def scope_pairs(relations: DataFrame, new: DataFrame) -> DataFrame:
+    """(pair, old_ref, new_ref): clauses that an amendment's scope names, with the clause of the new text that amends them.
+
+    relations: pair, scope, evidence. The holder is the first clause with the evidence's beginning, else the first that
+    names one of the scope's clauses and speaks of amending.
+    """
+    targets = F.regexp_extract_all(F.coalesce("scope", F.lit("")), F.lit(r"\d{1,2}(?:\.\d{1,2})+"), F.lit(0))
+    asked = relations.select("pair", targets.alias("targets"), F.substring("evidence", 1, 40).alias("lead")).where("size(targets) > 0")
+    held = asked.join(clauses(new).withColumnRenamed("id", "pair"), "pair")
+    by_text = F.coalesce((F.col("lead") != "") & F.contains("text", "lead"), F.lit(False))
+    by_word = F.exists("targets", lambda t: F.contains(F.col("text"), t)) & F.col("text").rlike("dipinda|pindaan")
+    order = F.struct(F.when(by_text, 0).otherwise(1), clause_key(F.col("ref")))
+    holder = held.where(by_text | by_word).groupBy("pair").agg(F.min_by("ref", order).alias("new_ref"), F.first("targets").alias("targets"))
+    return holder.select("pair", F.explode("targets").alias("old_ref"), "new_ref")
+
+
+def change_summaries(changes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row a pair (pair, old_no, new_no): the changed clauses in order, and a sentence in both languages."""
+    ref = F.coalesce("clause_new", "clause_old")
+    listed = F.array_sort(F.collect_list(F.struct(clause_key(ref).alias("k"), ref.alias("ref"))))
+    lists = changes.groupBy("pair").agg(F.count(F.lit(1)).alias("n_changes"), F.array_join(F.transform(listed, lambda x: x["ref"]), ", ").alias("listed"))
+    rows = pairs.join(lists, "pair", "left").withColumn("listed", F.coalesce("listed", F.lit("-")))
+    sentence = lambda verb, than: F.concat(F.col("new_no"), F.lit(f" {verb} "), F.col("listed"), F.lit(f" {than} "), F.col("old_no"), F.lit("."))
+    return rows.select("pair", F.coalesce("n_changes", F.lit(0)).alias("n_changes"), sentence("mengubah perenggan", "berbanding").alias("summary_ms"), sentence("changes paragraphs", "compared with").alias("summary_en"))

@@ -742,20 +742,46 @@ def chunk_minutes(spark, folder):
     return run(rows.select("id", F.lit(1).alias("page"), text.alias("text")), rows.select("id", "circular_no", "issue_date"))
 
 
-@query()
+EMBED = f"""WITH w AS (SELECT id, word, count(*) AS n FROM (SELECT doc_id AS id, unnest({tokens_sql('text')}) AS word FROM documents) GROUP BY ALL),
+f AS (SELECT id, 'w:' || word AS f, 2.0 * n AS weight FROM w UNION ALL SELECT id, 'c:' || substr('#' || word || '#', i, 3), 0.5 * n FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+b AS (SELECT id, CAST('0x' || substr(md5(f), 1, 8) AS BIGINT) % 1024 AS bucket, sum(CASE WHEN CAST('0x' || substr(md5(f), 9, 1) AS INTEGER) % 2 = 0 THEN weight ELSE -weight END) AS v FROM f GROUP BY ALL HAVING v <> 0),
+u AS (SELECT id, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM b UNION ALL SELECT doc_id, 0, 1.0 FROM documents WHERE doc_id NOT IN (SELECT id FROM w))
+SELECT id, count(*) AS n_set, md5(string_agg(bucket || ':' || CAST(round(v * 10000) AS BIGINT), ',' ORDER BY bucket)) AS vector_md5 FROM u GROUP BY 1"""
+
+
+@query(EMBED)
 def hash_embed(spark, folder):
     from quillstone.operators.changes import hash_embed as run
 
-    return run(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
+    rows = run(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
+    entry = lambda x, i: F.when(x != 0, F.concat(i.cast("string"), F.lit(":"), F.round(x.cast("double") * 10000).cast("long").cast("string")))
+    entries = F.filter(F.transform("embedding", entry), lambda x: x.isNotNull())
+    return rows.select("id", F.size(entries).cast("long").alias("n_set"), F.md5(F.array_join(entries, ",").cast("binary")).alias("vector_md5"))
 
 
-@query()
-def clause_diff(spark, folder):
-    from quillstone.operators.changes import clause_changes
+def changed_clauses(spark, folder):
+    """Changes of amended and replaced documents: the old one's clauses, renumbered, with the new document's clauses."""
+    from quillstone.operators import changes as C
 
-    rels = P.policy_relations(spark, folder).where("verified = 1 and relation_type in ('SUPERSEDES', 'AMENDS') and target_doc_id is not null").select(F.col("id").alias("pair"), "target_doc_id", "source_doc_id")
-    # a new version: the old one's clauses, renumbered, with the new document's first lines
+    rels = P.policy_relations(spark, folder).where("verified = 1 and relation_type in ('SUPERSEDES', 'AMENDS') and target_doc_id is not null").select(F.col("id").alias("pair"), "target_doc_id", "source_doc_id", "scope", "relation_type")
     texts = structured(spark, folder).select("id", "text")
     old = rels.join(texts.withColumnRenamed("id", "target_doc_id"), "target_doc_id").select(F.col("pair").alias("id"), "text")
-    new = rels.join(structured(spark, folder, 2).select(F.col("id").alias("target_doc_id"), "text"), "target_doc_id").select(F.col("pair").alias("id"), F.concat("text", F.lit("\n99.1 ketentuan baharu")).alias("text"))
-    return clause_changes(old, new)
+    amends = F.concat(F.lit("\n99.1 perenggan "), F.regexp_extract("scope", r"[\d.]+", 0), F.lit(" adalah dipinda"))
+    new = rels.join(structured(spark, folder, 2).select(F.col("id").alias("target_doc_id"), "text"), "target_doc_id").select(F.col("pair").alias("id"), F.concat("text", amends).alias("text"))
+    scopes = C.scope_pairs(rels.where("relation_type = 'AMENDS'").select("pair", "scope", F.lit("").alias("evidence")), new)
+    return C.clause_changes(old, new, scopes)
+
+
+@query()
+def clause_diff(spark, folder):
+    return changed_clauses(spark, folder)
+
+
+@query()
+def change_summaries(spark, folder):
+    from quillstone.operators import changes as C
+
+    number = P.policy_documents(spark, folder).select("id", "circular_no")
+    rels = P.policy_relations(spark, folder).where("verified = 1 and relation_type in ('SUPERSEDES', 'AMENDS') and target_doc_id is not null")
+    pairs = rels.join(number.toDF("target_doc_id", "old_no"), "target_doc_id").join(number.toDF("source_doc_id", "new_no"), "source_doc_id").select(F.col("id").alias("pair"), "old_no", "new_no")
+    return C.change_summaries(changed_clauses(spark, folder), pairs)

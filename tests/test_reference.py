@@ -146,6 +146,27 @@ def test_clause_changes(spark):
     assert rows["4.1", "4.1"].inline == ["= had cuti rehat", "- lima belas", "+ dua puluh", "= hari"]
 
 
+def test_scopes_and_summaries(spark):
+    new = spark.createDataFrame([(1, "2.1 perenggan 4.2 adalah dipinda seperti berikut\n3.1 lain")], "id long, text string")
+    old = spark.createDataFrame([(1, "4.1 kekal\n4.2 had lima hari")], "id long, text string")
+    rels = spark.createDataFrame([(1, "clauses: 4.2", None)], "pair long, scope string, evidence string")
+    pairs = changes.scope_pairs(rels, new)
+    assert [tuple(r) for r in pairs.collect()] == [(1, "4.2", "2.1")]
+    found = changes.clause_changes(old, new, pairs)
+    assert {(r.clause_old, r.clause_new, r.kind) for r in found.collect()} == {("4.2", "2.1", "CHANGED"), ("4.1", None, "REMOVED"), (None, "3.1", "ADDED")}
+    row = changes.change_summaries(found, spark.createDataFrame([(1, "PP 1/2001", "PP 2/2002"), (2, "A", "B")], "pair long, old_no string, new_no string")).orderBy("pair").collect()
+    assert row[0].summary_en == "PP 2/2002 changes paragraphs 2.1, 3.1, 4.1 compared with PP 1/2001." and row[1].summary_ms == "B mengubah perenggan - berbanding A."
+
+
+def test_hashed_vectors(spark):
+    import numpy as np
+
+    rows = spark.createDataFrame([(1, "cuti rehat tahunan pegawai"), (2, "cuti rehat tahunan pegawai awam"), (3, ""), (4, "zzz qqq")], "id long, text string")
+    v = {r.id: np.array(r.embedding) for r in changes.hash_embed(rows).collect()}
+    assert all(len(x) == 1024 and abs(np.linalg.norm(x) - 1) < 1e-6 for x in v.values()) and v[3][0] == 1
+    assert v[1] @ v[2] > 0.8 and abs(v[1] @ v[4]) < 0.2
+
+
 def test_fusion_ignores_partitions(spark, data):
     lists = spark.createDataFrame([(1, i, n, r) for i, n, r in ((1, "a", 1), (2, "a", 2), (1, "b", 3), (3, "b", 1))], "qid long, id long, list string, rank int")
     one, many = (sorted(map(tuple, retrieval.fuse(lists.repartition(n)).collect())) for n in (1, 9))
