@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +15,16 @@ PART_LINKS, MOST_NODES = 500_000, 2_000_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the folder that spark.checkpoint.dir names."""
+    """df with its lineage cut by a reliable checkpoint in the folder that spark.checkpoint.dir names.
+
+    Where the session names none, a local session (as in tests) gets a folder of its own, and a cluster an error: its
+    executors would not share that folder.
+    """
     spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and spark.sparkContext.getCheckpointDir() is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
