@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OTHER_CLUSTER = "lain-lain"
@@ -30,23 +30,28 @@ def most_common(report: DataFrame, column: str, k: int = 10) -> DataFrame:
     return counts.orderBy(F.desc("n"), "seen").limit(k).select("value", "n")
 
 
-def nearest_rank(df: DataFrame, column: str, shares: tuple[float, ...], buckets: int = 10_000) -> DataFrame:
+def nearest_rank(df: DataFrame, column: str, shares: tuple[float, ...], buckets: int = 1000, most: int = 100_000) -> DataFrame:
     """Percentiles by index round(q (n - 1)), half to even, exactly.
 
-    A histogram of equal widths, a fixed number of counts, shows which buckets hold the wanted ranks; only their rows
-    are then ranked, each bucket by itself.
+    For each share, histograms of equal widths narrow the range in which the wanted rank lies, each between the least and
+    the largest value of the bucket before, so that outliers and crowded values are parted; a range of at most ``most``
+    rows, or of one value, decides.
     """
     spark = df.sparkSession
-    rows = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")).where(~F.isnan("v"))
     low, high, n = rows.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first()
-    if not n:
-        return spark.createDataFrame([], "q double, value double")
-    width = (high - low) / buckets or 1.0
-    rows = rows.withColumn("b", F.floor((F.col("v") - low) / width))
-    start, wanted = 0, []
-    for b, size in sorted(rows.groupBy("b").count().collect()):
-        wanted += [(q, b, round(q * (n - 1)) - start + 1) for q in shares if start <= round(q * (n - 1)) < start + size]
-        start += size
-    picks = spark.createDataFrame(wanted, "q double, b long, at long")
-    near = rows.join(F.broadcast(picks.select("b").distinct()), "b").withColumn("at", F.row_number().over(Window.partitionBy("b").orderBy("v")))
-    return near.join(F.broadcast(picks), ["b", "at"]).select("q", F.col("v").alias("value"))
+    found = []
+    for q in shares if n else ():
+        at, a, b, size = round(q * (n - 1)), low, high, n
+        while size > most and a < b:
+            width = (b - a) / buckets
+            here = rows.where(F.col("v").between(a, b)).withColumn("k", F.least(F.floor((F.col("v") - a) / width), F.lit(buckets - 1)))
+            # at most ``buckets`` rows
+            for _, least, largest, count in sorted(tuple(r) for r in here.groupBy("k").agg(F.min("v"), F.max("v"), F.count(F.lit(1))).collect()):
+                if at < count:
+                    a, b, size = least, largest, count
+                    break
+                at -= count
+        value = a if a == b else rows.where(F.col("v").between(a, b)).orderBy("v").offset(at).limit(1).first()[0]
+        found.append((float(q), float(value)))
+    return spark.createDataFrame(found, "q double, value double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,19 +96,35 @@ def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__rank = 1").drop("__rank")
 
 
-def component_labels(edges: DataFrame, checkpoint_every: int = 3, most_rounds: int = 200) -> DataFrame:
-    """(id, component) by minimum-label propagation with pointer jumping over undirected edges (a, b)."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "id")
-    for k in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("c2"))
-        hooked = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("c2", "component")).alias("component"), F.col("component").alias("before"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        moved = hooked.join(jump, "component", "left").select("id", F.least("component", F.coalesce("further", "component")).alias("component"), "before")
-        if k % checkpoint_every == 0 and both.sparkSession.sparkContext.getCheckpointDir():
-            moved = moved.checkpoint()
-        changed = moved.where("component <> before").limit(1).count()
-        labels = moved.select("id", "component")
-        if not changed:
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the folder of spark.checkpoint.dir; local sessions may go without one."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def component_labels(edges: DataFrame) -> DataFrame:
+    """(id, component) of the nodes of undirected edges (a, b); component is the smallest node that is reached.
+
+    Rounds of two steps go on until nothing changes: each node ties its larger neighbours to the least node it knows, and
+    then its smaller ones.  Trees flatten as they grow, so the rounds grow with the logarithm of a component's size.
+    """
+    edges = edges.where("a is not null and b is not null")
+    alone = edges.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
+    now, before = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("up"), F.least("a", "b").alias("down")).distinct()), None
+    while True:
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("up", "down").cast("decimal(38,0)"))).first()
+        if state == before or not state[0]:
             break
-    return labels
+        before = state
+        every = now.unionByName(now.select(F.col("down").alias("up"), F.col("up").alias("down")))
+        known = every.groupBy("up").agg(F.least(F.col("up"), F.min("down")).alias("least"))
+        larger = every.join(known, "up").where("down > up and least <> down").select(F.col("down").alias("up"), F.col("least").alias("down")).distinct()
+        known = larger.groupBy("up").agg(F.min("down").alias("least"))
+        smaller = larger.join(known, "up").select(F.when(F.col("down") == F.col("least"), F.col("up")).otherwise(F.col("down")).alias("up"), F.col("least").alias("down"))
+        now = cut(smaller.unionByName(known.select("up", F.col("least").alias("down"))).distinct())
+    both = now.select(F.col("up").alias("id"), F.col("down").alias("component")).unionByName(now.select(F.col("down").alias("id"), F.col("down").alias("component")))
+    return both.unionByName(alone).groupBy("id").agg(F.min("component").alias("component"))

@@ -484,7 +484,7 @@ def glossary_expand(spark, folder):
     return hit.join(entries, "entry").join(found, ["item_id", "term"], "left_anti").select("item_id", "entry", "term")
 
 
-INJECT = ST + """, sel AS (SELECT id % 50 AS qid, id, id // 50 AS pos, status, ((id % 9) + 1) || '.1' AS clause FROM st WHERE id // 50 < 5),
+INJECT = ST + """, sel AS (SELECT id // 5 AS qid, id, id % 5 AS pos, status, ((id % 9) + 1) || '.1' AS clause FROM st),
 ed AS (SELECT sel.qid, sel.id, sel.pos, r.source_doc_id AS new_id, r.id AS rel_id FROM sel JOIN pr r ON r.target_doc_id = sel.id AND r.verified = 1 AND r.relation_type = 'AMENDS' WHERE sel.status = 'AMENDED' AND (r.scope = 'whole' OR replace(r.scope, 'clauses: ', '') = sel.clause)),
 pl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, new_id ORDER BY pos, rel_id) AS k FROM ed) WHERE k = 1),
 pn AS (SELECT pl.*, s.id IS NULL AS is_new FROM pl LEFT JOIN sel s ON s.qid = pl.qid AND s.id = pl.new_id),
@@ -498,8 +498,9 @@ SELECT * FROM (SELECT qid, id, origin, row_number() OVER (PARTITION BY qid ORDER
 
 @query(INJECT)
 def amendment_injection(spark, folder):
+    """All documents, as the passages of questions that found five neighbours each."""
     st = statuses(spark, folder)
-    sel = st.where("id div 50 < 5").select((F.col("id") % 50).alias("qid"), "id", F.expr("id div 50").alias("pos"), "status", F.concat((F.col("id") % 9 + 1).cast("string"), F.lit(".1")).alias("clause"))
+    sel = st.select(F.expr("id div 5").alias("qid"), "id", (F.col("id") % 5).alias("pos"), "status", F.concat((F.col("id") % 9 + 1).cast("string"), F.lit(".1")).alias("clause"))
     return R.inject_amendments(sel, P.policy_relations(spark, folder), st.select("id"))
 
 

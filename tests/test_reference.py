@@ -242,3 +242,19 @@ def test_nearest_in_blocks(spark):
     got = retrieval.nearest(frame, frame.where("id % 20 = 0").selectExpr("id as qid", "vec as qvec"), 7, 16, 2).collect()
     scores = (x @ x.T).round(6)
     assert {(r.qid, r.rank): r.id for r in got} == {(q, k + 1): int(i) for q in range(0, 90, 20) for k, i in enumerate(np.lexsort([np.arange(90), -scores[q]])[:7])} | {}
+
+
+def test_components_of_a_long_chain(spark):
+    links = [(i, i + 1) for i in range(400)] + [(900, 700), (5000, 5000)]
+    got = dict(validity.component_labels(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {**{i: 0 for i in range(401)}, 700: 700, 900: 700, 5000: 5000}
+
+
+def test_percentiles_beside_outliers(spark):
+    from quillstone.operators import analytics
+
+    values = sorted([1e12] + [k % 50 / 7 for k in range(3000)] + [3.0] * 500)
+    frame = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = dict(analytics.nearest_rank(frame, "v", (0.0, 0.5, 0.95, 1.0), 10, 20).collect())
+    assert got == {q: values[round(q * (len(values) - 1))] for q in (0.0, 0.5, 0.95, 1.0)}
+    assert analytics.nearest_rank(frame.where("v < 0"), "v", (0.5,)).count() == 0
