@@ -478,3 +478,219 @@ def test_pipeline(spark, data, docs):
     assert set(kept[3]) == set(kept[2])
     packed = corpus_pipeline.packing(spark, now, data).toPandas()
     assert set(packed.doc_id) == set(kept[3])
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, __score double, __kept string, __n_removed int"
+BIG = 2**53 + 1
+
+
+def odd_texts():
+    rng = random.Random(21)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    same, twice, long = text(60), text(40), text(3000)
+    return [
+        (BIG, text(30)), (BIG + 1, text(31) + " pay 4785380592391139"), (None, text(50)), (None, same), (BIG + 2, same), (3, same), (7, twice), (7, twice), (8, "one text " + text(20)), (8, "another " + text(25)),
+        (None, None), (None, ""), (9, None), (10, ""), (-4, text(12)), (BIG + 9, long), (BIG + 11, long + " end"),
+    ]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "en", "s", BIG + k if k % 2 else None, 0.5, "x", k) for k, (i, t) in enumerate(odd_texts())]
+    return spark.createDataFrame(rows, ODD).coalesce(1).cache()
+
+
+def counted(rows):
+    return Counter(r.doc_id for r in rows)
+
+
+def test_odd_ids_keep_their_digits(odd, tokenizer):
+    from quillstone.llm.bpe import digest_documents
+    from quillstone.llm.packing import pack_best_fit, pack_in_order
+    from quillstone.llm.pii import pseudonymise
+    from quillstone.llm.quality import Machine, score
+    from quillstone.llm.sharding import assign_shards
+
+    want = Counter(i for i, _ in odd_texts())
+    tokens = Counter()
+    for i, t in odd_texts():
+        tokens[i] += len(ids_of(tokenizer, t)) + 1
+    got = digest_documents(odd).collect()
+    digest = lambda t: hashlib.sha256(np.array(ids_of(tokenizer, t), "<u4").tobytes()).hexdigest()
+    assert Counter((r.doc_id, r.ids_sha256) for r in got) == Counter((i, digest(t)) for i, t in odd_texts())
+    packed, best = Counter(), Counter()
+    for r in pack_in_order(odd).collect():
+        packed[r.doc_id] += r.length
+    for r in pack_best_fit(odd).collect():
+        for i, a, b in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:]):
+            best[i] += b - a
+    assert packed == tokens and best == tokens
+    assert counted(pseudonymise(odd, "k").collect()) == want and counted(assign_shards(odd).collect()) == want
+    stats = np.random.default_rng(1).normal(size=(4, 14))
+    scored = score(odd, Machine(stats, [np.arange(3)] * 4, np.array([0.0, 1, 0, 1])), name="s").collect()
+    assert counted(scored) == want and {r.n_chars for r in scored} == {None, *(BIG + k for k in range(1, 17, 2))} and scored[0]["__kept"] == "x"
+
+
+def test_odd_ids_in_quality(spark, odd):
+    from quillstone.llm.quality import quality_scores
+
+    labels = spark.createDataFrame([(i, k % 2) for k, (i, _) in enumerate(odd_texts())] + [(7, 1), (7, None)], "doc_id long, quality int")
+    got = quality_scores(odd, labels).collect()
+    assert counted(got) == Counter(i for i, _ in odd_texts())
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    again = quality_scores(odd.repartition(5), labels.repartition(3)).collect()
+    assert Counter((r.doc_id, round(r.score, 9)) for r in got) == Counter((r.doc_id, round(r.score, 9)) for r in again)
+
+
+def test_odd_ids_in_comparisons(odd):
+    from quillstone.llm.fingerprint import Fingerprint, fingerprint_edits, paragraphs
+    from quillstone.llm.neardup import near_duplicates
+    from quillstone.llm.substrings import dedup_substrings
+
+    want = Counter(i for i, _ in odd_texts())
+    near = near_duplicates(odd).collect()
+    assert counted(near) == want and all(r.component_id is None and r.kept for r in near if r.doc_id is None)
+    component = {r.doc_id: r.component_id for r in near}
+    assert component[BIG + 2] == 3 and component[BIG + 11] == component[BIG + 9] == BIG + 9 and component[BIG + 1] == BIG + 1 and component[7] == 7
+    removed = dedup_substrings(odd, carry=("doc_id", "n_chars", "__kept")).collect()
+    assert counted(removed) == want and {r.n_chars for r in removed} == {None, *(BIG + k for k in range(1, 17, 2))}
+    gone = {r.doc_id: r.n_removed for r in removed if r.doc_id is not None}
+    assert gone[BIG + 2] == len(odd_texts()[4][1]) and gone[3] == gone[7] == gone[BIG] == 0 and all(r.n_removed == 0 for r in removed if r.doc_id is None)
+    prints = fingerprint_edits(odd).collect()
+    assert counted(prints) == want
+    alone = [r for r in prints if r.doc_id is None]
+    assert all(r.edited_sha256 is None and r.near_next is None for r in alone)
+    assert Counter(r.fingerprint for r in alone) == Counter(Fingerprint(paragraphs(t or "")).text() for i, t in odd_texts() if i is None)
+
+
+def test_pipeline_of_odd_rows(spark, odd, tmp_path, data):
+    import corpus_pipeline
+
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{data}/labels.parquet").where("doc_id < 0").write.parquet(str(tmp_path / "labels.parquet"))
+    # no labels: every score is one half, so that every document stays in the first stage
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got, want = {r.doc_id for r in out}, {i for i, _ in odd_texts()}
+    assert got == want - {BIG + 2, BIG + 11}
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == odd.columns and now.dtypes == odd.dtypes
+        now = now.cache()
+        assert Counter(r.doc_id for r in now.collect())[None] == 4
+    none = odd.where("doc_id = 12345")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_embeddings_of_every_length(spark):
+    from quillstone.llm.embeddings import near_embeddings
+
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=3).tolist()) for k in range(40)] + [(BIG, [1.0, 2.0]), (BIG + 1, [2.0, 4.01]), (BIG + 2, [-1.0, 2.0]), (None, [1.0, 2.0]), (70, [5.0]), (71, [0.5]), (72, [-3.0]), (80, [1.0, 2.0]), (80, [1.0, 2.001]), (90, []), (91, None)]
+    got = near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter(r.vec_id for r in got) == Counter(i for i, _ in rows)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in got}
+    assert found[BIG] == (3, 80) and found[BIG + 1] == (3, 80) and found[BIG + 2][0] == 0 and found[None][0] == 0
+    assert found[70] == found[71] == (1, 70) and found[72] == (0, 72) and found[90] == (0, 90)
+    x = {k: np.array(v) / np.linalg.norm(v) for k, v in rows[:40]}
+    assert all(found[k][0] == sum(j != k and x[j] @ x[k] >= 0.95 for j in x) for k in x)
+
+
+def test_shards_by_hand(docs):
+    import math
+
+    import xxhash
+
+    from quillstone.llm.sharding import SEED, assign_shards, shard_tree
+
+    def place(doc, tree, leaves):
+        at = ""
+        for _ in range(3):
+            draws = []
+            for name, weight in tree[at]:
+                h = 42
+                for part in (str(doc), SEED, name):
+                    h = xxhash.xxh64_intdigest(part.encode(), h)
+                draws.append((-math.log(((h >> 12) + 0.5) / 2**52) / weight, name))
+            at = min(draws)[1]
+        return leaves[at]
+
+    base, grown = shard_tree(24), shard_tree(25)
+    for r in assign_shards(docs).collect():
+        assert r.shard == place(r.doc_id, *base) and r.grown_shard == place(r.doc_id, *grown)
+
+
+def test_likeness_by_hand(docs):
+    from quillstone.llm.fingerprint import fingerprint_edits
+
+    def parts(text):
+        return Counter(" ".join(w[k : k + 8]) for line in text.split("\n") for w in [line.split()] for k in range(0, len(w), 8))
+
+    def signs(text):
+        digest = lambda p: np.frombuffer(hashlib.blake2b(p.encode(), digest_size=64).digest()[:32], np.uint8)
+        return sum((n * (2.0 * np.unpackbits(digest(p)) - 1) for p, n in parts(text).items()), np.zeros(256))
+
+    def near(a, b):
+        if parts(a) == parts(b):
+            return 1.0
+        return float(np.clip(2 * signs(a) @ signs(b) / max(1.0, signs(a) @ signs(a) + signs(b) @ signs(b)), 0, 1))
+
+    texts = dict(enumerate(t or "" for t in corpus()))
+    order = sorted(texts, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1]))
+    for r in fingerprint_edits(docs).collect():
+        own, other = texts[r.doc_id], texts[after[r.doc_id]]
+        edited = own[: len(own) - len(own) // 3] + other[: len(own) // 3]
+        assert abs(r.near_next - near(own, other)) < 1e-9 and abs(r.near_edited - near(own, edited)) < 1e-9, r.doc_id
+
+
+def test_pseudonyms_by_hand(spark):
+    from quillstone.llm.pii import FIRST_DAY, ROUNDS, pseudonymise
+
+    def feistel(left, right, a, b, tweak):
+        for i in range(1, ROUNDS + 1):
+            f = int(hashlib.sha256("|".join(map(str, ("k", tweak, a, b, i, right))).encode()).hexdigest()[:15], 16)
+            left, right, a, b = right, (left + f % a) % a, b, a
+        return left, right
+
+    def card(number):
+        body = number[:-1]
+        n = len(body)
+        x, y = feistel(int(body[: n // 2]), int(body[n // 2 :]), 10 ** (n // 2), 10 ** (n - n // 2), f"card|{n}")
+        out = str(x).zfill(n // 2) + str(y).zfill(n - n // 2)
+        return next(out + c for c in "0123456789" if luhn(out + c))
+
+    def date(iso):
+        import datetime
+
+        first = datetime.date.fromisoformat(FIRST_DAY)
+        k = (datetime.date.fromisoformat(iso) - first).days
+        x, y = feistel(k // 5411, k % 5411, 27, 5411, "date")
+        return (first + datetime.timedelta(x * 5411 + y)).isoformat()
+
+    cards, dates = ["4785380592391139", "6011000990139424", "378282246310005"], ["1990-02-28", "2031-12-31", "1700-01-01"]
+    x, y = feistel(152 * 256 + 143, 123 * 256 + 131, 65536, 65536, "address")
+    text = " ; ".join([*cards, *dates, "152.143.123.131"])
+    got = pseudonymise(spark.createDataFrame([(text,)], "text string"), "k").first().text.split(" ; ")
+    assert got == [*map(card, cards), *map(date, dates), f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"]
+
+
+def test_pseudonyms_of_any_length(spark):
+    from quillstone.llm.pii import pseudonymise
+
+    texts = ['token = "' + "a1" * 150 + '"', "password: 'pw'", "mail " + "x" * 400 + "@" + "y" * 70 + ".example.org now", "nothing to see, it's fine", 'api_key="']
+    out = [r.text for r in pseudonymise(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1), "k").orderBy("doc_id").collect()]
+    assert "a1a1a1" not in out[0] and len(out[0]) == len(texts[0]) and "'pw'" not in out[1] and len(out[1]) == len(texts[1])
+    assert "xxx" not in out[2] and "yyy" not in out[2] and out[2].endswith(" now") and out[3:] == texts[3:]
+
+
+def test_slash_dates_stay_apart(spark):
+    from quillstone.llm.pii import permuted_date
+
+    days = [f"{d:02}/{m:02}/{y}" for y in (1996, 2004) for m in range(1, 13) for d in range(1, 29)] + [f"{m:02}/{d:02}/{y}" for y in (1996, 2004) for m in range(1, 13) for d in range(13, 29)]
+    days = sorted(set(days))
+    rows = spark.createDataFrame([(d,) for d in days], "d string").select("d", permuted_date(F.col("d"), "k").alias("p")).collect()
+    assert len({r.p for r in rows}) == len(days)
+    day_first = lambda x: int(x[3:5]) <= 12
+    assert all(day_first(r.d) == day_first(r.p) for r in rows)
