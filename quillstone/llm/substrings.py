@@ -210,7 +210,7 @@ class Block:
         beside = np.stack([self.left, self.right], 1).astype("<u2")
         return self.cells.messages(block, {"bucket": low_bytes(self.bucket, 7), "beside": beside, "full": low_bytes(self.full, 5)})
 
-    def hear(self, answers: pd.DataFrame) -> None:
+    def hear(self, answers: pd.DataFrame) -> Block:
         """Sorts the strings of undecided cells; of a cell only those of its smallest document here."""
         answers = answers[answers["level"] == 1].sort_values("part")
         state = self.cells.states(answers)
@@ -234,6 +234,7 @@ class Block:
             head[here], tail[here] = grams[self.at[here]], grams[self.at[here] + SPAN - 1]
         self.one, self.two = joined(joined(name, head), tail), joined(head ^ np.uint64(R), tail)
         self.strings = Sorted(self.one, self.two, self.ids[self.cell], self.parts)
+        return self
 
     def send_strings(self, block: int) -> pd.DataFrame:
         return self.strings.messages(block, {"one": low_bytes(self.one, 8), "two": low_bytes(self.two, 7)})
@@ -355,6 +356,7 @@ def dedup_substrings(docs: DataFrame, parts: int | None = None, carry: tuple[str
     def encoded(texts: pd.Series) -> list[bytes]:
         return [(t or "").encode() for t in texts]
 
+    # a block is given up before its memory is released
     def send_cells(frame: pd.DataFrame) -> pd.DataFrame:
         out = Block(frame["doc_id"].to_numpy(np.int64), encoded(frame["text"]), parts).send_cells(int(frame["block"].iloc[0]))
         release()
@@ -363,23 +365,22 @@ def dedup_substrings(docs: DataFrame, parts: int | None = None, carry: tuple[str
     def send_strings(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(frame) or not len(answers) or not any(map(len, [*answers["left"], *answers["right"]])):
             return pd.DataFrame([], columns=["part", "block", "ids", "doc", "one", "two"])
-        here = Block(frame["doc_id"].to_numpy(np.int64), encoded(frame["text"]), parts)
-        here.hear(answers)
-        out = here.send_strings(int(frame["block"].iloc[0]))
+        out = Block(frame["doc_id"].to_numpy(np.int64), encoded(frame["text"]), parts).hear(answers).send_strings(int(frame["block"].iloc[0]))
         release()
         return out
 
-    def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
-        raw = [(t.as_py() or "").encode() for t in table.column("text")]
+    def kept_of(raw: list[bytes], removed: list[np.ndarray]) -> list[tuple]:
         done = []
-        if raw:
-            here, heard = Block(table.column("doc_id").to_numpy(), raw, parts), answers.to_pandas()
-            here.hear(heard)
-            for text, gone in zip(raw, here.removed(heard, raw)):
-                n = int(gone.sum())
-                spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()) if n else 0
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if n else text
-                done.append((len(text), n, spans, kept.decode("utf-8", "ignore") if as_text else kept))
+        for text, gone in zip(raw, removed):
+            n = int(gone.sum())
+            spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()) if n else 0
+            kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if n else text
+            done.append((len(text), n, spans, kept.decode("utf-8", "ignore") if as_text else kept))
+        return done
+
+    def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
+        raw, heard = [(t.as_py() or "").encode() for t in table.column("text")], answers.to_pandas()
+        done = kept_of(raw, Block(table.column("doc_id").to_numpy(), raw, parts).hear(heard).removed(heard, raw)) if raw else []
         columns = [pa.array(c, k) for c, k in zip(zip(*done) if done else ((),) * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()))]
         release()
         return pa.table([*(table.column(c) for c in carried), *columns], names=[*carried, *RESULT])
