@@ -726,7 +726,21 @@ def structured(spark, folder, version: int = 1):
     return docs.select("id", F.lit(1).alias("page"), "circular_no", "issue_date", "doc_type", F.array_join(headed, "\n").alias("text"))
 
 
-@query()
+#: what chunking the generated rule texts must give, from the lines' places: six lines a section, sections 1 to 99 numbered
+RULES = POL + """, ln AS (SELECT id, circular_no, unnest(list_transform(l, lambda x, k: {'i': k - 1, 'x': x}), recursive := true) FROM (SELECT id, circular_no, list_filter(list_transform(string_split_regex(text, '[.\\n]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM pd WHERE doc_type <> 'minutes')),
+lp AS (SELECT id, circular_no, i, i // 6 + 1 AS sec, i % 9 = 8 AS item, CASE WHEN i % 9 = 8 THEN '(a) ' || x ELSE (i // 6 + 1) || '.' || (i % 6 + 1) || ' ' || x END AS line FROM ln),
+pu AS (SELECT *, CASE WHEN sec > 99 THEN 592 WHEN item THEN i - 1 ELSE i END AS u,
+ CASE WHEN sec > 99 AND i % 6 = 0 THEN ' ' || sec || '. TUJUAN DAN PEMAKAIAN' ELSE '' END || CASE WHEN item THEN chr(10) WHEN sec > 99 THEN ' ' ELSE '' END || line AS piece FROM lp),
+un AS (SELECT id, circular_no, u, u // 6 + 1 AS sec, (u // 6 + 1) || '.' || (u % 6 + 1) AS ref, string_agg(piece, '' ORDER BY i) AS text FROM pu GROUP BY ALL),
+wd AS (SELECT *, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS words FROM un),
+gr AS (SELECT id, sec, list(u ORDER BY u) AS us, list_reduce(list([CAST(words AS BIGINT)] ORDER BY u), lambda a, w: CASE WHEN a[1] > 0 AND a[1] + w[1] > 500 THEN [w[1], a[2] + 1] || a[3:] || [a[2] + 1] ELSE [a[1] + w[1], a[2]] || a[3:] || [a[2]] END, [CAST(0 AS BIGINT), CAST(0 AS BIGINT)])[3:] AS gs FROM wd GROUP BY 1, 2),
+gu AS (SELECT id, unnest(us) AS u, unnest(gs) AS g FROM gr),
+ch AS (SELECT id, circular_no, sec, g, min_by(ref, u) AS lo, max_by(ref, u) AS hi, string_agg(text, chr(10) ORDER BY u) AS body FROM wd JOIN gu USING (id, u) GROUP BY ALL),
+cr AS (SELECT *, CASE WHEN lo = hi THEN lo ELSE lo || '-' || hi END AS clause_ref FROM ch)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY sec, g) - 1 AS chunk_index, clause_ref, circular_no || ' > Tujuan Dan Pemakaian > ' || clause_ref AS breadcrumb, 1 AS page_start, 1 AS page_end, sec || '. TUJUAN DAN PEMAKAIAN' || chr(10) || body AS text FROM cr"""
+
+
+@query(RULES)
 def chunk_rules(spark, folder):
     from quillstone.operators.chunking import chunk_rules as run
 
@@ -734,12 +748,21 @@ def chunk_rules(spark, folder):
     return run(rows.select("id", "page", "text"), rows.select("id", "circular_no"))
 
 
-@query()
+MINUTES = POL + f""", mn AS (SELECT id, circular_no || ' (' || {P.malay_sql('issue_date')} || ')' AS lead, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), ' ') AS body FROM pd WHERE doc_type = 'minutes'),
+mw AS (SELECT id, lead, string_split('PERKARA 1: Laporan' || chr(10) || body, ' ') AS w FROM mn WHERE body <> ''),
+mu AS (SELECT id, 1 AS unit, 0 AS k, 'Kehadiran' AS clause_ref, lead || ' > Kehadiran' AS breadcrumb, 'KEHADIRAN: all' AS text FROM mn
+ UNION ALL SELECT id, 2, k, 'Perkara 1', lead || ' > Perkara 1: Laporan', array_to_string(w[500 * k + 1:500 * k + 500], ' ') FROM (SELECT *, unnest(range(0, (len(w) - 1) // 500 + 1)) AS k FROM mw)
+ UNION ALL SELECT id, 3, 0, 'Perkara 1 - Keputusan', lead || ' > Perkara 1: Laporan > Keputusan', 'PERKARA 1: Laporan - KEPUTUSAN: setuju' FROM mn
+ UNION ALL SELECT id, 4, 0, 'Perkara 1 - Tindakan', lead || ' > Perkara 1: Laporan > Tindakan', 'PERKARA 1: Laporan - TINDAKAN: Unit A laksana' FROM mn)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY unit, k) - 1 AS chunk_index, clause_ref, breadcrumb, 1 AS page_start, 1 AS page_end, text FROM mu"""
+
+
+@query(MINUTES)
 def chunk_minutes(spark, folder):
     from quillstone.operators.chunking import chunk_minutes as run
 
     rows = P.policy_documents(spark, folder).where("doc_type = 'minutes'")
-    text = F.concat(F.lit("KEHADIRAN: all\nPERKARA 1: Laporan\n"), F.col("text"), F.lit("\nKEPUTUSAN: setuju\nTINDAKAN: Unit A\nlaksana"))
+    text = F.concat(F.lit("KEHADIRAN: all\nPERKARA 1: Laporan\n"), F.coalesce("text", F.lit("")), F.lit("\nKEPUTUSAN: setuju\nTINDAKAN: Unit A\nlaksana"))
     return run(rows.select("id", F.lit(1).alias("page"), text.alias("text")), rows.select("id", "circular_no", "issue_date"))
 
 
