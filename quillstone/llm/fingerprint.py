@@ -87,7 +87,7 @@ class Fingerprint:
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
 #: stretches of doc_id for each shuffle partition
-STRETCHES = 2
+STRETCHES = 8
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
