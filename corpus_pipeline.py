@@ -19,6 +19,7 @@ from quillstone.llm.packing import pack_in_order
 from quillstone.llm.pii import pseudonymise, session_key
 from quillstone.llm.quality import THRESHOLD, fit, score
 from quillstone.llm.substrings import dedup_substrings
+from quillstone.sources.tables import spread
 
 #: the stages end in a packing that SQL can't express
 ORACLE_SQL = None
@@ -64,7 +65,7 @@ STAGES = [("quality", quality), ("near_duplicate", near_duplicate), ("substrings
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs if not k else cut(docs), sf_dir)
     return docs

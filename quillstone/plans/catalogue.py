@@ -15,7 +15,7 @@ from quillstone.operators import snapshots as S
 from quillstone.operators import validity as V
 from quillstone.sources import policy as P
 from quillstone.sources.policy import AS_OF, AS_OF_OLD, POL, status_sql
-from quillstone.sources.tables import table
+from quillstone.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,6 +38,11 @@ def statuses(spark: SparkSession, folder: str, as_of: str = AS_OF) -> DataFrame:
     return V.with_status(P.policy_documents(spark, folder), P.policy_relations(spark, folder), as_of)
 
 
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, text) of all documents, for queries that take texts apart."""
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 STOP = "[" + ",".join(f"'{w}'" for w in X.STOPWORDS) + "]"
 FOLD = "lower(strip_accents({}))"
 
@@ -73,7 +78,7 @@ bm AS (SELECT qid, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6)
 
 
 def bm25_scores(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = texts(spark, folder).select(F.col("doc_id").alias("id"), "text")
     return R.bm25(docs, table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), "text"))
 
 
@@ -309,7 +314,7 @@ def change_view(spark, folder):
 # ------------------------------------------------------------------------------------------------------- retrieval
 @query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)")
 def token_terms(spark, folder):
-    t = table(spark, folder, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
+    t = texts(spark, folder).select("doc_id", X.tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5"))
 
 
@@ -569,7 +574,7 @@ def json_functions(spark, folder):
 
 @query("SELECT doc_id, CAST(ceil(n / 500.0) AS BIGINT) AS n_slices, n - (ceil(n / 500.0) - 1) * 500 AS last_words FROM (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents)")
 def fixed_word_slices(spark, folder):
-    slices = table(spark, folder, "documents").select("doc_id", X.word_slices(F.col("text")).alias("s"))
+    slices = texts(spark, folder).select("doc_id", X.word_slices(F.col("text")).alias("s"))
     return slices.select("doc_id", F.size("s").cast("long").alias("n_slices"), F.size(F.split(F.element_at("s", -1), " ")).cast("double").alias("last_words"))
 
 
@@ -577,7 +582,7 @@ def fixed_word_slices(spark, folder):
 def highlight_fragments(spark, folder):
     w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
     f = F.slice(F.transform(F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: (i % 7 == 0) & (i < F.size("w"))), lambda i: F.array_join(F.slice("w", i + 1, F.lit(7)), " ")), 1, 80)
-    rows = table(spark, folder, "documents").select("doc_id", w.alias("w")).select("doc_id", f.alias("f"))
+    rows = texts(spark, folder).select("doc_id", w.alias("w")).select("doc_id", f.alias("f"))
     return rows.select("doc_id", F.size("f").cast("long").alias("n_fragments"), F.size(F.filter("f", lambda x: F.length(x) >= 12)).cast("long").alias("n_long"))
 
 
@@ -720,7 +725,7 @@ def stream_fold(spark, folder):
 def structured(spark, folder, version: int = 1):
     """Documents as numbered rule texts: two headings, clauses and items cut from the text's lines."""
     line = F.expr("transform(filter(split(text, '[.\\n]'), x -> trim(x) <> ''), x -> trim(x))")
-    docs = P.policy_documents(spark, folder).select("id", "circular_no", "issue_date", "doc_type", line.alias("l"))
+    docs = spread(P.policy_documents(spark, folder).select("id", "circular_no", "issue_date", "doc_type", "text")).select("id", "circular_no", "issue_date", "doc_type", line.alias("l"))
     numbered = F.transform("l", lambda x, i: F.when(i % 9 == 8, F.concat(F.lit("(a) "), x)).otherwise(F.concat((i / 6 + 1).cast("int").cast("string"), F.lit("."), (i % 6 + version).cast("string"), F.lit(" "), x)))
     headed = F.flatten(F.transform(numbered, lambda x, i: F.when(i % 6 == 0, F.array(F.concat((i / 6 + 1).cast("int").cast("string"), F.lit(". TUJUAN DAN PEMAKAIAN")), x)).otherwise(F.array(x))))
     return docs.select("id", F.lit(1).alias("page"), "circular_no", "issue_date", "doc_type", F.array_join(headed, "\n").alias("text"))
@@ -777,7 +782,7 @@ SELECT id, count(*) AS n_set, md5(string_agg(bucket || ':' || CAST(round(v * 100
 def hash_embed(spark, folder):
     from quillstone.operators.changes import hash_embed as run
 
-    rows = run(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
+    rows = run(texts(spark, folder).select(F.col("doc_id").alias("id"), "text"))
     entry = lambda x, i: F.when(x != 0, F.concat(i.cast("string"), F.lit(":"), F.round(x.cast("double") * 10000).cast("long").cast("string")))
     entries = F.filter(F.transform("embedding", entry), lambda x: x.isNotNull())
     return rows.select("id", F.size(entries).cast("long").alias("n_set"), F.md5(F.array_join(entries, ",").cast("binary")).alias("vector_md5"))

@@ -10,6 +10,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: rows of tables that may be dealt anew
+SPREAD_ROWS = 1_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if it is a small table in fewer files than cores: one task reads a file's row group.
+
+    Larger tables, and those of many files, are read as they lie; nothing but the layout depends on it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores and df.limit(SPREAD_ROWS + 1).count() <= SPREAD_ROWS:
+        return df.repartition(cores)
+    return df
+
+
 def raw_files(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
     """Files of a folder as (path, length, content); only names that match the pattern."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "length", "content")
