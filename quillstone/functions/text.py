@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 #: words that are no search terms; fixed values
 STOPWORDS = (
-    "yang dan untuk saya di ke dari ini itu adalah ada apa apakah berapa bagaimana boleh bolehkah bagi dengan pada atau kah tak tidak nak mahu "
-    "perlu buat tentang mana masih sahaja jika kalau kita kami anda dia lagi the a an of to is in for and what how can i my me does do are be it "
-    "on with many much still should which who when there any this that if or am was will would about under"
-).split()
+    "yang", "dan", "untuk", "saya", "di", "ke", "dari", "ini", "itu", "adalah", "ada", "apa", "apakah", "berapa", "bagaimana", "boleh", "bolehkah",
+    "bagi", "dengan", "pada", "atau", "kah", "tak", "tidak", "nak", "mahu", "perlu", "buat", "tentang", "mana", "masih", "sahaja", "jika", "kalau",
+    "kita", "kami", "anda", "dia", "lagi", "the", "a", "an", "of", "to", "is", "in", "for", "and", "what", "how", "can", "i", "my", "me", "does",
+    "do", "are", "be", "it", "on", "with", "many", "much", "still", "should", "which", "who", "when", "there", "any", "this", "that", "if", "or",
+    "am", "was", "will", "would", "about", "under",
+)
 #: suffixes that stemming strips, in order; fixed values
 SUFFIXES = ("nya", "kan", "lah", "es", "s")
 MAX_TERMS = 24
@@ -32,8 +34,9 @@ MARKED, PLAIN = fold_table()
 
 
 def fold(c: Column) -> Column:
-    """Lower case without marks on Latin letters; combining marks are dropped."""
-    return F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}+", ""), MARKED, PLAIN)
+    """Lower case without marks on Latin letters; combining marks are dropped. Plain ASCII is only lowered."""
+    lower = F.lower(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(F.regexp_replace(lower, r"\p{Mn}+", ""), MARKED, PLAIN)).otherwise(lower)
 
 
 def words(c: Column) -> Column:
@@ -43,7 +46,7 @@ def words(c: Column) -> Column:
 def terms(c: Column) -> Column:
     """Search terms in order: no stop words, two characters at least, no slash inside."""
     trimmed = F.transform(words(c), lambda w: F.trim(w, F.lit("/")))
-    return F.filter(trimmed, lambda w: (F.length(w) >= 2) & ~w.isin(STOPWORDS) & ~w.contains("/"))
+    return F.filter(trimmed, lambda w: (F.length(w) >= 2) & ~w.isin(*STOPWORDS) & ~w.contains("/"))
 
 
 def query_terms(c: Column, limit: int = MAX_TERMS) -> Column:
@@ -60,7 +63,7 @@ def stem(w: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Stemmed words without stop words, in order."""
     plain = F.regexp_extract_all(fold(c), F.lit(r"[a-z0-9]+"), F.lit(0))
-    return F.transform(F.filter(plain, lambda w: ~w.isin(STOPWORDS)), stem)
+    return F.transform(F.filter(plain, lambda w: ~w.isin(*STOPWORDS)), stem)
 
 
 def first_words(c: Column, n: int) -> Column:

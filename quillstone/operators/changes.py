@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.functions.text import clause_key, tokens
+from quillstone.functions.text import STOPWORDS, clause_key, fold, stem
+from quillstone.operators.retrieval import bounded
 
 #: size of embeddings, least share of equal characters under one number, least cosine of renumbered clauses; fixed values
 DIM, SAME_NUMBER, SAME_MEANING = 1024, 0.4, 0.80
@@ -32,23 +33,31 @@ def clauses(texts: DataFrame) -> DataFrame:
     return parts.select("id", "ref", F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("text"))
 
 
+def token_rows(texts: DataFrame, key: list[str]) -> DataFrame:
+    """(key, word): one row for each stemmed word of texts (key, text) that is no stop word."""
+    plain = texts.select(*key, F.explode(F.regexp_extract_all(fold(F.col("text")), F.lit(r"[a-z0-9]+"), F.lit(0))).alias("word"))
+    return plain.where(~F.col("word").isin(*STOPWORDS)).select(*key, stem(F.col("word")).alias("word"))
+
+
 def hash_vectors(texts: DataFrame, key: list[str]) -> DataFrame:
     """(key, bucket, value): the entries that are not 0 of the unit vectors of texts (key, text).
 
     A word weighs 2 and each of its letter triples, with its ends marked, a half; a feature's digest gives its bucket
     and its sign.  A text without words is the first unit vector.
     """
-    words = texts.select(*key, F.explode_outer(tokens(F.col("text"))).alias("word")).groupBy(*key, "word").agg(F.count(F.lit(1)).alias("n"))
+    words = token_rows(texts, key).groupBy(*key, "word").agg(F.count(F.lit(1)).alias("n"))
+    # digests are taken once for each distinct word
     word = F.col("word")
     triples = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.struct(F.concat(F.lit("c:"), F.substring(F.concat(F.lit("#"), word, F.lit("#")), i, F.lit(3))).alias("name"), F.lit(0.5).alias("weight")))
     named = F.concat(F.array(F.struct(F.concat(F.lit("w:"), word).alias("name"), F.lit(2.0).alias("weight"))), triples)
-    rows = words.where("word is not null").select(*key, "n", F.inline(named))
     digest = F.md5(F.col("name").cast("binary"))
     number = lambda start, size: F.conv(F.substring(digest, start, size), 16, 10).cast("long")
-    signed = F.when(number(9, 1) % 2 == 0, F.col("weight")).otherwise(-F.col("weight")) * F.col("n")
-    sums = rows.groupBy(*key, (number(1, 8) % DIM).cast("int").alias("bucket")).agg(F.sum(signed).alias("value")).where("value <> 0")
+    signed = F.when(number(9, 1) % 2 == 0, F.col("weight")).otherwise(-F.col("weight"))
+    entries = words.select("word").distinct().select("word", F.inline(named)).select("word", (number(1, 8) % DIM).cast("int").alias("bucket"), signed.alias("value"))
+    vectors = entries.groupBy("word").agg(F.collect_list(F.struct("bucket", "value")).alias("entries"))
+    sums = words.join(bounded(vectors), "word").select(*key, "n", F.inline("entries")).groupBy(*key, "bucket").agg(F.sum(F.col("value") * F.col("n")).alias("value")).where("value <> 0")
     norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(*key)))
-    empty = words.groupBy(*key).agg(F.count("word").alias("some")).where("some = 0").select(*key, F.lit(0).alias("bucket"), F.lit(1.0).alias("value"))
+    empty = texts.select(*key).distinct().join(words.select(*key).distinct(), key, "left_anti").select(*key, F.lit(0).alias("bucket"), F.lit(1.0).alias("value"))
     return sums.withColumn("value", F.col("value") / norm).unionByName(empty)
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import query_terms, scope_touches, terms, tokens
+from quillstone.functions.text import STOPWORDS, query_terms, scope_touches, tokens, words
 
 K1, B, RRF_K = 1.2, 0.75, 60
 LIST_CUT, LIST_KEEP, POOL, CONTEXT = 100, 30, 20, 5
@@ -25,21 +25,27 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def term_rows(docs: DataFrame) -> DataFrame:
+    """(id, term): one row for each search term of documents (id, text); the same terms as those of :func:`terms`."""
+    found = docs.select("id", F.explode(words(F.col("text"))).alias("word")).select("id", F.trim("word", F.lit("/")).alias("term"))
+    return found.where((F.length("term") >= 2) & ~F.col("term").isin(*STOPWORDS) & ~F.col("term").contains("/"))
+
+
 def postings(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, dl) of documents (id, text): one row per document and term, or per wanted term (term).
+    """(id, dl, hits) of documents (id, text) with terms: their length and (term, tf) of each term, or each wanted one.
 
-    Terms that aren't wanted are dropped before anything is shuffled.
+    The texts are read once.  Terms that aren't wanted are one row a document before anything is shuffled.
     """
-    found = docs.select("id", terms(F.col("text")).alias("terms"))
-    found = found.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    rows = term_rows(docs)
     if wanted is not None:
-        found = found.join(bounded(wanted), "term", "left_semi")
-    return found.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        rows = rows.join(bounded(wanted.withColumn("asked", F.lit(True))), "term", "left").select("id", F.when(F.col("asked"), F.col("term")).alias("term"))
+    counts = rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return counts.groupBy("id").agg(F.sum("tf").alias("dl"), F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("hits"))
 
 
-def corpus_totals(docs: DataFrame) -> DataFrame:
-    """One row: the number of documents (id, text), those without terms too, and their average length in terms."""
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.greatest(F.size(terms(F.col("text"))), F.lit(0))).alias("avgdl"))
+def corpus_totals(index: DataFrame, n_docs: int) -> DataFrame:
+    """One row: the number of documents, those without terms too, and their average length in terms."""
+    return index.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("terms")).select(F.lit(n_docs).alias("n_docs"), (F.col("terms") / F.lit(max(1, n_docs))).alias("avgdl"))
 
 
 def asked_terms(queries: DataFrame) -> DataFrame:
@@ -47,39 +53,40 @@ def asked_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, score) of every document (id, text) with a query's term. queries: qid, text.
-
-    The texts are read once for the corpus totals, which need no shuffle, and once for the wanted terms.
-    """
-    return scored(postings(docs, asked_terms(queries).select("term").distinct()), corpus_totals(docs), queries)
+    """(qid, id, score) of every document (id, text) with a query's term. queries: qid, text."""
+    index = postings(docs, asked_terms(queries).select("term").distinct())
+    return scored(index.select("id", "dl", F.inline("hits")), corpus_totals(index, docs.count()), queries)
 
 
-def scored(index: DataFrame, totals: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, score) from postings that hold the queries' terms at least, and the corpus totals."""
+def scored(found: DataFrame, totals: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, id, score) from the postings (id, dl, term, tf) of the queries' terms, and the corpus totals."""
     asked = asked_terms(queries)
-    wanted = index.join(bounded(asked.select("term").distinct()), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     # totals is a single row, and there are no more weights than asked terms
     weights = df.crossJoin(F.broadcast(totals)).select("term", idf.alias("idf"), "avgdl")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return wanted.join(weights, "term").join(bounded(asked), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return found.join(weights, "term").join(bounded(asked), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def write_postings(docs: DataFrame, folder: str, buckets: int = 64) -> None:
     """The index of documents (id, text) as files: postings by a hash of the term, so that searches read few, and totals."""
-    index = postings(docs).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
-    index.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16))).write.partitionBy("bucket").mode("errorifexists").parquet(f"{folder}/postings")
-    corpus_totals(docs).withColumn("buckets", F.lit(buckets)).write.mode("errorifexists").parquet(f"{folder}/totals")
+    index = postings(docs)
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets))
+    rows = index.select("id", "dl", F.inline("hits")).withColumn("bucket", bucket)
+    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16))).write.partitionBy("bucket").mode("errorifexists").parquet(f"{folder}/postings")
+    corpus_totals(index, docs.count()).withColumn("buckets", F.lit(buckets)).write.mode("errorifexists").parquet(f"{folder}/totals")
 
 
 def bm25_stored(spark: SparkSession, folder: str, queries: DataFrame) -> DataFrame:
     """:func:`bm25` over a written index; only the buckets of the queries' terms are read."""
     totals = spark.read.parquet(f"{folder}/totals")
     bucket = F.pmod(F.xxhash64("term"), F.lit(totals.first()["buckets"]))
+    asked = asked_terms(queries).select("term").distinct()
     # a bounded list: no more than the index has buckets
-    read = [r[0] for r in asked_terms(queries).select(bucket.alias("bucket")).distinct().collect()]
-    return scored(spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin(read)), totals, queries)
+    read = [r[0] for r in asked.select(bucket.alias("bucket")).distinct().collect()]
+    found = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin(read)).join(bounded(asked), "term", "left_semi")
+    return scored(found, totals, queries)
 
 
 def top(df: DataFrame, key: str, k: int, *order: Column, name: str = "rank") -> DataFrame:
