@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
 from quillstone.operators import answers, changes, chunking, retrieval, snapshots, validity
-from quillstone.plans import catalogue, library
+from quillstone.plans import catalogue, library, records
 from quillstone.streaming import usage
 
 
@@ -35,7 +35,7 @@ def plain(x):
     return str(x).removesuffix(" 00:00:00")
 
 
-@pytest.mark.parametrize("name", sorted(library.C.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(library.C.ORACLE_SQL | records.C.ORACLE_SQL))
 def test_query_matches_sql(name, spark, data, duck):
     got = catalogue.QUERIES[name](spark, data)
     columns = sorted(got.columns)
