@@ -9,8 +9,8 @@ double precision, block by block.
 The codebooks are fitted on at most ``FIT`` vectors, or ``FIT_CODE`` for each codeword if that is more, up to ``FIT_MOST``.
 The margin is fitted on blocks of ``PROBES`` queries, drawn until ``LINKED`` of them have links or ``MOST`` are drawn; below
 so many linked ones it never falls below ``WIDEST`` / 8.  Every vector is indexed.  A pair that only one side's visit
-finds counts for both sides, once.  Vectors of different lengths are never alike: each length with over ``FEW`` vectors
-has an index of its own, and those of rarer lengths are all compared with each other.
+finds counts for both sides, once.  Vectors of different lengths are never alike: the most frequent length, and each
+other one with over ``FEW`` vectors, has an index of its own; those of rarer lengths are all compared with each other.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have a null vec_id link with nothing
 and are kept; equal vectors are one class, counted with its size; a table without valid vectors gives its rows without
@@ -196,8 +196,9 @@ def near_embeddings(vectors: DataFrame) -> DataFrame:
     rows = base.withColumn("dim", F.when(F.col("embedding").isNotNull() & ~bad & nonzero & F.col("vec_id").isNotNull(), F.size("embedding")))
     keyed = rows.select("vec_id", "embedding", "dim", F.when(F.col("dim").isNotNull(), F.xxhash64("embedding")).alias("h"))
     classes = cut(keyed.where("h is not null").groupBy("h", "embedding", "dim").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size")))
-    # one row a length that occurs often; the others need no index
-    often = classes.groupBy("dim").count().where(F.col("count") > FEW).collect()
+    # one row a length that occurs often, and the most frequent one; the others need no index
+    counts = classes.groupBy("dim").count()
+    often = dict(tuple(r) for df in (counts.where(F.col("count") > FEW), counts.orderBy(F.desc("count"), "dim").limit(1)) for r in df.collect()).items()
     indexes = {dim: fitted(classes.where(F.col("dim") == dim), n) for dim, n in often}
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -75,6 +75,17 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_ordered_packing, op4_best_fit_packing, op5_bpe, op6_multi_index, op7_bucket_pointer_dedup, op8_fingerprints, op9_hyperminhash, op10_hash_tree_sharding)}
 ORACLE_SQL: dict[str, str] = {
+    "op7_bucket_pointer_dedup": """
+WITH h AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS gram FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS p FROM h)),
+f AS (SELECT gram, min(doc_id) AS least FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM g JOIN f USING (gram) WHERE least < doc_id),
+r AS (SELECT doc_id, p, count(*) FILTER (q IS NULL OR p > q + 50) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM c),
+s AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY 1, 2),
+k AS (SELECT doc_id, h, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY run) AS later, row_number() OVER (PARTITION BY doc_id ORDER BY run) AS n FROM s JOIN h USING (doc_id)),
+o AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(CASE WHEN n = 1 THEN substr(h, 1, 2 * a) ELSE '' END || substr(h, 2 * b + 1, 2 * (COALESCE(later, length(h) // 2) - b)), '' ORDER BY n) AS kept FROM k GROUP BY 1)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, COALESCE(n_spans, 0) AS n_spans, sha256(unhex(COALESCE(kept, h))) AS kept_sha256 FROM h LEFT JOIN o USING (doc_id)
+""",
     "op9_hyperminhash": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
