@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import is_heading, malay_date, word_slices
 
+#: words of a chunk at most, and of a preamble at least; fixed values
 MAX_WORDS, LEAST_PREAMBLE = 500, 40
+#: lines with a section's number, a clause's number and an item's letter; fixed formats
 TOP, SUB, ITEM = r"^(\d{1,2})\.\s+(.+)$", r"^(\d{1,2}(?:\.\d{1,2})+)\.?\s+(.+)$", r"^\((\w{1,3})\)\s+(.+)$"
 #: headings without a number; fixed values
 CAPS = r"^(TUJUAN|LATAR BELAKANG|PEMAKAIAN|TARIKH KUAT KUASA|PEMBATALAN|LAMPIRAN)\b[A-Z0-9 ,'()/&\-]*$"

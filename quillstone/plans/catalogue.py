@@ -523,7 +523,7 @@ def amendment_injection_retrieved(spark, folder):
 
 
 # ------------------------------------------------------------------------------------- references, dates, functions
-REF_SQL = r"(?i)((?:surat\s+)?pekeliling\s+(?:perkhidmatan|perbendaharaan)|\b(?:spp|pp|se)\b|pekeliling\s+am\s+sarawak|\bpas\b)\s*(?:bilangan|bil\.?)\s*(\d{1,3})\s*(?:tahun|/)\s*((?:19|20)\d{2})"
+REF_SQL = X.REFERENCE
 SERIES_SQL = "CASE WHEN starts_with(s, 'surat pekeliling perkhidmatan') THEN 'SPP' WHEN starts_with(s, 'pekeliling perkhidmatan') THEN 'PP' WHEN starts_with(s, 'pekeliling perbendaharaan') THEN 'PB' WHEN starts_with(s, 'pekeliling am sarawak') THEN 'PAS' ELSE upper(s) END"
 REFS = POL + f", rf AS (SELECT id, text, lower(regexp_extract(text, '{REF_SQL}', 1)) AS s, regexp_extract(text, '{REF_SQL}', 2) AS n, regexp_extract(text, '{REF_SQL}', 3) AS y FROM pc), rn AS (SELECT id, text, {SERIES_SQL} || ' ' || CAST(n AS INTEGER) || '/' || y AS ref FROM rf WHERE n <> '')"
 
