@@ -75,6 +75,15 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_ordered_packing, op4_best_fit_packing, op5_bpe, op6_multi_index, op7_bucket_pointer_dedup, op8_fingerprints, op9_hyperminhash, op10_hash_tree_sharding)}
 ORACLE_SQL: dict[str, str] = {
+    # the exact links; the index finds all of them on the small tables
+    "op6_multi_index": """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+re AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT links.b, re.root FROM re JOIN links ON links.a = re.id),
+cp AS (SELECT id, min(root) AS component_id FROM re GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN cp ON cp.id = vec_id
+""",
     "op7_bucket_pointer_dedup": """
 WITH h AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents),
 g AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS gram FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS p FROM h)),
