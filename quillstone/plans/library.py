@@ -157,13 +157,13 @@ def packs_united(spark, folder):
 
 
 # ------------------------------------------------------------------------------------------------------ evaluation
-MODES = ("BASELINE", "NAVIGATOR")
+MODES = ("BASELINE", "COMPLETE")
 SCORED = C.JUR + """, gd AS (SELECT qid, min(r.id) AS eid FROM raw r JOIN benchmark b ON b.item_id = qid JOIN documents d ON d.doc_id = r.id AND contains(d.text, b.text) GROUP BY 1),
 gs AS (SELECT item_id AS qid, ['direct', 'trap_cancelled', 'access', 'unanswerable'][item_id % 4 + 1] AS type, CASE WHEN item_id % 4 <> 3 THEN st.id END AS eid, CASE WHEN item_id % 4 = 1 AND status <> 'IN_FORCE' THEN st.id END AS bad FROM benchmark LEFT JOIN gd ON gd.qid = item_id LEFT JOIN st ON st.id = gd.eid),
-so AS (SELECT 'BASELINE' AS mode, qid, id, place FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY raw_rank) AS place FROM raw JOIN st USING (id) WHERE classification_level <= 1) WHERE place <= 5 UNION ALL SELECT 'NAVIGATOR', qid, id, row_number() OVER (PARTITION BY qid ORDER BY other, pos) FROM js),
+so AS (SELECT 'BASELINE' AS mode, qid, id, place FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY raw_rank) AS place FROM raw JOIN st USING (id) WHERE classification_level <= 1) WHERE place <= 5 UNION ALL SELECT 'COMPLETE', qid, id, row_number() OVER (PARTITION BY qid ORDER BY other, pos) FROM js),
 sc AS (SELECT mode, gs.qid, type, count(place) > 0 AS answered, min(place) FILTER (id = eid AND place <= 5) AS rank, CASE WHEN eid IS NOT NULL THEN COALESCE(bool_or(id = eid AND place <= 5), FALSE) END AS recalled,
  CASE WHEN eid IS NOT NULL THEN COALESCE(bool_or(id = eid AND place <= 5 AND id % 2 = 0), FALSE) END AS clause_hit, CASE WHEN eid IS NOT NULL THEN COALESCE(bool_or(id = eid AND place <= 2), FALSE) END AS cited_expected,
- COALESCE(bool_or(id = bad AND place <= 2), FALSE) AS cited_cancelled, FALSE AS leak FROM gs CROSS JOIN (VALUES ('BASELINE'), ('NAVIGATOR')) m(mode) LEFT JOIN so USING (mode, qid) GROUP BY mode, gs.qid, type, eid)
+ COALESCE(bool_or(id = bad AND place <= 2), FALSE) AS cited_cancelled, FALSE AS leak FROM gs CROSS JOIN (VALUES ('BASELINE'), ('COMPLETE')) m(mode) LEFT JOIN so USING (mode, qid) GROUP BY mode, gs.qid, type, eid)
 """
 
 
@@ -207,7 +207,7 @@ def eval_summary(spark, folder):
     return E.summary(scored_questions(spark, folder))
 
 
-@query(SCORED + SUMMARY + " SELECT metric, max(value) FILTER (mode = 'BASELINE') AS BASELINE, max(value) FILTER (mode = 'NAVIGATOR') AS NAVIGATOR FROM (UNPIVOT (SELECT * FROM sm) ON " + ", ".join(E.METRICS) + " INTO NAME metric VALUE value) GROUP BY 1")
+@query(SCORED + SUMMARY + " SELECT metric, max(value) FILTER (mode = 'BASELINE') AS BASELINE, max(value) FILTER (mode = 'COMPLETE') AS COMPLETE FROM (UNPIVOT (SELECT * FROM sm) ON " + ", ".join(E.METRICS) + " INTO NAME metric VALUE value) GROUP BY 1")
 def eval_by_mode(spark, folder):
     return E.by_mode(scored_questions(spark, folder), MODES)
 
