@@ -73,7 +73,25 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_ordered_packing, op4_best_fit_packing, op5_bpe, op6_multi_index, op7_bucket_pointer_dedup, op8_fingerprints, op9_hyperminhash, op10_hash_tree_sharding)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.conversations import damaged, repair
+
+    return repair(damaged(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.counts import count_tokens
+
+    return count_tokens(documents(spark, sf_dir))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.resampling import resample
+
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_ordered_packing, op4_best_fit_packing, op5_bpe, op6_multi_index, op7_bucket_pointer_dedup, op8_fingerprints, op9_hyperminhash, op10_hash_tree_sharding, op11_conversation_repair, op12_token_counts, op13_importance_resampling)}
 ORACLE_SQL: dict[str, str] = {
     # the exact links; the index finds all of them on the small tables
     "op6_multi_index": """
