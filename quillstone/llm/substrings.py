@@ -9,19 +9,22 @@ buckets that are still undecided go on.
    the same offset.  Neighbouring strings with one anchor are a cell: some 17 strings, one entry.  Cells with one q-gram at
    their anchors are an initial bucket.
 2. A bucket is sorted on the q-grams at offsets q after the anchor and, apart, q before it; ranks in these orders are the
-   refined identifiers.  Each string holds one of the two q-grams whole.  The refined identifiers and what else the cells'
-   strings hold are the keys of one more sort: a cell that a smaller document has too is decided.  Of the others, only
-   cells of several documents in one refined bucket stay undecided, on that side, and get its identifier back.
-3. A string of an undecided cell is sorted on that identifier, which stands for 34 of its bytes, and on the q-grams at its
-   own offsets 0 and 33, which hold the other 16.
+   refined identifiers.  Each string holds one of the two q-grams whole.  The refined identifiers and the q-grams of the
+   cell's first and last 17 bytes, with their offsets from the anchor, are the keys of one more sort; together they hold
+   every byte of a cell.  A cell that a smaller document has too is decided.  Of the others, only cells of several
+   documents in one refined bucket stay undecided, on that side, and get its identifier back.
+3. A string of an undecided cell is sorted on that identifier, which stands for 34 of its bytes, on where in the string
+   they lie, and on the q-grams at its own offsets 0 and 33, which hold the other 16.
 
 Entries move as arrays: a block of documents sends one array to each part of the buckets, holding each of its cells once
 with its smallest document, and gets back one state for each entry, in the order sent.  So a passage that a third of all
 documents share costs one entry a block.  Blocks and parts are so many that each covers a stated number of bytes of text;
-long texts are cut into overlapping pieces inside their block.
+long texts are cut into overlapping pieces inside their block, of which no more than the bytes and the cells are held.
 
-Equality rests on hashes: 56 bits of the anchor's q-gram, 16 for each q-gram beside it and 40 of the whole cell, 120 bits
-for strings.  At 10^14 entries the chance of one false match is about 10^-8; no hash is decided by fewer bits alone.
+Equality rests on hashes of q-grams, not on bytes.  Two cells of one bucket are told apart by 64 bits of the names of all
+their q-grams, besides 16 for each q-gram beside the anchor; strings by 120 bits.  So n different surroundings of one
+q-gram have a chance of some n^2 / 2^65 to hold a false match: 10^-7 for a million, 0.03 for a billion, one such in a
+corpus.
 
 Defined results: a null text is empty and a text of under 50 bytes is kept; rows with the same doc_id don't remove each
 other's bytes; a row whose doc_id is null is kept as it is; columns to carry go through unchanged.
@@ -44,8 +47,9 @@ SPAN = LENGTH - Q + 1
 #: bytes of text that are analysed at a time, in a block, for each part of the buckets, and for each task
 SEGMENT, BLOCK_BYTES, PART_BYTES, TASK_BYTES = 1 << 20, 4 << 20, 24 << 20, 128 << 20
 R = 0x9E3779B97F4A7C15 | 1
-R_INVERSE = pow(R, -1, 2**64)
 POSITION = np.uint64((1 << 24) - 1)
+#: bytes of a bucket's name that are sent (its part holds more of it), and names of q-grams beside anchors
+BUCKET_BYTES, BESIDE = 5, 65535
 #: states of entries
 COVERED, LEFT, RIGHT = 1, 2, 4
 
@@ -64,34 +68,22 @@ def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return mixed(mixed(x) * np.uint64(R) + y)
 
 
-POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """The first n powers of base modulo 2^64; kept for the next call."""
-    if len(POWERS.get(base, ())) < n:
-        out = np.full(n + n // 4, base, np.uint64)
-        out[0] = 1
-        POWERS[base] = np.multiply.accumulate(out)
-    return POWERS[base][:n]
-
-
 class Cells:
     """Cells of some pieces of texts: first and last string, anchor, bucket, q-grams beside it, identifier, piece."""
 
     def __init__(self, pieces: list[bytes]):
         self.sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         self.starts = np.cumsum(self.sizes) - self.sizes
-        raw = b"".join(pieces)
+        self.raw = raw = b"".join(pieces)
         n = len(raw)
         if not (self.sizes >= LENGTH).any():
             self.first = self.last = self.anchor = self.piece = np.empty(0, np.int64)
-            self.bucket = self.full = self.grams = np.empty(0, np.uint64)
+            self.bucket = self.outer = np.empty(0, np.uint64)
             self.left = self.right = np.empty(0, np.uint16)
             return
         eight = np.ndarray((n - 7,), "<u8", raw, strides=(1,)).astype(np.uint64)
         m = n - Q + 1
-        self.grams = grams = joined(joined(eight[:m], eight[8 : 8 + m]), np.frombuffer(raw, np.uint8)[Q - 1 :].astype(np.uint64))
+        grams = joined(joined(eight[:m], eight[8 : 8 + m]), np.frombuffer(raw, np.uint8)[Q - 1 :].astype(np.uint64))
         # a hash above its position: the least is the leftmost of the least
         least = (grams & ~POSITION) | np.arange(m, dtype=np.uint64)
         for step in (1, 2, 4, 8, 16, SPAN - 32):
@@ -109,13 +101,20 @@ class Cells:
         self.anchor = anchor = least[first]
         self.bucket = mixed(grams[anchor])
         # strings from Q bytes before the anchor on hold the q-gram before it, the others the one after it; 0 is none
-        beside = lambda there, at: np.where(there, grams[np.clip(at, 0, m - 1)] % np.uint64(65535) + np.uint64(1), 0).astype(np.uint16)
-        self.left, self.right = beside(first <= anchor - Q, anchor - Q), beside(last > anchor - Q, anchor + Q)
-        # identifiers of any run of q-grams come from sums of their hashes times powers
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams * powers(R, m), dtype=np.uint64)])
-        self.full = mixed((sums[last + SPAN] - sums[first]) * powers(R_INVERSE, m + 1)[first] + (last - first).astype(np.uint64))
+        beside = lambda there, at: np.where(there, grams[np.clip(at, 0, m - 1)], 0)
+        left, right = beside(first <= anchor - Q, anchor - Q), beside(last > anchor - Q, anchor + Q)
+        brief = lambda x: np.where(x > 0, x % np.uint64(BESIDE) + np.uint64(1), 0).astype(np.uint16)
+        self.left, self.right = brief(left), brief(right)
+        # the q-grams that hold all bytes of a cell, with the places of the outer ones
+        places = ((anchor - first) * 64 + (anchor - last)).astype(np.uint64)
+        self.outer = joined(joined(joined(grams[first], grams[last + SPAN - 1]), joined(left, right)), joined(self.bucket, places))
         self.piece = np.searchsorted(self.starts, first, "right") - 1
 
+    def grams(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the q-grams at some places."""
+        eight = np.ndarray((len(self.raw) - 7,), "<u8", self.raw, strides=(1,))
+        return joined(joined(eight[at].astype(np.uint64), eight[at + 8].astype(np.uint64)), np.frombuffer(self.raw, np.uint8)[at + Q - 1].astype(np.uint64))
+
 
 def portions(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """Rows, places and pieces of texts, some ``SEGMENT`` bytes at a time; pieces of a long text share 49 bytes."""
@@ -188,7 +187,7 @@ def numbers(raw: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-CELLS = "part int, block long, ids binary, doc binary, bucket binary, beside binary, full binary"
+CELLS = "part int, block long, ids binary, doc binary, bucket binary, beside binary, outer binary"
 STRINGS = "part int, block long, ids binary, doc binary, one binary, two binary"
 REPLY = "block long, part int, level int, state binary, left binary, right binary"
 
@@ -201,14 +200,14 @@ class Block:
         self.portions = [(np.array(rows), places, Cells(pieces)) for rows, places, pieces in portions(texts)]
         every = lambda name: np.concatenate([getattr(c, name) for _, _, c in self.portions])
         self.first, self.last, self.anchor, self.left, self.right = map(every, ("first", "last", "anchor", "left", "right"))
-        self.bucket, self.full = every("bucket"), every("full")
+        self.bucket, self.outer = every("bucket"), every("outer")
         self.ids = np.concatenate([ids[rows[c.piece]] for rows, _, c in self.portions])
         self.ends = np.cumsum([len(c.first) for _, _, c in self.portions])
-        self.cells = Sorted(self.bucket, self.full, self.ids, parts)
+        self.cells = Sorted(self.bucket, self.outer, self.ids, parts)
 
     def send_cells(self, block: int) -> pd.DataFrame:
         beside = np.stack([self.left, self.right], 1).astype("<u2")
-        return self.cells.messages(block, {"bucket": low_bytes(self.bucket, 7), "beside": beside, "full": low_bytes(self.full, 5)})
+        return self.cells.messages(block, {"bucket": low_bytes(self.bucket, BUCKET_BYTES), "beside": beside, "outer": low_bytes(self.outer, 8)})
 
     def hear(self, answers: pd.DataFrame) -> Block:
         """Sorts the strings of undecided cells; of a cell only those of its smallest document here."""
@@ -227,12 +226,16 @@ class Block:
             cell.append(np.repeat(some, count))
             name.append(np.repeat(pointer[side][self.cells.of[some]], count))
         self.at, self.cell, name = map(np.concatenate, (at, cell, name))
-        head, tail = np.empty(len(self.at), np.uint64), np.empty(len(self.at), np.uint64)
+        place = self.anchor[self.cell] - self.at
+        beside = self.anchor[self.cell] + np.where(place >= Q, -Q, Q)
+        head, tail, middle = (np.empty(len(self.at), np.uint64) for _ in range(3))
         portion = np.searchsorted(self.ends, self.cell, "right")
         for k in np.unique(portion):
             here, grams = portion == k, self.portions[k][2].grams
-            head[here], tail[here] = grams[self.at[here]], grams[self.at[here] + SPAN - 1]
-        self.one, self.two = joined(joined(name, head), tail), joined(head ^ np.uint64(R), tail)
+            head[here], tail[here], middle[here] = grams(self.at[here]), grams(self.at[here] + SPAN - 1), grams(beside[here])
+        # where the 34 bytes lie is a key too: else the same parts in another order would be equal
+        middle, place = joined(joined(middle, self.bucket[self.cell]), place.astype(np.uint64)), place.astype(np.uint64)
+        self.one, self.two = joined(joined(name, joined(head, tail)), middle), joined(joined(tail ^ np.uint64(R), head), joined(middle ^ np.uint64(R), place))
         self.strings = Sorted(self.one, self.two, self.ids[self.cell], self.parts)
         return self
 
@@ -291,15 +294,15 @@ def replies(frame: pd.DataFrame, level: int, number: np.ndarray, state: np.ndarr
 
 
 def decide_cells(frame: pd.DataFrame) -> pd.DataFrame:
-    """Refines the buckets of a part once on either side of the anchor, and then by all that cells hold."""
+    """Refines the buckets of a part once on either side of the anchor, and then by the q-grams at the cells' ends."""
     number, ids = received(frame)
     beside = np.frombuffer(b"".join(frame["beside"]), "<u2").reshape(-1, 2).astype(np.int64)
-    _, bucket = np.unique(numbers(b"".join(frame["bucket"]), 7), return_inverse=True)
+    _, bucket = np.unique(numbers(b"".join(frame["bucket"]), BUCKET_BYTES), return_inverse=True)
     ranks = {side: np.unique(bucket << 16 | beside[:, k], return_inverse=True)[1] for k, side in enumerate((LEFT, RIGHT))}
-    whole, full = ranks[LEFT] << 32 | ranks[RIGHT], numbers(b"".join(frame["full"]), 5)
-    order = np.lexsort([ids, full, whole])
+    whole, outer = ranks[LEFT] << 32 | ranks[RIGHT], numbers(b"".join(frame["outer"]), 8)
+    order = np.lexsort([ids, outer, whole])
     new = np.ones(len(order), bool)
-    new[1:] = (whole[order[1:]] != whole[order[:-1]]) | (full[order[1:]] != full[order[:-1]])
+    new[1:] = (whole[order[1:]] != whole[order[:-1]]) | (outer[order[1:]] != outer[order[:-1]])
     head = order[new]
     state = np.zeros(len(order), np.uint8)
     state[order[ids[head][np.cumsum(new) - 1] < ids[order]]] = COVERED

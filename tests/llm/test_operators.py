@@ -244,30 +244,13 @@ def test_substrings(docs, empty, spark):
     assert got == {None: 0, 1: 0, 2: 80}
 
 
-@pytest.mark.parametrize("segment", [1 << 20, 150])
-def test_substrings_of_hard_texts(monkeypatch, segment):
+def substrings_kept(texts, parts=3, blocks=4):
+    """Kept bytes of texts, by the operator's steps in one process."""
     import pandas as pd
 
     from quillstone.llm import substrings
 
-    monkeypatch.setattr(substrings, "SEGMENT", segment)
-    rng = random.Random(segment)
-    some = lambda n, letters="ab": "".join(rng.choice(letters) for _ in range(n))
-    shared = [some(rng.randint(50, 400), "abcdefgh ") for _ in range(6)] + ["a" * 300, "ab" * 200, "abc" * 90, some(37) * 9, some(17) * 20]
-    texts = ["", "x" * 49, "x" * 50, "x" * 120]
-    for _ in range(60):
-        parts = []
-        for _ in range(rng.randint(1, 5)):
-            t = rng.choice(shared)
-            i = rng.randrange(len(t))
-            parts += [some(rng.randint(0, 60), "abcdefgh "), t[i : i + rng.randint(40, 300)]]
-        texts.append("".join(parts))
-    # small alphabets give strings that agree in part only
-    base = some(90)
-    for _ in range(40):
-        k = rng.randrange(90)
-        texts.append(base[:k] + rng.choice("cd") + base[k + 1 :])
-    raw, parts, blocks = [t.encode() for t in texts], 3, 4
+    raw = [t.encode() for t in texts]
     dealt = {b: [i for i in range(len(raw)) if i % blocks == b] for b in range(blocks)}
 
     def held():
@@ -282,13 +265,61 @@ def test_substrings_of_hard_texts(monkeypatch, segment):
     for b, x in held().items():
         x.hear(first[first["block"] == b])
         second.append(x.send_strings(b))
-    answers = pd.concat([first, decided(second, substrings.decide_strings)])
-    want = brute_substrings(enumerate(texts))
+    answers, out = pd.concat([first, decided(second, substrings.decide_strings)]), {}
     for b, x in held().items():
         mine = answers[answers["block"] == b]
         x.hear(mine)
         for i, gone in zip(dealt[b], x.removed(mine, [raw[k] for k in dealt[b]])):
-            assert np.frombuffer(raw[i], np.uint8)[~gone].tobytes() == want[i][3], i
+            out[i] = np.frombuffer(raw[i], np.uint8)[~gone].tobytes()
+    return out
+
+
+#: sizes of segments; with names of few values, buckets and q-grams beside anchors that differ are named alike
+@pytest.mark.parametrize("segment, names", [(1 << 20, (5, 65535)), (150, (5, 65535)), (1 << 20, (1, 2))])
+def test_substrings_of_hard_texts(monkeypatch, segment, names):
+    from quillstone.llm import substrings
+
+    monkeypatch.setattr(substrings, "SEGMENT", segment)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", names[0])
+    monkeypatch.setattr(substrings, "BESIDE", names[1])
+    rng = random.Random(segment)
+    some = lambda n, letters="ab": "".join(rng.choice(letters) for _ in range(n))
+    shared = [some(rng.randint(50, 400), "abcdefgh ") for _ in range(6)] + ["a" * 300, "ab" * 200, "abc" * 90, some(37) * 9, some(17) * 20]
+    texts = ["", "x" * 49, "x" * 50, "x" * 120]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            t = rng.choice(shared)
+            i = rng.randrange(len(t))
+            parts += [some(rng.randint(0, 60), "abcdefgh "), t[i : i + rng.randint(40, 300)]]
+        texts.append("".join(parts))
+    # small alphabets give strings that agree in part only
+    base = some(90)
+    for _ in range(40):
+        k = rng.randrange(90)
+        texts.append(base[:k] + rng.choice("cd") + base[k + 1 :])
+    want, got = brute_substrings(enumerate(texts)), substrings_kept(texts)
+    for i in range(len(texts)):
+        assert got[i] == want[i][3], i
+
+
+def test_substrings_of_runs_with_odd_bytes():
+    """Runs of one letter with one other in them, here and there: strings of equal parts in another order."""
+    rng = random.Random(7)
+    texts = []
+    for n, letter in enumerate("abcdefgh-=. #"):
+        for k in range(8):
+            for place in (3 * k + 2, 49 - 3 * k, rng.randrange(50)):
+                own = f"<{len(texts)}"
+                texts.append(own + "#" * (8 - len(own)) + letter * place + "j" + letter * (49 - place) + f"{len(texts)}>")
+    # periods, and periods with one fault
+    for period in ("ab", "abc", "- ", "+---", "0123456789", "lorem ipsum dolo"):
+        run = (period * 60)[:130]
+        texts += [run, "x" + run, run[1:]] + [run[:k] + "?" + run[k + 1 :] for k in rng.sample(range(130), 12)]
+    rng.shuffle(texts)
+    want, got = brute_substrings(enumerate(texts)), substrings_kept(texts)
+    for i in range(len(texts)):
+        assert got[i] == want[i][3], texts[i]
 
 
 def test_substrings_carry_columns(docs):
