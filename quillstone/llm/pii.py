@@ -8,7 +8,11 @@ can be read day first is, and stays among those; others (month first, a day abov
 walking on until the result is one.  Mail addresses and quoted secrets of any length are no numbers: they are replaced by
 keyed digests of the same kind (64 bits for each part of an address).
 
-The key is the caller's; :func:`session_key` reads it from the session.  Who knows the key can undo the permutations.
+The key is the caller's; :func:`session_key` reads it from the session, and only a local session may go without one.
+Who knows the key can undo the permutations.
+
+What stays: secrets without quotes, dates before 1700 or after 2099, numbers that fail their check, names, and account
+numbers of other kinds (IBAN among them).
 
 Defined results: a null text stays null, an empty one empty; a text without valid candidates is unchanged; candidates
 that are not valid stay; columns other than text are kept, whatever their names.
@@ -29,8 +33,8 @@ DAY_RADICES, FIRST_DAY = (27, 5411), "1700-01-01"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 KINDS = {
-    "secret": r"(?=[TSPAtspa])(?i:\b(?:token|secret|password|api[_-]?key))\s{0,3}[=:]\s{0,3}(?:\"[^\"\n]++\"|'[^'\n]++')",
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "secret": r"(?=[TSPAtspa])(?i:\b(?:token|secret|password|api[_-]?key))\s*+[=:]\s*+(?:\"[^\"\n]++\"|'[^'\n]++')",
+    "mail": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "address": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]\d|\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![./-]?\d)",
@@ -49,7 +53,11 @@ SECRET = r"^([^=:]*[=:]\s*[\"'])(.*)[\"']$"
 
 
 def session_key(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_SETTING, PUBLIC_KEY)
+    """The session's key; outside local sessions there must be one, as the public key hides nothing."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {KEY_SETTING}: pseudonyms under the public key can be undone by anybody")
+    return key or PUBLIC_KEY
 
 
 def digest(key: str, *parts: Column) -> Column:

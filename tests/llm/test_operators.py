@@ -725,3 +725,27 @@ def test_slash_dates_stay_apart(spark):
     assert len({r.p for r in rows}) == len(days)
     day_first = lambda x: int(x[3:5]) <= 12
     assert all(day_first(r.d) == day_first(r.p) for r in rows)
+
+
+def test_secrets_with_any_blanks(spark):
+    from quillstone.llm.pii import pseudonymise
+
+    texts = [f'{name}{" " * a}{sign}{gap * b}"hidden{a}x{b}"' for name, sign, gap in (("token", "=", " "), ("API_key", ":", "\t"), ("password", "=", "\n")) for a in (0, 1, 4, 50) for b in (0, 3, 4, 2000)]
+    texts += ["write to jürgen@bücher.example or info@müller.de today", "password: hunter2x", "on 03/05/1690", "IBAN DE02 1203"]
+    rows = pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k", counts="n").orderBy("doc_id").collect()
+    for r, t in zip(rows[:-4], texts):
+        assert "hidden" not in r.text and r.n == 1 and len(r.text) == len(t) and r.text.split('"')[0] == t.split('"')[0]
+    assert rows[-4].n == 2 and "ü" not in rows[-4].text
+    # as the docstring says, these stay
+    assert [r.text for r in rows[-3:]] == texts[-3:]
+
+
+def test_the_public_key_is_for_local_sessions():
+    from types import SimpleNamespace
+
+    from quillstone.llm.pii import PUBLIC_KEY, session_key
+
+    session = lambda master, key: SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: key or default), sparkContext=SimpleNamespace(master=master))
+    assert session_key(session("local[4]", None)) == PUBLIC_KEY and session_key(session("yarn", "own")) == "own"
+    with pytest.raises(ValueError):
+        session_key(session("spark://host:7077", None))
