@@ -104,8 +104,9 @@ def scope_touches(scope: Column, clause: Column) -> Column:
     return F.when(F.coalesce(readable, F.lit(False)), inside).otherwise(F.lit(True))
 
 
-#: patterns of references; fixed values
-REFERENCE = r"(?i)((?:surat\s+)?pekeliling\s+(?:perkhidmatan|perbendaharaan)|\b(?:spp|pp|se)\b|pekeliling\s+am\s+sarawak|\bpas\b)\s*(?:bilangan|bil\.?)\s*(\d{1,3})\s*(?:tahun|/)\s*((?:19|20)\d{2})"
+#: patterns of references in documents, those with a long name first, and in questions; fixed values
+REFERENCE = r"(?i)((?:surat\s+)?pekeliling\s+(?:perkhidmatan|perbendaharaan)|\b(?:spp|pp|se)\b)\s*(?:bilangan|bil\.?)\s*(\d{1,3})\s*(?:tahun|/)\s*((?:19|20)\d{2})"
+STATE_REFERENCE = r"(?i)(pekeliling\s+am\s+sarawak|\bpas\b)\s*(?:bilangan|bil\.?)\s*(\d{1,3})\s*(?:tahun|/)\s*((?:19|20)\d{2})"
 QUERY_REFERENCE = r"(?i)\b(spp|pp|pas|se|pb|gp)\s*(?:bil(?:angan)?\.?\s*)?(\d{1,3})\s*(?:/|tahun)\s*((?:19|20)\d{2})\b"
 
 
@@ -114,11 +115,14 @@ def series_code(name: Column) -> Column:
     return F.when(s.startswith("surat pekeliling perkhidmatan"), "SPP").when(s.startswith("pekeliling perkhidmatan"), "PP").when(s.startswith("pekeliling perbendaharaan"), "PB").when(s.startswith("pekeliling am sarawak"), "PAS").otherwise(F.upper(s))
 
 
-def references(c: Column, pattern: str = REFERENCE) -> Column:
-    """References in their short form, in order."""
-    group = lambda k: F.regexp_extract_all(c, F.lit(pattern), F.lit(k))
-    zipped = F.arrays_zip(group(1).alias("s"), group(2).alias("n"), group(3).alias("y"))
-    return F.transform(zipped, lambda r: F.concat(series_code(r["s"]), F.lit(" "), r["n"].cast("int").cast("string"), F.lit("/"), r["y"]))
+def references(c: Column, *patterns: str) -> Column:
+    """References in their short form: those of the first pattern in order, then those of the next."""
+    found = []
+    for pattern in patterns or (REFERENCE, STATE_REFERENCE):
+        group = lambda k, p=pattern: F.regexp_extract_all(c, F.lit(p), F.lit(k))
+        zipped = F.arrays_zip(group(1).alias("s"), group(2).alias("n"), group(3).alias("y"))
+        found.append(F.transform(zipped, lambda r: F.concat(series_code(r["s"]), F.lit(" "), r["n"].cast("int").cast("string"), F.lit("/"), r["y"])))
+    return F.concat(*found)
 
 
 #: phrases that say how one document affects another, strongest first; fixed values
@@ -154,7 +158,7 @@ def malay_date(d: Column) -> Column:
 def parse_malay_date(c: Column) -> Column:
     """The first "day month year" with a Malay or English month name; null where there is none or no such day."""
     names = {m.lower(): k + 1 for months in (ENGLISH_MONTHS, MONTHS) for k, m in enumerate(months)}
-    pattern = rf"(?i)\b(\d{{1,2}})\s+({'|'.join(sorted(names, key=len, reverse=True))})\s+(\d{{4}})\b"
+    pattern = rf"(?i)\b(\d{{1,2}})\s+({'|'.join(sorted(names, key=len, reverse=True))})\s+((?:19|20)\d{{2}})\b"
     month = F.try_element_at(F.create_map(*(F.lit(x) for item in names.items() for x in item)), F.lower(F.regexp_extract(c, pattern, 2)))
     return F.try_to_date(F.concat_ws("-", F.regexp_extract(c, pattern, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(c, pattern, 1), 2, "0")), "yyyy-MM-dd")
 

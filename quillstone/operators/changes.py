@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.functions.text import STOPWORDS, clause_key, fold, stem
-from quillstone.operators.retrieval import bounded
+from quillstone.functions.text import clause_key, tokens
+from quillstone.operators.diffing import shares, word_changes
+from quillstone.operators.validity import cut
 
 #: size of embeddings, least share of equal characters under one number, least cosine of renumbered clauses; fixed values
 DIM, SAME_NUMBER, SAME_MEANING = 1024, 0.4, 0.80
 #: a numbered clause's line; fixed format
 CLAUSE = r"^(\d{1,2}(?:\.\d{1,2})*)\.?\s+(.+)$"
+#: how an amendment speaks of its clause, and characters of its evidence that find the clause; fixed values
+AMENDING, LEAD = "dipinda|pindaan", 40
+#: words whose features a worker keeps
+MEMO = 200_000
 
 
 def clauses(texts: DataFrame) -> DataFrame:
@@ -33,59 +40,68 @@ def clauses(texts: DataFrame) -> DataFrame:
     return parts.select("id", "ref", F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("text"))
 
 
-def token_rows(texts: DataFrame, key: list[str]) -> DataFrame:
-    """(key, word): one row for each stemmed word of texts (key, text) that is no stop word."""
-    plain = texts.select(*key, F.explode(F.regexp_extract_all(fold(F.col("text")), F.lit(r"[a-z0-9]+"), F.lit(0))).alias("word"))
-    return plain.where(~F.col("word").isin(*STOPWORDS)).select(*key, stem(F.col("word")).alias("word"))
+class Features(dict):
+    """Buckets and signed weights of a word's features: the word itself weighs 2, each triple of letters a half."""
 
+    def __missing__(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > MEMO:
+            self.clear()
+        ended = f"^{word}$"
+        names = [f"={word}", *(f"~{ended[i : i + 3]}" for i in range(len(word)))]
+        digests = [hashlib.md5(n.encode()).digest() for n in names]
+        signs = np.array([1.0 if d[4] >> 4 & 1 == 0 else -1.0 for d in digests])
+        self[word] = out = np.array([int.from_bytes(d[:4], "big") % DIM for d in digests]), signs * np.array([2.0] + [0.5] * (len(names) - 1))
+        return out
+
+
+FEATURES = Features()
+
+
+def unit_vector(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and values that are not 0 of the unit vector of some words; without any, the first unit vector."""
+    made = [FEATURES[word] for word in words]
+    total = np.bincount(np.concatenate([x[0] for x in made]), np.concatenate([x[1] for x in made]), DIM) if made else np.zeros(DIM)
+    some = np.flatnonzero(total)
+    if not len(some):
+        return np.zeros(1, np.int64), np.ones(1)
+    return some, total[some] / np.sqrt(np.sum(total[some] ** 2))
 
-def hash_vectors(texts: DataFrame, key: list[str]) -> DataFrame:
-    """(key, bucket, value): the entries that are not 0 of the unit vectors of texts (key, text).
 
-    A word weighs 2 and each of its letter triples, with its ends marked, a half; a feature's digest gives its bucket
-    and its sign.  A text without words is the first unit vector.
+def hashed(texts: DataFrame, key: list[str]) -> DataFrame:
+    """(key, buckets, weights): the unit vectors of texts (key, text), as the entries that are not 0.
+
+    Words are told apart by Spark; features are hashed and summed where the rows are, so nothing is shuffled.
     """
-    words = token_rows(texts, key).groupBy(*key, "word").agg(F.count(F.lit(1)).alias("n"))
-    # digests are taken once for each distinct word
-    word = F.col("word")
-    triples = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.struct(F.concat(F.lit("c:"), F.substring(F.concat(F.lit("#"), word, F.lit("#")), i, F.lit(3))).alias("name"), F.lit(0.5).alias("weight")))
-    named = F.concat(F.array(F.struct(F.concat(F.lit("w:"), word).alias("name"), F.lit(2.0).alias("weight"))), triples)
-    digest = F.md5(F.col("name").cast("binary"))
-    number = lambda start, size: F.conv(F.substring(digest, start, size), 16, 10).cast("long")
-    signed = F.when(number(9, 1) % 2 == 0, F.col("weight")).otherwise(-F.col("weight"))
-    entries = words.select("word").distinct().select("word", F.inline(named)).select("word", (number(1, 8) % DIM).cast("int").alias("bucket"), signed.alias("value"))
-    vectors = entries.groupBy("word").agg(F.collect_list(F.struct("bucket", "value")).alias("entries"))
-    sums = words.join(bounded(vectors), "word").select(*key, "n", F.inline("entries")).groupBy(*key, "bucket").agg(F.sum(F.col("value") * F.col("n")).alias("value")).where("value <> 0")
-    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(*key)))
-    empty = texts.select(*key).distinct().join(words.select(*key).distinct(), key, "left_anti").select(*key, F.lit(0).alias("bucket"), F.lit(1.0).alias("value"))
-    return sums.withColumn("value", F.col("value") / norm).unionByName(empty)
-
-
-def hash_embed(texts: DataFrame) -> DataFrame:
-    """(id, embedding) of (id, text): :func:`hash_vectors` with the zeros between their entries."""
-    entries = F.array_sort(F.collect_list(F.struct("bucket", "value")))
-    rows = hash_vectors(texts, ["id"]).groupBy("id").agg(entries.alias("e"))
-    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
-    before = lambda i: F.when(i > 0, F.get(F.col("e"), i - 1)["bucket"]).otherwise(-1)
-    filled = F.transform("e", lambda x, i: F.concat(zeros(x["bucket"] - before(i) - 1), F.array(x["value"])))
-    dense = F.flatten(F.concat(filled, F.array(zeros(DIM - 1 - F.element_at("e", -1)["bucket"]))))
-    return rows.select("id", dense.cast("array<float>").alias("embedding"))
+    rows = texts.select(*key, F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    schema = T.StructType([*(texts.schema[c] for c in key), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [unit_vector(words.as_py()) for words in batch.column("words")]
+            arrays = [pa.array([x[0] for x in made], pa.list_(pa.int32())), pa.array([x[1] for x in made], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in key), *arrays], [*key, "buckets", "weights"])
 
-def word_changes(old: str, new: str) -> list[str]:
-    """Runs of words: "= kept", "- gone", "+ new", from the longest common runs."""
-    a, b, out, i, j = old.split(), new.split(), [], 0, 0
-    for x, y, n in SequenceMatcher(None, a, b).get_matching_blocks():
-        for mark, words in (("-", a[i:x]), ("+", b[j:y]), ("=", a[x : x + n])):
-            if words:
-                out.append(f"{mark} {' '.join(words)}")
-        i, j = x + n, y + n
-    return out
+    return rows.mapInArrow(work, schema)
 
 
-@F.pandas_udf(T.DoubleType())
-def share_of_characters(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(old, new)], dtype="float64")
+def hash_vectors(texts: DataFrame, key: list[str]) -> DataFrame:
+    """(key, bucket, value): one row for each entry of :func:`hashed`."""
+    return hashed(texts, key).select(*key, F.inline(F.arrays_zip(F.col("buckets").alias("bucket"), F.col("weights").alias("value"))))
+
+
+def hash_embed(texts: DataFrame, kind: str = "float") -> DataFrame:
+    """(id, embedding) of (id, text): :func:`hashed` with the zeros between its entries."""
+    rows = hashed(texts, ["id"])
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    before = lambda i: F.when(i > 0, F.get("buckets", i - 1)).otherwise(-1)
+    filled = F.transform(F.arrays_zip("buckets", "weights"), lambda x, i: F.concat(zeros(x["buckets"] - before(i) - 1), F.array(x["weights"])))
+    dense = F.flatten(F.concat(filled, F.array(zeros(DIM - 1 - F.element_at("buckets", -1)))))
+    return rows.select("id", dense.cast(f"array<{kind}>").alias("embedding"))
+
+
+@F.pandas_udf(T.BooleanType())
+def same_number(old: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series([shares(a, b, SAME_NUMBER) for a, b in zip(old, new)], dtype="bool")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -94,16 +110,21 @@ def inline_changes(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         yield pd.Series([word_changes(a, b) for a, b in zip(old, new)], dtype=object)
 
 
-def one_to_one(scored: Column) -> Column:
-    """Of an array of (score, old_ref, new_ref), those that the likeliest first leave free on both sides."""
-    start = F.struct(F.array().cast("array<string>").alias("old"), F.array().cast("array<string>").alias("new"), F.array().cast("array<struct<score:double,old_ref:string,new_ref:string>>").alias("out"))
+NEAR = "score double, old_ref string, new_ref string"
 
-    def step(a: Column, x: Column) -> Column:
-        free = ~F.array_contains(a["old"], x["old_ref"]) & ~F.array_contains(a["new"], x["new_ref"])
-        grown = lambda name, item: F.when(free, F.array_append(a[name], item)).otherwise(a[name]).alias(name)
-        return F.struct(grown("old", x["old_ref"]), grown("new", x["new_ref"]), grown("out", x))
 
-    return F.aggregate(F.reverse(F.array_sort(scored)), start, step)["out"]
+def one_to_one(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of a pair's (score, old_ref, new_ref), the likeliest first, then by numbers, those that are free on both sides."""
+    number = lambda ref: tuple(map(int, ref.split(".")))
+    order = sorted(range(len(frame)), key=lambda k: (-frame["score"].iat[k], number(frame["old_ref"].iat[k]), number(frame["new_ref"].iat[k])))
+    old, new, kept = set(), set(), []
+    for k in order:
+        a, b = frame["old_ref"].iat[k], frame["new_ref"].iat[k]
+        if a not in old and b not in new:
+            old.add(a)
+            new.add(b)
+            kept.append(k)
+    return frame.iloc[kept]
 
 
 def clause_changes(old: DataFrame, new: DataFrame, scope_pairs: DataFrame | None = None) -> DataFrame:
@@ -111,30 +132,46 @@ def clause_changes(old: DataFrame, new: DataFrame, scope_pairs: DataFrame | None
 
     Stated pairs (pair, old_ref, new_ref) come first, then equal numbers whose texts share enough characters, then the
     nearest in meaning, one to one; what is left was removed or added.  Clauses meet by equal joins on the pair of
-    documents and the number or an entry of their vectors.
+    documents and the number or an entry of their vectors; a pair's clauses are at most 100 to the depth of their numbers.
+    Where an amendment states pairs, it changes these alone: the rest of the old text still applies.
     """
-    a = clauses(old).select(F.col("id").alias("pair"), F.col("ref").alias("old_ref"), F.col("text").alias("old_text"))
-    b = clauses(new).select(F.col("id").alias("pair"), F.col("ref").alias("new_ref"), F.col("text").alias("new_text"))
+    # each is read by many joins, and small beside the texts
+    a = cut(clauses(old).select(F.col("id").alias("pair"), F.col("ref").alias("old_ref"), F.col("text").alias("old_text")))
+    b = cut(clauses(new).select(F.col("id").alias("pair"), F.col("ref").alias("new_ref"), F.col("text").alias("new_text")))
     found = None
     free_a, free_b = a, b
     if scope_pairs is not None:
         found = scope_pairs.join(a.select("pair", "old_ref"), ["pair", "old_ref"], "left_semi").join(b.select("pair", "new_ref"), ["pair", "new_ref"], "left_semi").select("pair", "old_ref", "new_ref")
         free_a, free_b = a.join(found, ["pair", "old_ref"], "left_anti"), b.join(found, ["pair", "new_ref"], "left_anti")
     same = free_a.join(free_b.withColumn("old_ref", F.col("new_ref")), ["pair", "old_ref"])
-    same = same.where(share_of_characters("old_text", "new_text") >= SAME_NUMBER).select("pair", "old_ref", "new_ref")
-    found = same if found is None else found.unionByName(same)
+    same = same.where(same_number("old_text", "new_text")).select("pair", "old_ref", "new_ref")
+    found = cut(same if found is None else found.unionByName(same))
     free_a, free_b = a.join(found, ["pair", "old_ref"], "left_anti"), b.join(found, ["pair", "new_ref"], "left_anti")
     va = hash_vectors(free_a.withColumnRenamed("old_text", "text"), ["pair", "old_ref"]).withColumnRenamed("value", "x")
     vb = hash_vectors(free_b.withColumnRenamed("new_text", "text"), ["pair", "new_ref"]).withColumnRenamed("value", "y")
-    scores = va.join(vb, ["pair", "bucket"]).groupBy("pair", "old_ref", "new_ref").agg(F.sum(F.col("x") * F.col("y")).alias("score")).where(F.col("score") >= SAME_MEANING)
-    near = scores.groupBy("pair").agg(one_to_one(F.collect_list(F.struct("score", "old_ref", "new_ref"))).alias("m")).select("pair", F.inline("m")).drop("score")
-    found = found.unionByName(near)
+    # rounded, so that the order of a sum doesn't matter
+    score = F.round(F.sum(F.col("x") * F.col("y")), 9)
+    scores = va.join(vb, ["pair", "bucket"]).groupBy("pair", "old_ref", "new_ref").agg(score.alias("score")).where(F.col("score") >= SAME_MEANING)
+    schema = T.StructType([a.schema["pair"], *T.StructType.fromDDL(NEAR)])
+    near = scores.select("pair", "score", "old_ref", "new_ref").groupBy("pair").applyInPandas(one_to_one, schema).drop("score")
+    found = cut(found.unionByName(near))
     both = found.join(a, ["pair", "old_ref"]).join(b, ["pair", "new_ref"]).where("old_text <> new_text")
     blank, none = F.lit(""), F.array().cast("array<string>")
     changed = both.select("pair", F.col("old_ref").alias("clause_old"), F.col("new_ref").alias("clause_new"), F.lit("CHANGED").alias("kind"), "old_text", "new_text", inline_changes("old_text", "new_text").alias("inline"))
     gone = a.join(found, ["pair", "old_ref"], "left_anti").select("pair", F.col("old_ref").alias("clause_old"), F.lit(None).cast("string").alias("clause_new"), F.lit("REMOVED").alias("kind"), "old_text", blank.alias("new_text"), none.alias("inline"))
     more = b.join(found, ["pair", "new_ref"], "left_anti").select("pair", F.lit(None).cast("string").alias("clause_old"), F.col("new_ref").alias("clause_new"), F.lit("ADDED").alias("kind"), blank.alias("old_text"), "new_text", none.alias("inline"))
-    return changed.unionByName(gone).unionByName(more)
+    out = changed.unionByName(gone).unionByName(more)
+    if scope_pairs is None:
+        return out
+    stated = scope_pairs.select("pair", F.col("old_ref").alias("clause_old"), F.col("new_ref").alias("clause_new")).distinct()
+    free = out.join(stated.select("pair").distinct(), "pair", "left_anti")
+    return free.unionByName(out.join(stated, ["pair", "clause_old", "clause_new"], "left_semi").select(*free.columns))
+
+
+def placed(changes: DataFrame) -> DataFrame:
+    """changes with their place in a pair: by clause number, the new one's if there is one."""
+    order = F.struct(clause_key(F.coalesce("clause_new", "clause_old")), F.col("clause_old").isNull(), clause_key(F.col("clause_old")))
+    return changes.withColumn("place", F.row_number().over(Window.partitionBy("pair").orderBy(order)))
 
 
 def scope_pairs(relations: DataFrame, new: DataFrame) -> DataFrame:
@@ -144,17 +181,22 @@ def scope_pairs(relations: DataFrame, new: DataFrame) -> DataFrame:
     names one of the scope's clauses and speaks of amending.
     """
     targets = F.regexp_extract_all(F.coalesce("scope", F.lit("")), F.lit(r"\d{1,2}(?:\.\d{1,2})+"), F.lit(0))
-    asked = relations.select("pair", targets.alias("targets"), F.substring("evidence", 1, 40).alias("lead")).where("size(targets) > 0")
+    asked = relations.select("pair", targets.alias("targets"), F.substring("evidence", 1, LEAD).alias("lead")).where("size(targets) > 0")
     held = asked.join(clauses(new).withColumnRenamed("id", "pair"), "pair")
     by_text = F.coalesce((F.col("lead") != "") & F.contains("text", "lead"), F.lit(False))
-    by_word = F.exists("targets", lambda t: F.contains(F.col("text"), t)) & F.col("text").rlike("dipinda|pindaan")
+    by_word = F.exists("targets", lambda t: F.contains(F.col("text"), t)) & F.col("text").rlike(AMENDING)
     order = F.struct(F.when(by_text, 0).otherwise(1), clause_key(F.col("ref")))
     holder = held.where(by_text | by_word).groupBy("pair").agg(F.min_by("ref", order).alias("new_ref"), F.first("targets").alias("targets"))
     return holder.select("pair", F.explode("targets").alias("old_ref"), "new_ref")
 
 
-def change_summaries(changes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row a pair (pair, old_no, new_no): the changed clauses in order, and a sentence in both languages."""
+def change_summaries(changes: DataFrame, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """One row a pair (pair, old_no, new_no): the changed clauses in order, and a sentence in both languages.
+
+    known: pairs that have a summary, which are left out.
+    """
+    if known is not None:
+        pairs = pairs.join(known.select("pair"), "pair", "left_anti")
     ref = F.coalesce("clause_new", "clause_old")
     listed = F.array_sort(F.collect_list(F.struct(clause_key(ref).alias("k"), ref.alias("ref"))))
     lists = changes.groupBy("pair").agg(F.count(F.lit(1)).alias("n_changes"), F.array_join(F.transform(listed, lambda x: x["ref"]), ", ").alias("listed"))

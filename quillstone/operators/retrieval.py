@@ -108,18 +108,6 @@ def keyword_list(scores: DataFrame, docs: DataFrame, statuses: tuple[str, ...],
     return shown_list(top(scores, "qid", cut, F.desc("score"), F.asc("id"), name="raw_rank"), docs, statuses, clearance, keep)
 
 
-def containing(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(qid, id) of documents (id, circular_no) whose number contains an asked one (qid, ref), whatever the case.
-
-    A reference holds its series and a blank, so what contains it ends in a number that starts with the asked one: an
-    equal join on the beginnings of numbers finds the candidates.
-    """
-    number = F.substring_index("circular_no", " ", -1)
-    longer = docs.select("id", "circular_no", F.explode(F.transform(F.sequence(F.lit(1), F.length(number)), lambda i: F.lower(F.substring(number, F.lit(1), i)))).alias("number"))
-    wanted = asked.select("qid", "ref", F.lower(F.substring_index("ref", " ", -1)).alias("number"))
-    return longer.join(wanted, "number").where(F.contains(F.lower("circular_no"), F.lower("ref"))).select("qid", "id").distinct()
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

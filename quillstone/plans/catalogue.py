@@ -12,6 +12,7 @@ from quillstone.operators import analytics as A
 from quillstone.operators import answers as ANS
 from quillstone.operators import retrieval as R
 from quillstone.operators import snapshots as S
+from quillstone.operators import trigrams as TG
 from quillstone.operators import validity as V
 from quillstone.sources import policy as P
 from quillstone.sources.policy import AS_OF, AS_OF_OLD, POL, status_sql
@@ -344,12 +345,17 @@ def bm25_passages(spark, folder):
     return keyword_hits(spark, folder).join(meta, "id").join(docs, "id").select("qid", "id", "rank", "circular_no", "doc_type", "n_chars", "passage")
 
 
-@query(POL + "SELECT q.id AS qid, d.id, d.circular_no FROM pd q JOIN pd d ON contains(lower(d.circular_no), lower(q.circular_no)) WHERE q.id % 20 = 0")
+#: strings cut from anywhere in the numbers of every twentieth document; every third of them is too short to find anything
+CUT_NUMBERS = "qn AS (SELECT id AS qid, CASE WHEN id % 60 = 40 THEN circular_no[1:2] ELSE circular_no[2 + id % 3:5 + id % 3 + id % 5] END AS ref FROM pd WHERE id % 20 = 0)"
+
+
+@query(POL + f", {CUT_NUMBERS} SELECT qid, id, circular_no FROM qn JOIN pd ON length(ref) >= 3 AND contains(lower(circular_no), lower(ref))")
 def substring_ref_search(spark, folder):
-    """Documents whose number contains the number of every twentieth one."""
+    """Documents whose number contains a string."""
     docs = P.policy_documents(spark, folder).select("id", "circular_no")
-    asked = docs.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("circular_no").alias("ref"))
-    return R.containing(docs, asked).join(docs, "id").select("qid", "id", "circular_no")
+    n, no = F.col("id"), F.col("circular_no")
+    ref = F.when(n % 60 == 40, F.substring(no, 1, 2)).otherwise(F.substring(no, (2 + n % 3).cast("int"), (4 + n % 5).cast("int")))
+    return TG.containing(docs, docs.where("id % 20 = 0").select(n.alias("qid"), ref.alias("ref"))).join(docs, "id").select("qid", "id", "circular_no")
 
 
 VEC = "qv AS (SELECT vec_id AS qid, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0), vs AS (SELECT qid, vec_id AS id, round(list_sum(list_transform(list_zip(qe, embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score FROM qv, embeddings)"
@@ -389,7 +395,7 @@ sb AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id DESC) AS
 def named_documents(spark, folder, history: bool = False):
     asked = P.questions(spark, folder).select("qid", F.explode(F.array_distinct(X.references(F.col("text"), X.QUERY_REFERENCE))).alias("ref"))
     docs = statuses(spark, folder)
-    found = R.containing(docs.select("id", "circular_no"), asked).withColumn("raw_rank", -F.col("id"))
+    found = TG.containing(docs.select("id", "circular_no"), asked).withColumn("raw_rank", -F.col("id"))
     return R.shown_list(found, docs, V.allowed_statuses(history), 1)
 
 
@@ -523,7 +529,8 @@ def amendment_injection_retrieved(spark, folder):
 
 
 # ------------------------------------------------------------------------------------- references, dates, functions
-REF_SQL = X.REFERENCE
+#: both patterns in one; a generated clause names one document
+REF_SQL = X.REFERENCE.replace(r"\b(?:spp|pp|se)\b)", r"\b(?:spp|pp|se)\b|pekeliling\s+am\s+sarawak|\bpas\b)")
 SERIES_SQL = "CASE WHEN starts_with(s, 'surat pekeliling perkhidmatan') THEN 'SPP' WHEN starts_with(s, 'pekeliling perkhidmatan') THEN 'PP' WHEN starts_with(s, 'pekeliling perbendaharaan') THEN 'PB' WHEN starts_with(s, 'pekeliling am sarawak') THEN 'PAS' ELSE upper(s) END"
 REFS = POL + f", rf AS (SELECT id, text, lower(regexp_extract(text, '{REF_SQL}', 1)) AS s, regexp_extract(text, '{REF_SQL}', 2) AS n, regexp_extract(text, '{REF_SQL}', 3) AS y FROM pc), rn AS (SELECT id, text, {SERIES_SQL} || ' ' || CAST(n AS INTEGER) || '/' || y AS ref FROM rf WHERE n <> '')"
 
@@ -772,7 +779,7 @@ def chunk_minutes(spark, folder):
 
 
 EMBED = f"""WITH w AS (SELECT id, word, count(*) AS n FROM (SELECT doc_id AS id, unnest({tokens_sql('text')}) AS word FROM documents) GROUP BY ALL),
-f AS (SELECT id, 'w:' || word AS f, 2.0 * n AS weight FROM w UNION ALL SELECT id, 'c:' || substr('#' || word || '#', i, 3), 0.5 * n FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+f AS (SELECT id, '=' || word AS f, 2.0 * n AS weight FROM w UNION ALL SELECT id, '~' || substr('^' || word || '$', i, 3), 0.5 * n FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
 b AS (SELECT id, CAST('0x' || substr(md5(f), 1, 8) AS BIGINT) % 1024 AS bucket, sum(CASE WHEN CAST('0x' || substr(md5(f), 9, 1) AS INTEGER) % 2 = 0 THEN weight ELSE -weight END) AS v FROM f GROUP BY ALL HAVING v <> 0),
 u AS (SELECT id, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM b UNION ALL SELECT doc_id, 0, 1.0 FROM documents WHERE doc_id NOT IN (SELECT id FROM w))
 SELECT id, count(*) AS n_set, md5(string_agg(bucket || ':' || CAST(round(v * 10000) AS BIGINT), ',' ORDER BY bucket)) AS vector_md5 FROM u GROUP BY 1"""
@@ -786,31 +793,3 @@ def hash_embed(spark, folder):
     entry = lambda x, i: F.when(x != 0, F.concat(i.cast("string"), F.lit(":"), F.round(x.cast("double") * 10000).cast("long").cast("string")))
     entries = F.filter(F.transform("embedding", entry), lambda x: x.isNotNull())
     return rows.select("id", F.size(entries).cast("long").alias("n_set"), F.md5(F.array_join(entries, ",").cast("binary")).alias("vector_md5"))
-
-
-def changed_clauses(spark, folder):
-    """Changes of amended and replaced documents: the old one's clauses, renumbered, with the new document's clauses."""
-    from quillstone.operators import changes as C
-
-    rels = P.policy_relations(spark, folder).where("verified = 1 and relation_type in ('SUPERSEDES', 'AMENDS') and target_doc_id is not null").select(F.col("id").alias("pair"), "target_doc_id", "source_doc_id", "scope", "relation_type")
-    texts = structured(spark, folder).select("id", "text")
-    old = rels.join(texts.withColumnRenamed("id", "target_doc_id"), "target_doc_id").select(F.col("pair").alias("id"), "text")
-    amends = F.concat(F.lit("\n99.1 perenggan "), F.regexp_extract("scope", r"[\d.]+", 0), F.lit(" adalah dipinda"))
-    new = rels.join(structured(spark, folder, 2).select(F.col("id").alias("target_doc_id"), "text"), "target_doc_id").select(F.col("pair").alias("id"), F.concat("text", amends).alias("text"))
-    scopes = C.scope_pairs(rels.where("relation_type = 'AMENDS'").select("pair", "scope", F.lit("").alias("evidence")), new)
-    return C.clause_changes(old, new, scopes)
-
-
-@query()
-def clause_diff(spark, folder):
-    return changed_clauses(spark, folder)
-
-
-@query()
-def change_summaries(spark, folder):
-    from quillstone.operators import changes as C
-
-    number = P.policy_documents(spark, folder).select("id", "circular_no")
-    rels = P.policy_relations(spark, folder).where("verified = 1 and relation_type in ('SUPERSEDES', 'AMENDS') and target_doc_id is not null")
-    pairs = rels.join(number.toDF("target_doc_id", "old_no"), "target_doc_id").join(number.toDF("source_doc_id", "new_no"), "source_doc_id").select(F.col("id").alias("pair"), "old_no", "new_no")
-    return C.change_summaries(changed_clauses(spark, folder), pairs)
