@@ -43,10 +43,14 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(fold(c), F.lit(r"[\p{L}\p{N}_/]+"), F.lit(0))
 
 
+def term_ok(w: Column) -> Column:
+    """Whether a trimmed word is a search term: no stop word, two characters at least, no slash inside."""
+    return (F.length(w) >= 2) & ~w.isin(*STOPWORDS) & ~w.contains("/")
+
+
 def terms(c: Column) -> Column:
-    """Search terms in order: no stop words, two characters at least, no slash inside."""
-    trimmed = F.transform(words(c), lambda w: F.trim(w, F.lit("/")))
-    return F.filter(trimmed, lambda w: (F.length(w) >= 2) & ~w.isin(*STOPWORDS) & ~w.contains("/"))
+    """Search terms in order."""
+    return F.filter(F.transform(words(c), lambda w: F.trim(w, F.lit("/"))), term_ok)
 
 
 def query_terms(c: Column, limit: int = MAX_TERMS) -> Column:

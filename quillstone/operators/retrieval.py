@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import STOPWORDS, query_terms, scope_touches, tokens, words
+from quillstone.functions.text import query_terms, scope_touches, term_ok, tokens, words
 
 K1, B, RRF_K = 1.2, 0.75, 60
 LIST_CUT, LIST_KEEP, POOL, CONTEXT = 100, 30, 20, 5
@@ -28,7 +31,7 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def term_rows(docs: DataFrame) -> DataFrame:
     """(id, term): one row for each search term of documents (id, text); the same terms as those of :func:`terms`."""
     found = docs.select("id", F.explode(words(F.col("text"))).alias("word")).select("id", F.trim("word", F.lit("/")).alias("term"))
-    return found.where((F.length("term") >= 2) & ~F.col("term").isin(*STOPWORDS) & ~F.col("term").contains("/"))
+    return found.where(term_ok(F.col("term")))
 
 
 def postings(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
@@ -89,7 +92,7 @@ def bm25_stored(spark: SparkSession, folder: str, queries: DataFrame) -> DataFra
     return scored(found, totals, queries)
 
 
-def top(df: DataFrame, key: str, k: int, *order: Column, name: str = "rank") -> DataFrame:
+def top(df: DataFrame, key: str | list[str], k: int, *order: Column, name: str = "rank") -> DataFrame:
     """The first k rows of each key, with their rank."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(name) <= k)
 
@@ -112,33 +115,72 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, rows: int = 4096, asked: int = 512) -> DataFrame:
+class Best:
+    """The k best of each query so far: rounded scores and ids, ties to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.found, self.size = k, [], 0
+        self.floor = np.full(queries, -np.inf)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores: a row for each query, a column for each id."""
+        row, column = np.nonzero(scores >= self.floor[:, None])
+        self.found.append((row, scores[row, column], ids[column]))
+        self.size += len(row)
+        if self.size > 4 * self.k * len(self.floor) + 100_000:
+            self.shrink()
+
+    def shrink(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, score, ids = (np.concatenate(x) for x in zip(*self.found)) if self.found else (np.empty(0, int), np.empty(0), np.empty(0, int))
+        order = np.lexsort([ids, -score, row])
+        row, score, ids = row[order], score[order], ids[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        full = place == self.k - 1
+        self.floor[row[full]] = score[full]
+        keep = place < self.k
+        self.found, self.size = [(row[keep], score[keep], ids[keep])], int(keep.sum())
+        return self.found[0]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, asked: int = 4096, rows: int = 1024) -> DataFrame:
     """(qid, id, score, rank): the k vectors (id, vec) with the largest dot products with each query (qid, qvec).
 
-    Blocks of vectors meet blocks of queries, each pair in one matrix product that keeps its k best; these are merged.
-    Nothing grows with both tables but the number of pairs of blocks. Null vectors and those of another length score
+    With a column tier in vectors, the k of each tier.  Vectors stay where they lie: about ``asked`` queries at a time are
+    broadcast to them, and each task gives its k best, which are merged.  Null vectors and those of another length score
     nothing.
     """
-    blocks = lambda df, size: max(1, -(-df.count() // size))
-    vectors, queries = vectors.where("vec is not null"), queries.where("qvec is not null")
-    n, m = blocks(vectors, rows), blocks(queries, asked)
-    upto = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = queries.select("qid", F.col("qvec").cast("array<double>").alias("x"), F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int").alias("j"), upto(n).alias("i"))
-    right = vectors.select("id", F.col("vec").cast("array<double>").alias("x"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("i"), upto(m).alias("j"))
-
-    def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"qid": [], "id": [], "score": []})]
-        for size, some in q.groupby(q["x"].str.len()):
-            same = v[v["x"].str.len() == size]
-            if len(same):
-                scores = np.stack(some["x"].to_numpy()) @ np.stack(same["x"].to_numpy()).T
-                ids = same["id"].to_numpy()
-                order = np.lexsort([np.broadcast_to(ids, scores.shape), -np.round(scores, 6)], axis=1)[:, :k]
-                out.append(pd.DataFrame({"qid": np.repeat(some["qid"].to_numpy(), order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()}))
-        return pd.concat(out).astype({"qid": "int64", "id": "int64", "score": "float64"})
-
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "qid long, id long, score double")
-    return top(found.withColumn("score", F.round("score", 6)), "qid", k, F.desc("score"), F.asc("id"))
+    spark = vectors.sparkSession
+    tiers = ["tier"] if "tier" in vectors.columns else []
+    vectors, queries = vectors.where("vec is not null"), queries.where("qvec is not null").select("qid", F.col("qvec").cast("array<double>").alias("qvec"))
+    rounds = max(1, -(-queries.count() // asked))
+    rows_of = vectors.select("id", *tiers, F.col("vec").cast("array<double>").alias("vec"))
+    schema = ", ".join(["qid long", "id long", *(f"tier {vectors.schema[t].dataType.simpleString()}" for t in tiers), "score double"])
+
+    def searched(block: DataFrame) -> DataFrame:
+        found = [(r.qid, np.array(r.qvec)) for r in block.collect()]  # one round's queries
+        by_size = {n: (np.array([q for q, v in found if len(v) == n]), np.stack([v for _, v in found if len(v) == n])) for n in {len(v) for _, v in found}}
+        shared = spark.sparkContext.broadcast(by_size)
+
+        def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            kept: dict[tuple, Best] = {}
+            for frame in frames:
+                for key, mine in frame.groupby([frame["vec"].str.len(), *tiers], dropna=False) if len(frame) else ():
+                    if (n := int(key[0])) in shared.value:
+                        qids, matrix = shared.value[n]
+                        top_k = kept.setdefault(key, Best(len(qids), k))
+                        for a in range(0, len(mine), rows):
+                            some = mine.iloc[a : a + rows]
+                            top_k.add(np.round(matrix @ np.stack(some["vec"].to_numpy()).T, 6), some["id"].to_numpy())
+            for key, top_k in kept.items():
+                row, score, ids = top_k.shrink()
+                yield pd.DataFrame({"qid": shared.value[int(key[0])][0][row], "id": ids, **dict(zip(tiers, key[1:])), "score": score})
+
+        return rows_of.mapInPandas(best, schema)
+
+    blocks = [searched(queries.where(F.pmod(F.xxhash64("qid"), F.lit(rounds)) == j)) for j in range(rounds)]
+    found = functools.reduce(DataFrame.unionByName, blocks)
+    # rounded by numpy; Spark's rounding of the same number settles how it is shown
+    return top(found.withColumn("score", F.round("score", 6)), ["qid", *tiers], k, F.desc("score"), F.asc("id"))
 
 
 def fuse(lists: DataFrame) -> DataFrame:
@@ -157,14 +199,17 @@ def confidence(score: Column) -> Column:
     return F.when(score >= HIGH, "HIGH").when(score >= MEDIUM, "MEDIUM").otherwise("LOW")
 
 
-def apply_jurisdiction(ranked: DataFrame, target: str, n: int = CONTEXT, strong: float = MEDIUM, ratio: float = 0.75) -> DataFrame:
+def apply_jurisdiction(ranked: DataFrame, target: str | None, n: int = CONTEXT, strong: float = MEDIUM, ratio: float = 0.75) -> DataFrame:
     """Per query: the user's side first; with strong rules on both sides, up to two places go to the other one.
 
-    ranked: qid, id, score, pos, jurisdiction, doc_type. Adds role, conflict and place.
+    ranked: qid, id, score, pos, jurisdiction, doc_type; without a target for all, target too. Adds role, conflict and place.
     """
-    other_side = "FEDERAL" if target == "SARAWAK" else "SARAWAK"
-    others = [j for j in PREFERRED[other_side] if j not in PREFERRED.get(target, (target,))]
-    rows = ranked.withColumn("other", F.col("jurisdiction").isin(others))
+
+    def others(side: str) -> Column:
+        other_side = "FEDERAL" if side == "SARAWAK" else "SARAWAK"
+        return F.col("jurisdiction").isin([j for j in PREFERRED[other_side] if j not in PREFERRED[side]])
+
+    rows = ranked.withColumn("other", others(target) if target else F.when(F.col("target") == "SARAWAK", others("SARAWAK")).otherwise(others("FEDERAL")))
     is_strong = (F.col("score") >= strong) & ~F.col("doc_type").isin("minutes", "report")
     rows = rows.withColumn("strong", is_strong)
     first = lambda cond: F.min_by(F.when(cond, F.col("score")), F.when(cond, F.col("pos")))
@@ -189,6 +234,11 @@ def inject_amendments(selected: DataFrame, relations: DataFrame, passages: DataF
     """
     edges = relations.where("verified = 1 and relation_type = 'AMENDS' and target_doc_id is not null").select(F.col("target_doc_id").alias("id"), F.col("source_doc_id").alias("new_id"), "scope", F.col("id").alias("rel_id"))
     touched = selected.where("status = 'AMENDED'").join(edges, "id").where(scope_touches(F.col("scope"), F.col("clause"))).join(passages.select(F.col("id").alias("new_id")), "new_id")
+    return with_amendments(selected, touched, n)
+
+
+def with_amendments(selected: DataFrame, touched: DataFrame, n: int = CONTEXT) -> DataFrame:
+    """selected (qid, id, pos) with what amends it (qid, id, pos, new_id, rel_id) in its places."""
     one = latest_by(touched, ["qid", "new_id"], F.col("pos"), F.col("rel_id"))
     there = selected.select("qid", F.col("id").alias("new_id"), F.lit(True).alias("there"))
     placed = one.join(there, ["qid", "new_id"], "left").withColumn("is_new", F.col("there").isNull())

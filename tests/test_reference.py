@@ -289,14 +289,31 @@ def test_numbers_are_found_by_any_part(spark, tmp_path):
     assert trigrams.containing(docs.limit(0), rows).count() == 0
 
 
-def test_nearest_in_blocks(spark):
+def test_nearest_in_rounds(spark):
     import numpy as np
 
     x = np.random.default_rng(2).normal(size=(90, 5)).round(1)
-    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(100, None), (101, [1.0])], "id long, vec array<double>")
-    got = retrieval.nearest(frame, frame.where("id % 20 = 0").selectExpr("id as qid", "vec as qvec"), 7, 16, 2).collect()
+    x[40:70] = x[40]  # ties go to smaller ids
+    frame = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)] + [(100, None, 0), (101, [1.0], 0)], "id long, vec array<double>, tier int").repartition(3)
+    asked = frame.where("id % 20 = 0").selectExpr("id as qid", "vec as qvec")
     scores = (x @ x.T).round(6)
-    assert {(r.qid, r.rank): r.id for r in got} == {(q, k + 1): int(i) for q in range(0, 90, 20) for k, i in enumerate(np.lexsort([np.arange(90), -scores[q]])[:7])} | {}
+    for rounds, rows in ((4096, 1024), (2, 16)):
+        got = retrieval.nearest(frame.drop("tier"), asked, 7, rounds, rows).where("qid < 100").collect()
+        assert {(r.qid, r.rank): r.id for r in got} == {(q, k + 1): int(i) for q in range(0, 90, 20) for k, i in enumerate(np.lexsort([np.arange(90), -scores[q]])[:7])}
+        got = retrieval.nearest(frame, asked, 3, rounds, rows).where("qid < 100").collect()
+        assert {(r.qid, r.tier, r.rank): r.id for r in got} == {(q, t, k + 1): int(i) for q in range(0, 90, 20) for t in (0, 1) for k, i in enumerate([i for i in np.lexsort([np.arange(90), -scores[q]]) if i % 2 == t][:3])}
+
+
+def test_the_best_of_many_ties():
+    import numpy as np
+
+    best, rng = retrieval.Best(3, 5), np.random.default_rng(1)
+    scores, ids = rng.integers(0, 3, (3, 60_000)).astype(float), rng.permutation(60_000)
+    for a in range(0, 60_000, 500):
+        best.add(scores[:, a : a + 500], ids[a : a + 500])
+    row, score, found = best.shrink()
+    want = [(q, scores[q][i], ids[i]) for q in range(3) for i in np.lexsort([ids, -scores[q]])[:5]]
+    assert list(zip(row.tolist(), score.tolist(), found.tolist())) == [(int(q), float(x), int(i)) for q, x, i in want]
 
 
 def test_components_of_a_long_chain(spark):
