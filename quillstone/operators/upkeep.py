@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.validity import resolve_targets, with_status
+from quillstone.operators.validity import cut, resolve_targets, with_status
 
 
 class Corpus(NamedTuple):
@@ -63,7 +63,8 @@ def numbered(rows: DataFrame, table: DataFrame, *order: str) -> DataFrame:
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    part = dealt.withColumn("__part", F.spark_partition_id())
+    # written, so that every reader finds a row in the same range
+    part = cut(dealt.withColumn("__part", F.spark_partition_id()))
     placed = part.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
@@ -104,13 +105,28 @@ def touched(documents: DataFrame, relations: DataFrame, old_relations: DataFrame
     return edited.select("id").unionByName(near).unionByName(changed).distinct().join(documents.select("id"), "id", "left_semi")
 
 
-def refreshed_statuses(documents: DataFrame, relations: DataFrame, old_relations: DataFrame, edited: DataFrame, as_of: str, now: str) -> DataFrame:
+def dated(documents: DataFrame, relations: DataFrame, since: str, as_of: str) -> DataFrame:
+    """(id) of the documents on which a date after ``since`` and up to ``as_of`` may act: their own, or one of what acts on them."""
+    def passed(*columns: str) -> Column:
+        return F.exists(F.array(*columns), lambda d: F.coalesce((d > F.lit(since).cast("date")) & (d <= F.lit(as_of).cast("date")), F.lit(False)))
+
+    own = documents.where(passed("effective_date", "expiry_date")).select("id")
+    sources = documents.where(passed("effective_date", "issue_date")).select(F.col("id").alias("source_doc_id"))
+    by_source = relations.join(sources, "source_doc_id", "left_semi").select(F.col("target_doc_id").alias("id"))
+    return own.unionByName(by_source).unionByName(relations.where(passed("effective_date")).select(F.col("target_doc_id").alias("id"))).where("id is not null").distinct()
+
+
+def refreshed_statuses(documents: DataFrame, relations: DataFrame, old_relations: DataFrame, edited: DataFrame, as_of: str, now: str, since: str | None = None) -> DataFrame:
     """documents with the statuses of what an edit touches worked out anew; the others are as they were.
 
-    documents: id, circular_no, ..., status, status_reason, updated_at.  Equal to a full refresh at the date of the last
-    one: only the touched documents, the relations that act on them and the sources of these are read for the statuses.
+    documents: id, circular_no, ..., status, status_reason, updated_at, as they were at ``since`` (if not given, at
+    ``as_of``).  Equal to a full refresh: only the touched documents, those on which a date has come since, the relations
+    that act on them and the sources of these are read for the statuses.
     """
     few = touched(documents, relations, old_relations, edited)
+    if since is not None:
+        few = few.unionByName(dated(documents, relations, since, as_of)).distinct()
+    few = cut(few)
     acting = relations.join(few.withColumnRenamed("id", "target_doc_id"), "target_doc_id", "left_semi")
     bare = documents.drop("status", "status_reason", "updated_at")
     sources = bare.join(acting.select(F.col("source_doc_id").alias("id")).distinct(), "id", "left_semi")

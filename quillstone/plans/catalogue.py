@@ -231,16 +231,33 @@ def pack_compare(spark, folder):
     return changes(spark, folder).select("id", "circular_no", "change", "old_status", "new_status")
 
 
-STATUS_NAMES = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in S.STATUS_EN.items()) + "}"
+STATUS_NAMES = {c: "map {" + ", ".join(f"'{k}': '{v}'" for k, v in names.items()) + "}" for c, names in (("ms", S.STATUS_MS), ("en", S.STATUS_EN))}
+#: every seventh search names a document in small letters
+SEARCHES = "sq AS (SELECT user_id, doc_ref, created_at, query || CASE WHEN id % 7 = 0 THEN ': adakah ' || lower(['PP','SPP','SE','PB','PAS'][id % 397 % 5 + 1] || ' ' || (id % 397) || '/' || (2015 + id % 397 % 11)) || ' masih sah?' ELSE '' END AS query FROM lg)"
+DAYS = 10
 
 
-@query(COMPARE + f""", o AS (SELECT * FROM us WHERE role = 'OFFICER' AND clearance_level >= 0), rec AS (SELECT DISTINCT user_id, doc_ref FROM lg WHERE created_at >= TIMESTAMP '2024-01-20'),
+def searches(spark, folder):
+    n = F.col("id") % 397
+    named = F.concat(F.lit(": adakah "), F.lower(P.circular_no(n)), F.lit(" masih sah?"))
+    return P.search_log(spark, folder).select("user_id", "doc_ref", "created_at", F.concat("query", F.when(F.col("id") % 7 == 0, named).otherwise("")).alias("query"))
+
+
+@query(COMPARE + f""", {SEARCHES}, o AS (SELECT * FROM us WHERE role = 'OFFICER' AND clearance_level >= 0), rec AS (SELECT DISTINCT user_id, doc_ref, query FROM sq WHERE created_at >= (SELECT max(created_at) - INTERVAL {DAYS} DAY FROM sq)),
 hits AS (SELECT o.id AS user_id, c.id AS document_id FROM cmp c JOIN o ON c."cluster" = o.sub_cluster WHERE change <> 'REMOVED' UNION SELECT o.id, c.id FROM cmp c JOIN o ON c.circular_no = o.sub_circular WHERE change <> 'REMOVED'
- UNION SELECT o.id, c.id FROM cmp c JOIN rec ON rec.doc_ref = c.id JOIN o ON o.id = rec.user_id WHERE change = 'STATUS_CHANGE')
-SELECT user_id, document_id, c.circular_no, CASE change WHEN 'ADDED' THEN 'NEW_DOCUMENT' ELSE change END AS change_type,
- CASE change WHEN 'ADDED' THEN 'New document: ' || c.circular_no || '.' ELSE c.circular_no || ': ' || {STATUS_NAMES}[old_status] || ' -> ' || {STATUS_NAMES}[new_status] || ' (' || status_reason || ').' END AS summary_en FROM hits h JOIN cmp c ON c.id = h.document_id""")
+ UNION SELECT o.id, c.id FROM cmp c JOIN rec ON rec.doc_ref = c.id OR contains(lower(rec.query), lower(c.circular_no)) JOIN o ON o.id = rec.user_id WHERE change = 'STATUS_CHANGE'),
+ra AS (SELECT * FROM pr WHERE verified = 1 AND id % 2 = 0), tg AS (SELECT target_doc_id AS id, min_by(source_doc_id, id) AS rel FROM ra WHERE relation_type IN ('CANCELS','SUPERSEDES','AMENDS') GROUP BY 1), sr AS (SELECT source_doc_id AS id, min_by(target_doc_id, id) AS rel FROM ra GROUP BY 1)
+SELECT user_id, document_id, c.circular_no, CASE change WHEN 'ADDED' THEN 'NEW_DOCUMENT' ELSE change END AS change_type, CASE change WHEN 'ADDED' THEN sr.rel ELSE tg.rel END AS related_doc_id,
+ CASE change WHEN 'ADDED' THEN 'Dokumen baharu: ' || c.circular_no || ' - Dokumen ' || document_id || '.' ELSE c.circular_no || ': ' || {STATUS_NAMES['ms']}[old_status] || ' -> ' || {STATUS_NAMES['ms']}[new_status] || ' (' || status_reason || ').' || CASE WHEN tg.rel % 4 = 0 THEN ' Ringkasan ' || tg.rel ELSE '' END END AS summary_ms,
+ CASE change WHEN 'ADDED' THEN 'New document: ' || c.circular_no || ' - Dokumen ' || document_id || '.' ELSE c.circular_no || ': ' || {STATUS_NAMES['en']}[old_status] || ' -> ' || {STATUS_NAMES['en']}[new_status] || ' (' || status_reason || ').' || CASE WHEN tg.rel % 4 = 0 THEN ' Summary ' || tg.rel ELSE '' END END AS summary_en
+ FROM hits h JOIN cmp c ON c.id = h.document_id LEFT JOIN tg ON tg.id = document_id LEFT JOIN sr ON sr.id = document_id""")
 def notifications(spark, folder):
-    return S.notified(changes(spark, folder), P.users(spark, folder), P.search_log(spark, folder), 0, "2024-01-20")
+    """Followers and searchers of what changed, with what replaces it; every fourth replacement has a summary."""
+    added = P.policy_relations(spark, folder).where("verified = 1 and id % 2 = 0")
+    named = lambda word: F.concat(F.lit(f"{word} "), F.col("source_doc_id").cast("string"))
+    pairs = added.where("source_doc_id % 4 = 0 and target_doc_id is not null").select(F.col("target_doc_id").alias("old_doc_id"), F.col("source_doc_id").alias("new_doc_id"), named("Ringkasan").alias("summary_ms"), named("Summary").alias("summary_en"))
+    told = changes(spark, folder).withColumn("title", F.concat(F.lit("Dokumen "), F.col("id").cast("string")))
+    return S.notified(told, P.users(spark, folder), searches(spark, folder), 0, DAYS, added, pairs)
 
 
 @query(POL + ", " + MANIFEST + ", dev AS (SELECT COALESCE(max(clearance_level), 0) AS c FROM us WHERE role = 'OFFICER') SELECT tier, max(version) AS version, max(version) > 21 AS fresh FROM mf, dev WHERE tier <= c GROUP BY 1")
