@@ -32,6 +32,8 @@ from quillstone.llm.memory import hash_sample
 
 LEAST_COSINE, RECALL = 0.95, 0.995
 FIT, FIT_CODE, FIT_MOST, PROBES, PER_CELL, BLOCK, BINS, FEW = 20_000, 20, 200_000, 512, 128, 1024, 200, 4096
+#: vectors whose distances to all codewords are held at a time
+ROWS = 512
 #: a cell's rows meet its counts in so many parts
 SALTS = 8
 #: squared distance of unit vectors at the least cosine: no margin beyond about twice that is of use
@@ -50,19 +52,20 @@ def distances(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 def codebook(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means with far-apart first centres."""
-    centres = x[rng.integers(len(x))][None, :]
-    gap = distances(x, centres)[:, 0]
-    for _ in range(1, k):
+    """k-means with far-apart first centres; no more than ``ROWS`` times k distances are held."""
+    centres = np.empty((k, x.shape[1]))
+    centres[0] = x[rng.integers(len(x))]
+    gap = distances(x, centres[:1])[:, 0]
+    for n in range(1, k):
         total = gap.sum()
-        pick = rng.choice(len(x), p=gap / total) if total > 0 else rng.integers(len(x))
-        centres = np.vstack([centres, x[pick]])
-        gap = np.minimum(gap, distances(x, centres[-1:])[:, 0])
+        centres[n] = x[rng.choice(len(x), p=gap / total) if total > 0 else rng.integers(len(x))]
+        gap = np.minimum(gap, distances(x, centres[n : n + 1])[:, 0])
     for _ in range(10):
-        near = distances(x, centres).argmin(1)
-        count = np.bincount(near, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
+        count, sums = np.zeros(k, np.int64), np.zeros_like(centres)
+        for a in range(0, len(x), ROWS):
+            near = distances(x[a : a + ROWS], centres).argmin(1)
+            count += np.bincount(near, minlength=k)
+            np.add.at(sums, near, x[a : a + ROWS])
         centres = np.where(count[:, None] > 0, sums / np.maximum(1, count)[:, None], centres)
     return centres
 
@@ -90,11 +93,12 @@ class Index:
         s1, s2 = np.take_along_axis(d1, o1, 1), np.take_along_axis(d2, o2, 1)
         out = []
         for a, b, p, q in zip(s1.tolist(), s2.tolist(), o1.tolist(), o2.tolist()):
-            most = a[0] + b[0] + self.margin
-            heap, cells = [(a[0] + b[0], 0, 0)], []
+            least = a[0] + b[0]
+            heap, cells = [(least, 0, 0)], []
             while heap:
                 d, i, j = heapq.heappop(heap)
-                if d > most:
+                # as beyond() has it, so that a pair counts once
+                if d - least > self.margin:
                     break
                 cells.append(p[i] * self.k + q[j])
                 # (i, j) opens (i, j + 1), and the row below if it heads its own
@@ -205,8 +209,9 @@ def near_embeddings(vectors: DataFrame) -> DataFrame:
         for frame in frames:
             for dim, group in frame.groupby("dim"):
                 if dim in indexes:
-                    x = unit(group["embedding"])
-                    yield group.assign(cell=indexes[dim].cells(x)[0], visits=indexes[dim].visits(x))
+                    for a in range(0, len(group), ROWS):
+                        x = unit(group["embedding"].iloc[a : a + ROWS])
+                        yield group.iloc[a : a + ROWS].assign(cell=indexes[dim].cells(x)[0], visits=indexes[dim].visits(x))
                 else:
                     yield group.assign(cell=0, visits=[[0]] * len(group))
 

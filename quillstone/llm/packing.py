@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillstone.llm.bpe import chunks, default_path, encoder
 from quillstone.llm.memory import in_frames, release, small_batches
@@ -150,8 +151,8 @@ PIECE_SCHEMA = ", ".join(f"{c} long" for c in PIECE)
 def pack_in_order(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 ids, documents in the order of doc_id.
 
-    Documents are dealt by ranges of doc_id, and each range is a stream of its own: no task sees more than its range,
-    and within it a block of about a million ids is held at a time.  The last window of a stream is cut into powers of
+    Documents are dealt by ranges of doc_id and the text's hash (so the rows of one id, or of none, are not one range), and
+    each range is a stream of its own: no task sees more than its range, and within it a block of about a million ids is held at a time.  The last window of a stream is cut into powers of
     two, which take no padding.
     """
     small_batches(docs.sparkSession)
@@ -164,7 +165,7 @@ def pack_in_order(docs: DataFrame, path: str | None = None) -> DataFrame:
         yield stream.close()
         release()
 
-    return in_frames(docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"), work, PIECE_SCHEMA)
+    return in_frames(docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text"), work, PIECE_SCHEMA)
 
 
 class CapacityTree:
