@@ -17,6 +17,7 @@ from quillstone.operators import validity as V
 from quillstone.sources import policy as P
 from quillstone.sources.policy import AS_OF, AS_OF_OLD, POL, status_sql
 from quillstone.sources.tables import spread, table
+from quillstone.streaming.logs import feedback_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -129,11 +130,6 @@ def supersede_pairs(spark, folder):
     return rels.join(docs.select(F.col("id").alias("source_doc_id"), F.col("circular_no").alias("new_no")), "source_doc_id").join(docs.select(F.col("id").alias("target_doc_id"), F.col("circular_no").alias("old_no")), "target_doc_id").select("id", "new_no", "old_no", "relation_type")
 
 
-@query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)")
-def unembedded_chunks(spark, folder):
-    return table(spark, folder, "documents").join(table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id", "lang")
-
-
 @query(POL + "SELECT id, source_doc_id, target_doc_id FROM pr p WHERE target_doc_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pr r WHERE r.verified = 1 AND r.relation_type IN ('SUPERSEDES','AMENDS') AND r.source_doc_id = p.source_doc_id AND r.target_doc_id = p.target_doc_id)")
 def orphan_summaries(spark, folder):
     rels = P.policy_relations(spark, folder)
@@ -645,9 +641,11 @@ def usage_dashboard_low(spark, folder):
     return A.usage_report(P.search_log(spark, folder)).where("answerable and confidence = 'LOW'").orderBy("id").limit(10).select("id", "query")
 
 
-@query(POL + "SELECT user_id, max_by(confidence, (created_at, id)) AS rating, count(*) AS n FROM lg GROUP BY 1")
+@query(POL + "SELECT user_id, max_by('{\"rating\":\"' || confidence || '\",\"comment\":\"' || left(repeat(query || ' ', 40 + CAST(id % 20 AS INTEGER)), 500) || '\"}', (created_at, id)) AS feedback, count(*) AS n FROM lg GROUP BY 1")
 def feedback_latest(spark, folder):
-    return P.search_log(spark, folder).groupBy("user_id").agg(F.max_by("confidence", F.struct("created_at", "id")).alias("rating"), F.count(F.lit(1)).alias("n"))
+    """Each user's last feedback as it is stored: a long comment is cut."""
+    comment = F.repeat(F.concat("query", F.lit(" ")), (40 + F.col("id") % 20).cast("int"))
+    return P.search_log(spark, folder).groupBy("user_id").agg(F.max_by(feedback_json(F.col("confidence"), comment), F.struct("created_at", "id")).alias("feedback"), F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT count(*) AS n_rows, count(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS n_valid, sum(CAST(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS DOUBLE)) AS total FROM events")
@@ -795,6 +793,14 @@ def chunk_minutes(spark, folder):
     return run(rows.select("id", F.lit(1).alias("page"), text.alias("text")), rows.select("id", "circular_no", "issue_date"))
 
 
+@query(MINUTES.replace("\nSELECT id, row_number()", "\nSELECT id, chunk_index FROM (SELECT id, row_number()") + ") WHERE (id + chunk_index) % 7 = 0")
+def unembedded_chunks(spark, folder):
+    """Chunks that have no vector yet; every seventh one."""
+    chunks = chunk_minutes(spark, folder).select("id", "chunk_index")
+    vectors = chunks.where("(id + chunk_index) % 7 <> 0")
+    return chunks.join(vectors, ["id", "chunk_index"], "left_anti")
+
+
 EMBED = f"""WITH w AS (SELECT id, word, count(*) AS n FROM (SELECT doc_id AS id, unnest({tokens_sql('text')}) AS word FROM documents) GROUP BY ALL),
 f AS (SELECT id, '=' || word AS f, 2.0 * n AS weight FROM w UNION ALL SELECT id, '~' || substr('^' || word || '$', i, 3), 0.5 * n FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
 b AS (SELECT id, CAST('0x' || substr(md5(f), 1, 8) AS BIGINT) % 1024 AS bucket, sum(CASE WHEN CAST('0x' || substr(md5(f), 9, 1) AS INTEGER) % 2 = 0 THEN weight ELSE -weight END) AS v FROM f GROUP BY ALL HAVING v <> 0),

@@ -131,7 +131,14 @@ def pack_manifest(spark, folder):
     return S.pack_hashes(packs(spark, folder), ["tier", "version"])
 
 
-@query("SELECT * FROM (VALUES (0, 1, 'ok'), (0, 2, 'checksum'), (1, 1, 'manifest'), (1, 2, 'ok'), (2, 1, 'embedding_model'), (2, 2, 'ok'), (3, 1, 'unreadable')) t(tier, version, code)")
+SUMMED = "sum(CAST('0x' || substr(md5(concat_ws('|', CAST(id AS VARCHAR), circular_no, status)), 1, 8) AS BIGINT))::BIGINT AS checksum"
+#: what is listed, what the files hold, and the first check that fails
+VERIFIED = PACKS + f""", en AS (SELECT tier, version, {SUMMED} FROM pk GROUP BY 1, 2 UNION ALL SELECT 3, 1, 0),
+fi AS (SELECT tier, version, CASE WHEN tier = 1 AND version = 1 THEN 0 ELSE tier END AS own_tier, CASE WHEN tier = 2 AND version = 1 THEN 'old' ELSE 'bge' END AS model, checksum AS own FROM (SELECT tier, version, {SUMMED} FROM pk WHERE NOT (tier = 0 AND version = 2 AND id = 1) GROUP BY 1, 2)),
+vf AS (SELECT tier, version, CASE WHEN own IS NULL THEN 'unreadable' WHEN own <> checksum THEN 'checksum' WHEN own_tier <> tier THEN 'manifest' WHEN model <> 'bge' THEN 'embedding_model' ELSE 'ok' END AS code FROM en LEFT JOIN fi USING (tier, version))"""
+
+
+@query(VERIFIED + " SELECT tier, version, code FROM vf")
 def pack_verify(spark, folder):
     """Listed packs against what their files hold: one lacks a document, one is of another tier, one of another model, one is missing."""
     hashes = S.pack_hashes(packs(spark, folder), ["tier", "version"])
@@ -143,7 +150,7 @@ def pack_verify(spark, folder):
     return S.verified(entries, files, "bge")
 
 
-@query("SELECT * FROM (VALUES (0, 1, CAST(NULL AS INTEGER)), (1, 2, 1)) t(tier, version, previous)")
+@query(VERIFIED + ", ig AS (SELECT * FROM (VALUES (1, 1), (2, 2)) t(tier, previous)) SELECT tier, max(version) AS version, any_value(previous) AS previous FROM vf LEFT JOIN ig USING (tier) WHERE code = 'ok' GROUP BY tier HAVING any_value(previous) IS NULL OR max(version) > any_value(previous)")
 def pack_install(spark, folder):
     """Newest packs that pass: tier 0 has nothing installed, tier 1 version 1, tier 2 is up to date."""
     installed = spark.createDataFrame([(1, 1), (2, 2)], "tier int, version int")
@@ -163,12 +170,15 @@ gs AS (SELECT item_id AS qid, ['direct', 'trap_cancelled', 'access', 'unanswerab
 so AS (SELECT 'BASELINE' AS mode, qid, id, place FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY raw_rank) AS place FROM raw JOIN st USING (id) WHERE classification_level <= 1) WHERE place <= 5 UNION ALL SELECT 'COMPLETE', qid, id, row_number() OVER (PARTITION BY qid ORDER BY other, pos) FROM js),
 sc AS (SELECT mode, gs.qid, type, count(place) > 0 AS answered, min(place) FILTER (id = eid AND place <= 5) AS rank, CASE WHEN eid IS NOT NULL THEN COALESCE(bool_or(id = eid AND place <= 5), FALSE) END AS recalled,
  CASE WHEN eid IS NOT NULL THEN COALESCE(bool_or(id = eid AND place <= 5 AND id % 2 = 0), FALSE) END AS clause_hit, CASE WHEN eid IS NOT NULL THEN COALESCE(bool_or(id = eid AND place <= 2), FALSE) END AS cited_expected,
- COALESCE(bool_or(id = bad AND place <= 2), FALSE) AS cited_cancelled, FALSE AS leak FROM gs CROSS JOIN (VALUES ('BASELINE'), ('COMPLETE')) m(mode) LEFT JOIN so USING (mode, qid) GROUP BY mode, gs.qid, type, eid)
+ COALESCE(bool_or(id = bad AND place <= 2), FALSE) AS cited_cancelled, COALESCE(bool_or(level > CASE WHEN gs.qid % 5 = 0 THEN 0 ELSE 1 END), FALSE) AS leak FROM gs CROSS JOIN (VALUES ('BASELINE'), ('COMPLETE')) m(mode) LEFT JOIN (SELECT so.*, classification_level AS level FROM so JOIN (SELECT id, classification_level FROM st) USING (id)) so USING (mode, qid) GROUP BY mode, gs.qid, type, eid)
 """
 
 
 def golden(spark, folder):
-    """The benchmark's texts as questions, expecting the first hit that holds the text; every clause is n.1 of n = id % 9 + 1."""
+    """The benchmark's texts as questions, expecting the first hit that holds the text; every clause is n.1 of n = id % 9 + 1.
+
+    Every fifth reader's clearance is under the level of the lists, which leaks by design.
+    """
     hits = R.top(C.bm25_scores(spark, folder), "qid", R.LIST_CUT, F.desc("score"), F.asc("id"), name="raw_rank")
     asked = C.table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     texts = C.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -179,7 +189,7 @@ def golden(spark, folder):
     # odd documents expect a clause that their passages don't have
     clause = F.concat(F.when(F.col("id") % 2 == 0, F.col("id") % 9 + 1).otherwise(77).cast("string"), F.lit(".1"))
     has = F.col("type") != "unanswerable"
-    return rows.select("qid", "type", F.when(has, F.col("circular_no")).alias("expected_doc"), F.when(has, clause).alias("expected_clause"), F.when((F.col("type") == E.TRAP) & (F.col("status") != "IN_FORCE"), F.col("circular_no")).alias("must_not_cite"), F.lit(1).alias("clearance"))
+    return rows.select("qid", "type", F.when(has, F.col("circular_no")).alias("expected_doc"), F.when(has, clause).alias("expected_clause"), F.when((F.col("type") == E.TRAP) & (F.col("status") != "IN_FORCE"), F.col("circular_no")).alias("must_not_cite"), F.when(F.col("qid") % 5 == 0, 0).otherwise(1).alias("clearance"))
 
 
 def scored_questions(spark, folder):
