@@ -67,3 +67,20 @@ def by_mode(rows: DataFrame, modes: tuple[str, ...]) -> DataFrame:
     """One row a metric, one column a mode."""
     long = summary(rows).select("mode", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS))).alias("x"))
     return long.select("mode", "x.*").groupBy("metric").pivot("mode", list(modes)).agg(F.first("value"))
+
+
+def action_accuracy(actions: DataFrame, sources: DataFrame, golden: DataFrame) -> DataFrame:
+    """(mode, n_actions, share): of the actions that answers advise, those that cite the expected document.
+
+    actions: mode, qid, place, citations (numbers of sources); sources: mode, qid, place, circular_no; golden: qid, expected_doc.
+    """
+    cited = actions.select("mode", "qid", F.col("place").alias("action"), F.explode_outer("citations").alias("place"))
+    rows = cited.join(sources.select("mode", "qid", "place", "circular_no"), ["mode", "qid", "place"], "left").join(golden.select("qid", "expected_doc"), "qid", "left")
+    each = rows.groupBy("mode", "qid", "action").agg(F.coalesce(F.max(F.col("circular_no") == F.col("expected_doc")), F.lit(False)).alias("ok"))
+    return each.groupBy("mode").agg(F.count(F.lit(1)).alias("n_actions"), F.round(F.avg(F.col("ok").cast("int")), 6).alias("share"))
+
+
+def write_results(rows: DataFrame, table: DataFrame, folder: str) -> None:
+    """results (a row for each mode and question) and summary (a row for each metric) as CSV files with a header."""
+    rows.orderBy("mode", "qid").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/results")
+    table.orderBy("metric").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/summary")

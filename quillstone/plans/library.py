@@ -192,13 +192,17 @@ def golden(spark, folder):
     return rows.select("qid", "type", F.when(has, F.col("circular_no")).alias("expected_doc"), F.when(has, clause).alias("expected_clause"), F.when((F.col("type") == E.TRAP) & (F.col("status") != "IN_FORCE"), F.col("circular_no")).alias("must_not_cite"), F.when(F.col("qid") % 5 == 0, 0).otherwise(1).alias("clearance"))
 
 
-def scored_questions(spark, folder):
+def shown_sources(spark, folder):
+    """(mode, qid, place, ...): the sources of each question in both modes."""
     st = C.statuses(spark, folder).select("id", "circular_no", "classification_level")
     hits = R.top(C.bm25_scores(spark, folder), "qid", R.LIST_CUT, F.desc("score"), F.asc("id"), name="raw_rank")
     plain = R.top(hits.join(V.secure(st, 1), "id"), "qid", R.CONTEXT, F.asc("raw_rank"), name="place").select(F.lit(MODES[0]).alias("mode"), "qid", "id", "place")
     full = C.jurisdiction_places(spark, folder).select(F.lit(MODES[1]).alias("mode"), "qid", "id", "place")
-    sources = plain.unionByName(full).join(st, "id").select("mode", "qid", "place", "circular_no", F.concat((F.col("id") % 9 + 1).cast("string"), F.lit(".1-"), (F.col("id") % 9 + 1).cast("string"), F.lit(".4")).alias("clause_ref"), F.col("classification_level").alias("tier"), (F.col("place") <= 2).alias("cited"))
-    return E.scores(golden(spark, folder), sources, MODES)
+    return plain.unionByName(full).join(st, "id").select("mode", "qid", "place", "circular_no", F.concat((F.col("id") % 9 + 1).cast("string"), F.lit(".1-"), (F.col("id") % 9 + 1).cast("string"), F.lit(".4")).alias("clause_ref"), F.col("classification_level").alias("tier"), (F.col("place") <= 2).alias("cited"))
+
+
+def scored_questions(spark, folder):
+    return E.scores(golden(spark, folder), shown_sources(spark, folder), MODES)
 
 
 @query(SCORED + " SELECT mode, qid, type, answered, rank, recalled, clause_hit, cited_expected, cited_cancelled, leak FROM sc")
@@ -226,3 +230,14 @@ def eval_by_mode(spark, folder):
 def usage_overall(spark, folder):
     rows = A.usage_report(P.search_log(spark, folder)).agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("answerable")).alias("unanswered"))
     return rows.withColumn("rate", A.rate(F.col("unanswered"), F.col("total")))
+
+
+@query(SCORED + """, aa AS (SELECT mode, so.qid, a AS action, (a - 1) % 5 + 1 AS place FROM (SELECT DISTINCT mode, qid FROM so) so, (VALUES (1), (2), (3)) v(a) UNION ALL SELECT mode, qid, 3, 1 FROM (SELECT DISTINCT mode, qid FROM so)),
+ok AS (SELECT mode, qid, action, bool_or(COALESCE(so.id = eid, FALSE)) AS ok FROM aa LEFT JOIN so USING (mode, qid, place) LEFT JOIN gs USING (qid) GROUP BY 1, 2, 3) SELECT mode, count(*) AS n_actions, round(avg(CAST(ok AS INTEGER)), 6) AS share FROM ok GROUP BY 1""")
+def eval_actions(spark, folder):
+    """Three actions of each answered question: they cite the first source, the second, and the third with the first."""
+    gold = golden(spark, folder).select("qid", "expected_doc")
+    sources = V.cut(shown_sources(spark, folder))
+    answered = sources.select("mode", "qid").distinct()
+    cited = F.array(*(F.struct(F.lit(k).alias("place"), F.array(*map(F.lit, c)).alias("citations")) for k, c in ((1, [1]), (2, [2]), (3, [3, 1]))))
+    return E.action_accuracy(answered.select("mode", "qid", F.inline(cited)), sources, gold)

@@ -51,9 +51,9 @@ qr AS (SELECT qid, text, qid % 3 = 2 AS history, concat_ws(' ', text, NULLIF(arr
  CASE qid % 3 WHEN 2 THEN 'FEDERAL' ELSE 'SARAWAK' END AS target FROM qw)"""
 )
 SHOWN = f"JOIN ck USING (chunk_id) JOIN qr USING (qid) WHERE status IN {C.NOW} OR history AND status IN {C.ALL}"
-KEYWORD = f""", ct AS (SELECT chunk_id, tier, {C.terms_sql('text')} AS terms FROM ck),
-ci AS (SELECT chunk_id, tier, dl, term, count(*) AS tf FROM (SELECT chunk_id, tier, len(terms) AS dl, unnest(terms) AS term FROM ct) GROUP BY ALL),
-cz AS (SELECT tier, count(*) AS n, avg(COALESCE(len(terms), 0)) AS avgdl FROM ct GROUP BY 1),
+KEYWORD = f""", ctm AS (SELECT chunk_id, tier, {C.terms_sql('text')} AS terms FROM ck),
+ci AS (SELECT chunk_id, tier, dl, term, count(*) AS tf FROM (SELECT chunk_id, tier, len(terms) AS dl, unnest(terms) AS term FROM ctm) GROUP BY ALL),
+cz AS (SELECT tier, count(*) AS n, avg(COALESCE(len(terms), 0)) AS avgdl FROM ctm GROUP BY 1),
 cq AS (SELECT qid, unnest({C.query_terms_sql('said')}) AS term FROM qr), cd AS (SELECT tier, term, count(*) AS df FROM ci WHERE term IN (SELECT term FROM cq) GROUP BY 1, 2),
 cb AS (SELECT qid, tier, chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM ci JOIN cd USING (tier, term) JOIN cz USING (tier) JOIN cq USING (term) GROUP BY 1, 2, 3),
 kr AS (SELECT qid, tier, chunk_id, score, row_number() OVER (PARTITION BY qid, tier ORDER BY score DESC, chunk_id) AS raw_rank FROM cb),
@@ -169,3 +169,44 @@ def excluded_passages(spark, folder):
     """The best chunk of each cancelled document that would have been among the first ten."""
     rows, questions = chunks(spark, folder), asked(spark, folder)
     return S.excluded(fused(spark, folder, rows, questions, True), rows)
+
+
+def retrieve(spark, folder, history: bool = False, baseline: bool = False):
+    """(qid, chunk_id, origin, place): what a question gets to read.
+
+    All three lists of each pack by the rewritten question, fused, by shared words, over the floor; then the user's side
+    first and amendments beside what they amend.  history shows former rules to all; the baseline is a plain search, with
+    every status, and takes the first passages as they are.
+    """
+    rows, questions = chunks(spark, folder), asked(spark, folder)
+    pool = fused(spark, folder, rows, questions, history or baseline).where(F.col("place") <= R.POOL)
+    ranked = S.reranked(pool, rows, questions)
+    if baseline:
+        return ranked.where(F.col("pos") <= R.CONTEXT).select("qid", "chunk_id", F.lit("selected").alias("origin"), F.col("pos").alias("place"))
+    context = cut(places(spark, folder, rows, questions, ranked).join(rows.select("chunk_id", "id"), "chunk_id").join(R.bounded(questions.select("qid", "wants_history")), "qid"))
+    selected = context.select("qid", "chunk_id", "id", F.col("place").alias("pos"), F.col("wants_history") | F.lit(history))
+    return S.with_amending(selected.toDF("qid", "chunk_id", "id", "pos", "wants_history"), rows, relations(spark, folder, rows), CLEARANCE)
+
+
+NUMBERS = "list_transform(string_split({}, '.'), lambda x: CAST(x AS INTEGER))"
+READABLE = r"regexp_matches(clause_ref, '^\d+(\.\d+)*(-\d+(\.\d+)*)?$')"
+#: whether a scope's clause lies in a passage's clause or range; true where either can't be read
+TOUCHES = f"CASE WHEN scope = 'whole' OR NOT {READABLE} THEN TRUE ELSE {NUMBERS.format('lo')} <= {NUMBERS.format('t')} AND {NUMBERS.format('t')} <= {NUMBERS.format('hi')} OR {NUMBERS.format('t')}[1:len({NUMBERS.format('lo')})] = {NUMBERS.format('lo')} END"
+RETRIEVED = (
+    CONTEXT + EVIDENCE.replace("c.classification_level_own", "c.tier")
+    + f""", sel AS (SELECT qid, js.id, doc, row_number() OVER (PARTITION BY qid ORDER BY other, pos) AS pos, ck.status, clause_ref, history FROM js JOIN ck ON ck.chunk_id = js.id JOIN qr USING (qid)),
+ed AS (SELECT qid, id, pos, new_id, rel_id FROM (SELECT sel.qid, sel.id, sel.pos, am.new_id, am.rel_id, am.scope, clause_ref, replace(am.scope, 'clauses: ', '') AS t, string_split(clause_ref, '-')[1] AS lo, string_split(clause_ref, '-')[-1] AS hi, sel.history, nc.status AS new_status FROM sel JOIN am ON am.target = sel.doc JOIN (SELECT chunk_id, status FROM ck) nc ON nc.chunk_id = am.new_id WHERE sel.status = 'AMENDED') WHERE (new_status IN {C.NOW} OR history AND new_status IN {C.ALL}) AND {TOUCHES}),
+""" + C.INJECT[C.INJECT.index("pl AS (SELECT * FROM") :].replace("SELECT * FROM (SELECT qid, id, origin", "SELECT qid, id AS chunk_id, origin, place FROM (SELECT qid, id, origin")
+)
+
+
+@query(RETRIEVED)
+def passage_retrieval(spark, folder):
+    """What each question gets to read, from the rewritten question to the amended context."""
+    return retrieve(spark, folder)
+
+
+@query(RANKED.replace(C.NOW, C.ALL) + " SELECT qid, id AS chunk_id, 'selected' AS origin, pos AS place FROM pp WHERE pos <= 5")
+def passage_retrieval_baseline(spark, folder):
+    """The same search without statuses, sides or amendments."""
+    return retrieve(spark, folder, baseline=True)

@@ -60,3 +60,20 @@ def glossary(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
+
+
+def known_relations(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
+    """Relations of a CSV file, by the numbers of documents (id, circular_no): what a merge of verified relations takes.
+
+    Rows whose source isn't known are left out; a target that isn't known keeps its number.
+    """
+    raw = spark.read.option("header", True).option("encoding", "UTF-8").option("quote", '"').option("escape", '"').csv(path)
+    raw = raw.toDF(*(c.lstrip("\ufeff").strip() for c in raw.columns))
+    cell = lambda c: F.nullif(F.trim(c), F.lit("")) if c in raw.columns else F.lit(None).cast("string")
+    rows = raw.select(
+        F.trim("source_circular_no").alias("source_no"), F.trim("target_circular_no").alias("target_ref_text"), F.upper(F.trim("relation_type")).alias("relation_type"),
+        F.coalesce(cell("scope"), F.lit("whole")).alias("scope"), F.try_to_date(cell("effective_date"), "yyyy-MM-dd").alias("effective_date"),
+        cell("evidence_text").alias("evidence"), cell("evidence_page").try_cast("int").alias("evidence_page"),
+    )
+    named = lambda a, b: docs.select(F.col("circular_no").alias(a), F.col("id").alias(b))
+    return rows.join(named("source_no", "source_doc_id"), "source_no").join(named("target_ref_text", "target_doc_id"), "target_ref_text", "left").drop("source_no")

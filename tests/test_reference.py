@@ -331,3 +331,31 @@ def test_percentiles_beside_outliers(spark):
     got = dict(analytics.nearest_rank(frame, "v", (0.0, 0.5, 0.95, 1.0), 10, 20).collect())
     assert got == {q: values[round(q * (len(values) - 1))] for q in (0.0, 0.5, 0.95, 1.0)}
     assert analytics.nearest_rank(frame.where("v < 0"), "v", (0.5,)).count() == 0
+
+
+def test_known_relations_and_results(spark, tmp_path):
+    from quillstone.operators import evaluation
+    from quillstone.sources import tables
+
+    docs = spark.createDataFrame([(1, "PP 2/2024"), (2, "PP 3/2018")], "id long, circular_no string")
+    (tmp_path / "r.csv").write_text('\ufeffsource_circular_no,target_circular_no,relation_type,scope,effective_date,evidence_text,evidence_page\n PP 2/2024 ,PP 3/2018,supersedes,,2024-02-01,"a, ""b""",2\nPP 2/2024,PP 9/2030,AMENDS,clauses: 6.1,,,\nPP 7/2030,PP 3/2018,AMENDS,whole,x,,\n', encoding="utf-8")
+    rows = {r.target_ref_text: r for r in tables.known_relations(spark, str(tmp_path / "r.csv"), docs).collect()}
+    first, other = rows["PP 3/2018"], rows["PP 9/2030"]
+    assert (first.source_doc_id, first.target_doc_id, first.relation_type, first.scope, str(first.effective_date), first.evidence, first.evidence_page) == (1, 2, "SUPERSEDES", "whole", "2024-02-01", 'a, "b"', 2)
+    assert len(rows) == 2 and (other.target_doc_id, other.scope, other.effective_date, other.evidence_page) == (None, "clauses: 6.1", None, None)
+    scores = spark.createDataFrame([("B", 1, True, 1), ("A", 2, False, None)], "mode string, qid long, answered boolean, rank int")
+    table = spark.createDataFrame([("mrr", 0.5, 1.0)], "metric string, A double, B double")
+    evaluation.write_results(scores, table, str(tmp_path / "out"))
+    evaluation.write_results(scores, table, str(tmp_path / "out"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "out" / "results")).collect()
+    assert [(r.mode, r.qid, r["rank"]) for r in back] == [("A", "2", None), ("B", "1", "1")]
+
+
+def test_actions_that_cite_the_expected_document(spark):
+    from quillstone.operators import evaluation
+
+    actions = spark.createDataFrame([("m", 1, 1, [2]), ("m", 1, 2, [1, 2]), ("m", 2, 1, []), ("m", 3, 1, [9]), ("n", 1, 1, [1])], "mode string, qid long, place int, citations array<int>")
+    sources = spark.createDataFrame([("m", 1, 1, "A"), ("m", 1, 2, "B"), ("n", 1, 1, "C")], "mode string, qid long, place int, circular_no string")
+    golden = spark.createDataFrame([(1, "A"), (2, None)], "qid long, expected_doc string")
+    got = {r["mode"]: (r.n_actions, r.share) for r in evaluation.action_accuracy(actions, sources, golden).collect()}
+    assert got == {"m": (4, 0.25), "n": (1, 0.0)}
