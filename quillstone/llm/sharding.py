@@ -72,9 +72,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, blocks: int | None = No
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        # the text too, so that the rows of one id, or of none, are not one block
-        F.pmod(F.xxhash64(key, F.col("text"), F.lit("block")), F.lit(blocks)).cast("int").alias("block"),
     )
+    # the text too, so that the rows of one id, or of none, are not one block
+    placed = placed.withColumn("block", F.pmod(F.xxhash64(key, F.col("text_crc32"), F.lit("block")), F.lit(blocks)).cast("int"))
     placed = descend(placed, key, *shard_tree(shards), "shard")
     placed = descend(placed, key, *shard_tree(shards + 1), "grown_shard")
     counts = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
