@@ -18,13 +18,16 @@ SERIES = (
     (r"(?i)PEKELILING\s+AM\s+SARAWAK\s+BILANGAN\s+(\d{1,3})\s+TAHUN\s+((?:19|20)\d{2})", "STATE", "PAS", "SARAWAK"),
     (r"(?i)GARIS\s+PANDUAN\s+BILANGAN\s+(\d{1,3})\s+TAHUN\s+((?:19|20)\d{2})", "OTHER", "GP", None),
 )
+#: minutes' and procedures' numbers; fixed values
 MINUTES = r"(?i)MINIT\s+MESYUARAT\s+(.+?)\s+BIL\.?\s*(\d{1,3})\s*/\s*((?:19|20)\d{2})"
 SOP = r"\b(SOP[-\s][A-Z0-9]+(?:[-\s][A-Z0-9]+)*\s*\d{0,3}/(?:19|20)\d{2})\b"
 #: kinds of documents by their upper-case header, the first that is found counts; fixed values
 KINDS = (("minutes", "MINIT MESYUARAT"), ("sop", r"PROSEDUR\s+OPERASI\s+STANDARD|\bSOP\b"), ("guideline", "GARIS PANDUAN"), ("report", r"(?m)^\s*LAPORAN\b"), ("policy", r"(?m)^\s*DASAR\b"))
+#: lines with dates, the phrase for one-off rules, the section that says to whom they apply; fixed values
 ISSUED, EFFECTIVE = r"(?im)^\s*Tarikh\s*:\s*(.+)$", r"(?i)berkuat\s+kuasa\s+mulai\s+(\d{1,2}\s+\w+\s+(?:19|20)\d{2})"
 ONE_OFF = r"(?i)\b(sekali\s+sahaja|one[-\s]off)\b"
 APPLIES = r"(?s)PEMAKAIAN\s*\n(.+?)(?:\n\d+\.\s+[A-Z ]{4,}\n|\z)"
+#: lines that are no title, words that titles keep small, and those they keep in capitals; fixed values
 HEADINGS = ("TUJUAN", "LATAR BELAKANG", "PEMAKAIAN", "KEHADIRAN", "TERHAD", "SULIT")
 SMALL_WORDS = ("dan", "atau", "di", "ke", "dari", "bagi", "untuk", "melalui", "yang", "dalam", "of", "and", "the")
 ACRONYMS = ("hrmis", "sop", "gcr")
