@@ -364,7 +364,10 @@ def damaged(conversations: DataFrame) -> DataFrame:
     )
 
 
-def repair(conversations: DataFrame) -> DataFrame:
-    """Per conversation: counts of faults, cost, audit and the digest of what it becomes; copies of a row are rows."""
-    rows = conversations if "copies" in conversations.columns else conversations.select("conv_id", "turn", "role", "text", F.lit(1).alias("copies"))
+def repair(conversations: DataFrame, copies: str | None = None) -> DataFrame:
+    """Per conversation: counts of faults, cost, audit and the digest of what it becomes.
+
+    copies names a column that says how often a row counts; without it each row counts once, whatever columns there are.
+    """
+    rows = conversations.select("conv_id", "turn", "role", "text", (F.col(copies) if copies else F.lit(1)).alias("copies"))
     return repair_digests(rows, audits(rows))

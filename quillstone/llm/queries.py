@@ -76,7 +76,7 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.conversations import damaged, repair
 
-    return repair(damaged(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+    return repair(damaged(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))), "copies")
 
 
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 LEGAL = re.compile("(s?(ua)+)?")
 
@@ -152,7 +153,7 @@ def test_conversations_by_hand(spark, segment):
         want[conv].append(row)
     before, C.SEGMENT = C.SEGMENT, segment
     try:
-        got = repaired(C.repair(C.damaged(table)))
+        got = repaired(C.repair(C.damaged(table), "copies"))
     finally:
         C.SEGMENT = before
     assert set(got) == set(want)
@@ -177,12 +178,20 @@ def test_repaired_turns(spark):
 def test_conversations_of_no_rows(spark):
     from quillstone.llm import conversations as C
 
-    assert C.repair(C.damaged(spark.createDataFrame([], CONVERSATIONS))).count() == 0
+    assert C.repair(C.damaged(spark.createDataFrame([], CONVERSATIONS)), "copies").count() == 0
     dropped = next((c, t) for c in range(500) for t in range(2) if zlib.crc32(f"{c}:{t}".encode()) % 20 == 0)
-    r = C.repair(C.damaged(spark.createDataFrame([(*dropped, "user", "x", "", 1, 2)], CONVERSATIONS))).first()
+    r = C.repair(C.damaged(spark.createDataFrame([(*dropped, "user", "x", "", 1, 2)], CONVERSATIONS)), "copies").first()
     assert (r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit) == (0, 0, 0, 0, 0, 0, "") and r.repaired_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_columns_of_other_names_are_ignored(spark):
+    from quillstone.llm import conversations as C
+
+    rows = [(1, 0, "user", "Hi.", "none"), (1, 1, "assistant", "Yes.", "2"), (1, 1, "assistant", "Yes.", None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, copies string").withColumn("audit", F.lit(3)).withColumn("digest", F.lit("x"))
+    assert repaired(C.repair(table))[1] == by_hand([r[1:4] for r in rows])
+
+
 def test_a_hot_conversation_is_cut(spark):
     from quillstone.llm import conversations as C
 
