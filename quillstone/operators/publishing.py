@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quillstone.operators.snapshots import content_hash, redacted, relation_tiers
 
+#: names of the levels; fixed values
 TIERS = {0: "TERBUKA", 1: "TERHAD", 2: "SULIT"}
 
 
