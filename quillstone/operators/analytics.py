@@ -14,6 +14,26 @@ def usage_report(log: DataFrame) -> DataFrame:
     return log.select("id", hour.alias("hour"), "query", "topic", "cluster", "answerable", "confidence", F.col("doc_ref").alias("excluded"))
 
 
+#: mark of a usage report, and the fields of a search that one may hold; fixed values
+REPORT_KIND = "pekeliling-navigator-usage"
+REPORT_FIELDS = ("query", "topic", "cluster", "answerable", "confidence", "excluded_circulars", "feedback", "hour")
+
+
+def imported_reports(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What uploaded reports (id, text) come to: (id, ok, n_queries), and their searches (id, place, search).
+
+    A report is an object of the right kind with a list of searches.  Entries that are no objects are left out, and of the
+    others all fields but the known ones; a search is a map of the known fields to their JSON, so nothing of a user stays.
+    """
+    outer = F.from_json("text", "kind string, queries string")
+    listed = F.when(outer["queries"].startswith("["), F.from_json(outer["queries"], "array<string>"))
+    rows = texts.select("id", F.when(outer["kind"] == REPORT_KIND, listed).alias("q"))
+    inside = F.filter("q", lambda x: x.startswith("{") & F.try_parse_json(x).isNotNull())
+    known = lambda x: F.map_filter(F.from_json(x, "map<string,string>"), lambda k, v: k.isin(*REPORT_FIELDS))
+    searches = rows.select("id", F.posexplode(F.transform(inside, known)).alias("place", "search"))
+    return rows.select("id", F.col("q").isNotNull().alias("ok"), F.coalesce(F.size(inside), F.lit(0)).alias("n_queries")), searches
+
+
 def rate(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(part / whole, 3)).otherwise(0.0)
 

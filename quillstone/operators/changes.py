@@ -203,3 +203,23 @@ def change_summaries(changes: DataFrame, pairs: DataFrame, known: DataFrame | No
     rows = pairs.join(lists, "pair", "left").withColumn("listed", F.coalesce("listed", F.lit("-")))
     sentence = lambda verb, than: F.concat(F.col("new_no"), F.lit(f" {verb} "), F.col("listed"), F.lit(f" {than} "), F.col("old_no"), F.lit("."))
     return rows.select("pair", F.coalesce("n_changes", F.lit(0)).alias("n_changes"), sentence("mengubah perenggan", "berbanding").alias("summary_ms"), sentence("changes paragraphs", "compared with").alias("summary_en"))
+
+
+def change_views(asked: DataFrame, summaries: DataFrame, docs: DataFrame, clearance: int) -> DataFrame:
+    """What is shown of pairs (old_id, new_id): both numbers, the sentences, and the parts of the stored changes.
+
+    summaries: old_doc_id, new_doc_id, summary_ms, summary_en, payload (JSON). code tells why nothing is shown: a document
+    that isn't there or is above the clearance, or no summary of the pair.  A payload that can't be read has no clauses.
+    """
+    seen = docs.where(F.col("classification_level") <= clearance)
+    old, new = (seen.select(F.col("id").alias(f"{w}_id"), F.col("circular_no").alias(f"{w}_no")) for w in ("old", "new"))
+    rows = asked.join(old, "old_id", "left").join(new, "new_id", "left")
+    own = summaries.select(F.col("old_doc_id").alias("old_id"), F.col("new_doc_id").alias("new_id"), "summary_ms", "summary_en", "payload", F.lit(True).alias("has"))
+    rows = rows.join(own, ["old_id", "new_id"], "left")
+    code = F.when(F.col("old_no").isNull() | F.col("new_no").isNull(), "DOCUMENT").when(F.col("has").isNull(), "SUMMARY").otherwise("OK")
+    p = F.from_json("payload", "relation_type string, clauses array<string>, changes array<struct<clause_old:string,clause_new:string,kind:string>>, who_is_affected string, effective_date string")
+    shown = lambda c: F.when(F.col("code") == "OK", c)
+    rows = rows.withColumn("code", code).withColumn("p", p)
+    fields = [shown(F.col(c)).alias(c) for c in ("old_no", "new_no", "summary_ms", "summary_en")]
+    lists = [shown(F.coalesce(F.col("p")[c], F.array().cast(t))).alias(c) for c, t in (("clauses", "array<string>"), ("changes", "array<struct<clause_old:string,clause_new:string,kind:string>>"))]
+    return rows.select("old_id", "new_id", "code", *fields, shown(F.col("p")["relation_type"]).alias("relation_type"), *lists, shown(F.col("p")["who_is_affected"]).alias("who_is_affected"), shown(F.col("p")["effective_date"]).alias("effective_date"))

@@ -117,3 +117,9 @@ def chunk_minutes(pages: DataFrame, numbers: DataFrame) -> DataFrame:
     parts = units.select("id", "unit", clause.alias("clause_ref"), crumb.alias("breadcrumb"), "page_start", "page_end", F.posexplode(word_slices(text, MAX_WORDS)).alias("k", "text"))
     index = F.row_number().over(Window.partitionBy("id").orderBy("unit", "k")) - 1
     return parts.select("id", index.alias("chunk_index"), "clause_ref", "breadcrumb", "page_start", "page_end", "text")
+
+
+def recognised(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """chunks (id, ...) with ocr: whether any page (id, ocr) of their document was read by recognition, be it another's."""
+    any_page = pages.groupBy("id").agg(F.coalesce(F.bool_or("ocr"), F.lit(False)).alias("ocr"))
+    return chunks.join(any_page, "id", "left").withColumn("ocr", F.coalesce("ocr", F.lit(False)))

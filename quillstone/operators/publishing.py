@@ -249,5 +249,7 @@ def tier_tables(tier: int, docs: DataFrame, chunks: DataFrame, vectors: DataFram
     }
 
 
-def listing(shelf: Shelf, columns: Iterable[str] = ("tier", "version", "path", "size_bytes")) -> list[dict]:
-    return [{c: p.get(c) for c in columns} for p in shelf.packs()]
+def listing(shelf: Shelf, model: str | None = None, columns: Iterable[str] = ("tier", "tier_name", "version", "path", "size_bytes", "embedding_model")) -> list[dict]:
+    """The packs that are there, by tier and version; with a model, embedding_ok tells whether a pack's vectors are of it."""
+    rows = [{c: p.get(c) for c in columns} | {"tier_name": TIERS.get(p["tier"], str(p["tier"]))} for p in shelf.packs()]
+    return [r | {"embedding_ok": r.get("embedding_model") == model} for r in rows] if model is not None else rows

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.retrieval import top
+from quillstone.operators.upkeep import numbered
+
 #: fields of a document that an edit may set; fixed values
 EDITABLE = ("circular_no", "title", "doc_type", "jurisdiction", "cluster", "issue_date", "effective_date", "expiry_date", "one_off", "classification_level")
 #: a model's thoughts and a code fence round its reply; fixed formats
@@ -79,6 +82,35 @@ def unwrapped(c: Column, item: str) -> Column:
     return F.coalesce(F.when(F.trim(c).startswith("["), F.from_json(c, f"array<{item}>")), F.from_json(F.get(inside, F.lit(0)), f"array<{item}>"))
 
 
+def relations_queue(relations: DataFrame, docs: DataFrame, verified: bool | None = None) -> DataFrame:
+    """Relations with their documents' numbers and what they do to the target, in the order of a publisher's work: those that
+    were rejected, those that wait, those that hold, the newest first; place counts from 1.
+
+    verified asks for those that hold (True) or wait (False); None is all, and only there rejected ones are seen.  Relations
+    whose source is gone aren't shown.
+    """
+    if verified is not None:
+        relations = relations.where(F.col("verified") == int(verified))
+    source = docs.select(F.col("id").alias("source_doc_id"), F.col("circular_no").alias("source_no"))
+    target = docs.select(F.col("id").alias("target_doc_id"), F.col("circular_no").alias("target_no"), F.col("status").alias("target_status"))
+    effect = F.when(F.col("relation_type").isin("CANCELS", "SUPERSEDES"), "CANCELLED").when(F.col("relation_type") == "AMENDS", "AMENDED")
+    rows = relations.join(source, "source_doc_id").join(target, "target_doc_id", "left")
+    rows = rows.select(F.col("id").alias("rel_id"), F.negative("id").alias("newest"), "source_no", "target_no", "target_status", "relation_type", "verified", effect.alias("effect"))
+    nothing = rows.sparkSession.range(0)
+    return numbered(rows, nothing, "verified", "newest").select("rel_id", "source_no", "target_no", "target_status", "relation_type", "verified", "effect", F.col("id").alias("place"))
+
+
+def alerts(notices: DataFrame, users: DataFrame, most: int = 50) -> DataFrame:
+    """(user_id, id, place, read, unread): each user's newest notices that their clearance allows, with how many are unread.
+
+    notices: id, user_id, tier, read; users: id, clearance_level.  A notice without a tier is for all; unread counts only
+    what is shown, and a null read is unread.
+    """
+    own = notices.join(users.select(F.col("id").alias("user_id"), "clearance_level"), "user_id").where(F.col("tier").isNull() | (F.col("tier") <= F.col("clearance_level")))
+    rows = top(own, "user_id", most, F.desc("id"), name="place").withColumn("read", F.coalesce("read", F.lit(False)))
+    return rows.select("user_id", "id", "place", "read", F.count_if(~F.col("read")).over(Window.partitionBy("user_id")).alias("unread"))
+
+
 def safe_file_name(c: Column) -> Column:
     """Letters, digits, dots, blanks, hyphens and underscores of the last part of a path."""
     return F.regexp_replace(F.regexp_extract(c, r"[^/\\]*$", 0), r"[^\p{L}\p{N}. _-]", "_")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,15 +108,52 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: nodes that a task remembers while it contracts its edges
+MOST_NODES = 1_000_000
+
+
+def contracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges (up, down) of a partition as stars round the least node that is reached inside it.
+
+    What is remembered is bounded: a full table is given out as stars and forgotten, which loses no connection.
+    """
+    above: dict[int, int] = {}
+
+    def least(x: int) -> int:
+        path = []
+        while (y := above.get(x, x)) != x:
+            path.append(x)
+            x = y
+        for step in path:
+            above[step] = x
+        return x
+
+    def stars() -> pd.DataFrame:
+        ends = [(x, least(x)) for x in list(above)]
+        return pd.DataFrame(ends, columns=["up", "down"], dtype="int64")
+
+    for frame in frames:
+        for a, b in frame.drop_duplicates().itertuples(index=False):
+            a, b = sorted((least(a), least(b)))
+            if a != b:
+                above[b] = a
+        if len(above) > MOST_NODES:
+            yield stars()
+            above.clear()
+    yield stars()
+
+
 def component_labels(edges: DataFrame) -> DataFrame:
     """(id, component) of the nodes of undirected edges (a, b); component is the smallest node that is reached.
 
-    Rounds of two steps go on until nothing changes: each node ties its larger neighbours to the least node it knows, and
-    then its smaller ones.  Trees flatten as they grow, so the rounds grow with the logarithm of a component's size.
+    Partitions turn their own edges into stars first, so a hub has one edge a partition for each of its neighbours and a
+    chain inside a partition is gone.  Rounds of two steps go on until nothing changes: each node ties its larger
+    neighbours to the least node it knows, and then its smaller ones.  Trees flatten as they grow, so the rounds grow with
+    the logarithm of a component's size.
     """
     edges = edges.where("a is not null and b is not null")
     alone = edges.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
-    now, before = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("up"), F.least("a", "b").alias("down")).distinct()), None
+    now, before = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("up"), F.least("a", "b").alias("down")).mapInPandas(contracted, "up long, down long").distinct()), None
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("up", "down").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:

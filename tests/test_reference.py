@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as X
 from quillstone.operators import passages as passage_lists
 from quillstone.operators import answers, changes, chunking, diffing, retrieval, snapshots, trigrams, validity
-from quillstone.plans import catalogue, library, passages, records, revisions, upkeep  # noqa: F401  all but the first add their queries to it
+from quillstone.plans import asking, catalogue, desk, library, passages, records, revisions, upkeep  # noqa: F401  the others add their queries to the catalogue's
 from quillstone.streaming import usage
 
 
