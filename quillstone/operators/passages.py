@@ -28,10 +28,13 @@ def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     Terms that aren't wanted are one row a chunk before anything is shuffled; it has a null term, and holds the chunk's
     place in its pack's average.
     """
+    if wanted is not None and (few := R.wanted_counts(chunks, ["chunk_id", "tier"], wanted)) is not None:
+        own = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
+        return few.select("chunk_id", "tier", "dl", F.inline(F.concat(own, "hits")))
     rows = chunks.select("chunk_id", "tier", F.explode_outer(word_list(F.col("text"))).alias("word")).select("chunk_id", "tier", F.trim("word", F.lit("/")).alias("term"))
     rows = rows.select("chunk_id", "tier", F.when(term_ok(F.col("term")), F.col("term")).alias("term"))
     if wanted is not None:
-        rows = rows.join(R.bounded(wanted.withColumn("asked", F.lit(True))), "term", "left").select("chunk_id", "tier", F.col("term").isNotNull().alias("counted"), F.when(F.col("asked"), F.col("term")).alias("term"))
+        rows = rows.join(wanted.withColumn("asked", F.lit(True)), "term", "left").select("chunk_id", "tier", F.col("term").isNotNull().alias("counted"), F.when(F.col("asked"), F.col("term")).alias("term"))
     else:
         rows = rows.withColumn("counted", F.col("term").isNotNull())
     counts = rows.groupBy("chunk_id", "tier", "term").agg(F.count_if("counted").alias("tf"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import query_terms, scope_touches, term_ok, tokens, words
+from quillstone.functions.text import query_terms, scope_touches, term_ok, terms, tokens, words
 
 K1, B, RRF_K = 1.2, 0.75, 60
 LIST_CUT, LIST_KEEP, POOL, CONTEXT = 100, 30, 20, 5
@@ -34,14 +34,39 @@ def term_rows(docs: DataFrame) -> DataFrame:
     return found.where(term_ok(F.col("term")))
 
 
+#: terms that a plan may hold as a set; more of them are found by a join
+SET_TERMS = 10_000
+
+
+def wanted_counts(docs: DataFrame, key: list[str], wanted: DataFrame) -> DataFrame | None:
+    """(*key, dl, hits) of texts (*key, text): how many terms, and (term, tf) of the wanted ones; None if too many are wanted.
+
+    Terms are counted and chosen inside the row, so one row a text and one for each wanted word leave it.  Texts without
+    terms have a length of 0 and no hits.
+    """
+    some = [r[0] for r in wanted.select("term").distinct().limit(SET_TERMS + 1).collect()]
+    if len(some) > SET_TERMS:
+        return None
+    # terms are letters, digits and underscores, so they need no escapes; one text is read faster than a literal each
+    chosen = F.expr("filter(t, x -> x in (" + ", ".join(f"'{x}'" for x in some) + "))") if some else F.array().cast("array<string>")
+    rows = docs.select(*key, terms(F.col("text")).alias("t")).select(*key, F.coalesce(F.size("t"), F.lit(0)).cast("long").alias("n"), F.coalesce(chosen, F.array().cast("array<string>")).alias("w"))
+    own = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("n").alias("tf")))
+    hits = F.transform("w", lambda x: F.struct(x.alias("term"), F.lit(1).cast("long").alias("tf")))
+    counts = rows.select(*key, F.inline(F.concat(own, hits))).groupBy(*key, "term").agg(F.sum("tf").alias("tf"))
+    dl = F.sum(F.when(F.col("term").isNull(), F.col("tf")))
+    return counts.groupBy(*key).agg(dl.alias("dl"), F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("hits"))
+
+
 def postings(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(id, dl, hits) of documents (id, text) with terms: their length and (term, tf) of each term, or each wanted one.
+    """(id, dl, hits) of documents (id, text): their length and (term, tf) of each term, or each wanted one.
 
     The texts are read once.  Terms that aren't wanted are one row a document before anything is shuffled.
     """
+    if wanted is not None and (few := wanted_counts(docs, ["id"], wanted)) is not None:
+        return few
     rows = term_rows(docs)
     if wanted is not None:
-        rows = rows.join(bounded(wanted.withColumn("asked", F.lit(True))), "term", "left").select("id", F.when(F.col("asked"), F.col("term")).alias("term"))
+        rows = rows.join(wanted.withColumn("asked", F.lit(True)), "term", "left").select("id", F.when(F.col("asked"), F.col("term")).alias("term"))
     counts = rows.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     return counts.groupBy("id").agg(F.sum("tf").alias("dl"), F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("hits"))
 
@@ -66,10 +91,13 @@ def scored(found: DataFrame, totals: DataFrame, queries: DataFrame) -> DataFrame
     asked = asked_terms(queries)
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    # totals is a single row, and there are no more weights than asked terms
+    # totals is a single row
     weights = df.crossJoin(F.broadcast(totals)).select("term", idf.alias("idf"), "avgdl")
+    # there are no more weights than asked terms, so one check holds for both; the postings stay where they lie
+    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        weights, asked = F.broadcast(weights), F.broadcast(asked)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return found.join(weights, "term").join(bounded(asked), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return found.join(weights, "term").join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def write_postings(docs: DataFrame, folder: str, buckets: int = 64) -> None:
