@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillstone.operators import passages as S
+from quillstone.operators import retrieval as R
 
 CHUNK = "chunk_id long, id long, tier int, chunk_index int, clause_ref string, breadcrumb string, text string, circular_no string, status string, classification_level int"
 
@@ -85,3 +86,17 @@ def test_excluded_passages_are_one_for_each_document(spark):
     ranked = spark.createDataFrame([(1, 11, 1), (1, 20, 2), (1, 10, 3), (1, 30, 11)], "qid long, chunk_id long, place int")
     assert [tuple(r) for r in S.excluded(ranked, rows).collect()] == [(1, 11, 1, 1)]
     assert S.chunk_vectors(rows).where(F.size("vec") == 1024).count() == 4
+
+
+def test_scores_are_the_same_by_set_and_by_join(spark, monkeypatch):
+    asked = spark.createDataFrame(ASKED, "qid long, text string")
+    rows = table(spark, ROWS + [(60, 6, 1, None), (61, 6, 1, "cuti_lama a/b 'cuti' \\ yang"), (62, 6, 1, "yang dan")])
+    docs = rows.select(F.col("chunk_id").alias("id"), "text")
+    plain = lambda: {tuple(r) for r in R.bm25(docs, asked).collect()}
+    by_set, packs = plain(), scores(S.keyword_scores(rows, asked))
+    lengths = {r.id: r.dl for r in R.postings(docs, R.asked_terms(asked).select("term").distinct()).collect()}
+    assert lengths[10] == 3 and lengths[60] == lengths[62] == 0 and by_set and packs
+    nothing = spark.createDataFrame([(1, "yang dan")], "qid long, text string")
+    assert R.bm25(docs, nothing).count() == 0 and R.bm25(docs.limit(0), asked).count() == 0
+    monkeypatch.setattr(R, "SET_TERMS", 0)
+    assert plain() == by_set and scores(S.keyword_scores(rows, asked)) == packs
