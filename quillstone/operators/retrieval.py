@@ -7,10 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillstone.functions.text import query_terms, scope_touches, term_ok, terms, tokens, words
+from quillstone.operators.validity import cut
 
 K1, B, RRF_K = 1.2, 0.75, 60
 LIST_CUT, LIST_KEEP, POOL, CONTEXT = 100, 30, 20, 5
@@ -28,21 +32,26 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, computed once, and broadcast if it has few rows, so that the other side of a join stays where it lies."""
+    return bounded(cut(df))
+
+
 def term_rows(docs: DataFrame) -> DataFrame:
     """(id, term): one row for each search term of documents (id, text); the same terms as those of :func:`terms`."""
     found = docs.select("id", F.explode(words(F.col("text"))).alias("word")).select("id", F.trim("word", F.lit("/")).alias("term"))
     return found.where(term_ok(F.col("term")))
 
 
-#: terms that a plan may hold as a set; more of them are found by a join
-SET_TERMS = 10_000
+#: terms that a plan may hold as a set; more of them are found by a join; texts whose terms a task counts
+SET_TERMS, TEXTS = 10_000, 10_000
 
 
 def wanted_counts(docs: DataFrame, key: list[str], wanted: DataFrame) -> DataFrame | None:
     """(*key, dl, hits) of texts (*key, text): how many terms, and (term, tf) of the wanted ones; None if too many are wanted.
 
-    Terms are counted and chosen inside the row, so one row a text and one for each wanted word leave it.  Texts without
-    terms have a length of 0 and no hits.
+    Terms are chosen inside the row, so one row a text with its wanted words is shuffled.  Texts without terms have a length
+    of 0 and no hits.
     """
     some = [r[0] for r in wanted.select("term").distinct().limit(SET_TERMS + 1).collect()]
     if len(some) > SET_TERMS:
@@ -50,6 +59,8 @@ def wanted_counts(docs: DataFrame, key: list[str], wanted: DataFrame) -> DataFra
     # terms are letters, digits and underscores, so they need no escapes; one text is read faster than a literal each
     chosen = F.expr("filter(t, x -> x in (" + ", ".join(f"'{x}'" for x in some) + "))") if some else F.array().cast("array<string>")
     rows = docs.select(*key, terms(F.col("text")).alias("t")).select(*key, F.coalesce(F.size("t"), F.lit(0)).cast("long").alias("n"), F.coalesce(chosen, F.array().cast("array<string>")).alias("w"))
+    # one shuffle by the key, in as many parts as there are texts, so that what a task counts doesn't grow
+    rows = rows.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // TEXTS)), *key)
     own = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("n").alias("tf")))
     hits = F.transform("w", lambda x: F.struct(x.alias("term"), F.lit(1).cast("long").alias("tf")))
     counts = rows.select(*key, F.inline(F.concat(own, hits))).groupBy(*key, "term").agg(F.sum("tf").alias("tf"))
@@ -100,6 +111,112 @@ def scored(found: DataFrame, totals: DataFrame, queries: DataFrame) -> DataFrame
     return found.join(weights, "term").join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+#: scores that a task holds at once, and rows that it gives out at once
+BLOCK, ROWS_OUT = 500_000, 50_000
+#: stands for a null id in arrays, before all others as nulls are
+NO_ID = -(2**63)
+
+
+def best_scored(index: DataFrame, sizes: DataFrame, queries: DataFrame, k: int, asked: int = 1024, block: int = BLOCK) -> DataFrame:
+    """(qid, id, score, rank): the k best of :func:`scored`, with a column tier those of each tier.
+
+    index: id, dl, hits (term, tf); sizes: n, avgdl; each with tier or neither.  Weights are broadcast, each task scores its
+    texts where they lie and gives its k best, so no row for each query and text is sorted or moved.  ``asked`` queries
+    are scored in one pass, in blocks of texts.  Too many terms for a broadcast are scored by joins.
+    """
+    spark, tiers = index.sparkSession, [c for c in ("tier",) if c in index.columns]
+    schema = ", ".join(["qid long", "id long", *(f"tier {index.schema[t].dataType.simpleString()}" for t in tiers), "score double"])
+    order = (F.desc("score"), F.asc("id"))
+    pairs = asked_terms(queries).select(F.coalesce("qid", F.lit(NO_ID)).alias("qid"), "term")
+    df = index.select(*tiers, F.inline("hits")).groupBy(*tiers, "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    # sizes hold a row a tier
+    weights = df.join(F.broadcast(sizes), tiers) if tiers else df.crossJoin(F.broadcast(sizes))
+    weights = weights.join(pairs.select("term").distinct(), "term", "left_semi").select(*tiers, "term", idf.alias("idf"), "avgdl")
+    held, wanted = weights.limit(BROADCAST_ROWS + 1).collect(), pairs.limit(BROADCAST_ROWS + 1).collect()
+    if len(held) > BROADCAST_ROWS or len(wanted) > BROADCAST_ROWS:
+        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        rows = index.select("id", *tiers, "dl", F.inline("hits")).join(weights, [*tiers, "term"]).join(pairs, "term")
+        return top(rows.groupBy("qid", *tiers, "id").agg(F.round(F.sum(part), 6).alias("score")), ["qid", *tiers], k, *order)
+    names = sorted({r.term for r in held})
+    place = {term: i for i, term in enumerate(names)}
+    of_tier: dict = {}
+    for r in held:
+        values, _ = of_tier.setdefault(r.tier if tiers else None, (np.zeros(len(names)), r.avgdl))
+        values[place[r.term]] = r.idf
+    by_query: dict = {}
+    for qid, term in wanted:
+        if term in place:
+            by_query.setdefault(qid, []).append(place[term])
+    texts = index.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), *tiers, F.col("dl").cast("double").alias("dl"), F.transform("hits", lambda x: x["term"]).alias("terms"), F.transform("hits", lambda x: x["tf"].cast("double")).alias("tfs"))
+
+    def searched(qids: list[int]) -> DataFrame:
+        # of each term its queries, as places in qids
+        per_term = [[] for _ in names]
+        for at, qid in enumerate(qids):
+            for term in by_query[qid]:
+                per_term[term].append(at)
+        counts = np.array([len(x) for x in per_term], np.int64)
+        starts, flat = np.cumsum(counts) - counts, np.array([at for x in per_term for at in x], np.int64)
+        shared = spark.sparkContext.broadcast((np.array(qids), names, of_tier, counts, starts, flat))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: dict[object, Best] = {}
+            qids, names, of_tier, counts, starts, flat = shared.value
+            known, rows = pa.array(names, pa.string()), max(1, block // len(qids))
+            for batch in batches:
+                for a in range(0, batch.num_rows, rows):
+                    some = batch.slice(a, rows)
+                    ids, dl, own = some.column("id").to_numpy(), some.column("dl").to_numpy(), np.array(some.column("tier").to_pylist() if tiers else [None] * len(some), object)
+                    text = np.repeat(np.arange(len(some)), pc.list_value_length(some.column("terms")).to_numpy(zero_copy_only=False))
+                    term = pc.fill_null(pc.index_in(some.column("terms").flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+                    tf = some.column("tfs").flatten().to_numpy(zero_copy_only=False)
+                    for tier, (idf, avgdl) in of_tier.items():
+                        here = np.flatnonzero(own == tier) if tiers else np.arange(len(some))
+                        at = np.full(len(some), -1)
+                        at[here] = np.arange(len(here))
+                        hit = np.flatnonzero((at[text] >= 0) & (term >= 0))
+                        if not len(hit):
+                            continue
+                        t, x, f = term[hit], text[hit], tf[hit]
+                        part = idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * dl[x] / avgdl))
+                        scores = np.zeros(len(qids) * len(here))
+                        # a hit counts for each query with its term; some hits at a time
+                        ends = np.cumsum(counts[t])
+                        cuts = np.unique([0, *np.searchsorted(ends, np.arange(block, int(ends[-1]), block)), len(t)])
+                        for lo, hi in zip(cuts[:-1], cuts[1:]):
+                            n = counts[t[lo:hi]]
+                            query = flat[np.repeat(starts[t[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                            scores += np.bincount(query * len(here) + np.repeat(at[x[lo:hi]], n), np.repeat(part[lo:hi], n), len(scores))
+                        # every part is over 0, so a sum of 0 is a text without the query's terms
+                        found = np.where(scores > 0, np.round(scores, 6), np.nan).reshape(len(qids), len(here))
+                        kept.setdefault(tier, Best(len(qids), k)).add(found, ids[here])
+            for tier, best_k in kept.items():
+                row, score, ids = best_k.shrink()
+                for a in range(0, len(row), ROWS_OUT):
+                    b = slice(a, a + ROWS_OUT)
+                    columns = [pa.array(qids[row[b]], pa.int64()), pa.array(ids[b], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*columns, *([pa.array([tier] * len(row[b]), kind)] if tiers else []), pa.array(score[b], pa.float64())], ["qid", "id", *tiers, "score"])
+
+        kind = to_arrow_type(index.schema["tier"].dataType) if tiers else None
+        return texts.mapInArrow(best, schema)
+
+    every = sorted(by_query)
+    blocks = [searched(every[a : a + asked]) for a in range(0, len(every), asked)] if held else []
+    if not blocks:
+        return top(spark.createDataFrame([], schema), ["qid", *tiers], k, *order)
+    found = functools.reduce(DataFrame.unionByName, blocks).withColumn("id", F.nullif("id", F.lit(NO_ID))).withColumn("qid", F.nullif("qid", F.lit(NO_ID)))
+    # rounded by numpy; Spark's rounding of the same number settles how it is shown
+    return top(found.withColumn("score", F.round("score", 6)), ["qid", *tiers], k, *order)
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank): the k best of :func:`bm25`.  The texts are read once."""
+    index = cut(postings(docs, asked_terms(queries).select("term").distinct()))
+    totals = corpus_totals(index, docs.count())
+    return best_scored(index, totals.withColumnRenamed("n_docs", "n"), queries, k)
+
+
 def write_postings(docs: DataFrame, folder: str, buckets: int = 64) -> None:
     """The index of documents (id, text) as files: postings by a hash of the term, so that searches read few, and totals."""
     index = postings(docs)
@@ -155,7 +272,7 @@ class Best:
         row, column = np.nonzero(scores >= self.floor[:, None])
         self.found.append((row, scores[row, column], ids[column]))
         self.size += len(row)
-        if self.size > 4 * self.k * len(self.floor) + 100_000:
+        if self.size > 2 * self.k * len(self.floor) + 100_000:
             self.shrink()
 
     def shrink(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,18 +287,19 @@ class Best:
         return self.found[0]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, asked: int = 4096, rows: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, asked: int = 1024, rows: int = 1024) -> DataFrame:
     """(qid, id, score, rank): the k vectors (id, vec) with the largest dot products with each query (qid, qvec).
 
     With a column tier in vectors, the k of each tier.  Vectors stay where they lie: about ``asked`` queries at a time are
-    broadcast to them, and each task gives its k best, which are merged.  Null vectors and those of another length score
-    nothing.
+    broadcast to them, and each task gives its k best, which are merged; it holds a block of scores and the best so far,
+    whatever the number of vectors and queries.  Null vectors and those of another length score nothing.  With columns
+    buckets and weights in place of vec, the vectors are those entries among zeros, as long as the queries'.
     """
     spark = vectors.sparkSession
-    tiers = ["tier"] if "tier" in vectors.columns else []
-    vectors, queries = vectors.where("vec is not null"), queries.where("qvec is not null").select("qid", F.col("qvec").cast("array<double>").alias("qvec"))
+    tiers, sparse = ["tier"] if "tier" in vectors.columns else [], "buckets" in vectors.columns
+    vectors, queries = vectors.where("buckets is not null" if sparse else "vec is not null"), queries.where("qvec is not null").select("qid", F.col("qvec").cast("array<double>").alias("qvec"))
     rounds = max(1, -(-queries.count() // asked))
-    rows_of = vectors.select("id", *tiers, F.col("vec").cast("array<double>").alias("vec"))
+    rows_of = vectors.select("id", *tiers, *(["buckets", "weights"] if sparse else [F.col("vec").cast("array<double>").alias("vec")]))
     schema = ", ".join(["qid long", "id long", *(f"tier {vectors.schema[t].dataType.simpleString()}" for t in tiers), "score double"])
 
     def searched(block: DataFrame) -> DataFrame:
@@ -189,19 +307,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, asked: int = 4096, r
         by_size = {n: (np.array([q for q, v in found if len(v) == n]), np.stack([v for _, v in found if len(v) == n])) for n in {len(v) for _, v in found}}
         shared = spark.sparkContext.broadcast(by_size)
 
+        def matrix(some: pd.DataFrame, n: int) -> np.ndarray:
+            if not sparse:
+                return np.stack(some["vec"].to_numpy())
+            out = np.zeros((len(some), n))
+            out[np.repeat(np.arange(len(some)), some["buckets"].str.len()), np.concatenate(some["buckets"].to_numpy())] = np.concatenate(some["weights"].to_numpy())
+            return out
+
         def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kept: dict[tuple, Best] = {}
             for frame in frames:
-                for key, mine in frame.groupby([frame["vec"].str.len(), *tiers], dropna=False) if len(frame) else ():
-                    if (n := int(key[0])) in shared.value:
-                        qids, matrix = shared.value[n]
-                        top_k = kept.setdefault(key, Best(len(qids), k))
-                        for a in range(0, len(mine), rows):
-                            some = mine.iloc[a : a + rows]
-                            top_k.add(np.round(matrix @ np.stack(some["vec"].to_numpy()).T, 6), some["id"].to_numpy())
+                # entries among zeros fit queries of every length
+                for size in list(shared.value) if sparse else [None]:
+                    for key, mine in frame.groupby([pd.Series(size, frame.index) if sparse else frame["vec"].str.len(), *tiers], dropna=False) if len(frame) else ():
+                        if (n := int(key[0])) in shared.value:
+                            qids, asked_for = shared.value[n]
+                            top_k = kept.setdefault(key, Best(len(qids), k))
+                            step = max(1, min(rows, BLOCK // max(len(qids), n)))
+                            for a in range(0, len(mine), step):
+                                some = mine.iloc[a : a + step]
+                                top_k.add(np.round(asked_for @ matrix(some, n).T, 6), some["id"].to_numpy())
             for key, top_k in kept.items():
                 row, score, ids = top_k.shrink()
-                yield pd.DataFrame({"qid": shared.value[int(key[0])][0][row], "id": ids, **dict(zip(tiers, key[1:])), "score": score})
+                for a in range(0, len(row), ROWS_OUT):
+                    b = slice(a, a + ROWS_OUT)
+                    yield pd.DataFrame({"qid": shared.value[int(key[0])][0][row[b]], "id": ids[b], **dict(zip(tiers, key[1:])), "score": score[b]})
 
         return rows_of.mapInPandas(best, schema)
 

@@ -79,9 +79,12 @@ bm AS (SELECT qid, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6)
 """
 
 
-def bm25_scores(spark: SparkSession, folder: str) -> DataFrame:
+def bm25_hits(spark: SparkSession, folder: str, name: str = "raw_rank") -> DataFrame:
+    """(qid, id, score) of the best hundred documents of each question, with their rank."""
     docs = texts(spark, folder).select(F.col("doc_id").alias("id"), "text")
-    return R.bm25(docs, table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), "text"))
+    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    # few rows, which several joins read
+    return V.cut(R.bm25_top(docs, asked, R.LIST_CUT).withColumnRenamed("rank", name))
 
 
 # ------------------------------------------------------------------------------------------------- scans and lists
@@ -334,7 +337,7 @@ def token_terms(spark, folder):
 
 @query(f"WITH {BM} SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm) WHERE rank <= 100")
 def bm25_topk(spark, folder):
-    return R.top(bm25_scores(spark, folder), "qid", R.LIST_CUT, F.desc("score"), F.asc("id"))
+    return bm25_hits(spark, folder, "rank")
 
 
 KEYWORD = f"""{ST}, {BM}, raw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS raw_rank FROM bm) WHERE raw_rank <= 100),
@@ -343,7 +346,7 @@ kw AS (SELECT * FROM (SELECT qid, raw.id, score, row_number() OVER (PARTITION BY
 
 
 def keyword_hits(spark, folder, history: bool = False):
-    return R.keyword_list(bm25_scores(spark, folder), statuses(spark, folder), V.allowed_statuses(history), 1)
+    return R.shown_list(bm25_hits(spark, folder), statuses(spark, folder), V.allowed_statuses(history), 1)
 
 
 @query(KEYWORD + "SELECT qid, id, score, rank FROM kw")
@@ -667,7 +670,7 @@ GOLD = KEYWORD + ", gold AS (SELECT b.item_id AS qid, d.doc_id AS id FROM benchm
 
 def expected_ranks(spark, folder):
     """The best rank of a document that holds the question; candidates come from shared words, then the text decides."""
-    hits = R.top(bm25_scores(spark, folder), "qid", R.LIST_CUT, F.desc("score"), F.asc("id"), name="raw_rank")
+    hits = bm25_hits(spark, folder)
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     texts = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
     held = hits.join(asked, "qid").join(texts, "id").where(F.contains("text", "question"))

@@ -179,7 +179,7 @@ def golden(spark, folder):
 
     Every fifth reader's clearance is under the level of the lists, which leaks by design.
     """
-    hits = R.top(C.bm25_scores(spark, folder), "qid", R.LIST_CUT, F.desc("score"), F.asc("id"), name="raw_rank")
+    hits = C.bm25_hits(spark, folder)
     asked = C.table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     texts = C.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
     held = hits.join(asked, "qid").join(texts, "id").where(F.contains("text", "question")).groupBy("qid").agg(F.min("id").alias("id"))
@@ -195,7 +195,7 @@ def golden(spark, folder):
 def shown_sources(spark, folder):
     """(mode, qid, place, ...): the sources of each question in both modes."""
     st = C.statuses(spark, folder).select("id", "circular_no", "classification_level")
-    hits = R.top(C.bm25_scores(spark, folder), "qid", R.LIST_CUT, F.desc("score"), F.asc("id"), name="raw_rank")
+    hits = C.bm25_hits(spark, folder)
     plain = R.top(hits.join(V.secure(st, 1), "id"), "qid", R.CONTEXT, F.asc("raw_rank"), name="place").select(F.lit(MODES[0]).alias("mode"), "qid", "id", "place")
     full = C.jurisdiction_places(spark, folder).select(F.lit(MODES[1]).alias("mode"), "qid", "id", "place")
     return plain.unionByName(full).join(st, "id").select("mode", "qid", "place", "circular_no", F.concat((F.col("id") % 9 + 1).cast("string"), F.lit(".1-"), (F.col("id") % 9 + 1).cast("string"), F.lit(".4")).alias("clause_ref"), F.col("classification_level").alias("tier"), (F.col("place") <= 2).alias("cited"))
