@@ -22,8 +22,8 @@ DIM, SAME_NUMBER, SAME_MEANING = 1024, 0.4, 0.80
 CLAUSE = r"^(\d{1,2}(?:\.\d{1,2})*)\.?\s+(.+)$"
 #: how an amendment speaks of its clause, and characters of its evidence that find the clause; fixed values
 AMENDING, LEAD = "dipinda|pindaan", 40
-#: words whose features a worker keeps
-MEMO = 200_000
+#: words whose features a worker keeps, and texts whose vectors it holds
+MEMO, HELD = 50_000, 500
 
 
 def clauses(texts: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def hashed(texts: DataFrame, key: list[str]) -> DataFrame:
     schema = T.StructType([*(texts.schema[c] for c in key), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, HELD) for b in batches for a in range(0, b.num_rows, HELD)):
             made = [unit_vector(words.as_py()) for words in batch.column("words")]
             arrays = [pa.array([x[0] for x in made], pa.list_(pa.int32())), pa.array([x[1] for x in made], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in key), *arrays], [*key, "buckets", "weights"])
@@ -89,14 +89,14 @@ def hash_vectors(texts: DataFrame, key: list[str]) -> DataFrame:
     return hashed(texts, key).select(*key, F.inline(F.arrays_zip(F.col("buckets").alias("bucket"), F.col("weights").alias("value"))))
 
 
-def hash_embed(texts: DataFrame, kind: str = "float") -> DataFrame:
-    """(id, embedding) of (id, text): :func:`hashed` with the zeros between its entries."""
-    rows = hashed(texts, ["id"])
+def hash_embed(texts: DataFrame, kind: str = "float", key: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(key, embedding) of (key, text): :func:`hashed` with the zeros between its entries."""
+    rows = hashed(texts, [*key])
     zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
     before = lambda i: F.when(i > 0, F.get("buckets", i - 1)).otherwise(-1)
     filled = F.transform(F.arrays_zip("buckets", "weights"), lambda x, i: F.concat(zeros(x["buckets"] - before(i) - 1), F.array(x["weights"])))
     dense = F.flatten(F.concat(filled, F.array(zeros(DIM - 1 - F.element_at("buckets", -1)))))
-    return rows.select("id", dense.cast(f"array<{kind}>").alias("embedding"))
+    return rows.select(*key, dense.cast(f"array<{kind}>").alias("embedding"))
 
 
 @F.pandas_udf(T.BooleanType())

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from quillstone.functions.text import first_words, scope_touches, term_ok
 from quillstone.functions.text import words as word_list
 from quillstone.operators import retrieval as R
-from quillstone.operators.changes import AMENDING, LEAD, hash_embed
+from quillstone.operators.changes import AMENDING, LEAD, hash_embed, hashed
 from quillstone.operators.trigrams import containing
-from quillstone.operators.validity import DEFAULT_STATUSES, HISTORICAL_STATUSES
+from quillstone.operators.validity import DEFAULT_STATUSES, HISTORICAL_STATUSES, cut
 
 #: order in which lists name a passage first
 LISTS = ("vector", "keyword", "trigram")
@@ -63,6 +63,18 @@ def keyword_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return scored(index, totals(index), queries)
 
 
+def keyword_top(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """:func:`keyword_hits` of :func:`keyword_scores`, with no row for each query and chunk: see :func:`R.best_scored`."""
+    wanted = R.asked_terms(queries).select("term").distinct()
+    index = R.wanted_counts(chunks, ["chunk_id", "tier"], wanted)
+    if index is None:
+        hit = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
+        index = postings(chunks, wanted).groupBy("chunk_id", "tier").agg(F.max("dl").alias("dl"), F.collect_list(hit).alias("hits"))
+    index = cut(index.withColumnRenamed("chunk_id", "id"))
+    sizes = index.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return R.best_scored(index, sizes, queries, R.LIST_CUT).select("qid", "tier", F.col("id").alias("chunk_id"), F.col("rank").alias("raw_rank"))
+
+
 def write_index(chunks: DataFrame, folder: str, version: int, old: int | None = None, changed: DataFrame | None = None, buckets: int = 32) -> None:
     """The postings of packs as a version's files, by tier and a hash of the term, with their totals.
 
@@ -99,7 +111,7 @@ def keyword_hits(scores: DataFrame) -> DataFrame:
 
 
 def vector_hits(vectors: DataFrame, asked: DataFrame) -> DataFrame:
-    """As :func:`keyword_hits`, by vectors (chunk_id, tier, vec) and queries (qid, qvec)."""
+    """As :func:`keyword_hits`, by vectors (chunk_id, tier, vec or entries) and queries (qid, qvec)."""
     found = R.nearest(vectors.withColumnRenamed("chunk_id", "id"), asked, R.LIST_CUT)
     return found.select("qid", "tier", F.col("id").alias("chunk_id"), F.col("rank").alias("raw_rank"))
 
@@ -107,7 +119,7 @@ def vector_hits(vectors: DataFrame, asked: DataFrame) -> DataFrame:
 def named_hits(chunks: DataFrame, refs: DataFrame) -> DataFrame:
     """As :func:`keyword_hits`: all chunks of documents whose number holds a named one (qid, ref), the last of each first."""
     docs = chunks.select("id", "circular_no").distinct()
-    rows = containing(docs, refs).join(chunks.select("id", "chunk_id", "tier", "chunk_index"), "id")
+    rows = R.few(containing(docs, refs)).join(chunks.select("id", "chunk_id", "tier", "chunk_index"), "id")
     return rows.select("qid", "tier", "chunk_id", F.row_number().over(Window.partitionBy("qid", "tier").orderBy(F.desc("chunk_index"), "chunk_id")).alias("raw_rank"))
 
 
@@ -119,7 +131,7 @@ def allowed(history: Column, clearance: int) -> Column:
 
 def shown(hits: DataFrame, chunks: DataFrame, asked: DataFrame, clearance: int, history: bool = False) -> DataFrame:
     """Of each pack's hits the best thirty that may be shown, with new ranks. asked: qid, wants_history."""
-    rows = hits.join(chunks.select("chunk_id", "status", "classification_level"), "chunk_id").join(R.bounded(asked.select("qid", "wants_history")), "qid")
+    rows = R.few(hits).join(chunks.select("chunk_id", "status", "classification_level"), "chunk_id").join(R.bounded(asked.select("qid", "wants_history")), "qid")
     rows = rows.where(allowed(F.col("wants_history") | F.lit(history), clearance))
     return R.top(rows, ["qid", "tier"], R.LIST_KEEP, F.asc("raw_rank")).select("qid", "tier", "chunk_id", "rank")
 
@@ -140,7 +152,7 @@ def fused(lists: dict[str, DataFrame]) -> DataFrame:
 
 def reranked(pool: DataFrame, chunks: DataFrame, asked: DataFrame, floor: float = R.FLOOR) -> DataFrame:
     """(qid, chunk_id, id, score, pos): the pool (qid, chunk_id, place) by shared words; those under the floor are left out."""
-    rows = pool.join(chunks.select("chunk_id", "id", "circular_no", "breadcrumb", "text"), "chunk_id").join(R.bounded(asked.select("qid", "rerank_text")), "qid")
+    rows = R.few(pool).join(chunks.select("chunk_id", "id", "circular_no", "breadcrumb", "text"), "chunk_id").join(R.bounded(asked.select("qid", "rerank_text")), "qid")
     passage = F.concat(F.col("circular_no"), F.lit(" | "), F.coalesce("breadcrumb", F.lit("")), F.lit("\n"), F.col("text"))
     rows = rows.withColumn("score", F.round(R.overlap(F.col("rerank_text"), passage), 6))
     pos = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "place"))
@@ -155,8 +167,8 @@ def amending(chunks: DataFrame, relations: DataFrame) -> DataFrame:
     """
     edges = relations.where("verified = 1 and relation_type = 'AMENDS' and target_doc_id is not null")
     level = chunks.select(F.col("id").alias("target_doc_id"), F.col("classification_level").alias("target_level")).distinct()
-    edges = edges.join(level, "target_doc_id").select(F.col("id").alias("rel_id"), F.col("source_doc_id").alias("id"), F.col("target_doc_id").alias("target"), "scope", F.substring(F.coalesce("evidence", F.lit("")), 1, LEAD).alias("lead"), "target_level")
-    held = edges.join(chunks.select("id", "chunk_id", "chunk_index", "text", "classification_level", "status"), "id").where("classification_level >= target_level")
+    edges = R.few(edges).join(level, "target_doc_id").select(F.col("id").alias("rel_id"), F.col("source_doc_id").alias("id"), F.col("target_doc_id").alias("target"), "scope", F.substring(F.coalesce("evidence", F.lit("")), 1, LEAD).alias("lead"), "target_level")
+    held = R.few(edges).join(chunks.select("id", "chunk_id", "chunk_index", "text", "classification_level", "status"), "id").where("classification_level >= target_level")
     by_text = (F.col("lead") != "") & F.contains(F.translate("text", "\n", " "), F.col("lead"))
     by_word = F.lower("text").contains(AMENDING.split("|")[0])
     order = F.struct(F.when(by_text, 0).otherwise(1), F.col("chunk_index"), F.col("chunk_id"))
@@ -168,8 +180,10 @@ def with_amending(selected: DataFrame, chunks: DataFrame, relations: DataFrame,
     """(qid, chunk_id, origin, place): selected passages (qid, chunk_id, id, pos, wants_history), each amended one followed
     by what amends it, in place of the weakest if need be."""
     facts = chunks.select("chunk_id", F.col("status").alias("own_status"), "clause_ref")
-    rows = selected.join(facts, "chunk_id").where("own_status = 'AMENDED'")
-    found = rows.join(amending(chunks, relations).withColumnRenamed("target", "id"), "id").where(scope_touches(F.col("scope"), F.col("clause_ref")) & allowed(F.col("wants_history"), clearance))
+    rows = cut(R.few(selected).join(facts, "chunk_id").where("own_status = 'AMENDED'"))
+    # only what amends a selected document is looked for
+    relations = relations.join(R.bounded(rows.select(F.col("id").alias("target_doc_id")).distinct()), "target_doc_id", "left_semi")
+    found = R.bounded(rows).join(amending(chunks, relations).withColumnRenamed("target", "id"), "id").where(scope_touches(F.col("scope"), F.col("clause_ref")) & allowed(F.col("wants_history"), clearance))
     touched = found.select("qid", F.col("chunk_id").alias("id"), "pos", "new_id", "rel_id")
     out = R.with_amendments(selected.select("qid", F.col("chunk_id").alias("id"), "pos"), touched, n)
     return out.withColumnRenamed("id", "chunk_id")
@@ -177,7 +191,7 @@ def with_amending(selected: DataFrame, chunks: DataFrame, relations: DataFrame,
 
 def excluded(ranked: DataFrame, chunks: DataFrame, most: int = 10) -> DataFrame:
     """(qid, chunk_id, id, place): of each cancelled document among the first ten places without the status filter, its best chunk."""
-    rows = ranked.where(F.col("place") <= most).join(chunks.where("status = 'CANCELLED'").select("chunk_id", "id"), "chunk_id")
+    rows = R.few(ranked.where(F.col("place") <= most)).join(chunks.where("status = 'CANCELLED'").select("chunk_id", "id"), "chunk_id")
     return R.top(rows, ["qid", "id"], 1, F.asc("place"), name="k").select("qid", "chunk_id", "id", "place")
 
 
@@ -185,7 +199,15 @@ def shown_text(c: Column) -> Column:
     return first_words(c, PASSAGE_WORDS)
 
 
+def whole_texts(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk_id", "tier", F.concat(F.coalesce("breadcrumb", F.lit("")), F.lit("\n"), F.col("text")).alias("text"))
+
+
 def chunk_vectors(chunks: DataFrame) -> DataFrame:
     """(chunk_id, tier, vec) of chunks, with their breadcrumb before the text."""
-    text = F.concat(F.coalesce("breadcrumb", F.lit("")), F.lit("\n"), F.col("text"))
-    return chunks.select("chunk_id", "tier").join(hash_embed(chunks.select(F.col("chunk_id").alias("id"), text.alias("text")), "double").select(F.col("id").alias("chunk_id"), F.col("embedding").alias("vec")), "chunk_id")
+    return hash_embed(whole_texts(chunks), "double", ("chunk_id", "tier")).withColumnRenamed("embedding", "vec")
+
+
+def chunk_entries(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, tier, buckets, weights): :func:`chunk_vectors` without their zeros."""
+    return hashed(whole_texts(chunks), ["chunk_id", "tier"])

@@ -61,8 +61,8 @@ kl AS (SELECT qid, tier, chunk_id, score, row_number() OVER (PARTITION BY qid, t
 
 
 def keyword(spark, folder, rows, questions, history: bool = False):
-    scores = S.keyword_scores(rows.select("chunk_id", "tier", "text"), questions.select("qid", F.col("rerank_text").alias("text")))
-    return S.shown(S.keyword_hits(scores), rows, questions, CLEARANCE, history)
+    hits = S.keyword_top(rows.select("chunk_id", "tier", "text"), questions.select("qid", F.col("rerank_text").alias("text")))
+    return S.shown(hits, rows, questions, CLEARANCE, history)
 
 
 @query(CHUNKS + KEYWORD + " SELECT qid, tier, chunk_id, rank FROM kl")
@@ -104,7 +104,7 @@ vl AS (SELECT qid, tier, chunk_id, row_number() OVER (PARTITION BY qid, tier ORD
 
 def vector(spark, folder, rows, questions, history: bool = False):
     vectors = hash_embed(questions.select(F.col("qid").alias("id"), F.col("embedding_text").alias("text")), "double").select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
-    return S.shown(S.vector_hits(S.chunk_vectors(rows), vectors), rows, questions, CLEARANCE, history)
+    return S.shown(S.vector_hits(S.chunk_entries(rows), vectors), rows, questions, CLEARANCE, history)
 
 
 FUSED = CHUNKS + KEYWORD + NAMED + VECTOR + """, al AS (SELECT qid, tier, chunk_id, rank, 0 AS l, 'vector' AS list FROM vl UNION ALL SELECT qid, tier, chunk_id, rank, 1, 'keyword' FROM kl UNION ALL SELECT qid, tier, chunk_id, rank, 2, 'trigram' FROM nl),
@@ -133,7 +133,7 @@ CONTEXT = RANKED + """, jr AS (SELECT pp.*, CASE WHEN target = 'SARAWAK' THEN ju
 def places(spark, folder, rows, questions, ranked):
     meta = rows.select("chunk_id", "jurisdiction", "doc_type")
     target = questions.select("qid", F.coalesce("jurisdiction_hint", F.lit(SIDE)).alias("target"))
-    pool = ranked.join(meta, "chunk_id").join(R.bounded(target), "qid").withColumnRenamed("id", "doc").withColumnRenamed("chunk_id", "id")
+    pool = R.few(ranked).join(meta, "chunk_id").join(R.bounded(target), "qid").withColumnRenamed("id", "doc").withColumnRenamed("chunk_id", "id")
     return R.apply_jurisdiction(pool, None).withColumnRenamed("id", "chunk_id")
 
 
@@ -183,7 +183,7 @@ def retrieve(spark, folder, history: bool = False, baseline: bool = False):
     ranked = S.reranked(pool, rows, questions)
     if baseline:
         return ranked.where(F.col("pos") <= R.CONTEXT).select("qid", "chunk_id", F.lit("selected").alias("origin"), F.col("pos").alias("place"))
-    context = cut(places(spark, folder, rows, questions, ranked).join(rows.select("chunk_id", "id"), "chunk_id").join(R.bounded(questions.select("qid", "wants_history")), "qid"))
+    context = cut(R.few(places(spark, folder, rows, questions, ranked)).join(rows.select("chunk_id", "id"), "chunk_id").join(R.bounded(questions.select("qid", "wants_history")), "qid"))
     selected = context.select("qid", "chunk_id", "id", F.col("place").alias("pos"), F.col("wants_history") | F.lit(history))
     return S.with_amending(selected.toDF("qid", "chunk_id", "id", "pos", "wants_history"), rows, relations(spark, folder, rows), CLEARANCE)
 
