@@ -4,8 +4,11 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from quillstone.operators import changes
+from quillstone.operators import changes, snapshots
+from quillstone.operators import passages as S
+from quillstone.operators import retrieval as R
 from quillstone.plans import catalogue
 
 
@@ -16,10 +19,63 @@ def test_hashed_vectors_round_as_doubles(spark, tmp_path):
     spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
 
     def digest(text, kind):
-        at, value = changes.unit_vector([w for w in text])
+        at, value = changes.unit_vector(text)
         return hashlib.md5(",".join(f"{i}:{int(np.copysign(np.floor(abs(x) * 10000 + 0.5), x))}" for i, x in zip(at, value.astype(kind).astype(float))).encode()).hexdigest()
 
-    plain = [t for t in map(lambda t: [w for w in t if w not in catalogue.X.STOPWORDS], texts)]
+    plain = [[w for w in t if w not in catalogue.X.STOPWORDS] for t in texts]
     assert [digest(t, np.float32) for t in plain] != [digest(t, np.float64) for t in plain]
     got = {r.id: r.vector_md5 for r in catalogue.hash_embed(spark, str(tmp_path)).collect()}
     assert got == {i: digest(t, np.float64) for i, t in enumerate(plain)}
+
+
+def some_chunks(spark):
+    rng = random.Random(5)
+    rows = [(i, i % 3, " ".join(rng.choice(["cuti", "elaun", "gaji", "bonus", "rehat", f"x{i % 7}"]) for _ in range(i % 12)), "b") for i in range(300)]
+    return spark.createDataFrame(rows, "chunk_id long, tier int, text string, breadcrumb string").repartition(5)
+
+
+ASKED = [(1, "cuti rehat"), (2, "elaun x3 gaji"), (3, "tiada di sini"), (4, "yang dan"), (5, "bonus"), (None, "gaji")]
+
+
+def test_best_scores_are_those_of_all_scores(spark):
+    """In blocks of few texts and few queries at a time, and by joins, with ties and null ids."""
+    chunks, asked = some_chunks(spark), spark.createDataFrame(ASKED, "qid long, text string")
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    want = rows(S.keyword_hits(S.keyword_scores(chunks, asked)))
+    assert want and rows(S.keyword_top(chunks, asked)) == want
+    docs = chunks.select(F.when(F.col("chunk_id") != 7, F.col("chunk_id")).alias("id"), "text")
+    want = rows(R.top(R.bm25(docs, asked), "qid", 9, F.desc("score"), F.asc("id")).select("qid", "id", "score", "rank"))
+    assert rows(R.bm25_top(docs, asked, 9)) == want
+    index = R.postings(docs, R.asked_terms(asked).select("term").distinct())
+    sizes = R.corpus_totals(index, docs.count()).withColumnRenamed("n_docs", "n")
+    assert rows(R.best_scored(index, sizes, asked, 9, asked=2, block=40)) == want
+
+
+def test_a_task_counts_no_more_texts_on_larger_tables(spark, monkeypatch):
+    wanted = spark.createDataFrame([("cuti",)], "term string")
+    monkeypatch.setattr(R, "TEXTS", 20)
+    counted = R.wanted_counts(some_chunks(spark), ["chunk_id", "tier"], wanted)
+    assert counted.rdd.getNumPartitions() == 15 and counted.count() == 300
+
+
+def test_nearest_by_entries(spark, monkeypatch):
+    chunks = some_chunks(spark)
+    asked = S.chunk_vectors(chunks.where("chunk_id % 20 = 0")).selectExpr("chunk_id as qid", "vec as qvec")
+    rows = lambda df: {tuple(r) for r in S.vector_hits(df, asked).collect()}
+    want = rows(S.chunk_vectors(chunks))
+    assert rows(S.chunk_entries(chunks)) == want
+    monkeypatch.setattr(R, "BLOCK", 3000)
+    assert rows(S.chunk_entries(chunks)) == want
+
+
+def test_followers_hear_once(spark, monkeypatch):
+    """Documents and users of several rows; in rounds of officers no pair is lost or told twice."""
+    told = spark.createDataFrame([(1, "A 1", "STATUS_CHANGE", "s1"), (1, "A 1", "STATUS_CHANGE", "s2"), (2, "A 2", "ADDED", "s1"), (3, "A 3", "STATUS_CHANGE", None)], "id long, circular_no string, change string, cluster string")
+    told = told.select("*", F.lit("t").alias("title"), F.lit("UNKNOWN").alias("old_status"), F.lit("IN_FORCE").alias("new_status"), F.lit("r").alias("status_reason"))
+    users = spark.createDataFrame([(7, "s1", "A 2"), (7, "s2", "A 3"), (8, None, "A 1"), (9, "s1", "A 1")], "id long, sub_cluster string, sub_circular string").select("*", F.lit("OFFICER").alias("role"), F.lit(0).alias("clearance_level"))
+    log = spark.createDataFrame([(8, "a 3?", 2), (9, "x", 2)], "user_id long, query string, doc_ref long").withColumn("created_at", F.current_timestamp())
+    want = sorted([(7, 1)] * 2 + [(9, 1)] * 2 + [(7, 2), (9, 2), (7, 3), (8, 3)] + [(8, 1)] * 2)
+    for most in (200_000, 1):
+        monkeypatch.setattr(snapshots, "BROADCAST_ROWS", most)
+        got = snapshots.notified(told, users, log, 0)
+        assert sorted((r.user_id, r.document_id) for r in got.collect()) == want
