@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +25,8 @@ DIM, SAME_NUMBER, SAME_MEANING = 1024, 0.4, 0.80
 CLAUSE = r"^(\d{1,2}(?:\.\d{1,2})*)\.?\s+(.+)$"
 #: how an amendment speaks of its clause, and characters of its evidence that find the clause; fixed values
 AMENDING, LEAD = "dipinda|pindaan", 40
-#: words whose features a worker keeps, and texts whose vectors it holds
-MEMO, HELD = 50_000, 500
+#: texts whose vectors a worker holds
+HELD = 500
 
 
 def clauses(texts: DataFrame) -> DataFrame:
@@ -40,31 +43,65 @@ def clauses(texts: DataFrame) -> DataFrame:
     return parts.select("id", "ref", F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("text"))
 
 
-class Features(dict):
-    """Buckets and signed weights of a word's features: the word itself weighs 2, each triple of letters a half."""
+#: letters of words and the marks of their ends
+LETTERS = "^$0123456789abcdefghijklmnopqrstuvwxyz"
+#: features that are summed at a time
+SUMMED = 2_000_000
 
-    def __missing__(self, word: str) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) > MEMO:
-            self.clear()
-        ended = f"^{word}$"
-        names = [f"={word}", *(f"~{ended[i : i + 3]}" for i in range(len(word)))]
-        digests = [hashlib.md5(n.encode()).digest() for n in names]
-        signs = np.array([1.0 if d[4] >> 4 & 1 == 0 else -1.0 for d in digests])
-        self[word] = out = np.array([int.from_bytes(d[:4], "big") % DIM for d in digests]), signs * np.array([2.0] + [0.5] * (len(names) - 1))
-        return out
+
+def features(names: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and signs of features."""
+    digests = np.frombuffer(b"".join(hashlib.md5(n.encode()).digest() for n in names), np.uint8).reshape(-1, 16)
+    return digests[:, :4].copy().view(">u4")[:, 0].astype(np.int64) % DIM, 1.0 - 2.0 * (digests[:, 4] >> 4 & 1)
+
+
+@functools.cache
+def triples() -> tuple[np.ndarray, np.ndarray]:
+    """:func:`features` of all triples of letters, in order."""
+    return features("~" + "".join(t) for t in itertools.product(LETTERS, repeat=3))
 
 
-FEATURES = Features()
+def unit_rows(texts: pa.ListArray) -> np.ndarray:
+    """The unit vectors of texts, lists of words of a-z and 0-9; without any word, the first unit vector.
+
+    A word itself weighs 2, each triple of its letters, with its ends, a half.  A batch's words are hashed once each, and
+    all triples of letters once a worker; sums of halves are exact, whatever their order.
+    """
+    out, coded = np.zeros((len(texts), DIM)), texts.flatten().dictionary_encode()
+    if len(coded):
+        known, word = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        row = np.repeat(np.arange(len(texts)), pc.list_value_length(texts).to_numpy())
+        size = np.fromiter(map(len, known), np.int64, len(known))
+        start = np.cumsum(size + 2) - size - 2
+        codes = np.zeros(128, np.int64)
+        codes[np.frombuffer(LETTERS.encode(), np.uint8)] = np.arange(len(LETTERS))
+        line = codes[np.frombuffer(f"^{'$^'.join(known)}$".encode(), np.uint8)]
+        at = (line[:-2] * len(LETTERS) + line[1:-1]) * len(LETTERS) + line[2:]
+        buckets, weights = triples()[0][at], 0.5 * triples()[1][at]
+        # a word's triples start at each of its letters' places but the last; there, its own feature stands
+        buckets, weights = np.append(buckets, 0), np.append(weights, 0)
+        buckets[start + size], own = features(f"={w}" for w in known)
+        weights[start + size] = 2.0 * own
+        n = (size + 1)[word]
+        ends = np.cumsum(n)
+        cuts = np.unique([0, *np.searchsorted(ends, np.arange(SUMMED, int(ends[-1]), SUMMED)), len(word)])
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            some = n[lo:hi]
+            place = np.repeat(start[word[lo:hi]] - np.cumsum(some) + some, some) + np.arange(some.sum())
+            out += np.bincount(np.repeat(row[lo:hi] * DIM, some) + buckets[place], weights[place], out.size).reshape(out.shape)
+    norm = np.sqrt(np.sum(out**2, axis=1))
+    out[norm == 0, 0] = 1
+    return out / np.where(norm == 0, 1, norm)[:, None]
 
 
 def unit_vector(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values that are not 0 of the unit vector of some words; without any, the first unit vector."""
-    made = [FEATURES[word] for word in words]
-    total = np.bincount(np.concatenate([x[0] for x in made]), np.concatenate([x[1] for x in made]), DIM) if made else np.zeros(DIM)
-    some = np.flatnonzero(total)
-    if not len(some):
-        return np.zeros(1, np.int64), np.ones(1)
-    return some, total[some] / np.sqrt(np.sum(total[some] ** 2))
+    """Buckets and values that are not 0 of the unit vector of some words."""
+    row = unit_rows(pa.array([words], pa.list_(pa.string())))[0]
+    return np.flatnonzero(row), row[row != 0]
+
+
+def text_words(text: Column) -> Column:
+    return F.coalesce(tokens(text), F.array().cast("array<string>"))
 
 
 def hashed(texts: DataFrame, key: list[str]) -> DataFrame:
@@ -72,13 +109,15 @@ def hashed(texts: DataFrame, key: list[str]) -> DataFrame:
 
     Words are told apart by Spark; features are hashed and summed where the rows are, so nothing is shuffled.
     """
-    rows = texts.select(*key, F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    rows = texts.select(*key, text_words(F.col("text")).alias("words"))
     schema = T.StructType([*(texts.schema[c] for c in key), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(a, HELD) for b in batches for a in range(0, b.num_rows, HELD)):
-            made = [unit_vector(words.as_py()) for words in batch.column("words")]
-            arrays = [pa.array([x[0] for x in made], pa.list_(pa.int32())), pa.array([x[1] for x in made], pa.list_(pa.float64()))]
+            made = unit_rows(batch.column("words"))
+            row, bucket = np.nonzero(made)
+            offsets = pa.array(np.searchsorted(row, np.arange(len(made) + 1)), pa.int32())
+            arrays = [pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((bucket, pa.int32()), (made[row, bucket], pa.float64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in key), *arrays], [*key, "buckets", "weights"])
 
     return rows.mapInArrow(work, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillstone.functions.text import first_words, scope_touches, term_ok
 from quillstone.functions.text import words as word_list
 from quillstone.operators import retrieval as R
-from quillstone.operators.changes import AMENDING, LEAD, hash_embed, hashed
+from quillstone.operators.changes import AMENDING, LEAD, hash_embed, text_words
 from quillstone.operators.trigrams import containing
 from quillstone.operators.validity import DEFAULT_STATUSES, HISTORICAL_STATUSES, cut
 
@@ -111,7 +111,7 @@ def keyword_hits(scores: DataFrame) -> DataFrame:
 
 
 def vector_hits(vectors: DataFrame, asked: DataFrame) -> DataFrame:
-    """As :func:`keyword_hits`, by vectors (chunk_id, tier, vec or entries) and queries (qid, qvec)."""
+    """As :func:`keyword_hits`, by vectors (chunk_id, tier, vec or words) and queries (qid, qvec)."""
     found = R.nearest(vectors.withColumnRenamed("chunk_id", "id"), asked, R.LIST_CUT)
     return found.select("qid", "tier", F.col("id").alias("chunk_id"), F.col("rank").alias("raw_rank"))
 
@@ -209,5 +209,5 @@ def chunk_vectors(chunks: DataFrame) -> DataFrame:
 
 
 def chunk_entries(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, tier, buckets, weights): :func:`chunk_vectors` without their zeros."""
-    return hashed(whole_texts(chunks), ["chunk_id", "tier"])
+    """(chunk_id, tier, words): what :func:`chunk_vectors` is made of, for :func:`R.nearest`, so that no vector leaves a task."""
+    return whole_texts(chunks).select("chunk_id", "tier", text_words(F.col("text")).alias("words"))

@@ -6,7 +6,6 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillstone.functions.text import query_terms, scope_touches, term_ok, terms, tokens, words
+from quillstone.operators.changes import DIM, unit_rows
 from quillstone.operators.validity import cut
 
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -292,51 +292,48 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, asked: int = 1024, r
 
     With a column tier in vectors, the k of each tier.  Vectors stay where they lie: about ``asked`` queries at a time are
     broadcast to them, and each task gives its k best, which are merged; it holds a block of scores and the best so far,
-    whatever the number of vectors and queries.  Null vectors and those of another length score nothing.  With columns
-    buckets and weights in place of vec, the vectors are those entries among zeros, as long as the queries'.
+    whatever the number of vectors and queries.  Null vectors and those of another length score nothing.  With a column
+    words in place of vec, the vectors are those of :func:`unit_rows`, which are made where they are compared.
     """
     spark = vectors.sparkSession
-    tiers, sparse = ["tier"] if "tier" in vectors.columns else [], "buckets" in vectors.columns
-    vectors, queries = vectors.where("buckets is not null" if sparse else "vec is not null"), queries.where("qvec is not null").select("qid", F.col("qvec").cast("array<double>").alias("qvec"))
+    tiers, held = ["tier"] if "tier" in vectors.columns else [], "words" if "words" in vectors.columns else "vec"
+    vectors, queries = vectors.where(F.col(held).isNotNull()), queries.where("qvec is not null").select("qid", F.col("qvec").cast("array<double>").alias("qvec"))
     rounds = max(1, -(-queries.count() // asked))
-    rows_of = vectors.select("id", *tiers, *(["buckets", "weights"] if sparse else [F.col("vec").cast("array<double>").alias("vec")]))
+    rows_of = vectors.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), *tiers, F.col(held).cast("array<string>" if held == "words" else "array<double>").alias(held))
     schema = ", ".join(["qid long", "id long", *(f"tier {vectors.schema[t].dataType.simpleString()}" for t in tiers), "score double"])
+    kind = to_arrow_type(vectors.schema["tier"].dataType) if tiers else None
 
     def searched(block: DataFrame) -> DataFrame:
-        found = [(r.qid, np.array(r.qvec)) for r in block.collect()]  # one round's queries
+        found = [(NO_ID if r.qid is None else r.qid, np.array(r.qvec, float)) for r in block.collect()]  # one round's queries
         by_size = {n: (np.array([q for q, v in found if len(v) == n]), np.stack([v for _, v in found if len(v) == n])) for n in {len(v) for _, v in found}}
         shared = spark.sparkContext.broadcast(by_size)
 
-        def matrix(some: pd.DataFrame, n: int) -> np.ndarray:
-            if not sparse:
-                return np.stack(some["vec"].to_numpy())
-            out = np.zeros((len(some), n))
-            out[np.repeat(np.arange(len(some)), some["buckets"].str.len()), np.concatenate(some["buckets"].to_numpy())] = np.concatenate(some["weights"].to_numpy())
-            return out
-
-        def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept: dict[tuple, Best] = {}
-            for frame in frames:
-                # entries among zeros fit queries of every length
-                for size in list(shared.value) if sparse else [None]:
-                    for key, mine in frame.groupby([pd.Series(size, frame.index) if sparse else frame["vec"].str.len(), *tiers], dropna=False) if len(frame) else ():
-                        if (n := int(key[0])) in shared.value:
-                            qids, asked_for = shared.value[n]
-                            top_k = kept.setdefault(key, Best(len(qids), k))
-                            step = max(1, min(rows, BLOCK // max(len(qids), n)))
-                            for a in range(0, len(mine), step):
-                                some = mine.iloc[a : a + step]
-                                top_k.add(np.round(asked_for @ matrix(some, n).T, 6), some["id"].to_numpy())
-            for key, top_k in kept.items():
+            for batch in batches:
+                ids, lists = batch.column("id").to_numpy(), batch.column(held)
+                sizes = pc.list_value_length(lists).to_numpy() if held == "vec" else np.full(len(ids), DIM)
+                own = np.array(batch.column("tier").to_pylist() if tiers else [None] * len(ids), object)
+                for size, (qids, asked_for) in shared.value.items():
+                    for tier in set(own[sizes == size]):
+                        mine = np.flatnonzero((sizes == size) & (own == tier))
+                        top_k = kept.setdefault((size, tier), Best(len(qids), k))
+                        step = max(1, min(rows, BLOCK // max(len(qids), size)))
+                        for a in range(0, len(mine), step):
+                            some = lists.take(pa.array(at := mine[a : a + step]))
+                            made = unit_rows(some) if held == "words" else some.flatten().to_numpy(zero_copy_only=False).reshape(len(at), size)
+                            top_k.add(np.round(asked_for @ made.T, 6), ids[at])
+            for (size, tier), top_k in kept.items():
                 row, score, ids = top_k.shrink()
                 for a in range(0, len(row), ROWS_OUT):
                     b = slice(a, a + ROWS_OUT)
-                    yield pd.DataFrame({"qid": shared.value[int(key[0])][0][row[b]], "id": ids[b], **dict(zip(tiers, key[1:])), "score": score[b]})
+                    columns = [pa.array(shared.value[size][0][row[b]], pa.int64()), pa.array(ids[b], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*columns, *([pa.array([tier] * len(row[b]), kind)] if tiers else []), pa.array(score[b], pa.float64())], ["qid", "id", *tiers, "score"])
 
-        return rows_of.mapInPandas(best, schema)
+        return rows_of.mapInArrow(best, schema)
 
     blocks = [searched(queries.where(F.pmod(F.xxhash64("qid"), F.lit(rounds)) == j)) for j in range(rounds)]
-    found = functools.reduce(DataFrame.unionByName, blocks)
+    found = functools.reduce(DataFrame.unionByName, blocks).withColumn("id", F.nullif("id", F.lit(NO_ID))).withColumn("qid", F.nullif("qid", F.lit(NO_ID)))
     # rounded by numpy; Spark's rounding of the same number settles how it is shown
     return top(found.withColumn("score", F.round("score", 6)), ["qid", *tiers], k, F.desc("score"), F.asc("id"))
 

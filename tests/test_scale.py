@@ -79,3 +79,23 @@ def test_followers_hear_once(spark, monkeypatch):
         monkeypatch.setattr(snapshots, "BROADCAST_ROWS", most)
         got = snapshots.notified(told, users, log, 0)
         assert sorted((r.user_id, r.document_id) for r in got.collect()) == want
+
+
+def test_words_are_hashed_once_a_batch(spark, monkeypatch):
+    """Unit vectors of many texts are those of a plain sum, whatever is summed at a time; no vector leaves a task of a search."""
+    rng = random.Random(7)
+    texts = [[rng.choice(["cuti", "a", "z9", f"w{rng.randrange(60_000)}"]) for _ in range(rng.randrange(40))] for _ in range(200)]
+    want = np.zeros((len(texts), changes.DIM))
+    for at, words in enumerate(texts):
+        for name, weight in ((n, w) for x in words for n, w in [(f"={x}", 2.0), *(("~" + f"^{x}$"[i : i + 3], 0.5) for i in range(len(x)))]):
+            digest = hashlib.md5(name.encode()).digest()
+            want[at, int.from_bytes(digest[:4], "big") % changes.DIM] += weight if digest[4] >> 4 & 1 == 0 else -weight
+        want[at] = want[at] / np.sqrt(np.sum(want[at] ** 2)) if want[at].any() else np.eye(1, changes.DIM)[0]
+    changes.triples()
+    hashes, plain = [], hashlib.md5
+    monkeypatch.setattr(changes.hashlib, "md5", lambda x: (hashes.append(x), plain(x))[1])
+    words = changes.pa.array(texts, changes.pa.list_(changes.pa.string()))
+    assert (changes.unit_rows(words) == want).all() and len(hashes) == len({w for t in texts for w in t})
+    monkeypatch.setattr(changes, "SUMMED", 50)
+    assert (changes.unit_rows(words.slice(20, 90)) == want[20:110]).all()
+    assert S.chunk_entries(some_chunks(spark)).columns == ["chunk_id", "tier", "words"]
