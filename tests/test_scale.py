@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import changes, snapshots
@@ -99,3 +100,23 @@ def test_words_are_hashed_once_a_batch(spark, monkeypatch):
     monkeypatch.setattr(changes, "SUMMED", 50)
     assert (changes.unit_rows(words.slice(20, 90)) == want[20:110]).all()
     assert S.chunk_entries(some_chunks(spark)).columns == ["chunk_id", "tier", "words"]
+
+
+@pytest.mark.parametrize("name", ["bm25_postfilter"])
+def test_one_search_in_parts_of_texts(spark, data, monkeypatch, name):
+    """The query's texts are counted once, in parts of so many texts, and no row for each question and text is ranked."""
+    parts, counted, ranked = [], R.wanted_counts, R.top
+    monkeypatch.setattr(R, "TEXTS", 10)
+
+    def seen(*args):
+        parts.append((out := counted(*args)).rdd.getNumPartitions())
+        return out
+
+    def least(df, *args, **more):
+        assert "raw_rank" in df.columns or df.columns == ["qid", "id", "score"] and "MapInArrow" in df._jdf.queryExecution().toString()
+        return ranked(df, *args, **more)
+
+    monkeypatch.setattr(R, "wanted_counts", seen)
+    monkeypatch.setattr(R, "top", least)
+    catalogue.QUERIES[name](spark, data)
+    assert parts == [20]
