@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillstone.operators import answers as ANS
 from quillstone.operators import asking as K
 from quillstone.operators import retrieval as R
+from quillstone.operators import validity as V
 from quillstone.operators.passages import PASSAGE_WORDS, shown_text
 from quillstone.plans import catalogue as C
 from quillstone.plans.catalogue import query
@@ -29,8 +30,10 @@ ld AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rrf DE
 
 
 def laddered(spark, folder):
-    pool = C.keyword_hits(spark, folder).select("qid", "id", (1 / (R.RRF_K + F.col("rank"))).alias("rrf"), F.col("rank").alias("place"))
-    backend = C.reranked(spark, folder).where("qid % 4 = 0").select("qid", "id", "score")
+    # few rows, which the rungs share: the texts are searched once
+    shown = V.cut(C.keyword_hits(spark, folder))
+    pool = shown.select("qid", "id", (1 / (R.RRF_K + F.col("rank"))).alias("rrf"), F.col("rank").alias("place"))
+    backend = C.reranked(spark, folder, shown).where("qid % 4 = 0").select("qid", "id", "score")
     raw = (F.col("id") * 7 + F.col("qid") * 3) % 41 / 10.0 - 2
     some = pool.where((F.col("qid") % 4 == 1) & (F.col("id") % 5 != 0) & (F.col("place") <= R.POOL))
     model = some.select("qid", "id", raw.alias("raw")).select("qid", "id", F.round(K.squashed(F.col("raw")), 6).alias("score"))

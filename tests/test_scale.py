@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillstone.operators import changes, snapshots
 from quillstone.operators import passages as S
 from quillstone.operators import retrieval as R
-from quillstone.plans import catalogue
+from quillstone.plans import asking, catalogue  # noqa: F401  the former adds its queries to the catalogue's
 
 
 def test_hashed_vectors_round_as_doubles(spark, tmp_path):
@@ -102,7 +102,7 @@ def test_words_are_hashed_once_a_batch(spark, monkeypatch):
     assert S.chunk_entries(some_chunks(spark)).columns == ["chunk_id", "tier", "words"]
 
 
-@pytest.mark.parametrize("name", ["bm25_postfilter", "confidence_bands"])
+@pytest.mark.parametrize("name", ["bm25_postfilter", "confidence_bands", "confidence_by_kind"])
 def test_one_search_in_parts_of_texts(spark, data, monkeypatch, name):
     """The query's texts are counted once, in parts of so many texts, and no row for each question and text is ranked."""
     parts, counted, ranked = [], R.wanted_counts, R.top
