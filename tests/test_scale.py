@@ -102,7 +102,7 @@ def test_words_are_hashed_once_a_batch(spark, monkeypatch):
     assert S.chunk_entries(some_chunks(spark)).columns == ["chunk_id", "tier", "words"]
 
 
-@pytest.mark.parametrize("name", ["bm25_postfilter", "confidence_bands", "confidence_by_kind", "eval_retrieval"])
+@pytest.mark.parametrize("name", ["bm25_postfilter", "confidence_bands", "confidence_by_kind", "eval_retrieval", "eval_citations"])
 def test_one_search_in_parts_of_texts(spark, data, monkeypatch, name):
     """The query's texts are counted once, in parts of so many texts, and no row for each question and text is ranked."""
     parts, counted, ranked = [], R.wanted_counts, R.top
