@@ -451,10 +451,11 @@ rk AS (SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY
 
 def reranked(spark, folder, shown: DataFrame | None = None):
     """The first places of the keyword list, or of one that is there already, by shared words."""
-    pool = (keyword_hits(spark, folder) if shown is None else shown).where(F.col("rank") <= R.POOL).select("qid", "id", "rank")
-    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    # few rows, so that the texts stay where they lie
+    pool = R.few((keyword_hits(spark, folder) if shown is None else shown).where(F.col("rank") <= R.POOL).select("qid", "id", "rank"))
+    asked = R.bounded(table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question")))
     passages = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("passage"))
-    scored = pool.join(asked, "qid").join(passages, "id").select("qid", "id", "rank", F.round(R.overlap(F.col("question"), F.col("passage")), 6).alias("score"))
+    scored = passages.join(pool, "id").join(asked, "qid").select("qid", "id", "rank", F.round(R.overlap(F.col("question"), F.col("passage")), 6).alias("score"))
     return scored.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "rank"))).select("qid", "id", "score", "pos")
 
 

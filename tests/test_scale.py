@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -120,3 +121,21 @@ def test_one_search_in_parts_of_texts(spark, data, monkeypatch, name):
     monkeypatch.setattr(R, "top", least)
     catalogue.QUERIES[name](spark, data)
     assert parts == [20]
+
+
+@pytest.mark.parametrize("name", ["confidence_bands"])
+def test_texts_stay_where_they_lie(spark, data, name):
+    """The documents' texts meet the few hits by a broadcast of the hits; nothing shuffles or sorts the texts for it."""
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    before = [spark.conf.get(x) for x in names]
+    try:
+        for x, value in zip(names, ("-1", "false")):
+            spark.conf.set(x, value)
+        lines = [re.sub(r"^[\s:+-]*(\*\(\d+\) )?", "", x) for x in catalogue.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString().splitlines()]
+    finally:
+        for x, value in zip(names, before):
+            spark.conf.set(x, value)
+    # of each scan of texts the first node above it that does more than choose rows and columns
+    scans = [i for i, x in enumerate(lines) if x.startswith("FileScan") and "doc_id" in x and re.search(r"\btext#", x)]
+    above = [next(x for x in reversed(lines[:i]) if not re.match("Project|Filter|ColumnarToRow", x)) for i in scans]
+    assert above and all(x.startswith("BroadcastHashJoin") for x in above)
