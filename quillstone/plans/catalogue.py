@@ -672,10 +672,11 @@ GOLD = KEYWORD + ", gold AS (SELECT b.item_id AS qid, d.doc_id AS id FROM benchm
 
 def expected_ranks(spark, folder):
     """The best rank of a document that holds the question; candidates come from shared words, then the text decides."""
-    hits = bm25_hits(spark, folder)
-    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    # few rows, so that the texts stay where they lie
+    hits = R.bounded(bm25_hits(spark, folder))
+    asked = R.bounded(table(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question")))
     texts = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
-    held = hits.join(asked, "qid").join(texts, "id").where(F.contains("text", "question"))
+    held = texts.join(hits, "id").join(asked, "qid").where(F.contains("text", "question"))
     return held.groupBy("qid").agg(F.min("raw_rank").alias("rank"))
 
 

@@ -123,7 +123,7 @@ def test_one_search_in_parts_of_texts(spark, data, monkeypatch, name):
     assert parts == [20]
 
 
-@pytest.mark.parametrize("name", ["confidence_bands"])
+@pytest.mark.parametrize("name", ["confidence_bands", "eval_retrieval", "eval_citations"])
 def test_texts_stay_where_they_lie(spark, data, name):
     """The documents' texts meet the few hits by a broadcast of the hits; nothing shuffles or sorts the texts for it."""
     names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
