@@ -16,7 +16,7 @@ from quillstone.llm.components import cut
 from quillstone.llm.memory import free_name
 from quillstone.llm.neardup import near_duplicates
 from quillstone.llm.packing import pack_in_order
-from quillstone.llm.pii import pseudonymise, session_key
+from quillstone.llm.pii import drawn_key, pseudonymise
 from quillstone.llm.quality import THRESHOLD, fit, score
 from quillstone.llm.substrings import dedup_substrings
 from quillstone.sources.tables import spread
@@ -54,7 +54,7 @@ def with_sizes(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_sizes(pseudonymise(docs, session_key(spark)), docs)
+    return with_sizes(pseudonymise(docs, drawn_key(spark)), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
