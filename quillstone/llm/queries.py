@@ -13,9 +13,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillstone.llm.pii import pseudonymise, session_key
+    from quillstone.llm.pii import drawn_key, pseudonymise
 
-    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), session_key(spark), counts="n_replaced")
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), drawn_key(spark), counts="n_replaced")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,15 @@ def test_personal_data_on_a_cluster_without_a_key(cluster, data):
     assert texts(personal_data(cluster, docs, data)) == texts(pseudonymise(docs, "own"))
 
 
+def test_op1_on_a_cluster_without_a_key(cluster, data):
+    from quillstone.llm.queries import op1_pseudonyms
+
+    docs = cluster.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    got = op1_pseudonyms(cluster, data).orderBy("doc_id").collect()
+    assert got == pseudonymise(docs, cluster.conf.get(KEY_SETTING), counts="n_replaced").orderBy("doc_id").collect()
+    assert len(got) == docs.count() and sum(r.n_replaced for r in got) > 0
+
+
 def test_local_sessions_draw_no_key(spark):
     from quillstone.llm.pii import drawn_key
 
