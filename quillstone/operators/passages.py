@@ -14,7 +14,7 @@ from quillstone.functions.text import words as word_list
 from quillstone.operators import retrieval as R
 from quillstone.operators.changes import AMENDING, LEAD, hash_embed, text_words
 from quillstone.operators.trigrams import containing
-from quillstone.operators.validity import DEFAULT_STATUSES, HISTORICAL_STATUSES, cut
+from quillstone.operators.validity import DEFAULT_STATUSES, HISTORICAL_STATUSES, cut, kept
 
 #: order in which lists name a passage first
 LISTS = ("vector", "keyword", "trigram")
@@ -70,7 +70,7 @@ def keyword_top(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     if index is None:
         hit = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
         index = postings(chunks, wanted).groupBy("chunk_id", "tier").agg(F.max("dl").alias("dl"), F.collect_list(hit).alias("hits"))
-    index = cut(index.withColumnRenamed("chunk_id", "id"))
+    index = kept(index.withColumnRenamed("chunk_id", "id"))
     sizes = index.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     return R.best_scored(index, sizes, queries, R.LIST_CUT).select("qid", "tier", F.col("id").alias("chunk_id"), F.col("rank").alias("raw_rank"))
 

@@ -774,11 +774,11 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY sec, g) - 1 AS chunk_inde
 
 
 @query(RULES)
-def chunk_rules(spark, folder):
+def chunk_rules(spark, folder, about=None):
     from quillstone.operators.chunking import chunk_rules as run
 
     rows = structured(spark, folder).where(~F.col("doc_type").eqNullSafe("minutes"))
-    return run(rows.select("id", "page", "text"), rows.select("id", "circular_no"))
+    return run(rows.select("id", "page", "text"), rows.select("id", "circular_no"), about)
 
 
 MINUTES = POL + f""", mn AS (SELECT id, circular_no || ' (' || {P.malay_sql('issue_date')} || ')' AS lead, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), ' ') AS body FROM pd WHERE doc_type = 'minutes'),

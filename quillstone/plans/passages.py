@@ -12,7 +12,7 @@ from quillstone.operators import passages as S
 from quillstone.operators import questions as Q
 from quillstone.operators import retrieval as R
 from quillstone.operators.changes import hash_embed
-from quillstone.operators.validity import cut
+from quillstone.operators.validity import cut, kept
 from quillstone.plans import catalogue as C
 from quillstone.plans.catalogue import query
 from quillstone.plans.library import ASKED, ENTRIES, SPOKEN
@@ -24,9 +24,10 @@ CLEARANCE, SIDE = 1, "SARAWAK"
 
 def chunks(spark, folder):
     """Chunks of rule documents and minutes in the packs that a reader may open, with what is known of their documents."""
-    rows = C.chunk_rules(spark, folder).unionByName(C.chunk_minutes(spark, folder))
-    docs = C.statuses(spark, folder).select("id", "circular_no", "doc_type", "jurisdiction", "status", "classification_level", F.col("classification_level").alias("tier"))
-    return cut(rows.join(docs.where(F.col("tier") <= CLEARANCE), "id").withColumn("chunk_id", F.col("id") * 100000 + F.col("chunk_index")))
+    docs = C.statuses(spark, folder).select("id", "circular_no", "doc_type", "jurisdiction", "status", "classification_level", F.col("classification_level").alias("tier")).where(F.col("tier") <= CLEARANCE)
+    # both are by document where docs meet them, so that texts aren't shuffled for it
+    rows = C.chunk_rules(spark, folder, docs).unionByName(C.chunk_minutes(spark, folder).join(docs, "id"))
+    return kept(rows.withColumn("chunk_id", F.col("id") * 100000 + F.col("chunk_index")))
 
 
 def asked(spark, folder):

@@ -8,10 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import changes, snapshots
+from quillstone.operators import changes, chunking, snapshots
 from quillstone.operators import passages as S
 from quillstone.operators import retrieval as R
-from quillstone.plans import asking, catalogue  # noqa: F401  the former adds its queries to the catalogue's
+from quillstone.plans import asking, catalogue, passages  # noqa: F401  the others add their queries to the catalogue's
 
 
 def test_hashed_vectors_round_as_doubles(spark, tmp_path):
@@ -139,3 +139,49 @@ def test_texts_stay_where_they_lie(spark, data, name):
     scans = [i for i, x in enumerate(lines) if x.startswith("FileScan") and "doc_id" in x and re.search(r"\btext#", x)]
     above = [next(x for x in reversed(lines[:i]) if not re.match("Project|Filter|ColumnarToRow", x)) for i in scans]
     assert above and all(x.startswith("BroadcastHashJoin") for x in above)
+
+
+def plain_plan(spark, df):
+    """The lines of the plan, as it is without broadcasts by size and changes while it runs."""
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    before = [spark.conf.get(x) for x in names]
+    try:
+        for x, value in zip(names, ("-1", "false")):
+            spark.conf.set(x, value)
+        return df().queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for x, value in zip(names, before):
+            spark.conf.set(x, value)
+
+
+PAGES = [(i, p, "\n".join(["MUKA", "1. TUJUAN", f"1.1 satu {i}", "(a) dua", "kata " * (40 * i), f"1.2 {p} tiga", "PERKARA 1: LAPORAN", "isi", "KEPUTUSAN: ya"][i % 3 :])) for i in range(1, 12) for p in (2, 1)]
+
+
+def test_pages_are_shuffled_once_for_chunks(spark):
+    """Of each table that chunking joins one shuffle, and what is known of documents comes without another one of the texts."""
+    pages = spark.createDataFrame([*PAGES, (None, 1, "1. A"), (12, 1, None)], "id long, page int, text string")
+    numbers = spark.createDataFrame([(i, f"PP {i}/2020", None) for i in range(1, 14)], "id long, circular_no string, issue_date date")
+    about = spark.createDataFrame([(i, i % 2) for i in range(1, 14, 2)] + [(3, 7)], "id long, tier int")
+    for make, tables in ((chunking.chunk_rules, 2), (chunking.chunk_minutes, 2), (lambda *x: chunking.chunk_rules(*x, about), 3)):
+        assert sum("Exchange" in x for x in plain_plan(spark, lambda: make(pages, numbers)._jdf)) == tables
+    plain = chunking.chunk_rules(pages, numbers)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(chunking.chunk_rules(pages, numbers, about)) == rows(plain.join(about, "id"))
+    # pages in their order, a unit over two pages, an item on its own line; sections of each page
+    assert [(r.chunk_index, r.clause_ref, r.page_start, r.page_end, r.text[:40]) for r in plain.where("id = 4").orderBy("chunk_index").collect()] == [
+        (0, "1.1-1.2", 1, 1, "1. TUJUAN\n1.1 satu 4\n(a) dua kata kata k"), (1, "1.1-1.2", 2, 2, "1. TUJUAN\n1.1 satu 4\n(a) dua kata kata k"),
+    ]
+
+
+@pytest.mark.parametrize("name", ["passage_keywords", "passage_context", "passage_retrieval", "passage_retrieval_baseline"])
+def test_tables_with_texts_are_kept_small(spark, data, monkeypatch, name):
+    """Chunks and their counted terms are written by columns, compressed; plain rows are left to small tables."""
+    large, plain = [], type(spark.range(1)).checkpoint
+
+    def seen(df, *args):
+        large.extend({"text", "hits"} & set(df.columns) if "qid" not in df.columns else ())
+        return plain(df, *args)
+
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", seen)
+    catalogue.QUERIES[name](spark, data)
+    assert not large
