@@ -185,3 +185,12 @@ def test_tables_with_texts_are_kept_small(spark, data, monkeypatch, name):
     monkeypatch.setattr(type(spark.range(1)), "checkpoint", seen)
     catalogue.QUERIES[name](spark, data)
     assert not large
+
+
+def test_followers_are_told_by_all_cores(spark, data):
+    """The changes are dealt over all cores before their followers join them, and what is said of one is made before."""
+    told = catalogue.notifications(spark, data)
+    assert told.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    lines = plain_plan(spark, lambda: catalogue.notifications(spark, data)._jdf)
+    join = next(i for i, x in enumerate(lines) if "BroadcastHashJoin [cluster#" in x)
+    assert not any("concat" in x for x in lines[:join])
